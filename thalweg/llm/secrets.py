@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from thalweg.llm.common import table
 
-ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?=[PpSsTtAa])((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# A lookahead or lookbehind here changes no match; it spares the scanner most positions.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens for the battery: unbroken, 20 symbols or more, with a digit or a capital after the first symbol.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Tokens for the battery: unbroken and 20 symbols or more. Those without a digit or an inner capital are dropped after.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
