@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import gam, lexicon, packing, secrets
+from thalweg.llm import archives, gam, lexicon, packing, secrets, simhash
 from thalweg.llm.common import held_out
 
 
@@ -17,10 +17,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
 
+def op8_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = gam.train_quality(docs, _read(spark, sf_dir, "labels"))
@@ -39,7 +48,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_archive_converter": op8_archive_converter,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
