@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -108,3 +109,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no frame refers to any more, before the next large step needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
