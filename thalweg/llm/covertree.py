@@ -137,7 +137,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     data = table(blocks(whole, state["n"], DATA_BLOCK), "vectors")
     asked = table(blocks(whole.where(F.col("vec_id") % every == 0), state["q"], QUERY_BLOCK), "queries")
     n_data = max(1, -(-state["n"] // DATA_BLOCK))
-    pairs = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))).cast("long").alias("block")).join(data, "block")
+    pairs = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long"))).alias("block")).join(data, "block")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -51,7 +51,8 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
             F.sum("n").over(over).alias("words"),
         )
 
-    both = lines.select("doc_id", "mark", F.explode(F.array(run(ahead), run(back))).alias("w")).select("doc_id", "mark", "w.*")
+    both = lines.select("doc_id", "mark", run(ahead).alias("a"), run(back).alias("b"))
+    both = both.select("doc_id", "mark", F.explode(F.array("a", "b")).alias("w")).select("doc_id", "mark", "w.*")
     return both.where(F.col("words") >= least_words).drop("words")
 
 
