@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from thalweg.plans import graph
+
+QUERIES = {**graph.QUERIES}
+ORACLES = {**graph.ORACLES}
