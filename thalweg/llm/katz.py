@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from thalweg.llm.common import held_out, release, table
 
-BLOCK = 2_000_000  # tokens
+BLOCK = 1_000_000  # tokens
 SLICE = 1_000_000  # vocabulary entries, over all blocks, for one bucket of words
 SPREAD = 4  # parts of a bucket of bigrams
 CUTOFF = 5
@@ -54,6 +54,16 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """Small whole numbers, byte by byte of their places, which leaves long runs of zeros."""
+    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return pack(planes, "u1")
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Numbers(dict):
     """Numbers words in the order they come."""
 
@@ -69,7 +79,7 @@ def tokens(text: str | None) -> list[bytes]:
 def blocks(docs: DataFrame, size: int) -> DataFrame:
     """Tokenised ``docs(doc_id, text, train)``: per block the documents' ids, marks and lengths, token numbers and the hashes they stand for.
 
-    Numbers follow the order of the hashes. The hash of START is in every block.
+    The commonest word has number 0. The hash of START is in every block.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -81,12 +91,12 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             words = list(number)
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-            order = np.argsort(hashes)
+            order = np.argsort(-np.bincount(np.concatenate(parts), minlength=len(words)), kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             row = [
                 made, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
-                pack(sizes, "u4"), pack(place[np.concatenate(parts)], "u4"), pack(hashes[order], "u8"),
+                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), pack(hashes[order], "u8"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
 
@@ -123,8 +133,10 @@ def word_requests(cut: DataFrame, buckets: int) -> DataFrame:
         for part in batches:
             for row in part.itertuples():
                 hashes, train, sizes = unpack(row.hashes, "u8"), unpack(row.train, "u1"), unpack(row.sizes, "u4")
-                counts = np.bincount(unpack(row.tokens, "u4")[_train_tokens(train, sizes)], minlength=len(hashes))
-                counts[np.searchsorted(hashes, start)] = int(train.sum())
+                counts = np.bincount(unpack_planes(row.tokens)[_train_tokens(train, sizes)], minlength=len(hashes))
+                counts[hashes == start] = int(train.sum())
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], counts[order]
                 edges = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
                 some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
                 yield pd.DataFrame({
@@ -195,20 +207,28 @@ def words_probability(counts: np.ndarray, stats: list[int]) -> np.ndarray:
     return np.where(counts > 0, scale * d[np.minimum(counts, CUTOFF + 1)] * counts / total, 1 - scale * kept)
 
 
+def _spread(row, parts: list[np.ndarray]) -> np.ndarray:
+    """What the buckets sent back, in order of the hashes, by the block's own numbers."""
+    out = np.concatenate(parts)
+    back = np.empty_like(out)
+    back[np.argsort(unpack(row.hashes, "u8"))] = out
+    return back
+
+
 def _looked_up(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number and training count of each of a block's words, from the word table's rows in bucket order."""
+    """Number and training count of each of a block's words."""
     got = sorted(row.words, key=lambda w: w["bucket"])
-    number = np.concatenate([unpack(w["ranks"], "u4").astype(np.int64) * buckets + w["bucket"] for w in got])
-    return number, np.concatenate([unpack(w["counts"], "i8") for w in got])
+    number = [unpack(w["ranks"], "u4").astype(np.int64) * buckets + w["bucket"] for w in got]
+    return _spread(row, number), _spread(row, [unpack(w["counts"], "i8") for w in got])
 
 
 def _bigrams(row, number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct bigrams in the order they are sent: local numbers of context and word, bucket part, how often in
     training, and for each token the place of its bigram."""
-    tok, sizes, hashes = unpack(row.tokens, "u4").astype(np.int64), unpack(row.sizes, "u4"), unpack(row.hashes, "u8")
+    tok, sizes, hashes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4"), unpack(row.hashes, "u8")
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
-    before[np.cumsum(sizes) - sizes] = np.searchsorted(hashes, _start_hash())
+    before[np.cumsum(sizes) - sizes] = np.flatnonzero(hashes == _start_hash())[0]
     keys, place = np.unique(before * len(hashes) + tok, return_inverse=True)
     context, word = keys // len(hashes), keys % len(hashes)
     times = np.bincount(place[_train_tokens(unpack(row.train, "u1"), sizes)], minlength=len(keys))
@@ -330,11 +350,11 @@ def scores(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray) ->
                 number, counts = _looked_up(row, buckets)
                 context, word, _, _, place = _bigrams(row, number, buckets)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
-                alpha, scale = (np.concatenate([unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
+                alpha, scale = (_spread(row, [unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
                 times = np.concatenate([unpack(t["times"], "u4") for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 seen = scale[context] * d[np.minimum(times, CUTOFF + 1)] * times / np.maximum(counts[context], 1)
                 logs = np.log10(np.where(times > 0, seen, alpha[context] * words_probability(counts[word], stats)))
-                tok, sizes = unpack(row.tokens, "u4"), unpack(row.sizes, "u4").astype(np.int64)
+                tok, sizes = unpack_planes(row.tokens), unpack(row.sizes, "u4").astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
                 base = np.log10((counts[tok] + 1) / (stats[0] + stats[1] + 1))
                 known = unpack(row.known, "u1").astype(bool)
