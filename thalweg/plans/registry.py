@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.plans import graph
+from thalweg.plans import graph, model
 
-QUERIES = {**graph.QUERIES}
-ORACLES = {**graph.ORACLES}
+QUERIES = {**graph.QUERIES, **model.QUERIES}
+ORACLES = {**graph.ORACLES, **model.ORACLES}
