@@ -30,7 +30,7 @@ def _network(spark: SparkSession, d: str) -> N.Network:
 
 
 def _cells(spark: SparkSession) -> DataFrame:
-    return GRID.cells(spark).select("i", "j", ((F.col("i") + F.col("j")) % 3).alias("domain"), ((F.col("i") * 7 + F.col("j") * 13) % 17).cast("double").alias("value"))
+    return GRID.cells(spark).select("i", "j", F.when((F.col("i") + F.col("j")) % 4 == 0, 1).otherwise(0).alias("domain"), ((F.col("i") * 7 + F.col("j") * 13) % 17).cast("double").alias("value"))
 
 
 def _reaches(spark: SparkSession, d: str) -> tuple[N.Network, DataFrame, DataFrame]:
@@ -210,7 +210,7 @@ _POINTS = "point AS (SELECT c_custkey AS loc, ((c_custkey * 7919) % 64)::DOUBLE
 _SHARE = "least(greatest(CASE WHEN (qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) > 0 THEN ((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / ((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) ELSE 0 END, 0.0::DOUBLE), 1.0::DOUBLE)"
 _DIST = "sqrt(pow(ax + (qx - ax) * t - x, 2) + pow(ay + (qy - ay) * t - y, 2))"
 _RING = "(((s_suppkey + 1) - (1 << (length(bin(s_suppkey + 1)) - 1))) + 0.5::DOUBLE) / (1 << (length(bin(s_suppkey + 1)) - 1))"
-_CELLS = "cell AS (SELECT i, j, j * 0.125::DOUBLE AS x0, (j + 1) * 0.125::DOUBLE AS x1, 16 - (i + 1) * 0.5::DOUBLE AS y0, 16 - i * 0.5::DOUBLE AS y1, (i + j) % 3 AS domain, ((i * 7 + j * 13) % 17)::DOUBLE AS value FROM (SELECT unnest(range(34))::INTEGER AS i) a, (SELECT unnest(range(8))::INTEGER AS j) b)"
+_CELLS = "cell AS (SELECT i, j, j * 0.125::DOUBLE AS x0, (j + 1) * 0.125::DOUBLE AS x1, 16 - (i + 1) * 0.5::DOUBLE AS y0, 16 - i * 0.5::DOUBLE AS y1, CASE WHEN (i + j) % 4 = 0 THEN 1 ELSE 0 END AS domain, ((i * 7 + j * 13) % 17)::DOUBLE AS value FROM (SELECT unnest(range(34))::INTEGER AS i) a, (SELECT unnest(range(8))::INTEGER AS j) b)"
 _CUT = f"""{_EDGES}, {_CELLS}, slab AS (SELECT e.*, c.i, c.j, c.domain,
   CASE WHEN qx = ax THEN CASE WHEN (ax > x0 AND ax <= x1) OR (j = 0 AND ax = x0) THEN 0 ELSE 2 END ELSE least((x0 - ax) / (qx - ax), (x1 - ax) / (qx - ax)) END AS a0,
   CASE WHEN qx = ax THEN CASE WHEN (ax > x0 AND ax <= x1) OR (j = 0 AND ax = x0) THEN 1 ELSE -1 END ELSE greatest((x0 - ax) / (qx - ax), (x1 - ax) / (qx - ax)) END AS a1,
