@@ -43,9 +43,8 @@ def route(network: Network, start: int, end_at: int, *, allow_indirect: bool = F
     network.require([end_at], "invalid end segnum")
     rows = [r["segnum"] for r in route_frame(network.segments, start, end_at, network.end, allow_indirect).orderBy("step").collect()]
     if not rows:
-        groups = {r["segnum"]: r["segnum"] for r in []}
         ends = trees.downstream_of(network.segments, _ids(network, [start, end_at]), network.end).groupBy("segnum").count().where("count > 1").limit(1).count()
-        raise ConnectionError(f"{start} does not connect to {end_at}" + ("" if ends or groups else " -- segment networks are disjoint"))
+        raise ConnectionError(f"{start} does not connect to {end_at}" + ("" if ends else " -- segment networks are disjoint"))
     return rows
 
 
@@ -68,7 +67,7 @@ def gather(network: Network, *, upstream=(), downstream=(), barrier=(), gather_u
         cut = _ids(network, stops).distinct().join(heads.withColumn("_head", F.lit(True)), "segnum", "left").select("segnum", F.col("_head").isNull().alias("keep"))
     out = []
     if ups:
-        found = trees.upstream_of(edges, _ids(network, ups), network.end, cut=_above(cut, ups))
+        found = trees.upstream_of(edges, _ids(network, ups), network.end, cut=cut)
         out.append(found.select(F.lit("upstream").alias("query"), "start", "segnum", F.lit(None).cast("long").alias("depth")))
     if downs:
         paths = trees.downstream_of(edges, _ids(network, downs), network.end, stop=cut).where("depth > 0")
@@ -76,7 +75,10 @@ def gather(network: Network, *, upstream=(), downstream=(), barrier=(), gather_u
         if gather_upstream:
             on_way = paths.select("start", F.col("segnum").alias("node")).unionByName(_ids(network, downs).select(F.col("segnum").alias("start"), F.col("segnum").alias("node")))
             inflow = edges.where(F.col("to_segnum") != network.end).select("segnum", F.col("to_segnum").alias("node"))
-            sides = paths.select("start", F.col("segnum").alias("node")).join(inflow, "node").join(on_way.select("start", F.col("node").alias("segnum")), ["start", "segnum"], "left_anti")
+            passed = paths.select("start", F.col("segnum").alias("node"))
+            if cut is not None:  # nothing above a barrier is gathered
+                passed = passed.join(cut.select(F.col("segnum").alias("node")), "node", "left_anti")
+            sides = passed.join(inflow, "node").join(on_way.select("start", F.col("node").alias("segnum")), ["start", "segnum"], "left_anti")
             sides = checkpointed(sides.select("start", F.col("segnum").alias("side")))
             above = trees.upstream_of(edges, sides.select(F.col("side").alias("segnum")).distinct(), network.end, cut=cut)
             found = sides.join(above.select(F.col("start").alias("side"), "segnum"), "side").select(F.lit("downstream").alias("query"), "start", "segnum", F.lit(None).cast("long").alias("depth"))
@@ -89,10 +91,6 @@ def gather(network: Network, *, upstream=(), downstream=(), barrier=(), gather_u
     return result
 
 
-def _above(cut: DataFrame | None, starts: list[int]) -> DataFrame | None:
-    return cut
-
-
 def location_pairs(locations: DataFrame, network: Network, *, all_pairs: bool = False, exclude_branches: bool = False) -> DataFrame:
     """``(upstream, downstream)`` pairs of ``locations(loc, segnum, seg_ndist)`` along the network.
 

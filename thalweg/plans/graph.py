@@ -287,7 +287,7 @@ FROM net a LEFT JOIN net b ON b.segnum = a.to_segnum WINDOW w AS (PARTITION BY a
     "R2_gather_barrier": f"WITH RECURSIVE {PART}, {DOWN} SELECT 1::BIGINT AS start, d.start AS segnum, -1::BIGINT AS depth FROM down d WHERE d.segnum = 1 AND NOT EXISTS (SELECT 1 FROM down e WHERE e.start = d.start AND e.segnum IN (5, 6) AND e.depth > 0)",
     "R2_gather_sidebranch": f"""WITH RECURSIVE {PART}, {DOWN}, way AS (SELECT segnum, depth FROM down WHERE start = 50 AND segnum >= 3 AND depth > 0)
 SELECT 50::BIGINT AS start, segnum, depth::BIGINT AS depth FROM way
-UNION ALL SELECT 50, d.start, -1 FROM down d WHERE d.segnum IN (SELECT n.segnum FROM net n JOIN way w ON n.to_segnum = w.segnum WHERE n.segnum <> 50 AND n.segnum NOT IN (SELECT segnum FROM way))
+UNION ALL SELECT 50, d.start, -1 FROM down d WHERE d.segnum IN (SELECT n.segnum FROM net n JOIN way w ON n.to_segnum = w.segnum AND w.segnum <> 3 WHERE n.segnum <> 50 AND n.segnum NOT IN (SELECT segnum FROM way))
 AND NOT EXISTS (SELECT 1 FROM down e WHERE e.start = d.start AND e.segnum = 3 AND e.depth > 0 AND d.segnum < 3)""",
     "R7_location_pairs": _pairs(False), "R7_location_pairs_all": _pairs(True), "R7_location_pairs_nobranch": _pairs(False, "nb"),
     "R8_pair_lines": f"""WITH {LINES}, lens AS (SELECT segnum, {_LEN} AS len FROM line)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.plans import graph, model
+from thalweg.plans import graph, model, more
 
-QUERIES = {**graph.QUERIES, **model.QUERIES}
-ORACLES = {**graph.ORACLES, **model.ORACLES}
+QUERIES = {**graph.QUERIES, **model.QUERIES, **more.QUERIES}
+ORACLES = {**graph.ORACLES, **model.ORACLES, **more.ORACLES}
