@@ -101,12 +101,13 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def learn(rows: list[tuple[str | None, int]], *, least_docs: int = 4, stem: int = 4, ratio: float = 8.0) -> Lexicon:
+def learn(rows: list[tuple[str | None, int]], *, least_docs: int = 4, stem: int = 4, ratio: float = 5.0) -> Lexicon:
     """A lexicon from ``(text, toxic)`` rows.
 
     An entry is a word, or a word beginning of ``stem`` to 8 letters with at
     least two continuations, found in ``least_docs`` toxic rows or more and at
-    least ``ratio`` times as often (smoothed) in toxic rows as in others.
+    least ``ratio`` times as often (smoothed) in toxic rows as in others, more
+    than chance would give any of the words looked at.
     Beginnings that a shorter, no less telling one covers are left out.
     Without rows of both kinds the lexicon is empty and scores are the bias.
     """
@@ -129,6 +130,8 @@ def learn(rows: list[tuple[str | None, int]], *, least_docs: int = 4, stem: int
     for p, n in seen[1].items():
         if n < least_docs or (not p.endswith(" ") and len(shapes.get(p, ())) < 2):
             continue
+        if _chance(n, n + seen[0][p], toxic / (toxic + clean)) * len(seen[1]) > 0.5:
+            continue
         weight = math.log((n + 0.5) / (toxic + 1)) - math.log((seen[0][p] + 0.5) / (clean + 1))
         if weight >= math.log(ratio):
             odds[p] = weight
@@ -148,6 +151,15 @@ def learn(rows: list[tuple[str | None, int]], *, least_docs: int = 4, stem: int
     return lexicon
 
 
+def _chance(hits: int, rows: int, share: float) -> float:
+    """A bound on how likely ``hits`` of ``rows`` or more come up by chance at a rate of ``share``."""
+    rate = hits / rows
+    if rate <= share:
+        return 1.0
+    gain = rate * math.log(rate / share) + ((1 - rate) * math.log((1 - rate) / (1 - share)) if rate < 1 else 0.0)
+    return math.exp(-rows * gain)
+
+
 def _exceptions(folded, lexicon: Lexicon, machine, least: int = 3) -> list[str]:
     """Two- and three-word phrases around an entry, in ``least`` clean rows or more and no toxic row."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
