@@ -141,7 +141,7 @@ def _packaged(spark: SparkSession, d: str):
     net, found, _ = _reaches(spark, d)
     links = checkpointed(R.reach_links(found, net))
     full = found.select("*", F.lit(10.0).alias("rwid"), F.lit(0.001).alias("rgrd"), (F.lit(100.0) - F.col("i")).alias("rtp"), F.lit(1.0).alias("rbth"), F.lit(1.0).alias("rhk"), F.lit(0.024).alias("man"), F.lit(1).alias("domain"))
-    div = found.groupBy("segnum").agg(F.max("ridx").alias("ridx")).where("segnum % 2 = 0").select(F.col("segnum").alias("divid"), "ridx", (F.col("segnum") + 1_000_000).alias("iconr"))
+    div = found.groupBy("segnum").agg(F.max("ridx").alias("ridx")).select(F.col("segnum").alias("divid"), "ridx", (F.col("segnum") + 1_000_000).alias("iconr"))
     return full, links, div
 
 
@@ -270,13 +270,13 @@ SELECT loc, round(sum(w * value), 6) AS z FROM c JOIN cell USING (i, j) GROUP BY
     "R9_reach_graph": f"WITH RECURSIVE {_REACH}, {_LINKS} SELECT ridx, to_ridx FROM links",
     "E1_segment_data": f"WITH RECURSIVE {_REACH} SELECT DISTINCT r.iseg::BIGINT AS nseg, r.segnum, coalesce((SELECT min(b.iseg) FROM reach b WHERE b.segnum = n.to_segnum), 0)::BIGINT AS outseg FROM reach r JOIN net n USING (segnum)",
     "E4_flow_by_period": f"WITH {_YEARLY}, k AS (SELECT DISTINCT year(l_shipdate) AS kper FROM lineitem) SELECT k.kper, s_suppkey + 1 AS nseg, round(abs(s_acctbal) - 0.5 + coalesce(y.value, 2.0), 6) AS flow FROM supplier, k LEFT JOIN yearly y ON y.kper = k.kper AND y.segnum = s_suppkey + 1",
-    "E5_packagedata": f"""WITH RECURSIVE {_REACH}, {_LINKS}, dv AS (SELECT segnum, max(ridx) AS ridx FROM reach WHERE segnum % 2 = 0 GROUP BY segnum)
+    "E5_packagedata": f"""WITH RECURSIVE {_REACH}, {_LINKS}, dv AS (SELECT segnum, max(ridx) AS ridx FROM reach GROUP BY segnum)
 SELECT r.ridx, 1 AS k, r.i + 1 AS i, r.j + 1 AS j, round(rlen, 6) AS rlen, 10.0::DOUBLE AS rwid, 100.0::DOUBLE - r.i AS rtp,
   (u.n + (l.to_ridx > 0)::INTEGER + (d.ridx IS NOT NULL)::INTEGER)::INTEGER AS ncon, (u.n > 0)::INTEGER::DOUBLE AS ustrf, (d.ridx IS NOT NULL)::INTEGER AS ndv
 FROM reach r JOIN links l USING (ridx) LEFT JOIN dv d ON d.ridx = r.ridx JOIN (SELECT a.ridx, count(b.ridx) AS n FROM links a LEFT JOIN links b ON b.to_ridx = a.ridx GROUP BY a.ridx) u ON u.ridx = r.ridx""",
     "E6_connectiondata": f"WITH RECURSIVE {_REACH}, {_LINKS}, {_CONN} SELECT ridx, coalesce(array_to_string(list_concat(up, CASE WHEN to_ridx > 0 THEN [-to_ridx] ELSE [] END), ','), '') AS connections FROM flow",
     "E6_connectiondata_flopy": f"WITH RECURSIVE {_REACH}, {_LINKS}, {_CONN} SELECT ridx - 1 AS ridx, coalesce(array_to_string(list_concat(list_transform(up, lambda x: x - 1), CASE WHEN to_ridx > 0 THEN [1 - to_ridx] ELSE [] END), ','), '') AS connections FROM flow",
-    "E7_diversions": f"WITH RECURSIVE {_REACH} SELECT max(ridx) AS ridx, 1 AS idv, segnum + 1000000 AS iconr, 'upto' AS cprior FROM reach WHERE segnum % 2 = 0 GROUP BY segnum",
+    "E7_diversions": f"WITH RECURSIVE {_REACH} SELECT max(ridx) AS ridx, 1 AS idv, segnum + 1000000 AS iconr, 'upto' AS cprior FROM reach GROUP BY segnum",
     "A4_aggregate": f"""WITH RECURSIVE {PART}, {DOWN}, given AS (SELECT unnest([1, 5, 6, 23])::BIGINT AS segnum), traced AS (SELECT DISTINCT segnum FROM down WHERE start IN (SELECT segnum FROM given)),
 fork AS (SELECT t.segnum AS node, bool_or(n.segnum IN (SELECT segnum FROM given)) AS g, count(*) FILTER (n.segnum IN (SELECT segnum FROM traced)) AS t FROM traced t JOIN net n ON n.to_segnum = t.segnum GROUP BY t.segnum),
 junction AS (SELECT segnum FROM given UNION SELECT n.segnum FROM net n JOIN fork f ON f.node = n.to_segnum WHERE (f.g AND n.segnum NOT IN (SELECT segnum FROM traced)) OR (NOT f.g AND f.t > 1 AND n.segnum IN (SELECT segnum FROM traced)) OR (f.g AND f.t > 1 AND n.segnum IN (SELECT segnum FROM traced)))
