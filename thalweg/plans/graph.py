@@ -108,7 +108,7 @@ def n14(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1(spark: SparkSession, d: str) -> DataFrame:
-    sliced = D.part_heap(spark, d).where("value < 1500")
+    sliced = D.part_heap(spark, d).where("value < 980")
     return N.Network.wrap(sliced).segments.select("segnum", "to_segnum")
 
 
@@ -272,7 +272,7 @@ up AS (SELECT d.segnum, sum(l.len) AS ul, sum(1.0::DOUBLE / (1 << (length(bin(d.
 dn AS (SELECT d.start AS segnum, sum(l.len) AS dl FROM down d JOIN lens l USING (segnum) GROUP BY d.start)
 SELECT n.segnum, n.to_segnum, c.cat_group, c.num::BIGINT AS num_to_outlet, round(dl, 6) AS dist_to_outlet, round(ul, 6) AS upstream_length, round(ua, 6) AS upstream_area, o.so AS stream_order
 FROM net n JOIN climb c USING (segnum) JOIN up USING (segnum) JOIN dn USING (segnum) JOIN levels o USING (segnum)""",
-    "P1_repair_links": f"WITH {PART}, kept AS (SELECT * FROM net WHERE value < 1500) SELECT segnum, CASE WHEN to_segnum IN (SELECT segnum FROM kept) THEN to_segnum ELSE 0 END AS to_segnum FROM kept",
+    "P1_repair_links": f"WITH {PART}, kept AS (SELECT * FROM net WHERE value < 980) SELECT segnum, CASE WHEN to_segnum IN (SELECT segnum FROM kept) THEN to_segnum ELSE 0 END AS to_segnum FROM kept",
     "P7_headwater": f"WITH {COMB} SELECT segnum FROM net WHERE segnum NOT IN (SELECT to_segnum FROM net)",
     "P8_outlets": f"WITH {FOREST} SELECT segnum FROM net WHERE to_segnum = 0",
     "P11_width": f"WITH {PART} SELECT segnum, round(1.42 + pow(value * 1000 / 1e6, 0.52), 6) AS width FROM net",
