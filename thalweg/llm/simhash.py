@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 2, passes:
     distinct = checkpointed(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(distinct, bits, passes)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = checkpointed(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpointed(rooted.join(names, "root").select("fp", "component_id"))
     return docs_fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
