@@ -195,3 +195,31 @@ def reach_lookup(locations: DataFrame, found: DataFrame, lines: DataFrame) -> Da
     rows = locations.join(spans, "segnum").withColumn("dist", F.round(G.project(F.col("piece"), F.struct("x", "y"))["dist"], 9))
     by = Window.partitionBy("loc").orderBy("dist", F.desc("ridx"))
     return rows.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("loc", "ridx", "k", "i", "j", "iseg", "ireach", F.col("dist").alias("dist_to_reach"))
+
+
+def diversion_reaches(found: DataFrame, diversions: DataFrame, grid: Grid | None = None, *, end: int = 0) -> DataFrame:
+    """Reaches with those of ``diversions(divid, from_segnum [, x, y])`` added after all others, in order of ``divid``.
+
+    Each is a copy of the last reach of its segment, with the sentinel as
+    segment, ``segndist`` 0, no length but 1 and no segment numbers; with
+    coordinates and a grid it lies in the cell nearest to the point. Those
+    whose segment has no reach are left out. Adds ``diversion`` and ``divid``.
+    """
+    own = found.withColumn("diversion", F.lit(False)).withColumn("divid", F.lit(None).cast("long"))
+    last = found.groupBy(F.col("segnum").alias("from_segnum")).agg(F.max_by(F.struct("k", "i", "j"), "ridx").alias("cell"))
+    rows = diversions.join(last, "from_segnum")
+    total = found.agg(F.coalesce(F.max("ridx"), F.lit(0))).first()[0]
+    i, j = F.col("cell.i"), F.col("cell.j")
+    if grid is not None and {"x", "y"} <= set(diversions.columns):
+        # The nearest cell is the one the point is in, or at the edge of the grid.
+        clamp = lambda v, n: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(n - 1)).cast("int")
+        known = F.col("x").isNotNull() & F.col("y").isNotNull()
+        i = F.when(known, clamp((grid.ymax - F.col("y")) / grid.dy, grid.nrow)).otherwise(i)
+        j = F.when(known, clamp((F.col("x") - grid.xmin) / grid.dx, grid.ncol)).otherwise(j)
+    made = rows.select("divid", F.col("cell.k").alias("k"), i.alias("i"), j.alias("j")).withColumn("one", F.lit(1).cast("long"))
+    made = made.join(prefix_sums(made.select("divid", "one"), "divid", "one"), "divid")
+    extra = made.select(
+        (F.lit(total) + F.col("before") + 1).cast("long").alias("ridx"), F.lit(end).cast("long").alias("segnum"), "k", "i", "j", F.lit(0).alias("iseg"), F.lit(0).alias("ireach"),
+        F.lit(0.0).alias("segndist"), F.lit(1.0).alias("rlen"), F.lit(True).alias("diversion"), F.col("divid").cast("long").alias("divid"),
+    )
+    return own.unionByName(extra)
