@@ -45,7 +45,7 @@ END, START = b"\n", b"\r"  # not words: neither can come out of a split at white
 def pack(values: np.ndarray, dtype: str) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype=dtype).tobytes())
+    return zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(values, dtype=dtype).tobytes())
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
@@ -54,14 +54,14 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
-def pack_planes(values: np.ndarray) -> bytes:
+def pack_planes(values: np.ndarray, width: int = 4) -> bytes:
     """Small whole numbers, byte by byte of their places, which leaves long runs of zeros."""
-    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    planes = np.ascontiguousarray(values, dtype=f"<u{width}").view(np.uint8).reshape(-1, width).T
     return pack(planes, "u1")
 
 
-def unpack_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(data, "u1").reshape(4, -1).T).view("<u4").ravel()
+def unpack_planes(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, "u1").reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 class _Numbers(dict):
@@ -79,13 +79,14 @@ def tokens(text: str | None) -> list[bytes]:
 def blocks(docs: DataFrame, size: int) -> DataFrame:
     """Tokenised ``docs(doc_id, text, train)``: per block the documents' ids, marks and lengths, token numbers and the hashes they stand for.
 
-    The commonest word has number 0. The hash of START is in every block.
+    The commonest word has number 0; ``order`` lists the numbers by hash, which
+    is how buckets of the hash range are sent and answered. Every block knows START.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         from pyspark import TaskContext
 
-        names = ["block", "ids", "known", "train", "sizes", "tokens", "hashes"]
+        names = ["block", "ids", "known", "train", "sizes", "tokens", "start", "order", "hashes"]
         made = TaskContext.get().partitionId() << 32
 
         def emit() -> pa.RecordBatch:
@@ -96,7 +97,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             place[order] = np.arange(len(words), dtype=np.uint32)
             row = [
                 made, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
-                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), pack(hashes[order], "u8"),
+                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
 
@@ -119,7 +120,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield emit()
 
-    return docs.mapInArrow(cut, "block long, ids binary, known binary, train binary, sizes binary, tokens binary, hashes binary")
+    return docs.mapInArrow(cut, "block long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, order binary, hashes binary")
 
 
 def _train_tokens(train: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -168,10 +169,10 @@ def count_words(requests: DataFrame, buckets: int) -> DataFrame:
         counts = np.bincount(rank, weights=np.concatenate([unpack(c, "u8") for c in part["counts"]]), minlength=len(every)).astype(np.int64)
         plain = counts[every != _start_hash()]
         stats = [int(plain.sum()), int((plain > 0).sum()), *(int((plain == r).sum()) for r in range(1, CUTOFF + 2))]
-        out, at = [(key[0], None, None, pack(counts, "i8"), stats)], 0
+        out, at = [(key[0], None, None, pack_planes(counts, 8), stats)], 0
         for block, h in zip(part["block"], hashes, strict=True):
             mine = rank[at : at + len(h)]
-            out.append((key[0], block, pack(mine, "u4"), pack(counts[mine], "i8"), None))
+            out.append((key[0], block, pack_planes(np.diff(mine, prepend=0)), pack_planes(counts[mine], 8), None))
             at += len(h)
         return pd.DataFrame(out, columns=["bucket", "block", "ranks", "counts", "stats"]).astype({"block": "Int64"})
 
@@ -211,26 +212,26 @@ def _spread(row, parts: list[np.ndarray]) -> np.ndarray:
     """What the buckets sent back, in order of the hashes, by the block's own numbers."""
     out = np.concatenate(parts)
     back = np.empty_like(out)
-    back[np.argsort(unpack(row.hashes, "u8"))] = out
+    back[unpack_planes(row.order)] = out
     return back
 
 
 def _looked_up(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Number and training count of each of a block's words."""
     got = sorted(row.words, key=lambda w: w["bucket"])
-    number = [unpack(w["ranks"], "u4").astype(np.int64) * buckets + w["bucket"] for w in got]
-    return _spread(row, number), _spread(row, [unpack(w["counts"], "i8") for w in got])
+    number = [np.cumsum(unpack_planes(w["ranks"]).astype(np.int64)) * buckets + w["bucket"] for w in got]
+    return _spread(row, number), _spread(row, [unpack_planes(w["counts"], 8).astype(np.int64) for w in got])
 
 
 def _bigrams(row, number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct bigrams in the order they are sent: local numbers of context and word, bucket part, how often in
     training, and for each token the place of its bigram."""
-    tok, sizes, hashes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4"), unpack(row.hashes, "u8")
+    tok, sizes, many = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4"), len(number)
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
-    before[np.cumsum(sizes) - sizes] = np.flatnonzero(hashes == _start_hash())[0]
-    keys, place = np.unique(before * len(hashes) + tok, return_inverse=True)
-    context, word = keys // len(hashes), keys % len(hashes)
+    before[np.cumsum(sizes) - sizes] = row.start
+    keys, place = np.unique(before * many + tok, return_inverse=True)
+    context, word = keys // many, keys % many
     times = np.bincount(place[_train_tokens(unpack(row.train, "u1"), sizes)], minlength=len(keys))
     part = (number[word] % buckets) * SPREAD + _mixed(number[context])
     order = np.lexsort((number[context], number[word], part))
@@ -254,9 +255,9 @@ def bigram_requests(joined: DataFrame, buckets: int) -> DataFrame:
                 rank = number[word] // buckets
                 yield pd.DataFrame({
                     "part": where[edges], "block": row.block,
-                    "contexts": [pack(number[context[a:b]], "i8") for a, b in zip(edges, ends, strict=True)],
-                    "ranks": [pack(np.diff(rank[a:b], prepend=0), "i4") for a, b in zip(edges, ends, strict=True)],
-                    "times": [pack(times[a:b], "u4") for a, b in zip(edges, ends, strict=True)],
+                    "contexts": [pack_planes(number[context[a:b]], 8) for a, b in zip(edges, ends, strict=True)],
+                    "ranks": [pack_planes(np.diff(rank[a:b], prepend=0)) for a, b in zip(edges, ends, strict=True)],
+                    "times": [pack_planes(times[a:b]) for a, b in zip(edges, ends, strict=True)],
                 })
 
     return joined.mapInPandas(sent, "part int, block long, contexts binary, ranks binary, times binary")
@@ -266,20 +267,20 @@ def count_bigrams(requests: DataFrame) -> DataFrame:
     """The bigram table. Rows with a block give that block's bigrams their training counts, in the order it sent them; the row
     without one holds the part's seen bigrams (context numbers, word ranks, counts) and counts of counts."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        contexts = [unpack(c, "i8") for c in part["contexts"]]
-        ranks = np.concatenate([np.cumsum(unpack(r, "i4").astype(np.int64)) for r in part["ranks"]])
+        contexts = [unpack_planes(c, 8).astype(np.int64) for c in part["contexts"]]
+        ranks = np.concatenate([np.cumsum(unpack_planes(r).astype(np.int64)) for r in part["ranks"]])
         every = np.concatenate(contexts)
         order = np.lexsort((every, ranks))
         fresh = np.concatenate([[True], (np.diff(ranks[order]) != 0) | (np.diff(every[order]) != 0)])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(fresh) - 1
-        times = np.bincount(place, weights=np.concatenate([unpack(t, "u4") for t in part["times"]])).astype(np.int64)
+        times = np.bincount(place, weights=np.concatenate([unpack_planes(t) for t in part["times"]])).astype(np.int64)
         first = order[fresh]
         seen = times > 0
         stats = [int((times == r).sum()) for r in range(1, CUTOFF + 2)]
-        out, at = [(key[0], None, pack(times[seen], "u4"), pack(every[first][seen], "i8"), pack(np.diff(ranks[first][seen], prepend=0), "i4"), stats)], 0
+        out, at = [(key[0], None, pack_planes(times[seen]), pack_planes(every[first][seen], 8), pack_planes(np.diff(ranks[first][seen], prepend=0)), stats)], 0
         for block, c in zip(part["block"], contexts, strict=True):
-            out.append((key[0], block, pack(times[place[at : at + len(c)]], "u4"), None, None, None))
+            out.append((key[0], block, pack_planes(times[place[at : at + len(c)]]), None, None, None))
             at += len(c)
         return pd.DataFrame(out, columns=["part", "block", "times", "contexts", "ranks", "stats"]).astype({"block": "Int64"})
 
@@ -291,17 +292,17 @@ def context_sums(bigrams: DataFrame, words: DataFrame, buckets: int, stats: list
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            low = words_probability(unpack(right["counts"].iloc[0], "i8"), stats)
+            low = words_probability(unpack_planes(right["counts"].iloc[0], 8).astype(np.int64), stats)
             for row in left.itertuples():
-                contexts, times = unpack(row.contexts, "i8"), unpack(row.times, "u4").astype(np.int64)
-                mass = low[np.cumsum(unpack(row.ranks, "i4").astype(np.int64))]
+                contexts, times = unpack_planes(row.contexts, 8).astype(np.int64), unpack_planes(row.times).astype(np.int64)
+                mass = low[np.cumsum(unpack_planes(row.ranks).astype(np.int64))]
                 every, place = np.unique(contexts, return_inverse=True)
                 used = np.bincount(place, weights=d[np.minimum(times, CUTOFF + 1)] * times, minlength=len(every))
                 mass = np.bincount(place, weights=mass, minlength=len(every))
                 bucket = every % buckets
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
-                    out.append((b, pack(np.diff(every[mine] // buckets, prepend=0), "i4"), pack(used[mine], "f8"), pack(mass[mine], "f8")))
+                    out.append((b, pack_planes(np.diff(every[mine] // buckets, prepend=0)), pack(used[mine], "f8"), pack(mass[mine], "f8")))
         return pd.DataFrame(out, columns=["bucket", "ranks", "used", "mass"])
 
     seen = bigrams.where("block IS NULL").select("part", F.floor(F.col("part") / SPREAD).cast("int").alias("bucket"), "contexts", "ranks", "times")
@@ -314,16 +315,16 @@ def backoff_weights(sums: DataFrame, words: DataFrame) -> DataFrame:
     """The context table: per block and bucket, the back-off weight and the scale of seen words for each of the block's words as a context."""
     def weighed(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = right[right["block"].isna()]
-        counts = unpack(own["counts"].iloc[0], "i8").astype(float)
+        counts = unpack_planes(own["counts"].iloc[0], 8).astype(float)
         used, mass = np.zeros(len(counts)), np.zeros(len(counts))
         for row in left.itertuples():
-            ranks = np.cumsum(unpack(row.ranks, "i4").astype(np.int64))
+            ranks = np.cumsum(unpack_planes(row.ranks).astype(np.int64))
             used[ranks] += unpack(row.used, "f8")
             mass[ranks] += unpack(row.mass, "f8")
         alpha, scale = context_weights(counts, used, mass)
         out = []
         for row in right[right["block"].notna()].itertuples():
-            mine = unpack(row.ranks, "u4")
+            mine = np.cumsum(unpack_planes(row.ranks).astype(np.int64))
             out.append((int(row.block), key[0], pack(alpha[mine], "f8"), pack(scale[mine], "f8")))
         return pd.DataFrame(out, columns=["block", "bucket", "alpha", "scale"])
 
@@ -351,7 +352,7 @@ def scores(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray) ->
                 context, word, _, _, place = _bigrams(row, number, buckets)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
                 alpha, scale = (_spread(row, [unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
-                times = np.concatenate([unpack(t["times"], "u4") for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
+                times = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 seen = scale[context] * d[np.minimum(times, CUTOFF + 1)] * times / np.maximum(counts[context], 1)
                 logs = np.log10(np.where(times > 0, seen, alpha[context] * words_probability(counts[word], stats)))
                 tok, sizes = unpack_planes(row.tokens), unpack(row.sizes, "u4").astype(np.int64)
@@ -385,7 +386,8 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     words = table(count_words(word_requests(cut, buckets), buckets), "katz-words")
     stats = _sums(words.where("block IS NULL"), CUTOFF + 3)
     mine = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "ranks", "counts")).alias("words"))
-    bigrams = table(count_bigrams(bigram_requests(cut.join(mine, "block"), buckets)), "katz-bigrams")
+    tokens_only = cut.drop("hashes")
+    bigrams = table(count_bigrams(bigram_requests(tokens_only.join(mine, "block"), buckets)), "katz-bigrams")
     release(spark)
     d = discounts(_sums(bigrams.where("block IS NULL"), CUTOFF + 1))
     sums = context_sums(bigrams, words, buckets, stats, d)
@@ -393,7 +395,7 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     release(spark)
     weights = contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "alpha", "scale")).alias("weights"))
     counts = bigrams.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("bigrams"))
-    found = scores(cut.join(mine, "block").join(weights, "block").join(counts, "block"), buckets, stats, d)
+    found = scores(tokens_only.join(mine, "block").join(weights, "block").join(counts, "block"), buckets, stats, d)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known",
         F.lit(stats[0]).cast("long").alias("train_tokens"), "base_score", "score",
