@@ -137,21 +137,24 @@ def reach_array(found: DataFrame, array: DataFrame) -> DataFrame:
     return found.join(array, ["i", "j"], "left").select("ridx", "value")
 
 
-def gradient(array: DataFrame, row_step: float, col_step: float) -> DataFrame:
-    """``(i, j, slope)``: magnitude of the gradient of ``array(i, j, value)``, central inside and one-sided at the edges.
-
-    The first spacing goes with rows, as given.
-    """
+def _rises(array: DataFrame, row_step: float, col_step: float) -> DataFrame:
+    """``i, j`` and the rises ``gi`` and ``gj`` of ``array(i, j, value)`` a step along rows and columns: central inside, one-sided at the edges."""
     def side(part: str, order: str, step: float) -> Column:
         by = Window.partitionBy(part).orderBy(order)
         before, after, v = F.lag("value").over(by), F.lead("value").over(by), F.col("value")
         return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), (after - v) / step).when(after.isNull(), (v - before) / step).otherwise((after - before) / (2 * step))
 
-    return array.withColumn("gi", side("j", "i", row_step)).withColumn("gj", side("i", "j", col_step)).select("i", "j", F.sqrt(F.col("gi") * F.col("gi") + F.col("gj") * F.col("gj")).alias("slope"))
+    return array.withColumn("gi", side("j", "i", row_step)).withColumn("gj", side("i", "j", col_step))
+
+
+def gradient(array: DataFrame, row_step: float, col_step: float) -> DataFrame:
+    """``(i, j, slope)``: magnitude of the gradient of ``array(i, j, value)``. The first spacing goes with rows, as given."""
+    return _rises(array, row_step, col_step).select("i", "j", F.sqrt(F.col("gi") * F.col("gi") + F.col("gj") * F.col("gj")).alias("slope"))
 
 
 def reach_slope(found: DataFrame, method: str, *, segments: DataFrame | None = None, top: DataFrame | None = None, grid: Grid | None = None, min_slope: float = 1e-3) -> DataFrame:
-    """``(ridx, slope)``: ``zcoord_ab`` from the ends' heights of each segment, ``grid_top`` from the model top; at least ``min_slope``."""
+    """``(ridx, slope)``, at least ``min_slope``: ``zcoord_ab`` from the ends' heights of each segment, ``grid_top`` from the
+    gradient of the model top, ``rch_len`` from the step of the top across a cell over the reach's length."""
     if method == "zcoord_ab":
         g = F.col("geometry")
         drop = segments.select("segnum", ((G.first(g)["z"] - G.last(g)["z"]) / G.length(g)).alias("raw"))
@@ -159,7 +162,8 @@ def reach_slope(found: DataFrame, method: str, *, segments: DataFrame | None = N
     elif method == "grid_top":
         raw = found.join(gradient(top, grid.dx, grid.dy).withColumnRenamed("slope", "raw"), ["i", "j"], "left")
     elif method == "rch_len":
-        raise ValueError("rch_len takes the heights of reaches; use reach_length_slope")
+        step = gradient(top, 1.0, 1.0).withColumnRenamed("slope", "step")
+        raw = found.join(step, ["i", "j"], "left").withColumn("raw", F.col("step") / F.col("rlen"))
     else:
         raise ValueError(f"method must be zcoord_ab, grid_top or rch_len, not {method!r}")
     return raw.select("ridx", F.when(F.col("raw").isNull() | F.isnan("raw") | (F.col("raw") < min_slope), min_slope).otherwise(F.col("raw")).alias("slope"))

@@ -115,6 +115,11 @@ def v4(spark: SparkSession, d: str) -> DataFrame:
     return O.reach_slope(found, "grid_top", top=_cells(spark), grid=GRID).select("ridx", r6("slope").alias("slope"))
 
 
+def v4_length(spark: SparkSession, d: str) -> DataFrame:
+    _, found, _ = _reaches(spark, d)
+    return O.reach_slope(found, "rch_len", top=_cells(spark), grid=GRID).select("ridx", r6("slope").alias("slope"))
+
+
 def v14(spark: SparkSession, d: str) -> DataFrame:
     return O.bilinear(D.customer_points(spark, d), _cells(spark), GRID).select("loc", r6("z").alias("z"))
 
@@ -199,7 +204,7 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "J3_catchment": j3, "J4_nearest": j4, "J6_locate": j6, "J7_overlay": j7, "P14_diversions": p14, "P18_long_values": p18,
     "M9_activated": m9, "M12_inflow_segnums": m12, "M14_numbering": m14, "M18_inflow": m18, "M19_reach_lookup": m19,
-    "V2_reach_from_segments": v2(False), "V2_reach_from_segments_log": v2(True), "V3_reach_from_array": v3, "V4_slope": v4, "V14_bilinear": v14,
+    "V2_reach_from_segments": v2(False), "V2_reach_from_segments_log": v2(True), "V3_reach_from_array": v3, "V4_slope": v4, "V4_slope_length": v4_length, "V14_bilinear": v14,
     "R9_reach_graph": r9, "E1_segment_data": e1, "E4_flow_by_period": e4, "E5_packagedata": e5, "E6_connectiondata": e6("native"), "E6_connectiondata_flopy": e6("flopy"), "E7_diversions": e7,
     "A4_aggregate": a4, "A5_coarsen": a5, "A5_coarsen_lines": a5_lines, "A12_resample7d": a12, "S5_wide_series": s5,
 }
@@ -264,6 +269,7 @@ SELECT loc, ridx, round(dist, 6) AS dist_to_reach FROM m QUALIFY row_number() OV
     "V2_reach_from_segments_log": f"WITH RECURSIVE {_REACH}, {_PAIRED} SELECT ridx, round(CASE WHEN top = bottom THEN top ELSE pow(10, log10(top) + (log10(bottom) - log10(top)) * segndist) END, 5) AS value FROM reach JOIN paired USING (segnum)",
     "V3_reach_from_array": f"WITH RECURSIVE {_REACH} SELECT ridx, value FROM reach JOIN cell USING (i, j)",
     "V4_slope": f"WITH RECURSIVE {_REACH}, {_GRAD} SELECT ridx, round(greatest(slope, 0.001), 6) AS slope FROM reach JOIN grad USING (i, j)",
+    "V4_slope_length": f"WITH RECURSIVE {_REACH}, {_GRAD.replace('0.125', '1.0').replace('0.25', '2.0').replace('/ 0.5', '/ 1.0').replace('/ 1.0 END, 2)) AS', '/ 2.0 END, 2)) AS')} SELECT ridx, round(greatest(slope / rlen, 0.001), 6) AS slope FROM reach JOIN grad USING (i, j)",
     "V14_bilinear": f"""WITH {_CELLS}, {_POINTS}, p AS (SELECT loc, x / 0.125 - 0.5 AS u, (16 - y) / 0.5 - 0.5 AS v FROM point), q AS (SELECT *, u - floor(u) AS fu, v - floor(v) AS fv FROM p),
 c AS (SELECT loc, least(greatest(floor(v) + a, 0), 33)::INTEGER AS i, least(greatest(floor(u) + b, 0), 7)::INTEGER AS j, (CASE WHEN a = 1 THEN fv ELSE 1 - fv END) * (CASE WHEN b = 1 THEN fu ELSE 1 - fu END) AS w FROM q, (VALUES (0), (1)) r(a), (VALUES (0), (1)) s(b))
 SELECT loc, round(sum(w * value), 6) AS z FROM c JOIN cell USING (i, j) GROUP BY loc""",
