@@ -55,7 +55,7 @@ def digest(payload: bytes) -> str:
 
 def member(data: bytes) -> bytes:
     """One gzip member, the same bytes for the same data."""
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
