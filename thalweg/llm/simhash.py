@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.llm import jaccard
 from thalweg.llm.common import checkpointed, components, table
 
 #: Generator polynomial of the binary Golay code of length 23, one of two mirror images.
@@ -204,14 +205,16 @@ def fingerprint_text(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, *, shingle: int = 5, bits: int = 6, passes: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
-    Linked at ``bits`` of 64 differing, which for five-word shingles stands
-    for a similarity of 0.8 or more. Columns are kept as they are. Rows that
+    Linked are all texts whose sets of shingles have a Jaccard similarity of
+    0.8 or more, see ``jaccard``. Columns are kept as they are. Rows that
     repeat the surviving id count as copies too.
     """
-    found = near_duplicates(docs, shingle=shingle, bits=bits, passes=passes)
+    rows = jaccard.grouped(docs, shingle=shingle)
+    kept = checkpointed(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    found = rows.join(kept, "root")
     kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
     chosen = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     if kept.where("times > 1").limit(1).count():
