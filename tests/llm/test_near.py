@@ -77,3 +77,14 @@ def test_real_texts(spark):
     want, _ = groups_of([t for _, t in rows])
     got = {r["doc_id"]: r["root"] for r in jaccard.grouped(docs_of(spark, rows)).collect()}
     assert same([got[i] for i, _ in rows], want)
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " end"), (7, c), (7, d), (7, d), (8, e), (None, e), (None, e + " end"), (9, c)]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(docs_of(spark, rows)).collect())
+    assert [i for i, _ in kept] == ["7", "7", "8", "None", "None"]
+    assert {t.removesuffix(" end") for _, t in kept} == {a, b, c, d, e}
+    only = [(None, a), (1, b), (None, b)]  # a single group without an id
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(docs_of(spark, only)).collect()) == sorted([("None", a), ("1", b)])

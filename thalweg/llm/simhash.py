@@ -206,17 +206,17 @@ def fingerprint_text(fp):
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+    """``docs`` with one row of each group of near duplicates: that with the smallest id, null ids after all others.
 
     Linked are all texts whose sets of shingles have a Jaccard similarity of
-    0.8 or more, see ``jaccard``. Columns are kept as they are. Rows that
-    repeat the surviving id count as copies too.
+    0.8 or more, see ``jaccard``. Columns are kept as they are. The survivor
+    is told by its id and a hash of its text, so ids may repeat or be null;
+    of rows that repeat both, one is kept.
     """
     rows = jaccard.grouped(docs, shingle=shingle)
-    kept = checkpointed(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    found = rows.join(kept, "root")
-    kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
-    chosen = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    if kept.where("times > 1").limit(1).count():
-        chosen = chosen.dropDuplicates(["doc_id"])
-    return chosen
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    kept = checkpointed(rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).select("first.doc_id", "first.mark", "size"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.mark"))
+    alone = docs.alias("d").join(kept.where("size = 1").alias("k"), same, "left_semi")
+    more = docs.alias("d").join(kept.where("size > 1").alias("k"), same, "left_semi")
+    return alone.unionByName(more.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).drop("_mark"))
