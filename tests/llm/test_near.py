@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.test_operators import DATA, docs_of
@@ -88,3 +89,15 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert {t.removesuffix(" end") for _, t in kept} == {a, b, c, d, e}
     only = [(None, a), (1, b), (None, b)]  # a single group without an id
     assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(docs_of(spark, only)).collect()) == sorted([("None", a), ("1", b)])
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4, 5, 6, 9])
+def test_keys_of_the_whole_radius_meet(bits):
+    rng = np.random.default_rng(bits)
+    fps = rng.integers(-(2**63), 2**63, 500)
+    other = fps.copy()
+    for k in range(len(other)):
+        for bit in rng.choice(64, bits, replace=False):
+            other[k] ^= np.int64(np.uint64(1 << int(bit)).view(np.int64))
+    one, two = (set(zip(*(x.tolist() for x in simhash.keys(f, bits)), strict=True)) for f in (fps, other))
+    assert {owner for _, owner in one & two} == set(range(len(fps)))

@@ -90,30 +90,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(computed, "doc_id long, fp long")
 
 
-def _permuted(fps: np.ndarray, turn: int) -> np.ndarray:
-    """The bits in another order: the given one first, then orders drawn by a fixed seed."""
-    if not turn:
-        return fps
-    out = np.zeros_like(fps)
-    for to, was in enumerate(np.random.default_rng(turn).permutation(64)):
-        out |= ((fps >> np.uint64(was)) & np.uint64(1)) << np.uint64(to)
-    return out
-
+def keys(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the index of the fingerprint each belongs to; fingerprints at most ``bits`` apart share one.
 
-def keys(fps: np.ndarray, passes: int, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the index of the fingerprint each belongs to."""
+    Beyond two bits there are so many segments that two of them have at most
+    two errors each, whatever the errors are: a key is a Golay index of both.
+    """
+    if bits <= 2:
+        cuts, dealt = SEGMENTS, [(s, (s + 1) % 3) for s in range(3)]
+    else:
+        ends = [64 * k // max(3, bits // 3 + 2) for k in range(max(3, bits // 3 + 2) + 1)]
+        cuts = [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+        dealt = list(combinations(range(len(cuts)), 2))
+    raw = fps.view(np.uint64)
+    segments = [((raw >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in cuts]
+    near = [golay_keys(s) for s in segments]
+    fresh = [np.concatenate([np.ones((len(g), 1), bool), g[:, 1:] != g[:, :-1]], axis=1) for g in near]
     found, owners = [], []
-    for turn in range(passes):
-        bits = _permuted(fps.view(np.uint64), turn)
-        segments = [((bits >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
-        near = [golay_keys(s) for s in segments]
-        fresh = [np.concatenate([np.ones((len(g), 1), bool), g[:, 1:] != g[:, :-1]], axis=1) for g in near]
-        for s in range(3):
-            for t in ((s + 1) % 3, (s + 2) % 3)[: 1 + both_ways]:
-                row, col = np.nonzero(fresh[t])
-                head = (((turn * 3 + s) * 3 + t) << 34) | (segments[s][row] << 12)
-                found.append(head | near[t][row, col])
-                owners.append(row)
+    for turn, (s, t) in enumerate(dealt):
+        if bits <= 2:
+            row, col = np.nonzero(fresh[t])
+            found.append(((s * 3 + t) << 34) | (segments[s][row] << 12) | near[t][row, col])
+        else:
+            row, one, two = np.nonzero(fresh[s][:, :, None] & fresh[t][:, None, :])
+            found.append((turn << 24) | (near[s][row, one] << 12) | near[t][row, two])
+        owners.append(row)
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -138,19 +139,13 @@ def linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, bits: int = 2, passes: int = 1) -> DataFrame:
-    """Edges ``(a, b)`` of fingerprints ``fp`` whose components are those of all links of at most ``bits``.
-
-    Whole for ``bits`` up to two with one pass; beyond that, more passes over
-    permuted bits with both following segments find most links, not all.
-    """
-    both = bits > 2
-
+def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
+    """Edges ``(a, b)`` of fingerprints ``fp`` whose components are those of all links of at most ``bits``."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             fps = part.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             for at in range(0, len(fps), 4096):
-                k, owner = keys(fps[at : at + 4096], passes, both)
+                k, owner = keys(fps[at : at + 4096], bits)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[at : at + 4096][owner])], ["key", "fp"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +176,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 2, passes: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 2) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``, a row per row of ``docs``.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked;
@@ -193,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 2, passes:
     """
     docs_fp = table(fingerprints(docs, shingle), "fingerprints")
     distinct = checkpointed(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(links(distinct, bits, passes)).withColumnsRenamed({"node": "fp", "component": "root"})
+    groups = components(links(distinct, bits)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = checkpointed(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpointed(rooted.join(names, "root").select("fp", "component_id"))
