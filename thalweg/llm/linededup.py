@@ -10,10 +10,10 @@ least line hash of each forward and backward window is its fingerprint, so
 two documents that share such a run share the fingerprints of all windows in
 it. Fingerprints found at one place only are dropped by a combinable count;
 the windows of the others are matched by the hashes of their whole content
-with the first place that has it. Following a match forward line by line
-takes in forward windows, following it back takes in backward ones, and any
-line of a repeated run lies in one of the two: so matches extend to the ends
-of the run without ever comparing documents pair by pair.
+with the first place that has it. This replaces following matches line by
+line: any line of a repeated run lies in a forward or a backward window of it,
+so the union of matched windows covers the run to its ends without ever
+comparing documents pair by pair.
 """
 
 from __future__ import annotations
