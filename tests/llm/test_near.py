@@ -101,3 +101,54 @@ def test_keys_of_the_whole_radius_meet(bits):
             other[k] ^= np.int64(np.uint64(1 << int(bit)).view(np.int64))
     one, two = (set(zip(*(x.tolist() for x in simhash.keys(f, bits)), strict=True)) for f in (fps, other))
     assert {owner for _, owner in one & two} == set(range(len(fps)))
+
+
+def test_hot_keys_are_split_without_losing_links(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    fps = {int(rng.integers(-(2**63), 2**63))}
+    for f in list(fps) * 300 + [0] * 200:
+        for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+            f ^= 1 << int(bit)
+        fps.add(f - (1 << 64) if f >= 1 << 63 else f)
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+
+    def groups(edges):
+        root = {f: f for f in fps}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {f: find(f) for f in fps}
+
+    whole = groups([tuple(r) for r in simhash.links(frame).collect()])
+    monkeypatch.setattr(simhash, "HOT", 3)
+    split = groups([tuple(r) for r in simhash.links(frame).collect()])
+    ids = sorted(fps)
+    assert same([whole[f] for f in ids], [split[f] for f in ids])
+
+
+def test_sketches_never_rule_out_an_alike_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 80, 70_000):
+        base = np.unique(rng.integers(-(2**63), 2**63, n))
+        other = np.unique(np.concatenate([base[: max(1, n * 9 // 10)], rng.integers(-(2**63), 2**63, n // 20)]))
+        one, two = (np.frombuffer(jaccard.sketch(x), np.uint8) for x in (base, other))
+        assert jaccard.in_common(one, two[None])[0] >= len(np.intersect1d(base, other))
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    want, _ = groups_of(texts)
+    got = {r["doc_id"]: r["root"] for r in jaccard.grouped(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert same([got[k] for k in range(len(texts))], want)

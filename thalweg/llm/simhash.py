@@ -11,7 +11,9 @@ two: a key of an exact segment and a Golay index of the next one therefore
 meets for every pair within two bits.
 Pairs are looked for among distinct fingerprints only, so exact copies cost
 nothing, and each key's members are verified by their true distance and linked
-as a spanning forest, never as all pairs.
+as a spanning forest, never as all pairs. A key that very many fingerprints
+share is split by the indices of the third segment, which any pair within two
+bits shares too; what then is still together differs in a few bits at most.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from thalweg.llm.common import checkpointed, components, table
 #: Generator polynomial of the binary Golay code of length 23, one of two mirror images.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
+#: Keys with more fingerprints are split by the third segment, in which two fingerprints within two bits share an index as well.
+HOT = 4096
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -118,6 +122,18 @@ def keys(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
+def third_keys(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Narrower keys for rows of keys for two bits: each with the Golay indices of the segment that the key leaves out."""
+    third = (3 - (key >> 34) // 3 - (key >> 34) % 3).astype(np.int64)  # the key begins with the numbers of its two segments
+    raw = fps.view(np.uint64)
+    words = np.zeros(len(fps), np.int64)
+    for s, (a, w) in enumerate(SEGMENTS):
+        words = np.where(third == s, ((raw >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64), words)
+    near = golay_keys(words)
+    row, col = np.nonzero(np.concatenate([np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]], axis=1))
+    return (1 << 62) | (key[row] << 12) | near[row, col], row
+
+
 def linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints at most ``bits`` apart, as pairs (root, member).
 
@@ -167,7 +183,18 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
             a, b = (np.array([p[j] for p in pairs], dtype=np.int64) for j in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            k, fps = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp"))
+            more, owner = third_keys(k, fps)
+            yield pa.RecordBatch.from_arrays([pa.array(more), pa.array(fps[owner])], ["key", "fp"])
+
     found = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
+    if bits <= 2:
+        hot = checkpointed(found.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+        if hot.limit(1).count():
+            split = found.join(hot, "key", "left_semi").mapInArrow(narrowed, "key long, fp long")
+            found = found.join(hot, "key", "left_anti").unionByName(split)
     dealt = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     return dealt.sortWithinPartitions("key").mapInArrow(verified, "a long, b long").distinct()
 
