@@ -8,10 +8,14 @@ passage matrix are summed over partitions) gives a few latent directions, in
 which each passage is compared with every item by cosine. Items that come near
 are then proved on the words themselves: the longest common subsequence of the
 item and the place around the passage must cover most of the item, or, for a
-paraphrase, half of it together with the item's answer, its rarest words.
-
-The benchmark is taken in blocks of ``BLOCK`` items, each a pass over the
-documents, so what is sent to executors is bounded however large it grows.
+paraphrase, half of it together with two thirds of the item's answer, its
+rarest words.
+
+The benchmark is taken in blocks of ``BLOCK`` items, each with an index of its
+own. One pass over the documents counts the words of all blocks, one draws the
+sample that all blocks share, and one searches with all indexes at a time; only
+beyond ``TOGETHER`` blocks there are more such passes, so what is sent to
+executors is bounded however large the benchmark grows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from thalweg.llm.common import checkpointed
 
-BLOCK = 512
+BLOCK, TOGETHER = 512, 32
 CHUNK = 32
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -82,7 +86,8 @@ class Index:
         if len(item) < 8:  # too short for a share to tell: only the whole item in one piece counts
             return float(any(place[k : k + len(item)] == item for k in range(len(place) - len(item) + 1)))
         share = subsequence(item, place) / len(item)
-        if share >= cover or (share >= paraphrase and self.answer(i) <= set(place)):
+        answer = self.answer(i)
+        if share >= cover or (share >= paraphrase and 3 * len(answer & set(place)) >= 2 * len(answer)):
             return share
         return 0.0
 
@@ -118,6 +123,11 @@ def _passages(texts: list[list[bytes]], index: Index) -> tuple[np.ndarray, np.nd
     return both, own, np.concatenate(first)
 
 
+def find_all(texts: list[str | None], indexes: list[Index], cosine: float, cover: float, paraphrase: float) -> list[tuple[int, int, float, float]]:
+    """As ``find``, with several indexes; no item is in two."""
+    return [row for index in indexes for row in find(texts, index, cosine, cover, paraphrase)]
+
+
 def find(texts: list[str | None], index: Index, cosine: float, cover: float, paraphrase: float) -> list[tuple[int, int, float, float]]:
     """``(text number, item id, cosine, share)`` of the items proved in each text, each item once."""
     words = [words_of(t) for t in texts]
@@ -223,13 +233,10 @@ def _directions(sample: DataFrame, base: np.ndarray, number: dict[bytes, int], w
     return v @ turn[:, np.argsort(-values)]
 
 
-def build(docs: DataFrame, items: list[tuple[int, str]], *, width: int = 128, sample_docs: int = 400) -> Index | None:
-    """The index of one block of items; None if none has a word. Counts are of all documents, the SVD of a bounded sample of them."""
-    kept = sorted((i, w) for i, t in items if i is not None and (w := words_of(t)))
-    if not kept:
-        return None
+def build(sample: DataFrame, kept: list[tuple[int, list[bytes]]], totals: dict[bytes, int], total: int, *, width: int = 128) -> Index:
+    """The index of one block of items. Counts are of all documents, the SVD of a bounded sample of them."""
     number = {w: k for k, w in enumerate(sorted({w for _, ws in kept for w in ws}))}
-    counts, total = _word_counts(docs, number)
+    counts = np.array([totals[w] for w in number], dtype=np.int64)
     # Squared, so that rare words decide; words in every passage or more weigh nothing.
     weight = (np.log(np.maximum(1.0, (total + 1) / (CHUNK * (counts + 1.0)))) ** 2).astype(np.float32)
     base = np.zeros((len(kept), len(number)), np.float32)
@@ -237,39 +244,53 @@ def build(docs: DataFrame, items: list[tuple[int, str]], *, width: int = 128, sa
         for w in ws:
             base[r, number[w]] += weight[number[w]]
     width = min(width, len(number))
-    sample = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs).select("text")
-    sample = checkpointed(sample.repartition(8))
     v = _directions(sample, base, number, weight, width)
     spots = base @ v
     lengths = np.linalg.norm(spots, axis=1, keepdims=True)
     return Index([i for i, _ in kept], [ws for _, ws in kept], number, weight, (v * weight[:, None]).astype(np.float32), (spots / np.maximum(lengths, 1e-9)).astype(np.float32))
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks, by id; a block at a time reaches the driver."""
-    total = benchmark.count()
-    parts = -(-total // BLOCK)
-    for k in range(parts):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).select("item_id", "text")
-        yield [(r["item_id"], r["text"]) for r in mine.toLocalIterator()]
+def sampled(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
+    """About ``sample_docs`` documents, those whose hash is below a threshold; repeated rows count once."""
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = rows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).dropDuplicates(["h"]).select("text")
+    return checkpointed(chosen.repartition(8))
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The benchmark's blocks as indexes, up to TOGETHER at a time; only so many items reach the driver at once. Items without id or words are left out."""
+    parts = -(-benchmark.count() // BLOCK)
+    sample = None
+    for at in range(0, parts, TOGETHER):
+        mine = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).where(F.col("part").between(at, min(at + TOGETHER, parts) - 1))
+        dealt: dict[int, list[tuple[int, list[bytes]]]] = {}
+        for r in mine.toLocalIterator():
+            if r["item_id"] is not None and (w := words_of(r["text"])):
+                dealt.setdefault(r["part"], []).append((r["item_id"], w))
+        if not dealt:
+            continue
+        number = {w: k for k, w in enumerate(sorted({w for kept in dealt.values() for _, ws in kept for w in ws}))}
+        counts, total = _word_counts(docs, number)
+        sample = sampled(docs) if sample is None else sample
+        totals = dict(zip(number, counts.tolist(), strict=True))
+        yield [build(sample, sorted(kept), totals, total) for _, kept in sorted(dealt.items())]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.4, cover: float = 0.8, paraphrase: float = 0.5) -> DataFrame:
     """``(doc_id, item_id, cosine, share)`` of every benchmark item found in a document, each pair once.
 
     Null or empty texts hold nothing, items without words are never found,
-    repeated rows are each searched, and an empty benchmark finds nothing.
+    repeated rows are each searched, other columns are ignored, and an empty
+    benchmark finds nothing.
     """
     out = None
     schema = "doc_id long, item_id long, cosine double, share double"
-    for items in blocks(benchmark):
-        index = build(docs, items)
-        if index is None:
-            continue
+    for group in indexes(docs, benchmark):
 
-        def searched(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def searched(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                ids, found = part.column("doc_id").to_pylist(), find(part.column("text").to_pylist(), index, cosine, cover, paraphrase)
+                ids, found = part.column("doc_id").to_pylist(), find_all(part.column("text").to_pylist(), group, cosine, cover, paraphrase)
                 cols = [[ids[t] for t, *_ in found], [i for _, i, *_ in found], [c for *_, c, _ in found], [s for *_, s in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "share"])
 
@@ -279,18 +300,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.4, cover:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.4, cover: float = 0.8, paraphrase: float = 0.5) -> DataFrame:
-    """``docs`` without the rows in which an item is found; their columns and whole texts are kept."""
+    """``docs`` without the rows in which an item is found; their columns and whole texts are kept.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty
+    benchmark leaves all.
+    """
     out = docs
-    for items in blocks(benchmark):
-        index = build(docs, items)
-        if index is None:
-            continue
+    for group in indexes(docs, benchmark):
 
-        def cleaned(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def cleaned(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
             at = None
             for part in batches:
                 at = part.schema.get_field_index("text") if at is None else at
-                bad = {t for t, *_ in find(part.column(at).to_pylist(), index, cosine, cover, paraphrase)}
+                bad = {t for t, *_ in find_all(part.column(at).to_pylist(), group, cosine, cover, paraphrase)}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(cleaned, docs.schema)
