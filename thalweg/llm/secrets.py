@@ -4,15 +4,19 @@ Spans come without a UDF: the matches of a pattern and the pieces between them
 alternate, so running sums of their lengths give each match's place.
 
 The battery looks at long unbroken tokens. The encoding is inferred from the
-symbols (hexadecimal, base32, base64). Three tests ask whether the token could
-be uniform noise over that alphabet: chi-squared of the symbol counts, a runs
-test of the symbols around the middle of the alphabet, and the correlation of
-each symbol's index with the next. Tokens that pass all three at level
-``alpha`` are candidates. How likely an ordinary word or identifier looks as
-mixed as this is measured by how often the token changes between letters of
-one case, of the other and digits: a binomial tail in which length counts. A
-Benjamini-Hochberg step over all candidates of all documents then keeps the
-expected share of false finds below ``fdr``.
+symbols (hexadecimal, base32, base64). Three tests are made of each token:
+chi-squared of the symbol counts against uniform ones, runs of symbols, and the
+correlation of each symbol's index with the next. Each test has two tails. One
+asks whether the token could be uniform noise over its alphabet; tokens that a
+test rejects at level ``alpha`` are out. The other asks how likely an ordinary
+word or identifier comes as close to noise: its symbols are as uneven as those
+of text (a chi-squared variable shifted by the length), its runs change between
+cases and digits as seldom (a binomial tail), and its neighbours are alike (a
+correlation of LIKENESS). These three tails are joined by Fisher's rule into
+one. All fall off with the length, so a short token must look far more mixed
+than a long one. A Benjamini-Hochberg step over the joined tails of all
+candidates of all documents then keeps the expected share of false finds below
+``fdr``.
 """
 
 from __future__ import annotations
@@ -36,25 +40,45 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 SWITCH = 0.08  # how often ordinary tokens change between cases and digits, a step
+#: How uneven ordinary tokens are (chi-squared per symbol beyond noise) and how alike their neighbours.
+UNEVEN = {"hex": 0.6, "base32": 1.0, "base64": 2.5}
+LIKENESS = 0.2
+#: Matches of a pattern in one text that are placed at a time.
+CHUNK = 256
 
 
 def _spans(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, token)`` of the leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(
-        text.rlike(pattern),
-        F.aggregate(
-            F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("token")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out")),
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("token"))
+
+    def size(m: Column) -> Column:
+        return F.coalesce(m["gap"], F.lit(0)) + F.coalesce(F.length(m["token"]), F.lit(0))
+
+    def placed(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(at.alias("at"), none.alias("out")),
             lambda acc, m: F.struct(
-                (acc["at"] + F.coalesce(m["gap"], F.lit(0)) + F.coalesce(F.length(m["token"]), F.lit(0))).alias("at"),
+                (acc["at"] + size(m)).alias("at"),
                 F.when(m["token"].isNull(), acc["out"]).otherwise(
                     F.concat(acc["out"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + F.length(m["token"])).alias("end"), m["token"].alias("token"))))
                 ).alias("out"),
             ),
             lambda acc: acc["out"],
-        ),
-    ).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
+        )
+
+    def chunked(all_steps: Column) -> Column:
+        """Arrays grow by copying, so a text with very many matches is placed chunk by chunk, each from the sum of those before."""
+        chunks = F.transform(F.sequence(F.lit(0), F.size(all_steps) - 1, F.lit(CHUNK)), lambda c: F.slice(all_steps, c + 1, F.lit(CHUNK)))
+        sums = F.transform(chunks, lambda part: F.aggregate(part, F.lit(0), lambda acc, m: acc + size(m)))
+        starts = F.aggregate(
+            sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(chunks, starts, placed))
+
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(steps), lambda s: F.when(F.size(s) <= CHUNK, placed(s, F.lit(0))).otherwise(chunked(s))), F.lit(0))).otherwise(none)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -69,7 +93,7 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _battery(spans: Column) -> Column:
-    """The spans with their encoding, the least p-value of the three tests (``noise``) and the mixing tail (``mixed``).
+    """The spans with their encoding, the least p-value of the three tests as noise (``noise``) and the log10 of their joint tail as ordinary tokens (``mixed``).
 
     Worked out in steps over the array, each naming what the next ones use
     several times: within a lambda nothing that repeats is shared.
@@ -111,6 +135,7 @@ def _battery(spans: Column) -> Column:
         mean = walk["s"] / n
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), n.alias("n"), walk["runs"].alias("runs"),
+            free.alias("free"), (s["squares"] * s["size"] / n - n).alias("chi"),
             # The cube root of a chi-squared variable over its mean is nearly normal.
             ((F.cbrt(F.greatest(s["squares"] * s["size"] / n - n, F.lit(1e-9)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))).alias("z_chi"),
             (1 + 2 * walk["high"] * (n - walk["high"]) / n).alias("mean_runs"),
@@ -121,8 +146,13 @@ def _battery(spans: Column) -> Column:
     def scores(s: Column) -> Column:
         n, steps = s["n"], F.greatest(s["n"] - 1, F.lit(1.0))
         var_runs = (s["mean_runs"] - 1) * (s["mean_runs"] - 2) / steps
+        uneven = F.when(s["kind"] == "hex", UNEVEN["hex"]).when(s["kind"] == "base32", UNEVEN["base32"]).otherwise(UNEVEN["base64"]) * n
+        serial = F.when(s["spread"] > 0, (s["lag"] / steps - s["mean"] * s["mean"]) / s["spread"] + 1 / n).otherwise(F.lit(1.0))
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), steps.alias("steps"), s["share"].alias("share"), s["z_chi"].alias("z_chi"),
+            # How far below what ordinary tokens have: a shifted chi-squared variable and a correlation, both nearly normal.
+            F.greatest((s["free"] + uneven - s["chi"]) / F.sqrt(2 * (s["free"] + 2 * uneven)), F.lit(0.0)).alias("even"),
+            F.greatest((F.lit(LIKENESS) - serial) * F.sqrt(n), F.lit(0.0)).alias("unlike"),
             F.when(var_runs > 0, F.abs(s["runs"] - s["mean_runs"]) / F.sqrt(var_runs)).otherwise(F.lit(9.0)).alias("z_runs"),
             F.when(s["spread"] > 0, F.abs((s["lag"] / steps - s["mean"] * s["mean"]) / s["spread"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0)).alias("z_serial"),
         )
@@ -131,10 +161,12 @@ def _battery(spans: Column) -> Column:
         share = s["share"]
         # Chernoff's bound of the binomial tail: exp(-steps * KL(share || SWITCH)).
         kl = F.when(share <= SWITCH, 0.0).when(share >= 1, -math.log(SWITCH)).otherwise(share * F.log(share / SWITCH) + (1 - share) * F.log((1 - share) / (1 - SWITCH)))
+        # Each tail by its exponent; Fisher's sum of three has the tail exp(-x) (1 + x + x^2 / 2).
+        total = s["steps"] * kl + s["even"] * s["even"] / 2 + s["unlike"] * s["unlike"] / 2
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("encoding"),
             F.least(_upper_tail(s["z_chi"]), 2 * _upper_tail(s["z_runs"]), 2 * _upper_tail(s["z_serial"])).alias("noise"),
-            (-s["steps"] * kl / math.log(10)).alias("mixed"),
+            ((F.log(1 + total + total * total / 2) - total) / math.log(10)).alias("mixed"),
         )
 
     for step in (body, encoding, symbols, counted, moments, scores, tails):
