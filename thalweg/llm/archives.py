@@ -1,9 +1,10 @@
 """Web archives: legacy ARC files written, read and converted to WARC.
 
-An archive is a row of a table in the shared folder: its name, its format and
-its bytes, which are gzip members, one per record, as the formats ask for.
-Archives hold up to ``SEGMENT`` bytes of records, so no task ever holds more.
-ARC header lines depend on the version that the file's first record declares;
+An archive is a row of a table in the shared folder: its name and its bytes.
+Those written here are gzip members, one per record, as the formats ask for,
+and hold up to ``SEGMENT`` bytes of records, so no task ever holds more. Those
+read may have several records in a member, or not be compressed at all. ARC
+header lines depend on the version that the file's first record declares;
 record bodies are found by their declared lengths, never by looking for marks.
 """
 
@@ -46,7 +47,7 @@ class Record:
 
     def field(self, name: str) -> str | None:
         found = re.search(rb"(?im)^" + re.escape(name.encode()) + rb":[ \t]*([^\r\n]*)", self.head)
-        return found[1].decode() if found else None
+        return found[1].decode(errors="surrogateescape") if found else None
 
 
 def digest(payload: bytes) -> str:
@@ -60,10 +61,18 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The contents of concatenated gzip members."""
+    """The contents of concatenated gzip members, or the data itself if it isn't compressed. ValueError for a member that is cut short."""
+    if data and not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
     while data:
         reader = zlib.decompressobj(31)
-        yield reader.decompress(data) + reader.flush()
+        try:
+            yield reader.decompress(data) + reader.flush()
+        except zlib.error as broken:
+            raise ValueError(f"damaged gzip member: {broken}") from broken
+        if not reader.eof:
+            raise ValueError("gzip member is cut short")
         data = reader.unused_data
 
 
@@ -94,31 +103,45 @@ def safe_url(url: str | None) -> str:
 def read_arc(data: bytes) -> Iterator[Record]:
     """The records of an ARC file, by the header fields that its version block names.
 
-    Raises ValueError on an unknown version, a header line that doesn't match
-    it, or a record shorter than it declares.
+    Members are read on from record to record by the declared lengths. Bytes
+    of a header line that aren't UTF-8 are kept. Raises ValueError on an
+    unknown version, a header line that doesn't match it, or a record shorter
+    than it declares.
     """
     names = None
     for block in members(data):
-        line, _, rest = block.partition(b"\n")
-        parts = line.decode().split(" ")
-        length = int(parts[-1])
-        if len(rest) < length:
-            raise ValueError(f"ARC record of {len(rest)} bytes declares {length}")
-        body = rest[:length]
-        if names is None:
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-            names = body.split(b"\n")[1].decode().split(" ")
-            continue
-        if len(parts) != len(names):
-            raise ValueError(f"ARC header has {len(parts)} fields, not {len(names)}")
-        fields = dict(zip(names, parts, strict=True))
-        head, mark, payload = body.partition(b"\r\n\r\n")
-        if not mark or not head.startswith(b"HTTP/"):
-            head, payload = b"", body
-        status = int(fields.get("Result-code") or 0) or int((re.match(rb"HTTP/\S+ (\d+)", head) or [0, 200])[1])
-        yield Record(fields["URL"], fields["Archive-date"], fields["Content-type"], status, head + mark if head else b"", payload)
+        at = 0
+        while True:
+            while block[at : at + 1] in (b"\n", b"\r"):  # records are set apart by line ends
+                at += 1
+            if at >= len(block):
+                break
+            end = block.find(b"\n", at)
+            if end < 0:
+                raise ValueError("ARC header line without an end")
+            parts = block[at:end].rstrip(b"\r").decode(errors="surrogateescape").split(" ")
+            if not parts[-1].isdigit():
+                raise ValueError(f"ARC header without a length: {parts[0]!r}")
+            length = int(parts[-1])
+            body = block[end + 1 : end + 1 + length]
+            if len(body) < length:
+                raise ValueError(f"ARC record of {len(body)} bytes declares {length}")
+            at = end + 1 + length
+            if names is None:
+                version = int(body.split(b" ", 1)[0])
+                if version not in ARC_FIELDS:
+                    raise ValueError(f"unknown ARC version {version}")
+                names = body.split(b"\n")[1].decode().rstrip("\r").split(" ")
+                continue
+            if len(parts) != len(names):
+                raise ValueError(f"ARC header has {len(parts)} fields, not {len(names)}")
+            fields = dict(zip(names, parts, strict=True))
+            head, mark, payload = body.partition(b"\r\n\r\n")
+            if not mark or not head.startswith(b"HTTP/"):
+                head, mark, payload = b"", b"", body
+            code = fields.get("Result-code", "")
+            status = int(code) if code.isdigit() and int(code) else int((re.match(rb"HTTP/\S+ (\d+)", head) or [0, 200])[1])
+            yield Record(fields["URL"], fields["Archive-date"], fields["Content-type"], status, head + mark, payload)
 
 
 def record_id(archive: str, ordinal: int) -> str:
@@ -144,14 +167,14 @@ def warc_record(record: Record, own_id: str, first: dict | None = None) -> bytes
             "WARC-Refers-To-Target-URI": first["url"], "WARC-Refers-To-Date": warc_date(first["date"]), "X-Refers-To-Page": str(first["page_id"]),
         }
     head["Content-Length"] = str(len(block))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode(errors="surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record; the block has the declared length and digest, or ValueError."""
     for block in members(data):
         head, _, rest = block.partition(b"\r\n\r\n")
-        first, *lines = head.decode().split("\r\n")
+        first, *lines = head.decode(errors="surrogateescape").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("not a WARC record")
         fields = dict(x.split(": ", 1) for x in lines)
@@ -169,11 +192,11 @@ def write_arcs(pages: DataFrame) -> DataFrame:
         task, made, parts, size = TaskContext.get().partitionId(), 0, [], 0
         for rows in batches:
             for page_id, url, html in zip(rows["page_id"], rows["url"], rows["html"], strict=True):
-                version = 1 + made % 2
+                version = 1 + (task + made) % 2
                 name = f"{task:06d}-{made:06d}.arc.gz"
                 if not parts:
                     parts.append(member(arc_head(name, version)))
-                block = http_block(None if pd.isna(page_id) else int(page_id), (html or "").encode("utf-8", "replace"))
+                block = http_block(None if page_id is None else int(page_id), (html or "").encode("utf-8", "replace"))
                 offset = sum(map(len, parts)) if version == 2 else 0
                 parts.append(member(arc_record(safe_url(url), version, name, offset, block)))
                 size += len(block)
@@ -183,7 +206,8 @@ def write_arcs(pages: DataFrame) -> DataFrame:
         if parts:
             yield pd.DataFrame({"archive": [f"{task:06d}-{made:06d}.arc.gz"], "content": [b"".join(parts)]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(written, "archive string, content binary")
+    # Ids travel as text: a null among them would turn a batch of numbers into floats.
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(written, "archive string, content binary")
 
 
 def index_arcs(arcs: DataFrame) -> DataFrame:
@@ -192,10 +216,10 @@ def index_arcs(arcs: DataFrame) -> DataFrame:
         for rows in batches:
             for archive, content in zip(rows["archive"], rows["content"], strict=True):
                 out = [
-                    (archive, i, int(r.field("X-Page-Id")) if r.field("X-Page-Id") else None, record_id(archive, i), r.url, r.date, digest(r.payload), len(r.payload))
+                    (archive, i, int(r.field("X-Page-Id")) if r.field("X-Page-Id") else None, record_id(archive, i), r.url.encode(errors="surrogateescape").decode(errors="replace"), r.date, digest(r.payload), len(r.payload))
                     for i, r in enumerate(read_arc(content))
                 ]
-                yield pd.DataFrame(out, columns=["archive", "ordinal", "page_id", "id", "url", "date", "digest", "size"]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(out, columns=["archive", "ordinal", "page_id", "id", "url", "date", "digest", "size"], dtype=object)
 
     return arcs.mapInPandas(indexed, "archive string, ordinal int, page_id long, id string, url string, date string, digest string, size long")
 
@@ -245,7 +269,7 @@ def read_back(warcs: DataFrame) -> DataFrame:
                     page = record.field("X-Page-Id")
                     size = int(record.field("Content-Length")) if revisit else len(payload)
                     out.append((int(page) if page else None, size, said, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None))
-                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
 
     return warcs.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
