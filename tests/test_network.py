@@ -172,7 +172,8 @@ def test_table_files(spark, tmp_path):
     back = files.read_table(spark, str(tmp_path / "t"))
     assert back.columns == df.columns and [tuple(r) for r in back.orderBy("rno").collect()] == rows
     lines = [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()]
-    assert lines[0].startswith("1 ") and lines[0].endswith("'first one'") and len({len(x[: x.rfind("  ")]) for x in lines[1:3]}) >= 1
+    assert lines[0].startswith("# rno ") and not [f for f in tmp_path.iterdir() if f.name != "t" and not f.name.startswith(".")]
+    assert lines[1].startswith("1 ") and lines[1].endswith("'first one'") and len({len(x[: x.rfind("  ")]) for x in lines[2:4]}) >= 1
 
 
 def test_save_and_load(spark, three, tmp_path):

@@ -177,3 +177,201 @@ def merge_lines(lines: Column) -> Column:
         lines, F.array().cast(LINE),
         lambda acc, x: F.concat(acc, F.when((F.size(acc) > 0) & (last(acc)["x"] == first(x)["x"]) & (last(acc)["y"] == first(x)["y"]), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x)),
     )
+
+
+def ring_edges(rings: Column) -> Column:
+    """The edges of all rings of a polygon."""
+    return F.flatten(F.transform(rings, edges))
+
+
+def _sides(e: Column, p: Column) -> Column:
+    """On which side of an edge a point lies: the sign of the cross product."""
+    return F.signum((e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"]))
+
+
+def edges_meet(e: Column, f: Column) -> Column:
+    """Whether two edges cross or touch."""
+    apart = (F.greatest(e["a"]["x"], e["b"]["x"]) < F.least(f["a"]["x"], f["b"]["x"])) | (F.greatest(f["a"]["x"], f["b"]["x"]) < F.least(e["a"]["x"], e["b"]["x"]))
+    apart = apart | (F.greatest(e["a"]["y"], e["b"]["y"]) < F.least(f["a"]["y"], f["b"]["y"])) | (F.greatest(f["a"]["y"], f["b"]["y"]) < F.least(e["a"]["y"], e["b"]["y"]))
+    return ~apart & (_sides(e, f["a"]) * _sides(e, f["b"]) <= 0) & (_sides(f, e["a"]) * _sides(f, e["b"]) <= 0)
+
+
+def _any_meet(some: Column, others: Column) -> Column:
+    return F.exists(some, lambda e: F.exists(others, lambda f: edges_meet(e, f)))
+
+
+def lines_meet(a: Column, b: Column) -> Column:
+    return _any_meet(edges(a), edges(b))
+
+
+def line_meets_polygon(line: Column, rings: Column) -> Column:
+    """Whether a line crosses, touches or lies in a polygon."""
+    return contains(rings, first(line)) | _any_meet(edges(line), ring_edges(rings))
+
+
+def polygons_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: their borders meet or one holds the other."""
+    return contains(b, first(F.get(a, F.lit(0)))) | contains(a, first(F.get(b, F.lit(0)))) | _any_meet(ring_edges(a), ring_edges(b))
+
+
+def _edge_spots(p: Column, others: Column) -> Column:
+    """For a point the distance to and the nearest point of each edge, as ``array<struct<dist, x, y>>``."""
+    def spot(f: Column) -> Column:
+        q = along(f, _edge_share(f, p))
+        return F.struct(gap(q, p).alias("dist"), q["x"].alias("x"), q["y"].alias("y"))
+
+    return F.transform(others, spot)
+
+
+def _vertices(parts: Column) -> Column:
+    """Both ends of all edges."""
+    return F.flatten(F.transform(parts, lambda e: F.array(e["a"], e["b"])))
+
+
+def edges_distance(a: Column, b: Column) -> Column:
+    """Least distance between two sets of edges, 0 where any meet."""
+    near = lambda some, others: F.array_min(F.transform(_vertices(some), lambda p: F.array_min(F.transform(_edge_spots(p, others), lambda s: s["dist"]))))
+    return F.when(_any_meet(a, b), 0.0).otherwise(F.least(near(a, b), near(b, a)))
+
+
+def lines_distance(a: Column, b: Column) -> Column:
+    """Least distance between two lines."""
+    return edges_distance(edges(a), edges(b))
+
+
+def line_polygon_distance(line: Column, rings: Column) -> Column:
+    """Least distance between a line and a polygon, 0 where they meet."""
+    return F.when(contains(rings, first(line)), 0.0).otherwise(edges_distance(edges(line), ring_edges(rings)))
+
+
+def point_polygon_distance(point: Column, rings: Column) -> Column:
+    return F.when(contains(rings, point), 0.0).otherwise(F.array_min(F.transform(_edge_spots(point, ring_edges(rings)), lambda s: s["dist"])))
+
+
+def crossing_point(e: Column, f: Column) -> Column:
+    """Where two edges that meet do so: the crossing, or for edges in one line an end that both have."""
+    dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+    fx, fy = f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
+    d = dx * fy - dy * fx
+    t = ((f["a"]["x"] - e["a"]["x"]) * fy - (f["a"]["y"] - e["a"]["y"]) * fx) / F.nullif(d, F.lit(0.0))
+    shared = F.when(_on(e, f["a"]), f["a"]).when(_on(e, f["b"]), f["b"]).otherwise(e["a"])
+    return F.when(d != 0, xyz(e["a"]["x"] + t * dx, e["a"]["y"] + t * dy)).otherwise(xyz(shared["x"], shared["y"]))
+
+
+def _on(e: Column, p: Column) -> Column:
+    return gap(along(e, _edge_share(e, p)), p) == 0
+
+
+def nearest_point(of: Column, to: Column) -> Column:
+    """The point of the edges ``of`` that is nearest to the edges ``to``; the first crossing where they meet."""
+    hits = F.flatten(F.transform(of, lambda e: F.transform(F.filter(to, lambda f: edges_meet(e, f)), lambda f: crossing_point(e, f))))
+    own = F.transform(_vertices(of), lambda p: F.struct(F.array_min(F.transform(_edge_spots(p, to), lambda s: s["dist"])).alias("dist"), p["x"].alias("x"), p["y"].alias("y")))
+    cast = F.transform(_vertices(to), lambda p: F.array_min(_edge_spots(p, of)))
+    best = F.array_min(F.concat(own, cast))
+    return F.when(F.size(hits) > 0, F.get(hits, F.lit(0))).otherwise(xyz(best["x"], best["y"]))
+
+
+def length_inside(line: Column, rings: Column) -> Column:
+    """Length of the parts of a line that lie in a polygon: each edge is cut where it meets the border, and parts count whose middle is inside."""
+    border = ring_edges(rings)
+
+    def cuts(e: Column) -> Column:
+        at = F.transform(F.filter(border, lambda f: edges_meet(e, f)), lambda f: _edge_share(e, crossing_point(e, f)))
+        return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), at)))
+
+    def inside(e: Column) -> Column:
+        c = cuts(e)
+        parts = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.when(contains(rings, along(e, (a + b) / 2)), b - a).otherwise(0.0))
+        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) * gap(e["a"], e["b"])
+
+    return F.aggregate(edges(line), F.lit(0.0), lambda acc, e: acc + inside(e))
+
+
+def shared_area(a: list, b: list) -> float:
+    """Area that two polygons share, rings as lists of ``(x, y)``.
+
+    The plane is cut into upright strips at every vertex and crossing; within
+    a strip the borders don't cross, so the area there is its width times the
+    length that both polygons cover on its middle line.
+    """
+    import numpy as np
+
+    def sides(rings: list) -> np.ndarray:
+        rows = [(*p, *q) for ring in rings for p, q in zip(ring, ring[1:], strict=False)]
+        return np.array(rows, dtype=float).reshape(-1, 4)
+
+    one, two = sides(a), sides(b)
+    if not len(one) or not len(two):
+        return 0.0
+    xs = [*one[:, 0], *two[:, 0]]
+    for x1, y1, x2, y2 in one.tolist():
+        d = (x2 - x1) * (two[:, 3] - two[:, 1]) - (y2 - y1) * (two[:, 2] - two[:, 0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((two[:, 0] - x1) * (two[:, 3] - two[:, 1]) - (two[:, 1] - y1) * (two[:, 2] - two[:, 0])) / d
+            u = ((two[:, 0] - x1) * (y2 - y1) - (two[:, 1] - y1) * (x2 - x1)) / d
+        hit = (d != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        xs += (x1 + t[hit] * (x2 - x1)).tolist()
+    cuts = np.unique(xs)
+
+    def covered(rows: np.ndarray, x: float) -> list[tuple[float, float]]:
+        over = rows[(np.minimum(rows[:, 0], rows[:, 2]) < x) & (np.maximum(rows[:, 0], rows[:, 2]) > x)]
+        ys = np.sort(over[:, 1] + (x - over[:, 0]) / (over[:, 2] - over[:, 0]) * (over[:, 3] - over[:, 1]))
+        return list(zip(ys[::2].tolist(), ys[1::2].tolist(), strict=False))
+
+    total = 0.0
+    for x0, x1 in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        mid = (x0 + x1) / 2
+        both = sum(max(0.0, min(b1, d1) - max(b0, d0)) for b0, b1 in covered(one, mid) for d0, d1 in covered(two, mid))
+        total += both * (x1 - x0)
+    return total
+
+
+def dissolve(rings: list) -> list:
+    """The outline of polygons that lie side by side, rings as lists of ``(x, y)``: sides that two of them share vanish, the rest are linked into rings.
+
+    Sides are cut at vertices of other polygons that lie on them. The longest
+    outer ring comes first; holes and further parts follow.
+    """
+    from collections import defaultdict
+
+    points = sorted({tuple(p) for ring in rings for p in ring})
+    count: dict[frozenset, int] = defaultdict(int)
+    bins: dict[tuple[int, int], list] = defaultdict(list)
+    spans = [max(abs(p[0] - q[0]), abs(p[1] - q[1])) for ring in rings for p, q in zip(ring, ring[1:], strict=False)]
+    size = (sum(spans) / len(spans) if spans else 1.0) or 1.0
+    for x, y in points:
+        bins[int(x // size), int(y // size)].append((x, y))
+    for ring in rings:
+        for p, q in zip(ring, ring[1:], strict=False):
+            p, q = tuple(p), tuple(q)
+            dx, dy = q[0] - p[0], q[1] - p[1]
+            on = {p, q}
+            for bx in range(int(min(p[0], q[0]) // size), int(max(p[0], q[0]) // size) + 1):
+                for by in range(int(min(p[1], q[1]) // size), int(max(p[1], q[1]) // size) + 1):
+                    for r in bins.get((bx, by), ()):
+                        if (r[0] - p[0]) * dy == (r[1] - p[1]) * dx and min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1]):
+                            on.add(r)
+            path = sorted(on, key=lambda r: (r[0] - p[0]) * dx + (r[1] - p[1]) * dy)
+            for a, b in zip(path, path[1:], strict=False):
+                count[frozenset((a, b))] += 1
+    links: dict[tuple, list] = defaultdict(list)
+    for side, n in count.items():
+        if n % 2 and len(side) == 2:
+            a, b = side
+            links[a].append(b)
+            links[b].append(a)
+    out = []
+    for start in sorted(links):
+        while links[start]:
+            ring, at = [start], start
+            while True:
+                after = min(links[at])
+                links[at].remove(after)
+                links[after].remove(at)
+                ring.append(after)
+                at = after
+                if at == start or not links[at]:
+                    break
+            out.append(ring)
+    size_of = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))) / 2
+    return sorted((r for r in out if len(r) > 3 and r[0] == r[-1]), key=size_of, reverse=True)

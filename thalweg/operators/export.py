@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.operators.network import Network
+from thalweg.operators.overlay import prefix_sums
 
 # The columns that packages ask for.
 REQUIRED = {
@@ -102,12 +103,33 @@ def package_period(found: DataFrame, package: str, style: str = "native", auxili
     return found.select(F.lit(1).alias("per"), *[(F.col(c) + add).alias(c) for c in ("k", "i", "j")], *REQUIRED[package], *auxiliary)
 
 
+def number_diversion_segments(found: DataFrame) -> DataFrame:
+    """Reaches whose diversions are segments of their own, as classic packages have it: numbered after all others, by ``divid``, each with one reach."""
+    own = found.where(~F.col("diversion"))
+    last = own.agg(F.coalesce(F.max("iseg"), F.lit(0))).first()[0]
+    made = found.where("diversion").select(F.col("divid").alias("_key"), F.lit(1).cast("long").alias("one"))
+    rank = prefix_sums(made, "_key", "one").withColumnRenamed("_key", "divid")
+    taken = found.where("diversion").drop("iseg", "ireach").join(rank, "divid").withColumn("iseg", (F.lit(last) + F.col("before") + 1).cast("int")).withColumn("ireach", F.lit(1)).drop("before")
+    return own.unionByName(taken)
+
+
 def segment_data(found: DataFrame, network: Network) -> DataFrame:
-    """``(nseg, segnum, outseg, iupseg, icalc, inflow, abstraction)``: a row per segment that has reaches; outseg is the number of the one below, or 0."""
-    per = found.groupBy("iseg").agg(F.first("segnum").alias("segnum")).select(F.col("iseg").alias("nseg"), "segnum")
-    below = per.select(F.col("segnum").alias("to_segnum"), F.col("nseg").alias("outseg"))
-    rows = per.join(network.segments.select("segnum", "to_segnum"), "segnum").join(below, "to_segnum", "left")
-    return rows.select("nseg", "segnum", F.coalesce("outseg", F.lit(0)).alias("outseg"), F.lit(0).alias("iupseg"), F.lit(0).alias("icalc"), F.lit(0.0).alias("inflow"), F.lit(0.0).alias("abstraction"))
+    """``(nseg, segnum, divid, outseg, iupseg, icalc, inflow, abstraction)``: a row per segment that has reaches; ``outseg`` is the number of the one below, or 0.
+
+    Where ``found`` has diversions (see ``number_diversion_segments``) each has
+    a row too: ``iupseg`` is the number of the segment it takes from, 0 for
+    segments, and ``outseg`` 0.
+    """
+    marked = found if "diversion" in found.columns else found.select("*", F.lit(False).alias("diversion"), F.lit(None).cast("long").alias("divid"))
+    per = marked.groupBy("iseg").agg(F.first("segnum").alias("segnum"), F.first("diversion").alias("diversion"), F.first("divid").alias("divid")).select(F.col("iseg").alias("nseg"), "segnum", "diversion", "divid")
+    known = per.where(~F.col("diversion")).select("segnum", "nseg")
+    links = network.segments.select("segnum", "to_segnum")
+    rows = per.join(links, "segnum", "left").join(known.select(F.col("segnum").alias("to_segnum"), F.col("nseg").alias("outseg")), "to_segnum", "left")
+    up = F.lit(0)
+    if network.diversions is not None:
+        above = network.diversions.select("divid", F.col("from_segnum").alias("_from")).join(known.select(F.col("segnum").alias("_from"), F.col("nseg").alias("_up")), "_from").select("divid", "_up")
+        rows, up = rows.join(above, "divid", "left"), F.when(F.col("diversion"), F.col("_up")).otherwise(0)
+    return rows.select("nseg", "segnum", "divid", F.coalesce("outseg", F.lit(0)).alias("outseg"), F.coalesce(up, F.lit(0)).alias("iupseg"), F.lit(0).alias("icalc"), F.lit(0.0).alias("inflow"), F.lit(0.0).alias("abstraction"))
 
 
 def set_segment_data(data: DataFrame, name: str, value: Column, which: str = "all") -> DataFrame:
@@ -121,13 +143,78 @@ def set_segment_data(data: DataFrame, name: str, value: Column, which: str = "al
     return data.withColumn(name, F.when(chosen, value).otherwise(was))
 
 
+def set_segment_values(data: DataFrame, series: DataFrame | None, name: str, values: DataFrame, by: str = "segments") -> tuple[DataFrame, DataFrame | None]:
+    """``data`` and ``series(name, kper, nseg, value)`` with ``values(key, kper, value)`` put in, keys being segments or diversions.
+
+    Constant values (``kper`` null) go into the column ``name`` of the rows they
+    name and replace earlier ones; time-varying ones into the series, where
+    they replace earlier ones of the same name, period and segment. Keys of
+    segments without reaches are passed over; KeyError for others that are unknown.
+    """
+    if name == "nseg":
+        raise ValueError("nseg cannot be set")
+    if by not in ("segments", "diversions"):
+        raise ValueError("by must be segments or diversions")
+    if name not in data.columns:
+        raise KeyError(f"could not find {name!r} in {', '.join(data.columns)}")
+    key, mine = ("segnum", F.col("iupseg") == 0) if by == "segments" else ("divid", F.col("iupseg") != 0)
+    numbered = values.join(data.where(mine).select(F.col(key).alias("key"), "nseg"), "key")
+    fixed = numbered.where("kper IS NULL").select("nseg", F.col("value").alias("_new"))
+    kept = data.join(fixed, "nseg", "left").withColumn(name, F.coalesce("_new", name)).drop("_new").select(*data.columns)
+    moving = numbered.where("kper IS NOT NULL").select(F.lit(name).alias("name"), "kper", "nseg", "value")
+    if series is not None:
+        moving = series.join(moving, ["name", "kper", "nseg"], "left_anti").select("name", "kper", "nseg", "value").unionByName(moving)
+    return kept, moving
+
+
+# The columns that reach data may have, in their order.
+REACH_COLUMNS = ("k", "i", "j", "iseg", "ireach", "rchlen", "strtop", "slope", "strthick", "strhc1", "thts", "thti", "eps", "uhc", "reachID", "outreach")
+
+
+def reach_data(found: DataFrame) -> DataFrame:
+    """``ridx`` and those of REACH_COLUMNS that reaches have; ``rlen`` is written as ``rchlen``."""
+    rows = found.withColumnRenamed("rlen", "rchlen") if "rlen" in found.columns and "rchlen" not in found.columns else found
+    return rows.select("ridx", *[c for c in REACH_COLUMNS if c in rows.columns])
+
+
+def by_period(data: DataFrame, periods: list[int]) -> DataFrame:
+    """``(kper, ...)``: constant rows repeated for every period."""
+    return data.select(F.explode(F.array(*[F.lit(int(k)) for k in periods])).alias("kper"), "*")
+
+
+def wide_by_period(data: DataFrame, periods: list[int]) -> DataFrame:
+    """A row per ``nseg`` with a column ``<kper>:<column>`` for every period and column of ``data(kper, nseg, ...)``."""
+    cols = [c for c in data.columns if c not in ("kper", "nseg")]
+    rows = data.groupBy("nseg").pivot("kper", periods).agg(*[F.first(c).alias(c) for c in cols])
+    old = lambda k, c: str(k) if len(cols) == 1 else f"{k}_{c}"
+    return rows.select("nseg", *[F.col(f"`{old(k, c)}`").alias(f"{k}:{c}") for k in periods for c in cols])
+
+
+def long_by_period(wide: DataFrame) -> DataFrame:
+    """The inverse of ``wide_by_period``: ``(kper, nseg, ...)``."""
+    names = [c.split(":", 1) for c in wide.columns if c != "nseg"]
+    periods, cols = list(dict.fromkeys(int(k) for k, _ in names)), list(dict.fromkeys(c for _, c in names))
+    rows = F.array(*[F.struct(F.lit(k).alias("kper"), *[F.col(f"`{k}:{c}`").alias(c) for c in cols]) for k in periods])
+    return wide.select("nseg", F.explode(rows).alias("r")).select("r.kper", "nseg", *[f"r.{c}" for c in cols])
+
+
+def inverted(frame: DataFrame, key: str, value: str) -> DataFrame:
+    """``frame(key, value)`` with the two swapped; ValueError if a value stands for several keys."""
+    if frame.groupBy(value).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{value} has repeated values")
+    return frame.select(F.col(value).alias(key), F.col(key).alias(value))
+
+
 def flow_by_period(data: DataFrame, series: DataFrame, periods: DataFrame) -> DataFrame:
     """``(kper, nseg, flow)``: time-varying ``series(name, kper, nseg, value)`` laid over the constant columns, then inflow and abstraction added to flow.
 
     The series is pivoted once to a row per period and segment, so each
-    segment and period meets it in one equi-join.
+    segment and period meets it in one equi-join. Stress periods are a list
+    that the driver knows; each segment has a row for every one of them.
     """
+    listed = sorted(r["kper"] for r in periods.select("kper").distinct().collect())
     wide = series.groupBy("kper", "nseg").pivot("name", ["flow", "inflow", "abstraction"]).agg(F.first("value"))
-    rows = data.select("nseg", *[(F.col(c) if c in data.columns else F.lit(0.0)).alias(f"_{c}") for c in ("flow", "inflow", "abstraction")]).crossJoin(F.broadcast(periods.select("kper")))
+    rows = data.select("nseg", *[(F.col(c) if c in data.columns else F.lit(0.0)).alias(f"_{c}") for c in ("flow", "inflow", "abstraction")])
+    rows = by_period(rows, listed)
     part = lambda c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0))
     return rows.join(wide, ["kper", "nseg"], "left").select("kper", "nseg", (part("flow") + part("abstraction") + part("inflow")).alias("flow"))

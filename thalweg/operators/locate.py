@@ -1,110 +1,248 @@
-"""Matching places to segments: point in polygon, nearest line, and the rules that order them."""
+"""Matching places to segments: shapes in polygons, nearest lines, and the rules that order them."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from thalweg.functions import geometry as G
 from thalweg.operators import trees
-from thalweg.operators.network import Network, bin_size, bins, edge_rows
+from thalweg.operators.network import Network, bin_size, bins, bins_along, edge_rows
 from thalweg.operators.trees import checkpointed
 
 
-def nearest(points: DataFrame, lines: DataFrame, size: float | None = None) -> DataFrame:
-    """``(loc, segnum, dist, at)``: every line at the least distance of each ``points(loc, x, y)``.
+def _boxed(geoms: DataFrame) -> DataFrame:
+    """Shapes with a vertex of theirs, ``px, py``, and their box; those without a finite coordinate are left out."""
+    points = F.col("points")
+    side = lambda agg, f: agg(F.transform(points, lambda p: p[f]))
+    finite = F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
+    return geoms.where((F.size(points) > 0) & finite).select(
+        "*", G.first(points)["x"].alias("px"), G.first(points)["y"].alias("py"), side(F.array_min, "x").alias("x0"), side(F.array_max, "x").alias("x1"), side(F.array_min, "y").alias("y0"), side(F.array_max, "y").alias("y1")
+    )
+
+
+def shapes(frame: DataFrame) -> DataFrame:
+    """``(loc, kind, points, rings)`` of ``frame(loc, x, y)`` or ``(loc, geometry)`` or ``(loc, rings)``, columns that a row doesn't use being null.
+
+    A line of one vertex is a point. ``points`` are all vertices; a shape
+    without any, or with a coordinate that is null or not finite, is empty.
+    """
+    have = set(frame.columns)
+    rings = F.coalesce("rings", F.array().cast(G.RINGS)) if "rings" in have else F.array().cast(G.RINGS)
+    line = F.coalesce("geometry", F.array().cast(G.LINE)) if "geometry" in have else F.array().cast(G.LINE)
+    if {"x", "y"} <= have:
+        line = F.when((F.size(line) == 0) & F.col("x").isNotNull() & F.col("y").isNotNull(), F.array(G.xyz(F.col("x"), F.col("y")))).otherwise(line)
+    points = F.when(F.size(rings) > 0, F.flatten(rings)).otherwise(line)
+    finite = F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
+    points = F.when(finite, points).otherwise(F.array().cast(G.LINE))
+    kind = F.when(F.size(points) == 0, "empty").when(F.size(rings) > 0, "polygon").when(F.size(points) == 1, "point").otherwise("line")
+    return frame.select("loc", kind.alias("kind"), points.alias("points"), F.when(F.size(rings) > 0, rings).alias("rings"))
+
+
+def nearest_bins(asked: DataFrame, filled: DataFrame, size: float) -> DataFrame:
+    """``(loc, bx, by)``: the bins of ``filled(bx, by)`` that may hold what is nearest to each shape ``asked(loc, px, py, x0, x1, y0, y1)``.
+
+    Goes down a pyramid of bins, each level half as wide as the one above. A
+    bin's best distance is that of the shape's box to it; something lies in
+    it, so its worst is that of the shape's vertex to its farthest corner.
+    Bins whose best is beyond the least worst are dropped at every level, so
+    a shape keeps a few bins however far it is from all of them.
+    """
+    level, widths = filled, [filled]
+    while True:
+        above = level.select(F.floor(F.col("bx") / 2).alias("bx"), F.floor(F.col("by") / 2).alias("by")).distinct()
+        if level.limit(SMALL + 1).count() <= SMALL:
+            break
+        level = checkpointed(above)
+        widths.append(level)
+    near = None
+    for k in range(len(widths) - 1, -1, -1):
+        width, here = size * 2**k, widths[k]
+        if near is None:
+            # At most SMALL bins, listed for every shape.
+            top = [F.struct(F.lit(int(r["bx"])).cast("long").alias("bx"), F.lit(int(r["by"])).cast("long").alias("by")) for r in here.orderBy("bx", "by").limit(SMALL).collect()]
+            if not top:
+                return asked.select("loc", F.lit(0).cast("long").alias("bx"), F.lit(0).cast("long").alias("by")).limit(0)
+            cand = asked.withColumn("_b", F.explode(F.array(*top))).select(*asked.columns, "_b.bx", "_b.by")
+        else:
+            children = here.select(F.floor(F.col("bx") / 2).alias("ux"), F.floor(F.col("by") / 2).alias("uy"), "bx", "by")
+            cand = near.withColumnsRenamed({"bx": "ux", "by": "uy"}).join(children, ["ux", "uy"]).drop("ux", "uy")
+        left, low = F.col("bx") * width, F.col("by") * width
+        gx = F.greatest(left - F.col("x1"), F.col("x0") - left - width, F.lit(0.0))
+        gy = F.greatest(low - F.col("y1"), F.col("y0") - low - width, F.lit(0.0))
+        fx = F.greatest(F.abs(F.col("px") - left), F.abs(F.col("px") - left - width))
+        fy = F.greatest(F.abs(F.col("py") - low), F.abs(F.col("py") - low - width))
+        worst = F.min(F.col("far")).over(Window.partitionBy("loc"))
+        cand = cand.withColumn("close", gx * gx + gy * gy).withColumn("far", (fx * fx + fy * fy) * (1 + 1e-6))
+        near = cand.withColumn("worst", worst).where(F.col("close") <= F.col("worst")).drop("close", "far", "worst")
+        if k:
+            near = checkpointed(near)
+    return near.select("loc", "bx", "by")
+
+
+#: Bins of the top level, each of which every shape is held against.
+SMALL = 64
+
+
+def nearest_shapes(geoms: DataFrame, lines: DataFrame, size: float | None = None) -> DataFrame:
+    """``(loc, segnum, dist)``: every line at the least distance of each shape of ``geoms`` (see ``shapes``), 0 where they meet.
 
-    Points and edges meet by square bins. Within the three by three bins
-    around a point lie all edges closer than a bin's size, so a point is
-    settled once its best distance is no more; the others go on with bins
-    twice as large. An exact join without pairing all points with all lines.
+    Shapes and edges meet by square bins that ``nearest_bins`` picks. Points
+    are measured against the edges in these bins, other shapes against the
+    whole lines of those edges. Lines without an edge are never nearest.
     """
     size = size or bin_size(lines)
     rows = checkpointed(edge_rows(lines))
-    rest = checkpointed(points.select("loc", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
-    found, near = None, [-1, 0, 1]
-    low, high = F.least, F.greatest
+    binned = checkpointed(rows.withColumn("bin", F.explode(bins_along(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"), size))).select(*rows.columns, "bin.bx", "bin.by"))
+    asked = checkpointed(_boxed(geoms.select("loc", "kind", "points", "rings")))
+    picked = checkpointed(nearest_bins(asked.select("loc", "px", "py", "x0", "x1", "y0", "y1"), binned.select("bx", "by").distinct(), size))
+    spots = asked.where("kind = 'point'").select("loc", F.col("px").alias("x"), F.col("py").alias("y"))
     dx, dy = F.col("qx") - F.col("ax"), F.col("qy") - F.col("ay")
     square = dx * dx + dy * dy
-    share = F.when(square > 0, low(high(((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    while rows.limit(1).count() and rest.limit(1).count():
-        edges = rows.withColumn("bin", F.explode(bins(low("ax", "qx"), high("ax", "qx"), low("ay", "qy"), high("ay", "qy"), size))).select(*rows.columns, "bin.bx", "bin.by")
-        around = F.array(*[F.struct((F.floor(F.col("x") / size) + i).alias("bx"), (F.floor(F.col("y") / size) + j).alias("by")) for i in near for j in near])
-        asked = rest.withColumn("bin", F.explode(around)).select("loc", "x", "y", "bin.bx", "bin.by")
-        pairs = asked.join(edges, ["bx", "by"]).withColumn("t", share)
-        pairs = pairs.select(
-            "loc", "segnum", F.sqrt(F.pow(F.col("ax") + dx * F.col("t") - F.col("x"), 2) + F.pow(F.col("ay") + dy * F.col("t") - F.col("y"), 2)).alias("dist"), (F.col("at") + F.col("len") * F.col("t")).alias("at")
-        )
-        best = pairs.groupBy("loc", "segnum").agg(F.min(F.struct("dist", "at")).alias("b")).select("loc", "segnum", "b.dist", "b.at")
-        least = best.groupBy("loc").agg(F.min("dist").alias("least")).where(F.col("least") <= size)
-        settled = checkpointed(best.join(least, "loc").where(F.col("dist") == F.col("least")).drop("least"))
-        found = settled if found is None else found.unionByName(settled)
-        rest = checkpointed(rest.join(settled.select("loc").distinct(), "loc", "left_anti"))
-        size *= 2
-    return found if found is not None else points.sparkSession.createDataFrame([], "loc long, segnum long, dist double, at double")
+    share = F.when(square > 0, F.least(F.greatest(((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    pairs = spots.join(picked, "loc").join(binned, ["bx", "by"]).withColumn("t", share)
+    dist = F.sqrt(F.pow(F.col("ax") + dx * F.col("t") - F.col("x"), 2) + F.pow(F.col("ay") + dy * F.col("t") - F.col("y"), 2))
+    best = pairs.groupBy("loc", "segnum").agg(F.min(dist).alias("dist"))
+    other = asked.where("kind <> 'point'").select("loc", "points", "rings")
+    held = other.join(picked, "loc").join(binned.select("segnum", "bx", "by"), ["bx", "by"]).select("loc", "segnum").distinct()
+    held = held.join(other, "loc").join(lines.select("segnum", "geometry"), "segnum")
+    whole = F.when(F.col("rings").isNotNull(), G.line_polygon_distance(F.col("geometry"), F.col("rings"))).otherwise(G.lines_distance(F.col("geometry"), F.col("points")))
+    best = best.unionByName(held.select("loc", "segnum", whole.alias("dist")))
+    return best.withColumn("least", F.min("dist").over(Window.partitionBy("loc"))).where(F.col("dist") == F.col("least")).drop("least")
+
+
+def nearest(points: DataFrame, lines: DataFrame, size: float | None = None) -> DataFrame:
+    """``(loc, segnum, dist)``: every line at the least distance of each ``points(loc, x, y)``; points without a finite place have none."""
+    return nearest_shapes(shapes(points.select("loc", "x", "y")), lines, size)
 
 
 def in_catchment(points: DataFrame, catchments: DataFrame, size: float) -> DataFrame:
     """``(loc, segnum)`` of the polygons that hold each point, their borders included."""
+    return meeting_catchments(shapes(points.select("loc", "x", "y")), catchments, size).select("loc", "segnum")
+
+
+def meeting_catchments(geoms: DataFrame, catchments: DataFrame, size: float) -> DataFrame:
+    """``(loc, segnum, kind, points, rings, own)`` of the polygons (``own``) that each shape meets, by bins of both boxes."""
     x = lambda agg, f: agg(F.transform(F.element_at("rings", 1), lambda p: p[f]))
-    boxed = catchments.withColumn("bin", F.explode(bins(x(F.array_min, "x"), x(F.array_max, "x"), x(F.array_min, "y"), x(F.array_max, "y"), size))).select("segnum", "rings", "bin.bx", "bin.by")
-    asked = points.select("loc", "x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
-    return asked.join(boxed, ["bx", "by"]).where(G.contains(F.col("rings"), F.struct("x", "y"))).select("loc", "segnum")
+    boxed = catchments.withColumn("bin", F.explode(bins(x(F.array_min, "x"), x(F.array_max, "x"), x(F.array_min, "y"), x(F.array_max, "y"), size))).select("segnum", F.col("rings").alias("own"), "bin.bx", "bin.by")
+    asked = _boxed(geoms).withColumn("bin", F.explode(bins(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), size))).select("loc", "bin.bx", "bin.by", "kind", "points", "rings")
+    meets = F.when(F.col("kind") == "point", G.contains(F.col("own"), G.first(F.col("points")))).when(F.col("kind") == "line", G.line_meets_polygon(F.col("points"), F.col("own"))).otherwise(G.polygons_meet(F.col("rings"), F.col("own")))
+    hit = asked.join(boxed, ["bx", "by"])
+    return hit.dropDuplicates(["loc", "segnum"]).where(meets).select("loc", "segnum", "kind", "points", "rings", "own")
+
+
+@F.pandas_udf(DoubleType())
+def _shared_area(one: pd.Series, two: pd.Series) -> pd.Series:
+    plain = lambda rings: [[(p["x"], p["y"]) for p in r] for r in rings]
+    return pd.Series([G.shared_area(plain(a), plain(b)) if a is not None and b is not None else 0.0 for a, b in zip(one, two, strict=True)])
+
+
+def _by_catchment(network: Network, geoms: DataFrame, least: int | None, size: float) -> DataFrame:
+    """``(loc, segnum)`` of the shapes that meet catchments.
+
+    Of several the one that shares most area wins, the first by position where
+    none does. With ``least`` each is led down to the first segment of that
+    order, else the last there is: those that reach it are preferred, then
+    those whose own and last order are highest, then the area decides.
+    """
+    hit = checkpointed(meeting_catchments(geoms, network.catchments, size))
+    many = F.count(F.lit(1)).over(Window.partitionBy("loc")) > 1
+    hit = checkpointed(hit.withColumn("many", many))
+    area = hit.where("many AND kind = 'polygon'").select("loc", "segnum", _shared_area("rings", "own").alias("area"))
+    hit = hit.select("loc", "segnum").join(area, ["loc", "segnum"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
+    place = network.segments.select("segnum", "pos") if "pos" in network.segments.columns else network.segments.select("segnum", F.col("segnum").alias("pos"))
+    hit = hit.join(place, "segnum")
+    if least is None:
+        by = Window.partitionBy("loc").orderBy(F.desc("area"), "pos", "segnum")
+        return hit.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("loc", "segnum")
+    moved = checkpointed(_climb_down(network, hit.select("loc", F.col("segnum").alias("was"), "area", "pos"), least))
+    orders = network.segments.select(F.col("segnum").alias("was"), F.col("stream_order").alias("order"))
+    down = network.segments.select("segnum", F.col("stream_order").alias("down_order"))
+    ranked = moved.join(orders, "was").join(down, "segnum").withColumn("enough", F.col("down_order") >= least)
+    worth = lambda c: F.when(F.col("enough"), F.lit(0)).otherwise(F.col(c))
+    by = Window.partitionBy("loc").orderBy(F.desc("enough"), F.desc(worth("order")), F.desc(worth("down_order")), F.desc("area"), "pos", "was")
+    return ranked.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("loc", "segnum")
+
+
+def _by_nearest(geoms: DataFrame, lines: DataFrame, short: DataFrame, size: float | None) -> DataFrame:
+    """``(loc, segnum)`` of the nearest of the ``short`` lines. Of several as near, on their whole ``lines``: the one that runs longest
+    through the shape, else the only one that starts on it, else the smallest number."""
+    close = checkpointed(nearest_shapes(geoms, short, size))
+    several = F.count(F.lit(1)).over(Window.partitionBy("loc")) > 1
+    tied = checkpointed(close.withColumn("several", several))
+    some = tied.where("several").select("loc", "segnum").join(geoms.select("loc", "kind", "points", "rings"), "loc").join(lines.select("segnum", "geometry"), "segnum")
+    g, first = F.col("geometry"), G.first(F.col("geometry"))
+    inside = F.when(F.col("kind") == "polygon", G.length_inside(g, F.col("rings"))).otherwise(0.0)
+    on = F.when(F.col("kind") == "polygon", G.contains(F.col("rings"), first)).when(F.col("kind") == "point", (G.first(F.col("points"))["x"] == first["x"]) & (G.first(F.col("points"))["y"] == first["y"])).otherwise(
+        G.project(F.col("points"), first)["dist"] == 0
+    )
+    rules = some.select("loc", "segnum", inside.alias("inside"), F.coalesce(on, F.lit(False)).alias("starts"))
+    alone = (F.count_if(F.col("starts")).over(Window.partitionBy("loc")) == 1) & F.col("starts")
+    by = Window.partitionBy("loc").orderBy(F.desc("inside"), F.desc("alone"), "segnum")
+    chosen = rules.withColumn("alone", alone).withColumn("rn", F.row_number().over(by)).where("rn = 1").select("loc", "segnum")
+    return tied.where("NOT several").select("loc", "segnum").unionByName(chosen)
 
 
 def locate(network: Network, points: DataFrame, *, override: dict | None = None, min_stream_order: int | None = None, downstream_bias: float = 0.0, size: float | None = None) -> DataFrame:
-    """``(loc, method, segnum, seg_ndist, dist_to_seg, link)`` for each of ``points(loc, x, y)``.
-
-    In this order: an override names the segment (None: none); a point without
-    coordinates is "empty"; a point in a catchment takes its segment, or the
-    first of sufficient order downstream of it (else the last); any other the
-    nearest segment of sufficient order, the smallest number where several
-    are as near. ``downstream_bias`` shortens lines before the search for the
-    nearest. The link leads from the point to the segment; unmatched points
-    have the sentinel, a null place and an empty link.
+    """``(loc, method, segnum, seg_ndist, dist_to_seg, link)`` for each of ``points(loc, x, y)``, or of lines or polygons (see ``shapes``).
+
+    In this order: an override names the segment (None: none; unknown ones are
+    dropped); a shape without finite coordinates is "empty"; one that meets
+    catchments takes the segment of the best of them, or the first of
+    sufficient order downstream (else the last); any other the nearest segment
+    of sufficient order, see ``_by_nearest`` for ties. ``downstream_bias``
+    shortens lines before the search for the nearest. A line or polygon
+    counts, from there on, as its point nearest to its segment. The link leads
+    from the point to the segment; unmatched shapes have the sentinel, a null
+    place and an empty link.
     """
     if not -1 <= downstream_bias <= 1:
         raise ValueError("downstream_bias must be between -1 and 1")
+    if override is not None and not isinstance(override, dict):
+        raise TypeError("override must be a dict")
     spark, end = points.sparkSession, network.end
+    geoms = checkpointed(shapes(points))
     lines = network.segments.select("segnum", "geometry", *(["stream_order"] if "stream_order" in network.segments.columns else []))
     given = spark.createDataFrame([(int(k), None if v is None else int(v)) for k, v in (override or {}).items()], "loc long, segnum long")
     given = given.join(network.segments.select("segnum", F.lit(True).alias("_ok")), "segnum", "left").where("_ok OR segnum IS NULL")
-    fixed = points.join(given.select("loc", F.coalesce("segnum", F.lit(end)).alias("segnum")), "loc").select("loc", "segnum", F.lit("override").alias("method"))
-    rest = points.join(fixed.select("loc"), "loc", "left_anti")
-    empty = rest.where("x IS NULL OR y IS NULL").select("loc", F.lit(end).cast("long").alias("segnum"), F.lit("empty").alias("method"))
-    rest = rest.where("x IS NOT NULL AND y IS NOT NULL")
+    fixed = geoms.join(given.select("loc", F.coalesce("segnum", F.lit(end)).alias("segnum")), "loc").select("loc", "segnum", F.lit("override").alias("method"))
+    rest = geoms.join(given.select("loc"), "loc", "left_anti")
+    empty = rest.where("kind = 'empty'").select("loc", F.lit(end).cast("long").alias("segnum"), F.lit("empty").alias("method"))
+    rest = rest.where("kind <> 'empty'")
     parts = [fixed, empty]
     if network.catchments is not None:
-        hit = in_catchment(rest, network.catchments, size or bin_size(lines)).groupBy("loc").agg(F.min("segnum").alias("segnum"))
-        if min_stream_order is not None:
-            hit = _climb_down(network, hit, min_stream_order)
-        hit = checkpointed(hit)
+        hit = checkpointed(_by_catchment(network, rest, min_stream_order, size or bin_size(lines)))
         parts.append(hit.select("loc", "segnum", F.lit("catchment").alias("method")))
         rest = rest.join(hit.select("loc"), "loc", "left_anti")
     if min_stream_order is not None:
         top = network.segments.agg(F.max("stream_order")).first()[0]
         lines = lines.where(F.col("stream_order") >= min(min_stream_order, top))
     short = lines if downstream_bias == 0 else lines.withColumn("geometry", G.bias_substring(F.col("geometry"), downstream_bias))
-    by = Window.partitionBy("loc").orderBy("segnum")
-    close = nearest(rest, short.select("segnum", "geometry"), size).withColumn("rn", F.row_number().over(by)).where("rn = 1")
-    parts.append(close.select("loc", "segnum", F.lit("nearest").alias("method")))
+    parts.append(_by_nearest(rest, lines, short.select("segnum", "geometry"), size).select("loc", "segnum", F.lit("nearest").alias("method")))
     matched = parts[0]
     for p in parts[1:]:
         matched = matched.unionByName(p)
-    full = points.select("loc", "x", "y").join(matched, "loc").join(network.segments.select("segnum", "geometry"), "segnum", "left")
-    spot = G.project(F.col("geometry"), F.struct("x", "y"))
-    full = full.withColumn("spot", spot).withColumn("foot", F.when(F.col("spot").isNotNull(), G.interpolate(F.col("geometry"), F.col("spot.ndist"))))
-    on = F.col("geometry").isNotNull() & F.col("x").isNotNull()
-    link = F.when(on, F.array(G.xyz(F.col("x"), F.col("y"), None), G.xyz(F.col("foot.x"), F.col("foot.y"), None))).otherwise(F.array().cast(G.LINE))
+    full = geoms.join(matched, "loc").join(network.segments.select("segnum", "geometry"), "segnum", "left")
+    on = F.col("geometry").isNotNull() & (F.col("kind") != "empty")
+    target = G.edges(F.col("geometry"))
+    middle = F.when(G.contains(F.col("rings"), G.first(F.col("geometry"))), G.first(F.col("geometry"))).otherwise(G.nearest_point(G.ring_edges(F.col("rings")), target))
+    own = F.when(F.col("kind") == "point", G.first(F.col("points"))).when(F.col("kind") == "line", G.nearest_point(G.edges(F.col("points")), target)).otherwise(middle)
+    full = full.withColumn("own", F.when(on, own)).withColumn("spot", F.when(on, G.project(F.col("geometry"), F.col("own")))).withColumn("foot", F.when(on, G.interpolate(F.col("geometry"), F.col("spot.ndist"))))
+    link = F.when(on, F.array(G.xyz(F.col("own.x"), F.col("own.y"), None), G.xyz(F.col("foot.x"), F.col("foot.y"), None))).otherwise(F.array().cast(G.LINE))
     return full.select("loc", "method", "segnum", F.when(on, F.col("spot.ndist")).alias("seg_ndist"), F.when(on, F.col("spot.dist")).alias("dist_to_seg"), link.alias("link"))
 
 
 def _climb_down(network: Network, hit: DataFrame, least: int) -> DataFrame:
-    """Each match moved to the first segment downstream of order ``least`` or more, else the last there is."""
-    paths = trees.downstream_of(network.segments, hit.select("segnum").distinct(), network.end).join(network.segments.select("segnum", "stream_order"), "segnum")
-    order = F.when(F.col("stream_order") >= least, F.struct(F.lit(0).alias("late"), F.col("depth").alias("d"))).otherwise(F.struct(F.lit(1).alias("late"), (-F.col("depth")).alias("d")))
-    target = paths.groupBy(F.col("start").alias("was")).agg(F.min_by("segnum", order).alias("segnum"))
-    return hit.withColumnRenamed("segnum", "was").join(target, "was").select("loc", "segnum")
+    """``hit(was, ...)`` with ``segnum``: the segment itself or the first downstream of it of order ``least`` or more, else the last there is."""
+    enough = network.segments.where(F.col("stream_order") >= least).select("segnum")
+    edges = network.segments.select("segnum", "to_segnum")
+    onward = trees.next_stop(edges, enough, network.end)
+    outlets = network.segments.select("segnum", "cat_group") if "cat_group" in network.segments.columns else trees.climb(edges, network.end).select("segnum", "cat_group")
+    target = outlets.join(onward, "segnum", "left").join(enough.withColumn("_own", F.lit(True)), "segnum", "left")
+    target = target.select(F.col("segnum").alias("was"), F.when(F.col("_own"), F.col("segnum")).otherwise(F.coalesce("stop", "cat_group")).alias("segnum"))
+    return hit.join(target, "was")
 
 
 def set_diversions(network: Network, diversions: DataFrame, **kwargs) -> Network:

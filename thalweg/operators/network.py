@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,25 @@ def bins(xmin: Column, xmax: Column, ymin: Column, ymax: Column, size: float) ->
     return F.flatten(F.transform(span(xmin, xmax), lambda bx: F.transform(span(ymin, ymax), lambda by: F.struct(bx.alias("bx"), by.alias("by")))))
 
 
+def bins_along(ax: Column, ay: Column, bx: Column, by: Column, size: float) -> Column:
+    """The bins that an edge passes, as ``array<struct<bx, by>>``: for each column of bins the rows between where the edge enters and leaves it.
+
+    One more row is taken on either side of borders that rounding could shift,
+    so the count grows with the edge's length, not with its box.
+    """
+    low, high = F.least(ax, bx), F.greatest(ax, bx)
+    slope = F.when(ax != bx, (by - ay) / (bx - ax)).otherwise(0.0)
+
+    def rows(col: Column) -> Column:
+        x0, x1 = F.greatest(col * size, low), F.least((col + 1) * size, high)
+        y0 = F.when(ax == bx, F.least(ay, by)).otherwise(ay + (x0 - ax) * slope)
+        y1 = F.when(ax == bx, F.greatest(ay, by)).otherwise(ay + (x1 - ax) * slope)
+        slack = 1e-9 * (1 + F.abs(y0) + F.abs(y1))
+        return F.transform(F.sequence(F.floor((F.least(y0, y1) - slack) / size), F.floor((F.greatest(y0, y1) + slack) / size)), lambda row: F.struct(col.alias("bx"), row.alias("by")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / size), F.floor(high / size)), rows))
+
+
 def edge_rows(lines: DataFrame) -> DataFrame:
     """One row per edge: ``segnum, edge, ax, ay, az, bx_, by_, bz, at, len``."""
     return lines.select("segnum", F.posexplode(G.measured(F.col("geometry"))).alias("edge", "e")).select(
@@ -78,14 +97,53 @@ def outlets_in_middle(lines: DataFrame, ends: DataFrame, links: DataFrame, size:
     points = ends.join(links, "segnum", "left_anti").join(spared, "segnum", "left_anti").select("segnum", "ex", "ey", F.floor(F.col("ex") / size).alias("bx"), F.floor(F.col("ey") / size).alias("by"))
     low, high = F.least, F.greatest
     rows = edge_rows(lines).select(
-        F.col("segnum").alias("other"), "ax", "ay", "qx", "qy", F.explode(bins(low("ax", "qx"), high("ax", "qx"), low("ay", "qy"), high("ay", "qy"), size)).alias("bin")
+        F.col("segnum").alias("other"), "ax", "ay", "qx", "qy", F.explode(bins_along(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"), size)).alias("bin")
     ).select("other", "ax", "ay", "qx", "qy", "bin.bx", "bin.by")
     cross = (F.col("qx") - F.col("ax")) * (F.col("ey") - F.col("ay")) - (F.col("qy") - F.col("ay")) * (F.col("ex") - F.col("ax"))
     inside = F.col("ex").between(low("ax", "qx"), high("ax", "qx")) & F.col("ey").between(low("ay", "qy"), high("ay", "qy"))
     return points.join(rows, ["bx", "by"]).where((cross == 0) & inside & (F.col("segnum") != F.col("other"))).select("segnum", "other").distinct()
 
 
-@dataclass(frozen=True)
+def check_catchments(lines: DataFrame, catchments: DataFrame) -> None:
+    """ValueError unless ``catchments(segnum, rings)`` has one polygon for each line and no other, and all are polygons."""
+    odd = lines.select("segnum").join(catchments.select("segnum", F.lit(1).alias("_c")), "segnum", "full").where("_c IS NULL").limit(1).count()
+    if odd or catchments.count() != lines.count():
+        raise ValueError("polygons.index is different than lines.index")
+    if catchments.where(F.coalesce(F.size("rings"), F.lit(0)).__lt__(1) | F.exists("rings", lambda r: F.size(r) < 4)).limit(1).count():
+        raise ValueError("polygons must all be Polygon types")
+
+
+def beside_catchments(lines: DataFrame, catchments: DataFrame) -> DataFrame:
+    """``(segnum)`` of the lines that don't meet their own catchment."""
+    return lines.select("segnum", "geometry").join(catchments.select("segnum", "rings"), "segnum").where(~G.line_meets_polygon(F.col("geometry"), F.col("rings"))).select("segnum")
+
+
+def problems(lines: DataFrame, ends: DataFrame, links: DataFrame, catchments: DataFrame | None = None) -> DataFrame:
+    """``(level, kind, rank, segnum, message)`` of all that is wrong with the lines, as one frame."""
+    text = lambda c: F.col(c).cast("string")
+    ids = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+
+    def named(df: DataFrame, level: str, kind: str, rank: int, segnum, *message) -> DataFrame:
+        return df.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), segnum.cast("long").alias("segnum"), F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message]).alias("message"))
+
+    seg = F.col("segnum")
+    found = [
+        named(links.where(F.size("matches") > 1), "error", "several downstream", 1, seg, "ending segment ", text("segnum"), " matches more than one downstream segment: ", ids("matches")),
+        named(z_mismatches(ends, links), "warning", "height differs", 2, seg, "ending segment ", text("segnum"), " matches starting segment ", text("to_segnum"), " in 2D, but not in Z dimension (",
+              F.coalesce(text("end_z"), F.lit("none")), " and ", F.coalesce(text("start_z"), F.lit("none")), ")"),
+        named(shared_outlets(ends, links), "warning", "outlets meet", 3, F.col("segnums")[0], "ending coordinate (", text("x"), ", ", text("y"), ") matches end segments: ", ids("segnums")),
+        named(outlets_in_middle(lines, ends, links), "error", "outlet in the middle", 4, seg, "segment ", text("segnum"), " connects to the middle of segment ", text("other")),
+        named(shared_starts(ends, links), "error", "starts meet", 5, seg, "starting segment ", text("segnum"), " matches start segments: ", ids("others")),
+    ]
+    if catchments is not None:
+        found.append(named(beside_catchments(lines, catchments), "error", "beside catchment", 6, seg, "segment ", text("segnum"), " does not intersect its polygon"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@dataclass(frozen=True, repr=False)
 class Network:
     """``segments`` (a row per segment, ``pos`` its place in the input), the sentinel ``end`` and what rides along."""
 
@@ -93,8 +151,47 @@ class Network:
     end: int = 0
     catchments: DataFrame | None = None
     diversions: DataFrame | None = None
-    errors: list[str] = field(default_factory=list)
-    warnings: list[str] = field(default_factory=list)
+    #: ``(level, kind, segnum, message)``: all that is wrong with the lines, a row each.
+    problems: DataFrame | None = None
+
+    def _messages(self, level: str, listed: int = 1000) -> list[str]:
+        """The first messages of a level; where there are more, the last entry says how many."""
+        if self.problems is None:
+            return []
+        mine = self.problems.where(F.col("level") == level)
+        out = [r["message"] for r in mine.orderBy("rank", "segnum", "message").limit(listed + 1).collect()]
+        return out if len(out) <= listed else [*out[:listed], f"... and {mine.count() - listed} more, see problems"]
+
+    @property
+    def errors(self) -> list[str]:
+        return self._messages("error")
+
+    @property
+    def warnings(self) -> list[str]:
+        return self._messages("warning")
+
+    def __repr__(self) -> str:
+        ids = [r[0] for r in self.segments.select("segnum").orderBy("segnum").limit(8).collect()]
+        n = len(self)
+        shown = ", ".join(map(str, ids if n <= 8 else ids[:4])) + (", ..." if n > 8 else "")
+        extra = "".join(f" with {name}" for name in ("catchments", "diversions") if getattr(self, name) is not None)
+        return f"<Network: {n} segments [{shown}], end {self.end}{extra}>"
+
+    def __iter__(self):
+        """Name and value of each part, as a mapping takes them."""
+        return iter([(f.name, getattr(self, f.name)) for f in fields(self)])
+
+    def with_catchments(self, catchments: DataFrame | None) -> Network:
+        """With ``catchments(segnum, rings)``, one a segment, or None for without. Upstream areas and widths are worked out where segments have none yet."""
+        if catchments is None:
+            return replace(self, catchments=None)
+        check_catchments(self.segments, catchments)
+        made = replace(self, catchments=catchments)
+        if "upstream_area" not in self.segments.columns:
+            made = replace(made, segments=self.segments.join(made.upstream_area().withColumnRenamed("accumulated", "upstream_area"), "segnum"))
+        if "width" not in self.segments.columns:
+            made = replace(made, segments=made.segments.join(made.estimate_width(), "segnum"))
+        return made
 
     @classmethod
     def wrap(cls, segments: DataFrame, end: int = 0, **kwargs) -> Network:
@@ -188,7 +285,7 @@ def from_lines(lines: DataFrame, catchments: DataFrame | None = None) -> Network
     Adds ``to_segnum, from_segnums, cat_group, num_to_outlet, dist_to_outlet,
     sequence, stream_order, upstream_length`` (and with catchments
     ``upstream_area, width``); what is wrong with the lines is told in
-    ``errors`` and ``warnings``.
+    ``problems``, a row each, and listed in ``errors`` and ``warnings``.
     """
     state = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.size("geometry"), F.lit(0)) < 2).alias("bad")).first()
     if not state["n"]:
@@ -196,23 +293,14 @@ def from_lines(lines: DataFrame, catchments: DataFrame | None = None) -> Network
     if state["bad"]:
         raise ValueError("lines must all be LineString types")
     if catchments is not None:
-        odd = lines.select("segnum").join(catchments.select("segnum", F.lit(1).alias("_c")), "segnum", "full").where("_c IS NULL").limit(1).count()
-        if odd or catchments.count() != state["n"]:
-            raise ValueError("polygons.index is different than lines.index")
+        check_catchments(lines, catchments)
+        apart = beside_catchments(lines, catchments).count()
+        if apart == state["n"]:
+            raise ValueError("lines do not intersect their polygons")
     end = sentinel(lines)
     ends = checkpointed(endpoints(lines))
     links = checkpointed(downstream_links(ends))
-    errors, warnings = [], []
-    for r in links.where(F.size("matches") > 1).orderBy("segnum").limit(100).collect():
-        errors.append(f"ending segment {r['segnum']} matches more than one downstream segment: {r['matches']}")
-    for r in z_mismatches(ends, links).orderBy("segnum").limit(100).collect():
-        warnings.append(f"ending segment {r['segnum']} matches starting segment {r['to_segnum']} in 2D, but not in Z dimension ({r['end_z']} and {r['start_z']})")
-    for r in shared_outlets(ends, links).limit(100).collect():
-        warnings.append(f"ending coordinate {(r['x'], r['y'])} matches end segments: {r['segnums']}")
-    for r in outlets_in_middle(lines, ends, links).orderBy("segnum").limit(100).collect():
-        errors.append(f"segment {r['segnum']} connects to the middle of segment {r['other']}")
-    for r in shared_starts(ends, links).orderBy("segnum").limit(100).collect():
-        errors.append(f"starting segment {r['segnum']} matches start segments: {r['others']}")
+    found = checkpointed(problems(lines, ends, links, catchments))
     base = checkpointed(
         lines.join(links.select("segnum", "to_segnum"), "segnum", "left").withColumn("to_segnum", F.coalesce("to_segnum", F.lit(end)))
         .withColumn("length", G.length(F.col("geometry")))
@@ -231,7 +319,7 @@ def from_lines(lines: DataFrame, catchments: DataFrame | None = None) -> Network
     if catchments is not None:
         full = full.withColumn("width", 1.42 + F.pow(F.col("upstream_area") / 1e6, F.lit(0.52)))
         columns += ["upstream_area", "width"]
-    return Network(checkpointed(full.select(*columns)), end, catchments, None, errors, warnings)
+    return Network(checkpointed(full.select(*columns)), end, catchments, None, found)
 
 
 def pair_segments(network: Network, values: DataFrame, *, out: DataFrame | float | None = None, method: str = "continuous") -> DataFrame:

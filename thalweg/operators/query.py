@@ -105,19 +105,26 @@ def location_pairs(locations: DataFrame, network: Network, *, all_pairs: bool =
         raise ValueError("loc_df has segnum values not found in surface water network")
     placed = checkpointed(placed)
     last = placed.orderBy(F.desc("sequence"), F.desc("seg_ndist"), F.desc("loc")).limit(1).select("loc")
-    starts = placed.join(last, "loc", "left_anti")
     edges = network.segments.select("segnum", "to_segnum")
     if exclude_branches:
         branched = network.segments.where(F.size("from_segnums") > 1).select(F.col("segnum").alias("to_segnum"), F.lit(True).alias("_b"))
         edges = edges.join(branched, "to_segnum", "left").select("segnum", F.when(F.col("_b"), F.lit(network.end)).otherwise(F.col("to_segnum")).alias("to_segnum"))
-    paths = trees.downstream_of(edges, starts.select("segnum").distinct(), network.end)
-    a = starts.select(F.col("loc").alias("upstream"), F.col("segnum").alias("start"), F.col("seg_ndist").alias("us"))
-    b = placed.select(F.col("loc").alias("downstream"), "segnum", F.col("seg_ndist").alias("ds"))
-    every = paths.join(a, "start").join(b, "segnum").where((F.col("depth") > 0) | (F.struct("ds", "downstream") > F.struct("us", "upstream")))
+    # Only segments with locations matter: each is led to the next one downstream, however far it is.
+    located = checkpointed(placed.select("segnum").distinct())
+    ways = checkpointed(trees.next_stop(edges, located, network.end).join(located, "segnum", "left_semi"))
     if all_pairs:
-        return every.select("upstream", "downstream")
-    near = Window.partitionBy("upstream").orderBy("depth", "ds", "downstream")
-    return every.withColumn("rn", F.row_number().over(near)).where("rn = 1").select("upstream", "downstream")
+        below = trees.downstream_of(located.join(ways, "segnum", "left").select("segnum", F.coalesce("stop", F.lit(network.end)).alias("to_segnum")), located, network.end).where("depth > 0")
+        a = placed.select(F.col("loc").alias("upstream"), F.col("segnum").alias("start"), F.col("seg_ndist").alias("us"))
+        b = placed.select(F.col("loc").alias("downstream"), "segnum", F.col("seg_ndist").alias("ds"))
+        own = a.withColumnRenamed("start", "segnum").join(b, "segnum").where(F.struct("ds", "downstream") > F.struct("us", "upstream")).select("upstream", "downstream")
+        pairs = a.join(below.select("start", "segnum"), "start").join(b, "segnum").select("upstream", "downstream").unionByName(own)
+    else:
+        along = Window.partitionBy("segnum").orderBy("seg_ndist", "loc")
+        first = placed.groupBy("segnum").agg(F.min(F.struct("seg_ndist", "loc")).alias("f")).select(F.col("segnum").alias("stop"), F.col("f.loc").alias("first"))
+        stepped = placed.select("loc", "segnum", F.lead("loc").over(along).alias("next"))
+        onward = ways.join(first, "stop").select("segnum", "first")
+        pairs = stepped.join(onward, "segnum", "left").select(F.col("loc").alias("upstream"), F.coalesce("next", "first").alias("downstream")).where("downstream IS NOT NULL")
+    return pairs.join(last.withColumnRenamed("loc", "upstream"), "upstream", "left_anti")
 
 
 def location_pair_lines(pairs: DataFrame, locations: DataFrame, network: Network) -> DataFrame:
@@ -143,13 +150,11 @@ def reach_links(reaches: DataFrame, network: Network) -> DataFrame:
     along = Window.partitionBy("segnum").orderBy("ireach")
     stepped = checkpointed(rows.withColumn("next", F.lead("ridx").over(along)).withColumn("is_first", F.row_number().over(along) == 1))
     firsts = stepped.where("is_first").select("segnum", F.col("ridx").alias("first"))
-    # Segments without a reach are passed over: their links are shortened by walking down to the first that has one.
-    edges = network.segments.select("segnum", "to_segnum")
-    stops = firsts.select("segnum")
-    lasts = stepped.where("next IS NULL").select("ridx", "segnum").join(edges, "segnum")
-    paths = trees.downstream_of(edges, lasts.select(F.col("to_segnum").alias("segnum")).distinct(), network.end, stop=stops)
-    target = paths.join(firsts, "segnum").select(F.col("start").alias("to_segnum"), F.col("first"))
-    jumped = lasts.join(target, "to_segnum", "left").select("ridx", F.coalesce("first", F.lit(0)).cast("long").alias("to_ridx"))
+    # Segments without a reach are passed over.
+    lasts = stepped.where("next IS NULL").select("ridx", "segnum")
+    onward = trees.next_stop(network.segments.select("segnum", "to_segnum"), firsts.select("segnum"), network.end)
+    target = onward.join(firsts.withColumnRenamed("segnum", "stop"), "stop").select("segnum", "first")
+    jumped = lasts.join(target, "segnum", "left").select("ridx", F.coalesce("first", F.lit(0)).cast("long").alias("to_ridx"))
     return stepped.where("next IS NOT NULL").select("ridx", F.col("next").cast("long").alias("to_ridx")).unionByName(jumped)
 
 

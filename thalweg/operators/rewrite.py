@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,35 @@ def coarsen(network: Network, level: int) -> Network:
     lines = parts.groupBy("segnum").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "geometry"))), lambda x: x["geometry"]).alias("lines"), F.max_by("pos", "k").alias("pos")
     )
-    made = from_lines(lines.select("segnum", "pos", G.merge_lines(F.col("lines")).alias("geometry")))
+    catchments, members = None, None
+    if network.catchments is not None:
+        members = checkpointed(coarse_patches(network, level, table))
+        catchments = checkpointed(dissolved(network.catchments, members.withColumnRenamed("chain", "patch")))
+    made = from_lines(lines.select("segnum", "pos", G.merge_lines(F.col("lines")).alias("geometry")), catchments)
     segments = made.segments.withColumn("stream_order", F.col("stream_order") + level - 1).join(table.select("segnum", "traced_segnums"), "segnum")
-    return Network(segments, made.end, None, None, made.errors, made.warnings)
+    if members is not None:
+        listed = members.groupBy(F.col("chain").alias("segnum")).agg(F.array_sort(F.collect_list("segnum")).alias("catchment_segnums"))
+        segments = segments.join(listed, "segnum")
+    return Network(checkpointed(segments), made.end, catchments, None, made.problems)
+
+
+def coarse_patches(network: Network, level: int, table: DataFrame) -> DataFrame:
+    """``(segnum, chain)``: the chain of the coarser network that each segment drains into: its own, or the first below that is kept."""
+    kept = table.select(F.col("segnum").alias("chain"), F.explode("traced_segnums").alias("segnum"))
+    cut = network.segments.select("segnum", "to_segnum").join(kept.select("segnum", F.lit(True).alias("_k")), "segnum", "left")
+    up = trees.climb(cut.select("segnum", F.when(F.col("_k"), F.lit(network.end)).otherwise(F.col("to_segnum")).alias("to_segnum")), network.end)
+    return up.select("segnum", F.col("cat_group").alias("root")).join(kept.withColumnRenamed("segnum", "root"), "root").select("segnum", "chain")
+
+
+def dissolved(catchments: DataFrame, patches: DataFrame) -> DataFrame:
+    """``(segnum, rings)``: the outline of the catchments of each patch of ``patches(segnum, patch)``; a patch of one keeps its polygon as it is."""
+    def joined(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        plain = [[(p["x"], p["y"]) for p in ring] for rings in part["rings"] for ring in rings]
+        whole = list(part["rings"].iloc[0]) if len(part) == 1 else [[{"x": x, "y": y, "z": None} for x, y in ring] for ring in G.dissolve(plain)]
+        return pd.DataFrame({"segnum": [key[0]], "rings": [whole]})
+
+    # Sides that two members share vanish before the outline is linked, so only the patch's own rings meet in one call.
+    return catchments.select("segnum", "rings").join(patches, "segnum").groupBy("patch").applyInPandas(joined, f"segnum long, rings {G.RINGS}")
 
 
 def aggregate_patches(network: Network, junctions: DataFrame) -> DataFrame:
@@ -80,3 +107,47 @@ def junction_set(network: Network, junctions: DataFrame) -> DataFrame:
     above = flags.join(forks, F.col("to_segnum") == F.col("node"))
     extra = above.where((~F.col("g")) & ((F.col("has_given") & ~F.col("t")) | (F.col("traced") > 1) & F.col("t"))).select("segnum")
     return junctions.select("segnum", F.lit(True).alias("given")).unionByName(extra.select("segnum", F.lit(False).alias("given")))
+
+
+def aggregate_table(network: Network, junctions: DataFrame, follow_up: str = "upstream_length") -> DataFrame:
+    """``(segnum, agg_patch, agg_path, agg_unpath)`` of the network aggregated at junctions.
+
+    A patch is what drains to its junction without passing another. Its path
+    leads up from the junction: along the way that traced segments take if
+    another junction flows into the patch, else along the tributary with the
+    largest ``follow_up``, the smallest number of equals. ``agg_path`` goes
+    upwards, ``agg_unpath`` lists the tributaries beside it in that order.
+    """
+    if follow_up not in network.segments.columns:
+        raise ValueError(f"cannot find {follow_up!r} column in segments")
+    every = checkpointed(junction_set(network, junctions))
+    patches = checkpointed(aggregate_patches(network, junctions))
+    traced = trees.downstream_of(network.segments, junctions.select("segnum"), network.end).select("segnum").distinct()
+    links = network.segments.select("segnum", "to_segnum", F.col(follow_up).alias("worth"))
+    inner = every.select("segnum").join(links.select("segnum", "to_segnum"), "segnum").join(patches.select(F.col("segnum").alias("to_segnum"), "patch"), "to_segnum").select("patch").distinct().withColumn("_inner", F.lit(True))
+    rows = links.join(patches, "segnum").join(inner, "patch", "left").join(traced.withColumn("_t", F.lit(True)), "segnum", "left").join(every.select("segnum", F.lit(True).alias("_j")), "segnum", "left")
+    rows = checkpointed(rows.select("segnum", "to_segnum", "patch", "worth", F.coalesce("_inner", F.lit(False)).alias("inner"), F.coalesce("_t", F.lit(False)).alias("t"), F.coalesce("_j", F.lit(False)).alias("j")))
+    # The tributary that a path goes on to from each segment.
+    open_rows = rows.where("NOT j AND (t OR NOT inner)")
+    best = open_rows.groupBy("to_segnum").agg(F.max(F.struct("worth", (-F.col("segnum")).alias("less"))).alias("b")).select((-F.col("b.less")).alias("segnum"), F.lit(True).alias("_best"))
+    cut = rows.join(best, "segnum", "left").select("segnum", F.when(F.col("j") | F.col("_best").isNull(), F.lit(network.end)).otherwise(F.col("to_segnum")).alias("to_segnum"), "patch")
+    up = trees.climb(cut.select("segnum", "to_segnum"), network.end).select("segnum", F.col("cat_group").alias("root"), "num_to_outlet")
+    on = checkpointed(cut.join(up, "segnum").where("root = patch").select("segnum", "patch", F.col("num_to_outlet").alias("depth")))
+    path = on.groupBy("patch").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "segnum"))), lambda x: x["segnum"]).alias("agg_path"))
+    beside = network.segments.select("segnum", "to_segnum").join(on.select(F.col("segnum").alias("to_segnum"), "patch", "depth"), "to_segnum").join(on.select("segnum", F.col("patch").alias("_own")), "segnum", "left")
+    beside = beside.where(F.col("_own").isNull() | (F.col("_own") != F.col("patch")))
+    unpath = beside.groupBy("patch").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "segnum"))), lambda x: x["segnum"]).alias("agg_unpath"))
+    whole = patches.groupBy("patch").agg(F.array_sort(F.collect_list("segnum")).alias("agg_patch"))
+    return whole.join(path, "patch").join(unpath, "patch", "left").select(F.col("patch").alias("segnum"), "agg_patch", "agg_path", F.coalesce("agg_unpath", F.array().cast("array<bigint>")).alias("agg_unpath"))
+
+
+def aggregate(network: Network, junctions: DataFrame, follow_up: str = "upstream_length") -> Network:
+    """The network with one segment for each junction, see ``aggregate_table``: its path as one line, its patch's catchments as one polygon."""
+    table = checkpointed(aggregate_table(network, junctions, follow_up))
+    parts = table.select("segnum", F.posexplode("agg_path").alias("k", "part")).join(network.segments.select(F.col("segnum").alias("part"), "geometry", "pos"), "part")
+    lines = parts.groupBy("segnum").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "geometry"))), lambda x: x["geometry"]).alias("lines"), F.min_by("pos", "k").alias("pos"))
+    catchments = None
+    if network.catchments is not None:
+        catchments = checkpointed(dissolved(network.catchments, table.select(F.col("segnum").alias("patch"), F.explode("agg_patch").alias("segnum"))))
+    made = from_lines(lines.select("segnum", "pos", G.merge_lines(F.col("lines")).alias("geometry")), catchments)
+    return Network(checkpointed(made.segments.join(table, "segnum")), made.end, catchments, None, made.problems)

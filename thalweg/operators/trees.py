@@ -14,62 +14,100 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 60
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what ``spark.checkpoint.dir`` names, else the context's checkpoint directory.
+
+    Where neither is set, a session on one machine gets a temporary folder; on
+    a cluster that is an error, since executors wouldn't see it.
+    """
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (None if given.isEmpty() else given.get())
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="thalweg-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if given.isEmpty():
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary folder serves only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="thalweg-")
-            atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(folder)
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def climb(edges: DataFrame, end: int, *, length: str | None = None, values: tuple[str, ...] = ()) -> DataFrame:
+def climb(edges: DataFrame, end: int, *, length: str | None = None, values: tuple[str, ...] = (), mins: tuple[str, ...] = ()) -> DataFrame:
     """Outlet recursion and upstream sums in one pass of pointer doubling.
 
     ``edges`` holds ``segnum, to_segnum`` and the columns named. Adds
     ``cat_group`` (outlet), ``num_to_outlet`` (1 at the outlet),
-    ``dist_to_outlet`` (own length included) and ``up_<value>`` (own value and
-    all upstream). Each round joins the state with itself once and sums once,
-    so depth d takes about log2(d) rounds and the state stays one row a
-    segment. Segments on or above a cycle keep ``end``, 0 and 0.
+    ``dist_to_outlet`` (own length included), ``up_<value>`` (sum of own value
+    and all upstream) and ``least_<min>`` (smallest of these). Only rows that
+    still have a way to go look their next jump up, so finished ones don't
+    gather on one key. A round is one join and, with values, one combinable
+    aggregation; depth d takes about log2(d) rounds and the state stays one
+    row a segment. Segments on or above a cycle keep ``end``, 0 and 0.
     """
     size = F.col(length) if length else F.lit(1.0)
+    sums, lows = [f"up_{v}" for v in values], [f"least_{v}" for v in mins]
     state = checkpointed(
         edges.select(
             F.col("segnum"), F.col("to_segnum").alias("jump"), F.col("segnum").alias("root"), F.lit(1).cast("long").alias("hops"),
-            size.cast("double").alias("dist"), *[F.col(v).cast("double").alias(f"up_{v}") for v in values],
+            size.cast("double").alias("dist"), *[F.col(v).cast("double").alias(f"up_{v}") for v in values], *[F.col(v).cast("double").alias(f"least_{v}") for v in mins],
         )
     )
-    total = state.count()
+    going = F.col("jump") != end
+    look = lambda s: s.agg(F.count(F.lit(1)).alias("n"), F.count_if(going).alias("live"), F.min(F.when(going, F.col("hops"))).alias("shortest")).first()
+    seen = look(state)
     for _ in range(MAX_ROUNDS):
-        live = state.where(F.col("jump") != end)
-        if live.limit(1).count() == 0:
+        # On a cycle jumps never end; once every live path is longer than the network, only cycles are left.
+        if not seen["live"] or seen["shortest"] > seen["n"]:
             break
+        live, done = state.where(going), state.where(~going)
         ahead = state.select(F.col("segnum").alias("jump"), F.col("jump").alias("n_jump"), F.col("root").alias("n_root"), F.col("hops").alias("n_hops"), F.col("dist").alias("n_dist"))
-        moved = state.join(ahead, "jump", "left").select(
+        moved = live.join(ahead, "jump", "left").select(
             "segnum", F.coalesce("n_jump", F.lit(end)).alias("jump"), F.coalesce("n_root", "root").alias("root"),
-            (F.col("hops") + F.coalesce("n_hops", F.lit(0))).alias("hops"), (F.col("dist") + F.coalesce("n_dist", F.lit(0.0))).alias("dist"), *[f"up_{v}" for v in values],
-        )
-        if values:
-            below = live.groupBy(F.col("jump").alias("segnum")).agg(*[F.sum(f"up_{v}").alias(f"in_{v}") for v in values])
+            (F.col("hops") + F.coalesce("n_hops", F.lit(0))).alias("hops"), (F.col("dist") + F.coalesce("n_dist", F.lit(0.0))).alias("dist"), *sums, *lows,
+        ).unionByName(done)
+        if sums or lows:
+            below = live.groupBy(F.col("jump").alias("segnum")).agg(*[F.sum(c).alias(f"in_{c}") for c in sums], *[F.min(c).alias(f"in_{c}") for c in lows])
             moved = moved.join(below, "segnum", "left").select(
-                "segnum", "jump", "root", "hops", "dist", *[(F.col(f"up_{v}") + F.coalesce(f"in_{v}", F.lit(0.0))).alias(f"up_{v}") for v in values]
-            )
+                "segnum", "jump", "root", "hops", "dist", *[(F.col(c) + F.coalesce(f"in_{c}", F.lit(0.0))).alias(c) for c in sums],
+                *[F.least(F.col(c), F.col(f"in_{c}")).alias(c) for c in lows],
+            )
         state = checkpointed(moved)
-        # On a cycle jumps never end; once every live path is longer than the network, only cycles are left.
-        shortest = state.where(F.col("jump") != end).agg(F.min("hops")).first()[0]
-        if shortest is not None and shortest > total:
-            break
+        seen = look(state)
     done = F.col("jump") == end
     return state.select(
         "segnum", F.when(done, F.col("root")).otherwise(F.lit(end)).cast("long").alias("cat_group"), F.when(done, F.col("hops")).otherwise(0).cast("int").alias("num_to_outlet"),
-        F.when(done, F.col("dist")).otherwise(0.0).alias("dist_to_outlet"), *[f"up_{v}" for v in values],
+        F.when(done, F.col("dist")).otherwise(0.0).alias("dist_to_outlet"), *sums, *lows,
     )
 
 
+def next_stop(edges: DataFrame, stops: DataFrame, end: int) -> DataFrame:
+    """``(segnum, stop)``: the first of ``stops(segnum)`` strictly downstream of each segment that has one.
+
+    Pointers double until they meet a stop, so the state stays one row a
+    segment however long the ways are, and settled rows don't move any more.
+    """
+    known = stops.select(F.col("segnum").alias("jump"), F.lit(True).alias("_stop")).distinct()
+    state = edges.where(F.col("to_segnum") != end).select("segnum", F.col("to_segnum").alias("jump")).join(known, "jump", "left")
+    state = checkpointed(state.select("segnum", "jump", F.coalesce("_stop", F.lit(False)).alias("settled")))
+    for _ in range(MAX_ROUNDS):
+        live = state.where(~F.col("settled"))
+        if not live.limit(1).count():
+            break
+        ahead = state.select(F.col("segnum").alias("jump"), F.col("jump").alias("n_jump"), F.col("settled").alias("n_settled"))
+        # A way without a stop ends where no row goes on.
+        moved = live.join(ahead, "jump").where(F.col("segnum") != F.col("n_jump")).select("segnum", F.col("n_jump").alias("jump"), F.col("n_settled").alias("settled"))
+        state = checkpointed(state.where("settled").unionByName(moved))
+    return state.where("settled").select("segnum", F.col("jump").alias("stop"))
+
+
 def from_segnums(edges: DataFrame, end: int) -> DataFrame:
     """``(segnum, from_segnums)`` for every segment: its tributaries in ascending order, an empty array for a headwater."""
     into = edges.where(F.col("to_segnum") != end).groupBy(F.col("to_segnum").alias("segnum")).agg(F.array_sort(F.collect_set("segnum")).alias("from_segnums"))
@@ -178,3 +216,26 @@ def upstream_of(edges: DataFrame, starts: DataFrame, end: int, *, cut: DataFrame
         if back.limit(1).count() == 0:
             break
     return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a, b)``: ``(node, component)``, named after the smallest member; loops and repeats are allowed.
+
+    Every round each node takes the least name among its neighbours' and its
+    own, and then the name that this name has taken, so names travel twice as
+    far each time; all steps are combinable minima and equi-joins.
+    """
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("name")).select(F.col("a").alias("node"), "name"))
+    for _ in range(MAX_ROUNDS):
+        near = both.join(names.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("name").alias("near"))
+        met = names.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("name").alias("was"), F.least("name", "near").alias("name"))
+        # The old name's node hears of the better one as well.
+        told = met.where("name < was").groupBy(F.col("was").alias("node")).agg(F.min("name").alias("better"))
+        met = met.join(told, "node", "left").select("node", "was", F.least("name", "better").alias("name"))
+        jump = met.select(F.col("node").alias("name"), F.col("name").alias("next"))
+        state = checkpointed(met.join(jump, "name", "left").select("node", "was", F.least("name", "next").alias("name")))
+        names = state.select("node", "name")
+        if not state.where("name <> was").limit(1).count():
+            return names.withColumnRenamed("name", "component")
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

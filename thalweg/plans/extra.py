@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from thalweg.operators import network as N
 from thalweg.operators import overlay as O
 from thalweg.operators import query as R
 from thalweg.operators import series as S
-from thalweg.operators.trees import checkpointed
+from thalweg.operators.trees import checkpointed, shared_folder
 from thalweg.plans import derived as D
 from thalweg.plans import model as M
 from thalweg.plans.graph import COMB, LINES, r6
@@ -22,7 +20,7 @@ from thalweg.sources import files
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='thalweg-')}/files-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/files-{spark.sparkContext.applicationId}"
 
 
 def r5(spark: SparkSession, d: str) -> DataFrame:
@@ -103,9 +101,11 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s15(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{_folder(spark)}/periods"
-    files.write_periods(e8(spark, d), path)
-    return spark.read.text(path).select(F.col("per").cast("long").alias("per"), F.substring_index("value", " ", 3).alias("cell"))
+    path = f"{_folder(spark)}/drn_period_{{}}.dat"
+    _, found, _ = M._reaches(spark, d)
+    rows = found.withColumn("elev", F.lit(100) - F.col("i")).withColumn("cond", F.col("j") * 2)
+    files.write_periods(E.package_period(rows, "drn"), path)
+    return spark.read.text(path.format(1)).select(F.regexp_replace(F.trim("value"), " +", " ").alias("line"))
 
 
 QUERIES = {
@@ -129,6 +129,6 @@ ORACLES = {
 SELECT (SELECT max(ridx) FROM reach) + row_number() OVER (ORDER BY loc) AS ridx, 0::BIGINT AS segnum, loc AS divid, least(greatest(floor((16 - y) / 0.5), 0), 33)::INTEGER AS i, least(greatest(floor(x / 0.125), 0), 7)::INTEGER AS j FROM d WHERE from_segnum IN (SELECT segnum FROM reach)""",
     "S1_lines_source": f"WITH {LINES} SELECT segnum, round({_LEN}, 6) AS length FROM line",
     "S9_save_load": f"WITH {COMB} SELECT segnum, to_segnum FROM net",
-    "S13_connection_file": f"WITH RECURSIVE {M._REACH}, {M._LINKS}, {M._CONN} SELECT rtrim(ridx || ' ' || coalesce(array_to_string(list_concat(up, CASE WHEN to_ridx > 0 THEN [-to_ridx] ELSE [] END), ' '), '')) AS line FROM flow",
-    "S15_period_file": f"WITH RECURSIVE {M._REACH} SELECT 1::BIGINT AS per, '1 ' || (i + 1) || ' ' || (j + 1) AS cell FROM reach",
+    "S13_connection_file": f"WITH RECURSIVE {M._REACH}, {M._LINKS}, {M._CONN} SELECT '# ridx' || coalesce(' ' || (SELECT string_agg('ic' || k, ' ' ORDER BY k) FROM range(1, (SELECT max(len(up) + (to_ridx > 0)::INTEGER) FROM flow) + 1) t(k)), '') AS line UNION ALL SELECT rtrim(ridx || ' ' || coalesce(array_to_string(list_concat(up, CASE WHEN to_ridx > 0 THEN [-to_ridx] ELSE [] END), ' '), '')) AS line FROM flow",
+    "S15_period_file": f"WITH RECURSIVE {M._REACH} SELECT '# k i j elev cond' AS line UNION ALL SELECT concat_ws(' ', 1, i + 1, j + 1, 100 - i, j * 2) FROM reach",
 }

@@ -35,7 +35,7 @@ def _cells(spark: SparkSession) -> DataFrame:
 
 def _reaches(spark: SparkSession, d: str) -> tuple[N.Network, DataFrame, DataFrame]:
     net = _network(spark, d)
-    return net, *O.reaches(net, GRID, _cells(spark))
+    return net, *O.reaches(net, GRID, _cells(spark), reach_include_fraction=None, rescue=False)
 
 
 def j4(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
 
 def m9(spark: SparkSession, d: str) -> DataFrame:
     net = _network(spark, d)
-    found, _ = O.reaches(net, GRID, _cells(spark), action="modify")
+    found, _ = O.reaches(net, GRID, _cells(spark), action="modify", reach_include_fraction=None)
     return O.activated(_cells(spark), found)
 
 
@@ -251,8 +251,9 @@ chain AS (SELECT segnum, segnum AS chain, 1 AS d FROM ends UNION ALL SELECT k.se
 ORACLES = {
     "J3_catchment": f"WITH {_POINTS}, ring AS (SELECT s_suppkey + 1 AS segnum, {_RING} AS cx, length(bin(s_suppkey + 1)) - 1 AS lv FROM supplier) SELECT loc, segnum FROM point, ring WHERE abs(x - cx) <= 0.5::DOUBLE / (1 << lv) AND abs(y - lv) <= 0.5",
     "J4_nearest": f"WITH {LINES}, {_EDGES}, {_POINTS}, {_NEAR} SELECT loc, segnum, round(dist, 6) AS dist FROM near QUALIFY dist = min(dist) OVER (PARTITION BY loc)",
-    "J6_locate": f"""WITH RECURSIVE {LINES}, {_NET}, {CLIMB}, {ORDERS}, {_EDGES}, {_POINTS}, {_NEAR},
-best AS (SELECT n.loc, n.segnum, n.dist FROM near n JOIN levels USING (segnum) WHERE so >= least(2, (SELECT max(so) FROM levels)) AND n.loc > 1 QUALIFY row_number() OVER (PARTITION BY loc ORDER BY round(dist, 12), segnum) = 1)
+    "J6_locate": f"""WITH RECURSIVE {LINES}, {_NET}, {CLIMB}, {ORDERS}, {_EDGES}, {_POINTS}, {_NEAR.replace("near AS (", "near AS MATERIALIZED (")},
+lv AS MATERIALIZED (SELECT segnum, so FROM levels), enough AS MATERIALIZED (SELECT segnum FROM lv, (SELECT least(2, max(so)) AS top FROM lv) WHERE so >= top),
+best AS (SELECT n.loc, n.segnum, n.dist FROM near n JOIN enough USING (segnum) WHERE n.loc > 1 QUALIFY row_number() OVER (PARTITION BY loc ORDER BY round(dist, 12), segnum) = 1)
 SELECT loc, 'nearest' AS method, segnum, round(dist, 6) AS dist_to_seg FROM best UNION ALL SELECT 0, 'override', 1, round(dist, 6) FROM near WHERE loc = 0 AND segnum = 1 UNION ALL SELECT 1, 'override', 0, NULL""",
     "J7_overlay": f"WITH {LINES}, {_CUT} SELECT segnum, piece, i, j, round(start, 6) AS start, round(length, 6) AS length, round(segndist, 6) AS segndist FROM piece",
     "P14_diversions": "SELECT s_suppkey + 1 AS segnum, count(c_custkey) AS n, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '') AS diversions FROM supplier LEFT JOIN customer ON c_custkey % (SELECT count(*) FROM supplier) = s_suppkey GROUP BY s_suppkey",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from thalweg.functions import geometry as G
 from thalweg.operators import elevation as V
 from thalweg.operators import network as N
 from thalweg.operators import query as R
-from thalweg.operators.trees import checkpointed
+from thalweg.operators.trees import checkpointed, shared_folder
 from thalweg.plans import derived as D
 from thalweg.plans import model as M
-from thalweg.plans.graph import r6
+from thalweg.plans.graph import LINES, r6
 from thalweg.sources import files
 
 
@@ -56,7 +54,7 @@ def r6_gather(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s6_s7(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='thalweg-')}/table-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/table-{spark.sparkContext.applicationId}.txt"
     rows = D.read(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("nation "), F.col("n_regionkey").cast("string"))).alias("label"), (F.col("n_regionkey") / 4).alias("share"))
     files.write_table(rows.select("n_nationkey", "share", "label"), path)
     return files.read_table(spark, path)
@@ -66,7 +64,14 @@ QUERIES = {
     "V1_elevation_profile": v1, "V5_top_bottom": v5, "V6_default_packagedata": v6, "V11_incision": v11, "V12_reconcile_tops": v12, "R6_gather_reaches": r6_gather, "S6_S7_formatted_table": s6_s7,
 }
 
+_TALL = "tall AS (SELECT *, 2 * sy + segnum % 3 AS sz, 2 * my + segnum % 3 AS mz, 2 * ey + segnum % 3 AS ez, sqrt(pow(mx - sx, 2) + pow(my - sy, 2)) AS l1, sqrt(pow(ex - mx, 2) + pow(ey - my, 2)) AS l2 FROM line)"
 ORACLES = {
+    "V1_elevation_profile": f"""WITH RECURSIVE {LINES}, {M._NET}, {_TALL}, fed AS (SELECT DISTINCT to_segnum AS segnum FROM net),
+own AS (SELECT t.segnum, 0.01::DOUBLE * (l1 + l2) AS fall, least(mz - 0.01::DOUBLE * l2, ez, CASE WHEN t.segnum IN (SELECT segnum FROM fed) THEN 1e300 ELSE sz - 0.01::DOUBLE * (l1 + l2) END) AS bound FROM tall t),
+walk AS (SELECT o.segnum AS place, n.to_segnum AS nxt, o.bound AS z FROM own o JOIN net n USING (segnum) UNION ALL SELECT w.nxt, n.to_segnum, w.z - o.fall FROM walk w JOIN own o ON o.segnum = w.nxt JOIN net n ON n.segnum = w.nxt),
+ending AS MATERIALIZED (SELECT place AS segnum, min(z) AS z FROM walk GROUP BY place), arrive AS MATERIALIZED (SELECT n.to_segnum AS segnum, min(e.z) AS z FROM ending e JOIN net n USING (segnum) GROUP BY n.to_segnum),
+done AS (SELECT t.*, coalesce(a.z, t.sz) AS fz, CASE WHEN n.to_segnum = 0 THEN e.z ELSE b.z END AS lz FROM tall t JOIN net n USING (segnum) JOIN ending e ON e.segnum = t.segnum LEFT JOIN arrive a ON a.segnum = t.segnum LEFT JOIN arrive b ON b.segnum = n.to_segnum)
+SELECT segnum, round(fz, 6) AS first_z, round(lz, 6) AS last_z, (abs(fz - sz) > 1e-9)::INTEGER + (mz - (fz - 0.01::DOUBLE * l1) > 1e-9)::INTEGER + (abs(lz - ez) > 1e-9)::INTEGER AS adjusted FROM done""",
     "V5_top_bottom": f"WITH RECURSIVE {M._REACH} SELECT ridx, value AS top, value - 10 AS bot FROM reach JOIN cell USING (i, j)",
     "V6_default_packagedata": f"""WITH RECURSIVE {M._REACH}, {M._GRAD} SELECT ridx, 10.0::DOUBLE AS rwid, round(greatest(slope, 0.001), 6) AS rgrd, value AS rtp, 1.0::DOUBLE AS rbth,
 round(CASE WHEN n.to_segnum = 0 THEN pow(10, log10(2.0::DOUBLE) + (log10(20.0::DOUBLE) - log10(2.0::DOUBLE)) * segndist) ELSE 2.0 END, 6) AS rhk, 0.024::DOUBLE AS man FROM reach JOIN net n USING (segnum) JOIN grad USING (i, j) JOIN cell USING (i, j)""",

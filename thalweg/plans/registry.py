@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.plans import extra, graph, model, more
+from thalweg.plans import extra, graph, model, more, reach
 
-QUERIES = {**graph.QUERIES, **model.QUERIES, **more.QUERIES, **extra.QUERIES}
-ORACLES = {**graph.ORACLES, **model.ORACLES, **more.ORACLES, **extra.ORACLES}
+QUERIES = {**graph.QUERIES, **model.QUERIES, **more.QUERIES, **extra.QUERIES, **reach.QUERIES}
+ORACLES = {**graph.ORACLES, **model.ORACLES, **more.ORACLES, **extra.ORACLES, **reach.ORACLES}
