@@ -91,19 +91,22 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
     are one document that is listed twice and come out alike; rows with a null
     id come after all others. Columns named like the added ones are replaced.
     """
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "runs")])
-    runs = repeated_runs(base.select("doc_id", "text"), least_words).withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "runs": "_runs"})
-    joined = base.withColumn("_text_mark", F.xxhash64("text")).join(
-        runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left"
-    )
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (r["start"] <= i) & (i <= r["end"]))), "\n")
-    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"] + 1)
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "runs")]
+    base = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
+    runs = repeated_runs(base.select("doc_id", "text"), least_words)
+    # All other columns travel inside one struct, so none of theirs can clash with names used here.
+    whole = base.select(F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"), F.xxhash64("text").alias("mark"))
+    own, found = whole.alias("w"), runs.alias("r")
+    joined = own.join(found, F.col("w.row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("w.mark") == F.col("r.mark")), "left")
+    text, cut = F.col("w.row.text"), F.col("r.runs")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.exists(cut, lambda r: (r["start"] <= i) & (i <= r["end"]))), "\n")
+    removed = F.aggregate(cut, F.lit(0), lambda a, r: a + r["end"] - r["start"] + 1)
     return joined.select(
-        *[F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        *[F.when(cut.isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("w.row")[c].alias(c) for c in kept_columns],
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
-        F.coalesce(F.array_join(F.transform("_runs", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ","), F.lit("")).alias("runs"),
+        F.coalesce(F.array_join(F.transform(cut, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ","), F.lit("")).alias("runs"),
     )
 
 
