@@ -1,8 +1,9 @@
 """Toxicity scores from a weighted lexicon that is matched by Aho-Corasick.
 
-Text is folded first: case, accents left as they are, homoglyphs (Cyrillic and
-Greek look-alikes, full-width forms) to Latin letters, and digits or signs that
-stand for letters inside a word to those letters. The lexicon is learned from
+Text is folded first: case, compatibility forms (full-width, mathematical and
+other styled letters) and accents to plain letters, homoglyphs (Cyrillic and
+Greek look-alikes) to Latin letters, and digits or signs that stand for letters
+inside a word to those letters. The lexicon is learned from
 labelled rows: word beginnings and whole words that are far more common in
 toxic rows than in others get a log-odds weight. Phrases that hold an entry but
 occur in clean rows become exceptions, which cancel the entry they cover. A
@@ -13,12 +14,14 @@ weight per word, so a few insults in a long text still count.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +36,18 @@ LOOKALIKES = {
 # Digits and signs written for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
-_FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-_FOLD |= dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
+_FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
+_MARKS = re.compile("[\u0300-\u036f]+")
 _SIGN = {ord(k): v for k, v in SIGNS.items()}
 
 
 def fold(text: str | None) -> list[str]:
     """The folded words of a text: lower case, look-alikes and inner digits resolved, outer signs off."""
     out = []
-    for word in (text or "").lower().translate(_FOLD).split():
+    text = text or ""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_FOLD)
+    for word in text.lower().split():
         if not word.isalpha():
             core = word.strip(".,;:!?\"'()[]{}<>|*#%&$-_")
             if core and not core.isalpha() and any(map(str.isalpha, core)):
@@ -208,15 +214,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Rows ``(doc_id, score, weight)`` for each row of ``docs``, whole texts, null as empty.
 
-    Other columns of ``docs`` are ignored. Repeated ids give repeated rows.
+    Other columns of ``docs`` are ignored. Repeated ids give repeated rows, an
+    empty table none; ids pass through as they are, null or not.
     """
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
         for part in batches:
-            found = [lexicon.measure(fold(t), machine) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "score": [lexicon.score(*m) for m in found], "weight": [m[0] for m in found]})
+            found = [lexicon.measure(fold(t.as_py()), machine) for t in part.column("text")]
+            columns = [part.column("doc_id"), pa.array([lexicon.score(*m) for m in found], pa.float64()), pa.array([m[0] for m in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "weight"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scored, "doc_id long, score double, weight double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, weight double")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2, limit: int = 6000) -> Lexicon:
