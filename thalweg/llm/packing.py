@@ -78,9 +78,10 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_pi
     ``bin_offset`` of bin ``bin_id``, which is ``bin_size`` long. A document
     longer than the largest size is cut into pieces of that size and a rest,
     so every token is packed. Null and empty texts are one end mark. Rows that
-    repeat an id are packed each; a null id is kept. Pieces are dealt by a
-    hash into groups of about ``group_pieces``, as many groups as the count
-    asks for, and each group is packed on its own; what grouping costs is a
+    repeat an id are packed each; a null id is kept, an empty table gives no
+    rows and other columns are ignored. Pieces are dealt by a hash into groups
+    of at most about ``group_pieces``, as many groups as the texts' lengths
+    call for, and each group is packed on its own; what grouping costs is a
     few half-filled bins per group.
     """
     top = max(capacities)
@@ -89,7 +90,9 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_pi
         .select("doc_id", "n", "salt", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / top).cast("int"))).alias("piece"))
         .select("doc_id", "piece", "salt", (F.col("piece") * top).cast("long").alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("int").alias("n_tokens"))
     )
-    groups = max(1, -(-docs.count() // group_pieces))
+    # A token takes two characters at least but for the last, which bounds the pieces without splitting any text.
+    state = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")).first()
+    groups = max(1, -(-(state["n"] + state["chars"] // (2 * top)) // group_pieces))
     # The text is part of the hash, so that rows without an id don't fall together.
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("salt", "piece"), F.lit(groups)))
 
@@ -98,6 +101,9 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_pi
         bins, offsets, final = pack(part["n_tokens"].to_numpy(np.int64), capacities)
         return part.drop(columns=["pack_group", "salt"]).assign(bin_id=[f"{key[0]}-{b}" for b in bins], bin_size=final, bin_offset=offsets)
 
-    return dealt.groupBy("pack_group").applyInPandas(
-        packed, "doc_id long, piece int, start long, n_tokens int, bin_id string, bin_size int, bin_offset int"
+    # Ids go through pandas as two halves, so that a null among them turns none into a float.
+    halves = dealt.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), *[c for c in dealt.columns if c != "doc_id"])
+    laid = halves.groupBy("pack_group").applyInPandas(
+        packed, "no_id boolean, doc_id long, piece int, start long, n_tokens int, bin_id string, bin_size int, bin_offset int"
     )
+    return laid.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
