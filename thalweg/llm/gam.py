@@ -18,6 +18,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,14 +192,13 @@ def quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """Rows of the columns ``keep`` and ``score`` for each row of ``docs``; null texts as empty.
 
     Repeated rows and ids give repeated results; an empty table gives none.
+    The kept columns pass through as they are, nulls and large numbers included.
     """
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            x = np.array([describe(t) for t in part["text"]], dtype=float).reshape(len(part), len(FEATURES))
-            out = part[list(keep)].copy()
-            out["score"] = model.predict(x)
-            yield out
+            x = np.array([describe(t) for t in part.column("text").to_pylist()], dtype=float).reshape(part.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(model.predict(x), pa.float64())], [*keep, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
     need = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*need).mapInPandas(scored, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(scored, schema)
