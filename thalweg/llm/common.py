@@ -7,27 +7,46 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch tables that are still on disk, by session: paths under the shared folder.
-_TABLES: dict[int, list[str]] = {}
+#: Scratch tables that are still on disk, by session and by who had them written: paths under the shared folder.
+_TABLES: dict[tuple[int, str], list[str]] = {}
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``owner``."""
+    was = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(was)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is made and named there.
+    It is what the cluster names in ``spark.checkpoint.dir``, else the
+    checkpoint directory of the context. Where neither is set, a session on
+    one machine (as in tests) gets a temporary folder; on a cluster that is an
+    error, since executors wouldn't see it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (None if given.isEmpty() else given.get())
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="thalweg-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if given.isEmpty():
         context.setCheckpointDir(folder)
     return folder
 
@@ -36,30 +55,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     A written table cuts the lineage, outlives lost executors and is computed
-    once; ``drop_tables`` removes what a session has written.
+    once. It is needed until the results built on it have been written, so
+    whoever asks for a result drops its tables with ``drop_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/thalweg-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.setdefault(id(spark.sparkContext), []).append(path)
+    _TABLES.setdefault((id(spark.sparkContext), _OWNER.get()), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, keep: int = 0) -> None:
-    """Remove the scratch tables of this session, but the last ``keep``.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_tables(spark: SparkSession, owner: str = "") -> None:
+    """Remove the scratch tables of this session that belong to ``owner``, and no others.
 
     Only call it once every result built on them has been written.
     """
-    paths = _TABLES.get(id(spark.sparkContext), [])
-    doomed, _TABLES[id(spark.sparkContext)] = paths[: len(paths) - keep], paths[len(paths) - keep :]
-    jvm = spark.sparkContext._jvm
-    for path in doomed:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in _TABLES.pop((id(spark.sparkContext), owner), []):
+        remove(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; its files go when the frame does."""
+    """A reliable checkpoint in the shared folder; its files go when the frame does where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else with the folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
