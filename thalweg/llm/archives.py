@@ -284,3 +284,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     arcs = table(write_arcs(pages), "arcs")
     return read_back(table(convert(arcs), "warcs"))
+
+
+#: The same result in DuckDB SQL: of equal payloads the smallest page is the response, and a digest is base32 of 20 bits at a time.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""

@@ -79,4 +79,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.ORACLE,
     "op3_exact_top_k": covertree.ORACLE,
+    "op8_archive_converter": archives.ORACLE,
 }
