@@ -12,8 +12,9 @@ their own sorted vocabulary. Everything after that moves packed arrays:
 1. words: each block sends its vocabulary, by slices of the hash range, to the
    table of word counts; it gets back a number and the count of each word;
 2. bigrams: each block sends its distinct bigrams once, to the bucket of the
-   second word (split further by a hash of the first, so a word that ends
-   a large part of all bigrams is spread out); it gets back their counts;
+   second word (split further by a hash of the first, into more parts the more
+   blocks there are, so a word that ends a large part of all bigrams is spread
+   out and no part grows with the corpus); it gets back their counts;
 3. contexts: the bigram table sends sums per context, to the bucket of the
    context's word; a block gets back the back-off weight of each of its words;
 4. scores: each block looks its tokens up in what it got back.
@@ -37,7 +38,8 @@ from thalweg.llm.common import held_out, release, table
 
 BLOCK = 1_000_000  # tokens
 SLICE = 1_000_000  # vocabulary entries, over all blocks, for one bucket of words
-SPREAD = 4  # parts of a bucket of bigrams
+SPREAD = 4  # parts of a bucket of bigrams, at least
+SHARED = 64  # blocks, at most, whose bigrams of one word meet in a part of its bucket
 CUTOFF = 5
 END, START = b"\n", b"\r"  # not words: neither can come out of a split at white space
 
@@ -223,7 +225,7 @@ def _looked_up(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return _spread(row, number), _spread(row, [unpack_planes(w["counts"], 8).astype(np.int64) for w in got])
 
 
-def _bigrams(row, number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bigrams(row, number: np.ndarray, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct bigrams in the order they are sent: local numbers of context and word, bucket part, how often in
     training, and for each token the place of its bigram."""
     tok, sizes, many = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4"), len(number)
@@ -233,23 +235,23 @@ def _bigrams(row, number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     keys, place = np.unique(before * many + tok, return_inverse=True)
     context, word = keys // many, keys % many
     times = np.bincount(place[_train_tokens(unpack(row.train, "u1"), sizes)], minlength=len(keys))
-    part = (number[word] % buckets) * SPREAD + _mixed(number[context])
+    part = (number[word] % buckets) * spread + _mixed(number[context], spread)
     order = np.lexsort((number[context], number[word], part))
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return context[order], word[order], part[order], times[order], back[place]
 
 
-def _mixed(numbers: np.ndarray) -> np.ndarray:
-    return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SPREAD
+def _mixed(numbers: np.ndarray, spread: int) -> np.ndarray:
+    return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % spread
 
 
-def bigram_requests(joined: DataFrame, buckets: int) -> DataFrame:
+def bigram_requests(joined: DataFrame, buckets: int, spread: int = SPREAD) -> DataFrame:
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
                 number, _ = _looked_up(row, buckets)
-                context, word, where, times, _ = _bigrams(row, number, buckets)
+                context, word, where, times, _ = _bigrams(row, number, buckets, spread)
                 edges = np.flatnonzero(np.diff(where, prepend=-1))
                 ends = [*edges[1:].tolist(), len(where)]
                 rank = number[word] // buckets
@@ -287,7 +289,7 @@ def count_bigrams(requests: DataFrame) -> DataFrame:
     return requests.groupBy("part").applyInPandas(merged, "part int, block long, times binary, contexts binary, ranks binary, stats array<long>")
 
 
-def context_sums(bigrams: DataFrame, words: DataFrame, buckets: int, stats: list[int], d: np.ndarray) -> DataFrame:
+def context_sums(bigrams: DataFrame, words: DataFrame, buckets: int, stats: list[int], d: np.ndarray, spread: int = SPREAD) -> DataFrame:
     """Per bucket of contexts, from each part of the bigram table: discounted counts and lower-order mass of the words seen after each."""
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -305,7 +307,7 @@ def context_sums(bigrams: DataFrame, words: DataFrame, buckets: int, stats: list
                     out.append((b, pack_planes(np.diff(every[mine] // buckets, prepend=0)), pack(used[mine], "f8"), pack(mass[mine], "f8")))
         return pd.DataFrame(out, columns=["bucket", "ranks", "used", "mass"])
 
-    seen = bigrams.where("block IS NULL").select("part", F.floor(F.col("part") / SPREAD).cast("int").alias("bucket"), "contexts", "ranks", "times")
+    seen = bigrams.where("block IS NULL").select("part", F.floor(F.col("part") / spread).cast("int").alias("bucket"), "contexts", "ranks", "times")
     counts = words.where("block IS NULL").select("bucket", "counts")
     # A bucket of words meets its own counts; the parts of a bucket are rows of a few megabytes each.
     return seen.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(summed, "bucket int, ranks binary, used binary, mass binary")
@@ -344,12 +346,12 @@ def context_weights(counts: np.ndarray, used: np.ndarray, mass: np.ndarray) -> t
     return np.where(counts > 0, (1 - scale * kept) / np.maximum(1 - mass, 1e-300), 1.0), scale
 
 
-def scores(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray) -> DataFrame:
+def scores(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray, spread: int = SPREAD) -> DataFrame:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
                 number, counts = _looked_up(row, buckets)
-                context, word, _, _, place = _bigrams(row, number, buckets)
+                context, word, _, _, place = _bigrams(row, number, buckets, spread)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
                 alpha, scale = (_spread(row, [unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
                 times = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
@@ -381,21 +383,21 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(F.col("doc_id"), modulus, remainder)).alias("train"))
     spark = docs.sparkSession
     cut = table(blocks(plain, block), "katz-blocks")
-    vocabulary = cut.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] / 8
-    buckets = max(8, int(-(-vocabulary // SLICE)))
+    state = cut.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("blocks")).first()
+    buckets, spread = max(8, int(-(-(state["bytes"] / 8) // SLICE))), max(SPREAD, -(-state["blocks"] // SHARED))
     words = table(count_words(word_requests(cut, buckets), buckets), "katz-words")
     stats = _sums(words.where("block IS NULL"), CUTOFF + 3)
     mine = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "ranks", "counts")).alias("words"))
     tokens_only = cut.drop("hashes")
-    bigrams = table(count_bigrams(bigram_requests(tokens_only.join(mine, "block"), buckets)), "katz-bigrams")
+    bigrams = table(count_bigrams(bigram_requests(tokens_only.join(mine, "block"), buckets, spread)), "katz-bigrams")
     release(spark)
     d = discounts(_sums(bigrams.where("block IS NULL"), CUTOFF + 1))
-    sums = context_sums(bigrams, words, buckets, stats, d)
+    sums = context_sums(bigrams, words, buckets, stats, d, spread)
     contexts = table(backoff_weights(sums, words), "katz-contexts")
     release(spark)
     weights = contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "alpha", "scale")).alias("weights"))
     counts = bigrams.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("bigrams"))
-    found = scores(tokens_only.join(mine, "block").join(weights, "block").join(counts, "block"), buckets, stats, d)
+    found = scores(tokens_only.join(mine, "block").join(weights, "block").join(counts, "block"), buckets, stats, d, spread)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known",
         F.lit(stats[0]).cast("long").alias("train_tokens"), "base_score", "score",
