@@ -41,8 +41,9 @@ def plain(docs):
     return low, prob, n, len(uni), uni
 
 
-@pytest.mark.parametrize("block", [3, 40, 10**6])
-def test_scores_equal_plain_version(spark, block):
+@pytest.mark.parametrize("block, shared", [(3, 64), (3, 1), (40, 64), (10**6, 64)])
+def test_scores_equal_plain_version(spark, monkeypatch, block, shared):
+    monkeypatch.setattr(katz, "SHARED", shared)  # blocks whose bigrams of one word meet: with 1, as many parts as blocks
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in DOCS], "doc_id long, text string, train string, score double")
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in katz.katz_scores(docs, block=block).collect())
     low, prob, n, v, uni = plain(DOCS)
