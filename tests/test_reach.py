@@ -164,7 +164,14 @@ def test_locate_shapes(spark):
     rows = {r["loc"]: r for r in locate.locate(net, lines).collect()}
     assert (rows[7]["segnum"], rows[8]["segnum"]) == (1, 0)
     assert rows[8]["dist_to_seg"] == pytest.approx(1.0) and rows[8]["seg_ndist"] == pytest.approx(0.9)
-    assert text.is_location_frame(locate.locate(net, lines)) is None or True
+    found = locate.locate(net, lines)
+    assert text.require_location_frame(found)
+    with pytest.raises(ValueError):
+        text.require_location_frame(found.drop("segnum"))
+    with pytest.raises(TypeError):
+        text.require_location_frame(found.drop("link"))
+    with pytest.raises(ValueError):
+        text.require_location_frame(found.withColumn("link", F.slice("link", 1, 1)))
 
 
 def test_shared_area_and_dissolve_against_sampling():
