@@ -82,7 +82,10 @@ def aggregate_patches(network: Network, junctions: DataFrame) -> DataFrame:
     paths call for: tributaries of a traced segment that are traced
     themselves when several are, and all that aren't traced when one is a junction.
     """
-    every = junction_set(network, junctions)
+    return _patches(network, junction_set(network, junctions))
+
+
+def _patches(network: Network, every: DataFrame) -> DataFrame:
     edges = network.segments.select("segnum", "to_segnum").join(every.select("segnum", F.lit(True).alias("_j")), "segnum", "left")
     cut = edges.select("segnum", F.when(F.col("_j"), F.lit(network.end)).otherwise(F.col("to_segnum")).alias("to_segnum"))
     up = trees.climb(cut, network.end).select("segnum", F.col("cat_group").alias("patch"))
@@ -121,8 +124,8 @@ def aggregate_table(network: Network, junctions: DataFrame, follow_up: str = "up
     if follow_up not in network.segments.columns:
         raise ValueError(f"cannot find {follow_up!r} column in segments")
     every = checkpointed(junction_set(network, junctions))
-    patches = checkpointed(aggregate_patches(network, junctions))
-    traced = trees.downstream_of(network.segments, junctions.select("segnum"), network.end).select("segnum").distinct()
+    patches = checkpointed(_patches(network, every))
+    traced = checkpointed(trees.downstream_of(network.segments, junctions.select("segnum"), network.end).select("segnum").distinct())
     links = network.segments.select("segnum", "to_segnum", F.col(follow_up).alias("worth"))
     inner = every.select("segnum").join(links.select("segnum", "to_segnum"), "segnum").join(patches.select(F.col("segnum").alias("to_segnum"), "patch"), "to_segnum").select("patch").distinct().withColumn("_inner", F.lit(True))
     rows = links.join(patches, "segnum").join(inner, "patch", "left").join(traced.withColumn("_t", F.lit(True)), "segnum", "left").join(every.select("segnum", F.lit(True).alias("_j")), "segnum", "left")

@@ -118,7 +118,7 @@ def _laid(network: Network, model: Model, action: str, fraction) -> tuple[DataFr
     return checkpointed(found), checkpointed(marked)
 
 
-def mf2005(network: Network, model: Model, *, action: str = "freeze", reach_include_fraction: float | DataFrame = 0.2) -> ReachNetwork:
+def mf2005(network: Network, model: Model, *, action: str = "freeze", reach_include_fraction: float | DataFrame | None = 0.2) -> ReachNetwork:
     """Reaches with segment numbers; every diversion is a segment of its own after all others."""
     found, marked = _laid(network, model, action, reach_include_fraction)
     if "diversion" in found.columns:
@@ -126,7 +126,7 @@ def mf2005(network: Network, model: Model, *, action: str = "freeze", reach_incl
     return ReachNetwork("mf2005", network, model.grid, found, marked, None, network.diversions, model.perlen)
 
 
-def mf6(network: Network, model: Model, *, action: str = "freeze", reach_include_fraction: float | DataFrame = 0.2, diversion_downstream_bias: float = 0.0) -> ReachNetwork:
+def mf6(network: Network, model: Model, *, action: str = "freeze", reach_include_fraction: float | DataFrame | None = 0.2, diversion_downstream_bias: float = 0.0) -> ReachNetwork:
     """Reaches with the links between them, ``ustrf`` (0 for reaches nothing flows into, else 1) and diversions.
 
     A diversion takes from the reach of its segment that is nearest to it

@@ -145,7 +145,7 @@ def _model(spark: SparkSession) -> sfr.Model:
 
 
 def m16(spark: SparkSession, d: str) -> DataFrame:
-    made = sfr.mf6(_diverted(spark, d), _model(spark), reach_include_fraction=0.0)
+    made = sfr.mf6(_diverted(spark, d), _model(spark), reach_include_fraction=None)
     return made.diversions.select("divid", "from_segnum", "idv", (F.col("iconr") - F.min("iconr").over(_all())).alias("place"))
 
 
@@ -156,13 +156,13 @@ def _all():
 
 
 def m16_links(spark: SparkSession, d: str) -> DataFrame:
-    made = sfr.mf6(_diverted(spark, d), _model(spark), reach_include_fraction=0.0)
+    made = sfr.mf6(_diverted(spark, d), _model(spark), reach_include_fraction=None)
     rows = made.reaches.join(made.links, "ridx")
     return rows.select("ridx", "to_ridx", "segnum", "diversion", "mask", "ustrf")
 
 
 def m17(spark: SparkSession, d: str) -> DataFrame:
-    made = sfr.mf2005(_diverted(spark, d), _model(spark), reach_include_fraction=0.0)
+    made = sfr.mf2005(_diverted(spark, d), _model(spark), reach_include_fraction=None)
     data = E.segment_data(made.reaches, made.network)
     return data.select(F.col("nseg").cast("long").alias("nseg"), "segnum", F.coalesce("divid", F.lit(0)).alias("divid"), F.col("outseg").cast("long").alias("outseg"), F.col("iupseg").cast("long").alias("iupseg"))
 
@@ -300,7 +300,7 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 
 def s10(spark: SparkSession, d: str) -> DataFrame:
     path = f"{folder(spark)}/model"
-    files.save_model(sfr.mf6(M._network(spark, d), _model(spark), reach_include_fraction=0.0), path)
+    files.save_model(sfr.mf6(M._network(spark, d), _model(spark), reach_include_fraction=None), path)
     made = files.load_model(spark, path)
     return made.reaches.join(made.links, "ridx").select("segnum", "i", "j", r6("rlen").alias("rlen"))
 
@@ -362,9 +362,23 @@ def _edge_gap(e: str, f: str) -> str:
     return f"CASE WHEN {cross} THEN 0 ELSE least({', '.join(gaps)}) END"
 
 
+def _aggregated(given: str, worth: str) -> str:
+    """CTEs of a network ``net`` aggregated at the ``given`` junctions: junction, patch, path (``j, segnum, d``) and what lies beside it (``un``)."""
+    return f"""{DOWN}, given AS (SELECT unnest([{given}])::BIGINT AS segnum), traced AS (SELECT DISTINCT segnum FROM down WHERE start IN (SELECT segnum FROM given)),
+fork AS (SELECT t.segnum AS node, bool_or(n.segnum IN (SELECT segnum FROM given)) AS g, count(*) FILTER (n.segnum IN (SELECT segnum FROM traced)) AS t FROM traced t JOIN net n ON n.to_segnum = t.segnum GROUP BY t.segnum),
+junction AS MATERIALIZED (SELECT segnum FROM given UNION SELECT n.segnum FROM net n JOIN fork f ON f.node = n.to_segnum WHERE (f.g AND n.segnum NOT IN (SELECT segnum FROM traced)) OR (f.t > 1 AND n.segnum IN (SELECT segnum FROM traced))),
+patch AS MATERIALIZED (SELECT start AS segnum, segnum AS patch FROM down WHERE segnum IN (SELECT segnum FROM junction) QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth) = 1),
+inner_ AS MATERIALIZED (SELECT DISTINCT p.patch FROM junction j JOIN net n ON n.segnum = j.segnum JOIN patch p ON p.segnum = n.to_segnum),
+best AS MATERIALIZED (SELECT n.segnum, n.to_segnum FROM net n JOIN patch p ON p.segnum = n.segnum WHERE n.segnum NOT IN (SELECT segnum FROM junction) AND (p.patch NOT IN (SELECT patch FROM inner_) OR n.segnum IN (SELECT segnum FROM traced)) QUALIFY row_number() OVER (PARTITION BY n.to_segnum ORDER BY {worth} DESC, n.segnum) = 1),
+path AS (SELECT segnum AS j, segnum, 0 AS d FROM junction UNION ALL SELECT p.j, b.segnum, p.d + 1 FROM path p JOIN best b ON b.to_segnum = p.segnum),
+un AS (SELECT p.j, p.d, n.segnum FROM path p JOIN net n ON n.to_segnum = p.segnum WHERE n.segnum NOT IN (SELECT q.segnum FROM path q WHERE q.j = p.j))"""
+
+
 _GAPS = f"gap AS (SELECT e.segnum, min({_edge_gap('e', 'f')}) AS dist FROM edge e JOIN edge f ON f.segnum = e.segnum + 2 GROUP BY e.segnum)"
 _AREAS = "area AS (SELECT s_suppkey + 1 AS segnum, 1.0::DOUBLE / (1 << (length(bin(s_suppkey + 1)) - 1)) AS a FROM supplier)"
 _DIV = "dv AS (SELECT loc + 1 AS divid, loc % (SELECT count(*) FROM supplier) + 1 AS from_segnum, x, y FROM point WHERE loc % 5 = 0), mine AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM reach))"
+_RESCUED = """lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1), extra AS (SELECT f.segnum, c.i, c.j, round(least(n.len, (0.125::DOUBLE + 0.5) / 2), 6) AS length FROM fed f JOIN line l USING (segnum) JOIN lens n USING (segnum), cell c WHERE c.domain <> 0
+QUALIFY row_number() OVER (PARTITION BY f.segnum ORDER BY sqrt(pow(greatest(x0 - sx, sx - x1, 0), 2) + pow(greatest(y0 - sy, sy - y1, 0), 2)), c.i, c.j) = 1)"""
 
 ORACLES = {
     "N9_beside_catchment": f"WITH {LINES}, {M._EDGES}, {_RINGS}, {_IN} SELECT segnum FROM t0 WHERE ring = segnum + 1 GROUP BY segnum HAVING NOT bool_or(a <= b)",
@@ -383,24 +397,24 @@ ORACLES = {
 ring AS (SELECT i * 10 + j AS segnum, * FROM cols, rows_), {_IN}, own AS (SELECT *, row_number() OVER (PARTITION BY segnum, k, a, b ORDER BY ring) AS rn FROM t0 WHERE b > a)
 SELECT (ring // 10)::INTEGER AS i, (ring % 10)::INTEGER AS j, round(sum((b - a) * len), 5) AS length FROM own WHERE rn = 1 GROUP BY ring""",
     "M8_reach_geometry": f"WITH RECURSIVE {M._REACH} SELECT r.ridx, round(min_by(s.ux, s.start), 6) AS x0, round(min_by(s.uy, s.start), 6) AS y0, round(max_by(s.vx, s.stop), 6) AS x1, round(max_by(s.vy, s.stop), 6) AS y1, round(any_value(r.rlen), 6) AS length FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece GROUP BY r.ridx",
-    "M11_confluence_rescue": f"""WITH RECURSIVE {M._REACH}, lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1)
-SELECT f.segnum, c.i, c.j, round(least(n.len, (0.125::DOUBLE + 0.5) / 2), 6) AS length FROM fed f JOIN line l USING (segnum) JOIN lens n USING (segnum), cell c WHERE c.domain <> 0
-QUALIFY row_number() OVER (PARTITION BY f.segnum ORDER BY sqrt(pow(greatest(x0 - sx, sx - x1, 0), 2) + pow(greatest(y0 - sy, sy - y1, 0), 2)), c.i, c.j) = 1""",
+    "M11_confluence_rescue": f"WITH RECURSIVE {M._REACH}, {_RESCUED} SELECT segnum, i, j, length FROM extra",
+    "M16_mf6_diversions": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, {_RESCUED},
+stretch AS (SELECT r.segnum, r.ridx, s.ux AS ax, s.uy AS ay, s.vx AS qx, s.vy AS qy FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece UNION ALL SELECT x.segnum, 1000000 + x.segnum, e.ax, e.ay, e.qx, e.qy FROM extra x JOIN edge e ON e.segnum = x.segnum WHERE e.k = 0),
+hit AS (SELECT divid, from_segnum, ridx, min({M._DIST}) AS dist FROM (SELECT d.divid, d.from_segnum, d.x, d.y, t.*, {M._SHARE} AS t FROM dv d JOIN stretch t ON t.segnum = d.from_segnum) GROUP BY divid, from_segnum, ridx),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY divid ORDER BY round(dist, 9), ridx DESC) = 1)
+SELECT divid, from_segnum, (row_number() OVER (PARTITION BY ridx ORDER BY divid))::INTEGER AS idv, row_number() OVER (ORDER BY divid) - 1 AS place FROM best""",
     "M17_mf2005_segments": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1),
 segs AS (SELECT segnum FROM reach UNION SELECT segnum FROM fed), num AS (SELECT s.segnum, row_number() OVER (ORDER BY q.sequence) AS nseg FROM segs s JOIN seq q USING (segnum)), dm AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM segs))
 SELECT a.nseg, a.segnum, 0::BIGINT AS divid, coalesce(b.nseg, 0) AS outseg, 0::BIGINT AS iupseg FROM num a JOIN net n USING (segnum) LEFT JOIN num b ON b.segnum = n.to_segnum
 UNION ALL SELECT (SELECT max(nseg) FROM num) + row_number() OVER (ORDER BY divid), 0, divid, 0, u.nseg FROM dm JOIN num u ON u.segnum = dm.from_segnum""",
     "V4_slope_auto": f"WITH RECURSIVE {M._REACH} SELECT r.ridx, round(greatest(2 * (min_by(s.uy, s.start) - max_by(s.vy, s.stop)) / any_value(r.rlen), 0.001), 6) AS slope FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece GROUP BY r.ridx",
     "V7_default_segment_data": f"WITH RECURSIVE {M._REACH} SELECT r.iseg::BIGINT AS nseg, 1 AS icalc, 2.0::DOUBLE AS hcond1, CASE WHEN n.to_segnum = 0 THEN 20.0 ELSE 2.0 END::DOUBLE AS hcond2, 1.0::DOUBLE AS thickm1, 2.0::DOUBLE AS width1, CASE WHEN n.to_segnum = 0 THEN 4.0 ELSE 2.0 END::DOUBLE AS width2, 0.024::DOUBLE AS roughch, min_by(c.value, r.ireach) AS elevup, max_by(c.value, r.ireach) AS elevdn FROM reach r JOIN cell c USING (i, j) JOIN net n USING (segnum) GROUP BY r.iseg, n.to_segnum",
-    "A4_aggregate_paths": f"""WITH RECURSIVE {PART}, {DOWN}, given AS (SELECT unnest([1, 5, 6, 23])::BIGINT AS segnum), traced AS (SELECT DISTINCT segnum FROM down WHERE start IN (SELECT segnum FROM given)),
-fork AS (SELECT t.segnum AS node, bool_or(n.segnum IN (SELECT segnum FROM given)) AS g, count(*) FILTER (n.segnum IN (SELECT segnum FROM traced)) AS t FROM traced t JOIN net n ON n.to_segnum = t.segnum GROUP BY t.segnum),
-junction AS MATERIALIZED (SELECT segnum FROM given UNION SELECT n.segnum FROM net n JOIN fork f ON f.node = n.to_segnum WHERE (f.g AND n.segnum NOT IN (SELECT segnum FROM traced)) OR (f.t > 1 AND n.segnum IN (SELECT segnum FROM traced))),
-patch AS MATERIALIZED (SELECT start AS segnum, segnum AS patch FROM down WHERE segnum IN (SELECT segnum FROM junction) QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth) = 1),
-inner_ AS MATERIALIZED (SELECT DISTINCT p.patch FROM junction j JOIN net n ON n.segnum = j.segnum JOIN patch p ON p.segnum = n.to_segnum),
-best AS MATERIALIZED (SELECT n.segnum, n.to_segnum FROM net n JOIN patch p ON p.segnum = n.segnum WHERE n.segnum NOT IN (SELECT segnum FROM junction) AND (p.patch NOT IN (SELECT patch FROM inner_) OR n.segnum IN (SELECT segnum FROM traced)) QUALIFY row_number() OVER (PARTITION BY n.to_segnum ORDER BY n.value DESC, n.segnum) = 1),
-path AS (SELECT segnum AS j, segnum, 0 AS d FROM junction UNION ALL SELECT p.j, b.segnum, p.d + 1 FROM path p JOIN best b ON b.to_segnum = p.segnum),
-un AS (SELECT p.j, p.d, n.segnum FROM path p JOIN net n ON n.to_segnum = p.segnum WHERE n.segnum NOT IN (SELECT q.segnum FROM path q WHERE q.j = p.j))
+    "A4_aggregate_paths": f"""WITH RECURSIVE {PART}, {_aggregated("1, 5, 6, 23", "n.value")}
 SELECT j.segnum, (SELECT count(*) FROM patch WHERE patch = j.segnum) AS patch, (SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d) FROM path p WHERE p.j = j.segnum) AS agg_path, coalesce((SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d, segnum) FROM un WHERE un.j = j.segnum), '') AS agg_unpath FROM junction j""",
+    "A4_aggregate_network": f"""WITH RECURSIVE {LINES}, {M._NET}, {M._EDGES}, {_AREAS}, lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), {_aggregated("1, 5, 6", "1")}
+SELECT j.segnum, coalesce(p.patch, 0) AS to_segnum, (SELECT round(sum(l.len), 6) FROM path w JOIN lens l ON l.segnum = w.segnum WHERE w.j = j.segnum) AS length, (SELECT round(sum(a.a), 6) FROM down d JOIN area a ON a.segnum = d.start WHERE d.segnum = j.segnum) AS upstream_area
+FROM junction j JOIN net n USING (segnum) LEFT JOIN patch p ON p.segnum = n.to_segnum""",
+    "S10_saved_model": f"""WITH RECURSIVE {M._REACH}, {_RESCUED} SELECT segnum, i, j, round(rlen, 6) AS rlen FROM reach UNION ALL SELECT segnum, i, j, length FROM extra""",
     "A5_coarsen_catchments": f"""WITH RECURSIVE {LINES}, {M._NET}, {CLIMB}, {M.ORDERS}, {DOWN}, {_AREAS}, lv AS MATERIALIZED (SELECT segnum, so FROM levels), {M._CHAIN.replace('FROM levels l', 'FROM lv l')},
 own AS (SELECT d.start AS segnum, c.chain FROM down d JOIN chain c ON c.segnum = d.segnum QUALIFY row_number() OVER (PARTITION BY d.start ORDER BY d.depth) = 1)
 SELECT o.chain AS segnum, count(*) AS n, (SELECT round(sum(a.a), 6) FROM down d JOIN area a ON a.segnum = d.start WHERE d.segnum = o.chain) AS upstream_area FROM own o GROUP BY o.chain""",
