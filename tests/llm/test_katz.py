@@ -20,46 +20,50 @@ def words(text):
     return [*(text or "").encode().lower().split(), None]
 
 
-def plain(docs):
-    """(word probability, conditional probability, N, V, counts) by dictionaries."""
+def plain(docs, order=2):
+    """(word probability, probability after a history, N, V, counts) by dictionaries."""
     train = [words(t) for i, t in docs if i is None or crc32(str(i).encode()) % 7 != 2]
     uni = Counter(w for ws in train for w in ws)
-    bi = Counter(p for ws in train for p in zip(["<s>", *ws[:-1]], ws))
-    ctx = Counter(c for c, _ in bi.elements())
+    grams = {k: Counter(tuple(x[i : i + k]) for x in (["<s>", *ws] for ws in train) for i in range(len(x) - k + 1)) for k in range(2, order + 1)}
     n = sum(uni.values())
     stats = [n, len(uni), *(sum(c == r for c in uni.values()) for r in range(1, 7))]
-    d = katz.discounts([sum(c == r for c in bi.values()) for r in range(1, 7)])
+    d = {k: katz.discounts([sum(c == r for c in g.values()) for r in range(1, 7)]) for k, g in grams.items()}
     low = lambda w: float(katz.words_probability(np.array([uni[w]]), stats)[0])
 
-    def prob(c, w):
-        total = ctx[c]
-        seen = {x: k for (y, x), k in bi.items() if y == c}
-        used, mass = sum(d[min(k, 6)] * k for k in seen.values()), sum(low(x) for x in seen)
+    def prob(history, w):
+        history = tuple(history)
+        if not history:
+            return low(w)
+        d_k = d[len(history) + 1]
+        seen = {g[-1]: c for g, c in grams[len(history) + 1].items() if g[:-1] == history}
+        total = sum(seen.values())
+        used, mass = sum(d_k[min(c, 6)] * c for c in seen.values()), sum(prob(history[1:], x) for x in seen)
         alpha, scale = katz.context_weights(np.array([float(total)]), np.array([used]), np.array([mass]))
-        return scale[0] * d[min(seen[w], 6)] * seen[w] / total if w in seen else alpha[0] * low(w)
+        return scale[0] * d_k[min(seen[w], 6)] * seen[w] / total if w in seen else alpha[0] * prob(history[1:], w)
 
     return low, prob, n, len(uni), uni
 
 
-@pytest.mark.parametrize("block, shared", [(3, 64), (3, 1), (40, 64), (10**6, 64)])
-def test_scores_equal_plain_version(spark, monkeypatch, block, shared):
+@pytest.mark.parametrize("block, shared, order", [(3, 64, 3), (3, 1, 3), (40, 64, 2), (40, 64, 4), (10**6, 64, 3)])
+def test_scores_equal_plain_version(spark, monkeypatch, block, shared, order):
     monkeypatch.setattr(katz, "SHARED", shared)  # blocks whose bigrams of one word meet: with 1, as many parts as blocks
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in DOCS], "doc_id long, text string, train string, score double")
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in katz.katz_scores(docs, block=block).collect())
-    low, prob, n, v, uni = plain(DOCS)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in katz.katz_scores(docs, block=block, order=order).collect())
+    low, prob, n, v, uni = plain(DOCS, order)
     want = []
     for i, t in DOCS:
         ws = words(t)
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws)
-        score = sum(math.log10(prob(c, w)) for c, w in zip(["<s>", *ws[:-1]], ws))
+        score = sum(math.log10(prob(["<s>", *ws[:j]][-(order - 1) :], w)) for j, w in enumerate(ws))
         want.append((-1 if i is None else i, len(ws), sum(uni[w] > 0 for w in ws), n, round(base, 9), round(score, 9)))
     assert got == sorted(want)
 
 
 def test_every_context_adds_up_to_one():
-    low, prob, _, _, uni = plain(DOCS)
+    low, prob, _, _, uni = plain(DOCS, 3)
     assert sum(low(w) for w in [*uni, b"never"]) == pytest.approx(1)
-    for c in ["<s>", *[w for w in uni if w], b"never"]:
+    single = [("<s>",), *[(w,) for w in uni if w], (b"never",)]
+    for c in [*single, (b"the", b"cat"), ("<s>", b"the"), (b"sat", b"on"), (b"never", b"the")]:
         assert sum(prob(c, w) for w in [*uni, b"never"]) == pytest.approx(1), c
 
 

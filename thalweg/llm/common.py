@@ -80,6 +80,15 @@ def drop_tables(spark: SparkSession, owner: str = "") -> None:
         remove(spark, path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the one scratch table that ``df`` reads, once all that is built on it has been written."""
+    folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for paths in _TABLES.values():
+        for path in [p for p in paths if p.rsplit("/", 1)[1] in folders]:
+            paths.remove(path)
+            remove(df.sparkSession, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; its files go when the frame does where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else with the folder."""
     shared_folder(df.sparkSession)

@@ -1,6 +1,8 @@
 """A Katz back-off language model over words: trained, stored and applied as tables of packed arrays.
 
-Bigrams back off to single words, single words to one class of unknown words.
+N-grams of up to ``ORDER`` words back off to those one word shorter, single
+words to one class of unknown words. A text begins with one START mark, and a
+word with fewer words before it than a context takes has the shorter one's probability.
 Counts up to ``CUTOFF`` are discounted as Good and Turing have it; the mass
 that a context's discounts free is shared out over the words not seen after it
 in proportion to their lower-order probability, so every context's
@@ -17,11 +19,16 @@ their own sorted vocabulary. Everything after that moves packed arrays:
    out and no part grows with the corpus); it gets back their counts;
 3. contexts: the bigram table sends sums per context, to the bucket of the
    context's word; a block gets back the back-off weight of each of its words;
-4. scores: each block looks its tokens up in what it got back.
-
-A word or bigram that is everywhere is sent once a block, whatever its count.
-All four tables lie in the shared folder, dealt by bucket. No table is ever
-collected or broadcast, but for a few counts of counts.
+4. longer n-grams, length by length: each block sends its distinct ones once,
+   to the bucket of their context (split further by a hash of the last word),
+   with what the shorter probability is made of; the parts of a bucket add up
+   the sums of their contexts, and the block gets back counts and weights;
+5. scores: each block works its tokens' probabilities out, length by length,
+   from what it got back.
+
+An n-gram that is everywhere is sent once a block, whatever its count. All
+tables lie in the shared folder, dealt by bucket. No table is ever collected
+or broadcast, but for a few counts of counts.
 """
 
 from __future__ import annotations
@@ -34,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import held_out, release, table
+from thalweg.llm.common import drop, held_out, release, table
 
 BLOCK = 1_000_000  # tokens
 SLICE = 1_000_000  # vocabulary entries, over all blocks, for one bucket of words
 SPREAD = 4  # parts of a bucket of bigrams, at least
 SHARED = 64  # blocks, at most, whose bigrams of one word meet in a part of its bucket
+PART = 2_000_000  # tokens, over all blocks, for one bucket of contexts of n-grams of three words and more
+ORDER = 3
 CUTOFF = 5
 END, START = b"\n", b"\r"  # not words: neither can come out of a split at white space
 
@@ -88,7 +97,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        names = ["block", "ids", "known", "train", "sizes", "tokens", "start", "order", "hashes"]
+        names = ["block", "held", "ids", "known", "train", "sizes", "tokens", "start", "order", "hashes"]
         made = TaskContext.get().partitionId() << 32
 
         def emit() -> pa.RecordBatch:
@@ -98,7 +107,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             row = [
-                made, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
+                made, held, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
                 pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
@@ -122,7 +131,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield emit()
 
-    return docs.mapInArrow(cut, "block long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, order binary, hashes binary")
+    return docs.mapInArrow(cut, "block long, held long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, order binary, hashes binary")
 
 
 def _train_tokens(train: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -346,34 +355,267 @@ def context_weights(counts: np.ndarray, used: np.ndarray, mass: np.ndarray) -> t
     return np.where(counts > 0, (1 - scale * kept) / np.maximum(1 - mass, 1e-300), 1.0), scale
 
 
-def scores(joined: DataFrame, buckets: int, stats: list[int], d: np.ndarray, spread: int = SPREAD) -> DataFrame:
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pack_many(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of eight bytes a value as one packed value."""
+    planes = [np.ascontiguousarray(x).view("<u8").view(np.uint8).reshape(-1, 8).T.ravel() for x in arrays]
+    return pack(np.concatenate([np.array([len(arrays), *map(len, arrays)], "<u8").view(np.uint8), *planes]), "u1")
+
+
+def unpack_many(data: bytes) -> list[np.ndarray]:
+    """Whole numbers; ``view`` those that are fractions."""
+    raw = unpack(data, "u1")
+    many = int(raw[:8].view("<u8")[0])
+    sizes = raw[8 : 8 * (many + 1)].view("<u8").astype(np.int64)
+    ends = 8 * (many + 1 + np.cumsum(sizes))
+    return [np.ascontiguousarray(raw[e - 8 * n : e].reshape(8, -1).T).view("<i8").ravel() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
+    """Blocks that hold all that is known of their words and bigrams, so that the tables before aren't asked again."""
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
                 number, counts = _looked_up(row, buckets)
-                context, word, _, _, place = _bigrams(row, number, buckets, spread)
+                *_, place = _bigrams(row, number, buckets, spread)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
                 alpha, scale = (_spread(row, [unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
-                times = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
-                seen = scale[context] * d[np.minimum(times, CUTOFF + 1)] * times / np.maximum(counts[context], 1)
-                logs = np.log10(np.where(times > 0, seen, alpha[context] * words_probability(counts[word], stats)))
-                tok, sizes = unpack_planes(row.tokens), unpack(row.sizes, "u4").astype(np.int64)
+                sent = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
+                tok, sizes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4").astype(np.int64)
+                history = _Grams(tok, sizes, row.start, len(number), 2)
+                _, first, *_ = history.levels[0]
+                times = sent[place[history.token[first]]]
+                yield pd.DataFrame({
+                    "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
+                    "words": [pack_many([number, counts])], "levels": [[pack_many([times, counts, scale, alpha])]],
+                })
+
+    return joined.mapInPandas(held, STATE)
+
+
+STATE = "block long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, words binary, levels array<binary>"
+
+
+class _Grams:
+    """A block's texts, each led by START, and their distinct n-grams of every length from 2 to ``order``.
+
+    ``levels[k - 2]`` holds the places that end an n-gram of length k, one such
+    place for each distinct n-gram, its context and its suffix (numbers of
+    distinct n-grams one shorter), and for every place its n-gram's number.
+    """
+
+    def __init__(self, tok: np.ndarray, sizes: np.ndarray, start: int, many: int, order: int) -> None:
+        ends = np.cumsum(sizes + 1)
+        self.starts = ends - sizes - 1
+        self.plain = np.ones(len(tok) + len(sizes), bool)
+        self.plain[self.starts] = False
+        self.text = np.full(len(self.plain), start, np.int64)
+        self.text[self.plain] = tok
+        self.token = np.cumsum(self.plain) - 1
+        depth = np.arange(len(self.text)) - np.repeat(self.starts, sizes + 1)
+        self.levels, place, self.many = [], self.text, [many]
+        for k in range(2, order + 1):
+            at = np.flatnonzero(depth >= k - 1)
+            _, first, which = np.unique(place[at - 1] * many + self.text[at], return_index=True, return_inverse=True)
+            ending, longer = at[first], np.full(len(self.text), -1, np.int64)
+            longer[at] = which
+            self.levels.append((at, ending, place[ending - 1], place[ending], longer))
+            self.many.append(len(ending))
+            place = longer
+
+
+def _grams(row, order: int) -> tuple[_Grams, np.ndarray, np.ndarray]:
+    number, counts = unpack_many(row.words)
+    sizes = unpack(row.sizes, "u4").astype(np.int64)
+    return _Grams(unpack_planes(row.tokens).astype(np.int64), sizes, row.start, len(number), order), number, counts
+
+
+def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of a block's n-grams; totals, scales and back-off weights of their contexts."""
+    times, totals, scale, alpha = unpack_many(packed)
+    return times, totals, scale.view("<f8"), alpha.view("<f8")
+
+
+def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order in which a block's n-grams of a length are sent, their parts, and numbers of the words of each, the newest first.
+
+    A part is a bucket of contexts, split by a hash of the last word."""
+    _, ending, _, _, _ = grams.levels[order - 2]
+    words = np.stack([number[grams.text[ending - j]] for j in range(order)])
+    mixed = np.zeros(len(ending), np.uint64)
+    for column in words[1:]:
+        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    part = _bucket(mixed, buckets).astype(np.int64) * spread + _mixed(words[0], spread)
+    sent = np.lexsort((words[0], *words[:0:-1], part))
+    return sent, part[sent], words[:, sent], np.flatnonzero(np.diff(part[sent], prepend=-1))
+
+
+def _runs(columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    fresh = np.zeros(columns.shape[1], bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return fresh
+
+
+def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
+    """Per part and block, the block's distinct n-grams of length ``order`` with their training counts, and what the probability of
+    each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter."""
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                grams, number, _ = _grams(row, order)
+                many = grams.many[order - 1]
+                if not many:
+                    continue
+                at, _, _, suffix, longer = grams.levels[order - 2]
+                learns = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))[grams.token[at]]
+                times = np.bincount(longer[at][learns], minlength=many)
+                short, totals, scale, _ = _level(row.levels[order - 3])
+                below = grams.levels[order - 3][2][suffix]  # contexts of the suffixes
+                order_sent, part, words, edges = _messages(grams, number, order, buckets, spread)
+                times, short, totals, scale = times[order_sent], short[suffix][order_sent], totals[below][order_sent], scale[below][order_sent]
+                out = []
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+                    first = np.flatnonzero(_runs(words[1:, a:b])) + a
+                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0, a:b], times[a:b], short[a:b], *words[1:, first]])))
+                yield pd.DataFrame(out, columns=["part", "block", "grams"])
+
+    return state.mapInPandas(sent, "part int, block long, grams binary")
+
+
+def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame:
+    """The table of n-grams of length ``order``. The row of a part without a block holds its contexts with their totals, how many words
+    have counts 1 to CUTOFF after each and the lower-order mass of the seen ones, its seen n-grams and counts of counts; rows with
+    a block hold the counts of that block's n-grams, ranks of its contexts and which of these have a word that was never seen."""
+    def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        got = [unpack_many(g) for g in part["grams"]]
+        fan, totals, scale, word, times, short, *context = (np.concatenate(c) for c in zip(*got, strict=True))
+        order_c = np.lexsort(context[::-1])
+        fresh = _runs(np.stack(context)[:, order_c])
+        rank = np.empty(len(order_c), np.int64)
+        rank[order_c] = np.cumsum(fresh) - 1
+        owner = np.repeat(rank, fan)
+        order_g = np.lexsort((word, owner))
+        new = _runs(np.stack([owner[order_g], word[order_g]]))
+        place = np.empty(len(order_g), np.int64)
+        place[order_g] = np.cumsum(new) - 1
+        sums = np.bincount(place, weights=times).astype(np.int64)
+        low = np.repeat(scale.view("<f8") / np.maximum(totals, 1), fan)[order_g[new]] * below[np.minimum(short[order_g[new]], CUTOFF + 1)] * short[order_g[new]]
+        mine, seen, many = owner[order_g[new]], sums > 0, int(fresh.sum())
+        by_context = lambda weights: np.bincount(mine, weights=weights, minlength=many)
+        model = [by_context(sums).astype(np.int64), by_context(low * seen), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1)), *(c[order_c[fresh]] for c in context)]
+        stored = pack_many([np.diff(mine[seen], prepend=0), word[order_g[new]][seen], sums[seen]])
+        out, c, g = [(key[0], None, pack_many(model), stored, [int((sums == r).sum()) for r in range(1, CUTOFF + 2)])], 0, 0
+        for block, (f, *_) in zip(part["block"], got, strict=True):
+            n = int(f.sum())
+            counts = sums[place[g : g + n]]
+            open_ = np.bincount(np.repeat(np.arange(len(f)), f), weights=counts == 0, minlength=len(f)) > 0
+            out.append((key[0], block, pack_many([counts, np.diff(rank[c : c + len(f)], prepend=0), open_.astype(np.int64)]), None, None))
+            c, g = c + len(f), g + n
+        return pd.DataFrame(out, columns=["part", "block", "data", "grams", "stats"]).astype({"block": "Int64"})
+
+    return requests.groupBy("part").applyInPandas(merged, "part int, block long, data binary, grams binary, stats array<long>")
+
+
+def weigh_contexts(counted: DataFrame, d: np.ndarray, spread: int) -> DataFrame:
+    """Per part and block: counts of the n-grams it sent; total and scale of their contexts, and back-off weights of those with an unseen word.
+
+    All parts of a bucket of contexts meet: a context that many words follow is one row in each."""
+    def weighed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["block"].isna()].sort_values("part")
+        models = [unpack_many(m) for m in own["data"]]
+        totals, mass, *rest = (np.concatenate(c) for c in zip(*models, strict=True))
+        spread_, context = rest[:CUTOFF], rest[CUTOFF:]
+        order_c = np.lexsort(context[::-1])
+        rank = np.empty(len(order_c), np.int64)
+        rank[order_c] = np.cumsum(_runs(np.stack(context)[:, order_c])) - 1
+        summed = lambda weights: np.bincount(rank, weights=weights)
+        n = summed(totals)
+        used = n - sum(summed(s) * r * (1 - d[r]) for r, s in enumerate(spread_, 1))
+        alpha, scale = (x[rank] for x in context_weights(n, used, summed(mass.view("<f8"))))
+        n = n[rank].astype(np.int64)
+        first = dict(zip(own["part"].tolist(), np.cumsum([0, *(len(m[0]) for m in models[:-1])]).tolist(), strict=True))
+        out = []
+        for row in rows[rows["block"].notna()].itertuples():
+            counts, ranks, open_ = unpack_many(row.data)
+            ranks = np.cumsum(ranks) + first[row.part]
+            out.append((int(row.block), row.part, pack_many([counts, n[ranks], scale[ranks], open_, alpha[ranks[open_ > 0]]])))
+        return pd.DataFrame(out, columns=["block", "part", "data"])
+
+    rows = counted.select(F.floor(F.col("part") / spread).cast("int").alias("bucket"), "part", "block", "data")
+    return rows.groupBy("bucket").applyInPandas(weighed, "block long, part int, data binary")
+
+
+def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The level of ``order`` of a block from what the parts sent back."""
+    times, totals = np.zeros(grams.many[order - 1], np.int64), np.zeros(grams.many[order - 2], np.int64)
+    scale, alpha = np.ones(len(totals)), np.ones(len(totals))
+    if len(times):
+        sent, part, words, edges = _messages(grams, number, order, buckets, spread)
+        got = [unpack_many(a["data"]) for a in sorted(row.answers, key=lambda a: a["part"])]
+        times[sent] = np.concatenate([g[0] for g in got])
+        context = grams.levels[order - 2][2][sent]
+        fresh = _runs(np.stack([part, context]))
+        context, open_ = context[fresh], np.concatenate([g[3] for g in got]) > 0
+        totals[context] = np.concatenate([g[1] for g in got])
+        scale[context] = np.concatenate([g[2] for g in got]).view("<f8")
+        alpha[context[open_]] = np.concatenate([g[4] for g in got]).view("<f8")
+    return times, totals, scale, alpha
+
+
+def next_level(joined: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
+    """Blocks with the level of ``order`` added."""
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for row in part.itertuples():
+                grams, number, _ = _grams(row, order)
+                yield pd.DataFrame({
+                    "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
+                    "words": [row.words], "levels": [[*row.levels, pack_many(list(_answered(row, grams, number, order, buckets, spread)))]],
+                })
+
+    return joined.mapInPandas(added, STATE)
+
+
+def _probability(grams: _Grams, levels: list, counts: np.ndarray, stats: list[int], ds: list[np.ndarray]) -> np.ndarray:
+    """The probability of every token: that of the longest n-gram seen, else the shorter one's times the context's back-off weight."""
+    p = words_probability(counts[grams.text], stats)
+    for (at, _, context, _, longer), (times, totals, scale, alpha), d in zip(grams.levels, levels, ds, strict=True):
+        g = longer[at]
+        c, t = context[g], times[g]
+        p[at] = np.where(t > 0, scale[c] * d[np.minimum(t, CUTOFF + 1)] * t / np.maximum(totals[c], 1), alpha[c] * p[at])
+    return p
+
+
+def scores(state: DataFrame, order: int, buckets: int, spread: int, stats: list[int], ds: list[np.ndarray]) -> DataFrame:
+    """Scores of every text from blocks that know all levels, or all but the last, whose ``answers`` they carry."""
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for row in part.itertuples():
+                grams, number, counts = _grams(row, order)
+                levels = [_level(x) for x in row.levels]
+                if len(levels) < order - 1:
+                    levels.append(_answered(row, grams, number, order, buckets, spread))
+                logs = np.log10(_probability(grams, levels, counts, stats, ds))[grams.plain]
+                tok, sizes = grams.text[grams.plain], unpack(row.sizes, "u4").astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
                 base = np.log10((counts[tok] + 1) / (stats[0] + stats[1] + 1))
                 known = unpack(row.known, "u1").astype(bool)
                 yield pd.DataFrame({
                     "doc_id": pd.Series(unpack(row.ids, "i8"), dtype="Int64").where(known),
                     "n_tokens": sizes, "n_known": np.add.reduceat((counts[tok] > 0).astype(np.int64), starts),
-                    "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs[place], starts),
+                    "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts),
                 })
 
-    return joined.mapInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return state.mapInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block: int = BLOCK) -> DataFrame:
+def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block: int = BLOCK, order: int = ORDER) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row per row of ``docs``.
 
-    The model learns from the rows that are not held out (crc32 of the id as
+    The model has n-grams of up to ``order`` words (2 at least). It learns from the rows that are not held out (crc32 of the id as
     text, mod ``modulus``, is not ``remainder``) and scores all. A null text is
     empty and has one token, the end. Rows that repeat an id are each counted
     and scored; a null id is never held out. If nothing is left to learn from,
@@ -383,7 +625,7 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(F.col("doc_id"), modulus, remainder)).alias("train"))
     spark = docs.sparkSession
     cut = table(blocks(plain, block), "katz-blocks")
-    state = cut.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("blocks")).first()
+    state = cut.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("held"), F.lit(0)).alias("tokens")).first()
     buckets, spread = max(8, int(-(-(state["bytes"] / 8) // SLICE))), max(SPREAD, -(-state["blocks"] // SHARED))
     words = table(count_words(word_requests(cut, buckets), buckets), "katz-words")
     stats = _sums(words.where("block IS NULL"), CUTOFF + 3)
@@ -397,7 +639,18 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     release(spark)
     weights = contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "alpha", "scale")).alias("weights"))
     counts = bigrams.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("bigrams"))
-    found = scores(tokens_only.join(mine, "block").join(weights, "block").join(counts, "block"), buckets, stats, d, spread)
+    joined = tokens_only.join(mine, "block").join(weights, "block").join(counts, "block")
+    state, ds, buckets, spread = table(_first_levels(joined, buckets, spread), "katz-state"), [d], max(8, -(-state["tokens"] // PART)), max(1, -(-state["blocks"] // SHARED))
+    drop(cut)  # the state holds its tokens
+    for k in range(3, order + 1):
+        release(spark)
+        counted = table(count_grams(gram_requests(state, k, buckets, spread), k, ds[-1]), f"katz-{k}-grams")
+        ds.append(discounts(_sums(counted.where("block IS NULL"), CUTOFF + 1)))
+        release(spark)
+        answers = weigh_contexts(counted, ds[-1], spread).groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+        joined = state.join(answers, "block", "left")
+        state = joined if k == order else table(next_level(joined, k, buckets, spread), "katz-state")
+    found = scores(state, order, buckets, spread, stats, ds)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known",
         F.lit(stats[0]).cast("long").alias("train_tokens"), "base_score", "score",
