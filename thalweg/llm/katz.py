@@ -173,17 +173,21 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def count_words(requests: DataFrame, buckets: int) -> DataFrame:
     """The word table. Rows with a block give that block's words their numbers and counts; the row without one holds the bucket's
-    counts by rank and, in ``stats``, tokens, types and counts of counts. A word's number is its rank in the bucket times ``buckets``, plus the bucket."""
+    counts by rank and, in ``stats``, tokens, types and counts of counts. A word's number is its rank in the bucket, the commonest first, times ``buckets``, plus the bucket."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpack(h, "u8") for h in part["hashes"]]
         every, rank = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(rank, weights=np.concatenate([unpack(c, "u8") for c in part["counts"]]), minlength=len(every)).astype(np.int64)
         plain = counts[every != _start_hash()]
+        falling = np.argsort(-counts, kind="stable")
+        ranked = np.empty_like(falling)
+        ranked[falling] = np.arange(len(falling))
+        counts, rank = counts[falling], ranked[rank]
         stats = [int(plain.sum()), int((plain > 0).sum()), *(int((plain == r).sum()) for r in range(1, CUTOFF + 2))]
         out, at = [(key[0], None, None, pack_planes(counts, 8), stats)], 0
         for block, h in zip(part["block"], hashes, strict=True):
             mine = rank[at : at + len(h)]
-            out.append((key[0], block, pack_planes(np.diff(mine, prepend=0)), pack_planes(counts[mine], 8), None))
+            out.append((key[0], block, pack_planes(mine), pack_planes(counts[mine], 8), None))
             at += len(h)
         return pd.DataFrame(out, columns=["bucket", "block", "ranks", "counts", "stats"]).astype({"block": "Int64"})
 
@@ -230,7 +234,7 @@ def _spread(row, parts: list[np.ndarray]) -> np.ndarray:
 def _looked_up(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Number and training count of each of a block's words."""
     got = sorted(row.words, key=lambda w: w["bucket"])
-    number = [np.cumsum(unpack_planes(w["ranks"]).astype(np.int64)) * buckets + w["bucket"] for w in got]
+    number = [unpack_planes(w["ranks"]).astype(np.int64) * buckets + w["bucket"] for w in got]
     return _spread(row, number), _spread(row, [unpack_planes(w["counts"], 8).astype(np.int64) for w in got])
 
 
@@ -335,7 +339,7 @@ def backoff_weights(sums: DataFrame, words: DataFrame) -> DataFrame:
         alpha, scale = context_weights(counts, used, mass)
         out = []
         for row in right[right["block"].notna()].itertuples():
-            mine = np.cumsum(unpack_planes(row.ranks).astype(np.int64))
+            mine = unpack_planes(row.ranks)
             out.append((int(row.block), key[0], pack(alpha[mine], "f8"), pack(scale[mine], "f8")))
         return pd.DataFrame(out, columns=["block", "bucket", "alpha", "scale"])
 
@@ -382,8 +386,8 @@ def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
                 sent = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 tok, sizes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4").astype(np.int64)
                 history = _Grams(tok, sizes, row.start, len(number), 2)
-                _, first, *_ = history.levels[0]
-                times = sent[place[history.token[first]]]
+                token = np.cumsum(history.plain) - 1
+                times = sent[place[token[history.levels[0][1]]]]
                 yield pd.DataFrame({
                     "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
                     "words": [pack_many([number, counts])], "levels": [[pack_many([times, counts, scale, alpha])]],
@@ -408,15 +412,14 @@ class _Grams:
         self.starts = ends - sizes - 1
         self.plain = np.ones(len(tok) + len(sizes), bool)
         self.plain[self.starts] = False
-        self.text = np.full(len(self.plain), start, np.int64)
+        self.text = np.full(len(self.plain), start, np.int32)
         self.text[self.plain] = tok
-        self.token = np.cumsum(self.plain) - 1
-        depth = np.arange(len(self.text)) - np.repeat(self.starts, sizes + 1)
+        depth = np.arange(len(self.text), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), sizes + 1)
         self.levels, place, self.many = [], self.text, [many]
         for k in range(2, order + 1):
-            at = np.flatnonzero(depth >= k - 1)
-            _, first, which = np.unique(place[at - 1] * many + self.text[at], return_index=True, return_inverse=True)
-            ending, longer = at[first], np.full(len(self.text), -1, np.int64)
+            at = np.flatnonzero(depth >= k - 1).astype(np.int32)
+            _, first, which = np.unique(place[at - 1].astype(np.int64) * many + self.text[at], return_index=True, return_inverse=True)
+            ending, longer = at[first], np.full(len(self.text), -1, np.int32)
             longer[at] = which
             self.levels.append((at, ending, place[ending - 1], place[ending], longer))
             self.many.append(len(ending))
@@ -435,24 +438,25 @@ def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return times, totals, scale.view("<f8"), alpha.view("<f8")
 
 
-def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order in which a block's n-grams of a length are sent, their parts, and numbers of the words of each, the newest first.
+def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The order in which a block's n-grams of a length are sent, their parts, numbers of the words of each, the newest first, and where a part begins.
 
-    A part is a bucket of contexts, split by a hash of the last word."""
+    A part is a bucket of contexts, split by a hash of the last word; n-grams of one context stay together in it."""
     _, ending, _, _, _ = grams.levels[order - 2]
-    words = np.stack([number[grams.text[ending - j]] for j in range(order)])
+    words = [number[grams.text[ending - j]] for j in range(order)]
     mixed = np.zeros(len(ending), np.uint64)
     for column in words[1:]:
         mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    part = _bucket(mixed, buckets).astype(np.int64) * spread + _mixed(words[0], spread)
-    sent = np.lexsort((words[0], *words[:0:-1], part))
-    return sent, part[sent], words[:, sent], np.flatnonzero(np.diff(part[sent], prepend=-1))
+    part = (_bucket(mixed, buckets).astype(np.int64) * spread + _mixed(words[0], spread)).astype(np.int32)
+    sent = np.argsort(part, kind="stable")
+    part = part[sent]
+    return sent, part, [w[sent] for w in words], np.flatnonzero(np.diff(part, prepend=-1))
 
 
-def _runs(columns: np.ndarray) -> np.ndarray:
-    """Where rows of sorted columns differ from the row before."""
-    fresh = np.zeros(columns.shape[1], bool)
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of columns differ from the row before."""
+    fresh = np.zeros(len(columns[0]), bool)
     fresh[:1] = True
     for c in columns:
         fresh[1:] |= c[1:] != c[:-1]
@@ -462,90 +466,101 @@ def _runs(columns: np.ndarray) -> np.ndarray:
 def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
     """Per part and block, the block's distinct n-grams of length ``order`` with their training counts, and what the probability of
     each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter."""
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 grams, number, _ = _grams(row, order)
                 many = grams.many[order - 1]
                 if not many:
                     continue
-                at, _, _, suffix, longer = grams.levels[order - 2]
-                learns = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))[grams.token[at]]
-                times = np.bincount(longer[at][learns], minlength=many)
+                at, _, context, suffix, longer = grams.levels[order - 2]
+                learns = np.zeros(len(grams.text), bool)
+                learns[grams.plain] = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))
+                times = np.bincount(longer[at][learns[at]], minlength=many)
                 short, totals, scale, _ = _level(row.levels[order - 3])
                 below = grams.levels[order - 3][2][suffix]  # contexts of the suffixes
-                order_sent, part, words, edges = _messages(grams, number, order, buckets, spread)
-                times, short, totals, scale = times[order_sent], short[suffix][order_sent], totals[below][order_sent], scale[below][order_sent]
+                sent, part, words, edges = _messages(grams, number, order, buckets, spread)
+                times, short, totals, scale, context = times[sent], short[suffix[sent]], totals[below[sent]], scale[below[sent]], context[sent]
+                del grams, at, longer, learns
                 out = []
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
-                    first = np.flatnonzero(_runs(words[1:, a:b])) + a
-                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0, a:b], times[a:b], short[a:b], *words[1:, first]])))
+                    first = np.flatnonzero(_runs(context[a:b])) + a
+                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0][a:b], times[a:b], short[a:b], *(w[first] for w in words[1:])])))
                 yield pd.DataFrame(out, columns=["part", "block", "grams"])
 
-    return state.mapInPandas(sent, "part int, block long, grams binary")
+    return state.mapInPandas(asked, "part int, block long, grams binary")
 
 
 def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame:
-    """The table of n-grams of length ``order``. The row of a part without a block holds its contexts with their totals, how many words
-    have counts 1 to CUTOFF after each and the lower-order mass of the seen ones, its seen n-grams and counts of counts; rows with
-    a block hold the counts of that block's n-grams, ranks of its contexts and which of these have a word that was never seen."""
+    """The table of n-grams of length ``order``, a row a part: its contexts with their totals, lower-order mass of the words seen after
+    each and how many of these have counts 1 to CUTOFF; its seen n-grams and counts of counts; and for each block the counts of
+    its n-grams, ranks of its contexts and which of these have a word that was never seen."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         got = [unpack_many(g) for g in part["grams"]]
         fan, totals, scale, word, times, short, *context = (np.concatenate(c) for c in zip(*got, strict=True))
         order_c = np.lexsort(context[::-1])
-        fresh = _runs(np.stack(context)[:, order_c])
+        fresh = _runs(*(c[order_c] for c in context))
         rank = np.empty(len(order_c), np.int64)
         rank[order_c] = np.cumsum(fresh) - 1
         owner = np.repeat(rank, fan)
         order_g = np.lexsort((word, owner))
-        new = _runs(np.stack([owner[order_g], word[order_g]]))
+        new = _runs(owner[order_g], word[order_g])
         place = np.empty(len(order_g), np.int64)
         place[order_g] = np.cumsum(new) - 1
         sums = np.bincount(place, weights=times).astype(np.int64)
         low = np.repeat(scale.view("<f8") / np.maximum(totals, 1), fan)[order_g[new]] * below[np.minimum(short[order_g[new]], CUTOFF + 1)] * short[order_g[new]]
         mine, seen, many = owner[order_g[new]], sums > 0, int(fresh.sum())
         by_context = lambda weights: np.bincount(mine, weights=weights, minlength=many)
-        model = [by_context(sums).astype(np.int64), by_context(low * seen), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1)), *(c[order_c[fresh]] for c in context)]
+        model = [by_context(sums).astype(np.int64), by_context(low * seen), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1))]
         stored = pack_many([np.diff(mine[seen], prepend=0), word[order_g[new]][seen], sums[seen]])
-        out, c, g = [(key[0], None, pack_many(model), stored, [int((sums == r).sum()) for r in range(1, CUTOFF + 2)])], 0, 0
-        for block, (f, *_) in zip(part["block"], got, strict=True):
+        blocks, c, g = [], 0, 0
+        for block, (f, *_) in zip(part["block"].tolist(), got, strict=True):
             n = int(f.sum())
             counts = sums[place[g : g + n]]
             open_ = np.bincount(np.repeat(np.arange(len(f)), f), weights=counts == 0, minlength=len(f)) > 0
-            out.append((key[0], block, pack_many([counts, np.diff(rank[c : c + len(f)], prepend=0), open_.astype(np.int64)]), None, None))
+            blocks.append({"block": block, "data": pack_many([counts, rank[c : c + len(f)], open_.astype(np.int64)])})
             c, g = c + len(f), g + n
-        return pd.DataFrame(out, columns=["part", "block", "data", "grams", "stats"]).astype({"block": "Int64"})
+        stats = [int((sums == r).sum()) for r in range(1, CUTOFF + 2)]
+        return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "contexts": [pack_many([c[order_c[fresh]] for c in context])], "grams": [stored], "stats": [stats], "blocks": [blocks]})
 
-    return requests.groupBy("part").applyInPandas(merged, "part int, block long, data binary, grams binary, stats array<long>")
+    return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, contexts binary, grams binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
 
 
 def weigh_contexts(counted: DataFrame, d: np.ndarray, spread: int) -> DataFrame:
     """Per part and block: counts of the n-grams it sent; total and scale of their contexts, and back-off weights of those with an unseen word.
 
     All parts of a bucket of contexts meet: a context that many words follow is one row in each."""
-    def weighed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["block"].isna()].sort_values("part")
-        models = [unpack_many(m) for m in own["data"]]
-        totals, mass, *rest = (np.concatenate(c) for c in zip(*models, strict=True))
-        spread_, context = rest[:CUTOFF], rest[CUTOFF:]
-        order_c = np.lexsort(context[::-1])
-        rank = np.empty(len(order_c), np.int64)
-        rank[order_c] = np.cumsum(_runs(np.stack(context)[:, order_c])) - 1
+    def answers(rows: pd.DataFrame) -> pd.DataFrame:
+        models = [unpack_many(m) for m in rows["sums"]]
+        totals, mass, *counts_of = (np.concatenate(c) for c in zip(*models, strict=True))
+        rank = np.arange(len(totals))
+        if spread > 1:
+            context = [np.concatenate(c) for c in zip(*map(unpack_many, rows["contexts"]), strict=True)]
+            order_c = np.lexsort(context[::-1])
+            rank[order_c] = np.cumsum(_runs(*(c[order_c] for c in context))) - 1
         summed = lambda weights: np.bincount(rank, weights=weights)
         n = summed(totals)
-        used = n - sum(summed(s) * r * (1 - d[r]) for r, s in enumerate(spread_, 1))
+        used = n - sum(summed(s) * r * (1 - d[r]) for r, s in enumerate(counts_of, 1))
         alpha, scale = (x[rank] for x in context_weights(n, used, summed(mass.view("<f8"))))
-        n = n[rank].astype(np.int64)
-        first = dict(zip(own["part"].tolist(), np.cumsum([0, *(len(m[0]) for m in models[:-1])]).tolist(), strict=True))
-        out = []
-        for row in rows[rows["block"].notna()].itertuples():
-            counts, ranks, open_ = unpack_many(row.data)
-            ranks = np.cumsum(ranks) + first[row.part]
-            out.append((int(row.block), row.part, pack_many([counts, n[ranks], scale[ranks], open_, alpha[ranks[open_ > 0]]])))
+        n, out, first = n[rank].astype(np.int64), [], 0
+        for part, model, blocks in zip(rows["part"], models, rows["blocks"], strict=True):
+            for sent in blocks:
+                counts, ranks, open_ = unpack_many(sent["data"])
+                ranks = ranks + first
+                out.append((sent["block"], part, pack_many([counts, n[ranks], scale[ranks], open_, alpha[ranks[open_ > 0]]])))
+            first += len(model[0])
         return pd.DataFrame(out, columns=["block", "part", "data"])
 
-    rows = counted.select(F.floor(F.col("part") / spread).cast("int").alias("bucket"), "part", "block", "data")
-    return rows.groupBy("bucket").applyInPandas(weighed, "block long, part int, data binary")
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):
+                yield answers(batch.iloc[k : k + 1])
+
+    schema = "block long, part int, data binary"
+    if spread == 1:  # a part is a whole bucket
+        return counted.select("part", "sums", "blocks").mapInPandas(each, schema)
+    rows = counted.select(F.floor(F.col("part") / spread).alias("bucket"), "part", "sums", "contexts", "blocks")
+    return rows.groupBy("bucket").applyInPandas(answers, schema)
 
 
 def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -557,7 +572,7 @@ def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int,
         got = [unpack_many(a["data"]) for a in sorted(row.answers, key=lambda a: a["part"])]
         times[sent] = np.concatenate([g[0] for g in got])
         context = grams.levels[order - 2][2][sent]
-        fresh = _runs(np.stack([part, context]))
+        fresh = _runs(part, context)
         context, open_ = context[fresh], np.concatenate([g[3] for g in got]) > 0
         totals[context] = np.concatenate([g[1] for g in got])
         scale[context] = np.concatenate([g[2] for g in got]).view("<f8")
@@ -641,11 +656,12 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     counts = bigrams.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("bigrams"))
     joined = tokens_only.join(mine, "block").join(weights, "block").join(counts, "block")
     state, ds, buckets, spread = table(_first_levels(joined, buckets, spread), "katz-state"), [d], max(8, -(-state["tokens"] // PART)), max(1, -(-state["blocks"] // SHARED))
-    drop(cut)  # the state holds its tokens
+    for done in (cut, words, bigrams, contexts):
+        drop(done)  # the state holds all that is still asked of them
     for k in range(3, order + 1):
         release(spark)
         counted = table(count_grams(gram_requests(state, k, buckets, spread), k, ds[-1]), f"katz-{k}-grams")
-        ds.append(discounts(_sums(counted.where("block IS NULL"), CUTOFF + 1)))
+        ds.append(discounts(_sums(counted, CUTOFF + 1)))
         release(spark)
         answers = weigh_contexts(counted, ds[-1], spread).groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
         joined = state.join(answers, "block", "left")
