@@ -53,10 +53,10 @@ CUTOFF = 5
 END, START = b"\n", b"\r"  # not words: neither can come out of a split at white space
 
 
-def pack(values: np.ndarray, dtype: str) -> bytes:
+def pack(values: np.ndarray, dtype: str, level: int = 5) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(values, dtype=dtype).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values, dtype=dtype).tobytes())
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
@@ -65,10 +65,10 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
-def pack_planes(values: np.ndarray, width: int = 4) -> bytes:
+def pack_planes(values: np.ndarray, width: int = 4, level: int = 5) -> bytes:
     """Small whole numbers, byte by byte of their places, which leaves long runs of zeros."""
     planes = np.ascontiguousarray(values, dtype=f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return pack(planes, "u1")
+    return pack(planes, "u1", level)
 
 
 def unpack_planes(data: bytes, width: int = 4) -> np.ndarray:
@@ -108,7 +108,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             place[order] = np.arange(len(words), dtype=np.uint32)
             row = [
                 made, held, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
-                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
+                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)], level=12), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
 
@@ -340,7 +340,7 @@ def backoff_weights(sums: DataFrame, words: DataFrame) -> DataFrame:
         out = []
         for row in right[right["block"].notna()].itertuples():
             mine = unpack_planes(row.ranks)
-            out.append((int(row.block), key[0], pack(alpha[mine], "f8"), pack(scale[mine], "f8")))
+            out.append((int(row.block), key[0], pack_planes(alpha[mine].view("<u8"), 8), pack_planes(scale[mine].view("<u8"), 8)))
         return pd.DataFrame(out, columns=["block", "bucket", "alpha", "scale"])
 
     return sums.groupBy("bucket").cogroup(words.select("bucket", "block", "ranks", "counts").groupBy("bucket")).applyInPandas(weighed, "block long, bucket int, alpha binary, scale binary")
@@ -382,7 +382,7 @@ def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
                 number, counts = _looked_up(row, buckets)
                 *_, place = _bigrams(row, number, buckets, spread)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
-                alpha, scale = (_spread(row, [unpack(w[k], "f8") for w in got]) for k in ("alpha", "scale"))
+                alpha, scale = (_spread(row, [unpack_planes(w[k], 8).view("<f8") for w in got]) for k in ("alpha", "scale"))
                 sent = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 tok, sizes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4").astype(np.int64)
                 history = _Grams(tok, sizes, row.start, len(number), 2)
@@ -491,10 +491,10 @@ def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> Da
     return state.mapInPandas(asked, "part int, block long, grams binary")
 
 
-def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame:
-    """The table of n-grams of length ``order``, a row a part: its contexts with their totals, lower-order mass of the words seen after
-    each and how many of these have counts 1 to CUTOFF; its seen n-grams and counts of counts; and for each block the counts of
-    its n-grams, ranks of its contexts and which of these have a word that was never seen."""
+def count_grams(requests: DataFrame, order: int, below: np.ndarray, spread: int) -> DataFrame:
+    """The table of n-grams of length ``order``, a row a part: totals of its contexts, lower-order mass of the words seen after each and
+    how many of these have counts 1 to CUTOFF; counts of counts; for each block the counts of its n-grams, ranks of its
+    contexts and which of these have a word that was never seen. Where a bucket has several parts, its contexts' words come along."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         got = [unpack_many(g) for g in part["grams"]]
         fan, totals, scale, word, times, short, *context = (np.concatenate(c) for c in zip(*got, strict=True))
@@ -509,10 +509,9 @@ def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame
         place[order_g] = np.cumsum(new) - 1
         sums = np.bincount(place, weights=times).astype(np.int64)
         low = np.repeat(scale.view("<f8") / np.maximum(totals, 1), fan)[order_g[new]] * below[np.minimum(short[order_g[new]], CUTOFF + 1)] * short[order_g[new]]
-        mine, seen, many = owner[order_g[new]], sums > 0, int(fresh.sum())
+        mine, many = owner[order_g[new]], int(fresh.sum())
         by_context = lambda weights: np.bincount(mine, weights=weights, minlength=many)
-        model = [by_context(sums).astype(np.int64), by_context(low * seen), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1))]
-        stored = pack_many([np.diff(mine[seen], prepend=0), word[order_g[new]][seen], sums[seen]])
+        model = [by_context(sums).astype(np.int64), by_context(low * (sums > 0)), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1))]
         blocks, c, g = [], 0, 0
         for block, (f, *_) in zip(part["block"].tolist(), got, strict=True):
             n = int(f.sum())
@@ -521,9 +520,9 @@ def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame
             blocks.append({"block": block, "data": pack_many([counts, rank[c : c + len(f)], open_.astype(np.int64)])})
             c, g = c + len(f), g + n
         stats = [int((sums == r).sum()) for r in range(1, CUTOFF + 2)]
-        return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "contexts": [pack_many([c[order_c[fresh]] for c in context])], "grams": [stored], "stats": [stats], "blocks": [blocks]})
+        return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "contexts": [pack_many([c[order_c[fresh]] for c in context]) if spread > 1 else None], "stats": [stats], "blocks": [blocks]})
 
-    return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, contexts binary, grams binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
+    return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, contexts binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
 
 
 def weigh_contexts(counted: DataFrame, d: np.ndarray, spread: int) -> DataFrame:
@@ -660,7 +659,7 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
         drop(done)  # the state holds all that is still asked of them
     for k in range(3, order + 1):
         release(spark)
-        counted = table(count_grams(gram_requests(state, k, buckets, spread), k, ds[-1]), f"katz-{k}-grams")
+        counted = table(count_grams(gram_requests(state, k, buckets, spread), k, ds[-1], spread), f"katz-{k}-grams")
         ds.append(discounts(_sums(counted, CUTOFF + 1)))
         release(spark)
         answers = weigh_contexts(counted, ds[-1], spread).groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
