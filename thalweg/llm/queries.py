@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import archives, covertree, decontam, gam, katz, lexicon, linededup, packing, secrets, simhash
+from thalweg.llm import archives, bytebpe, covertree, decontam, gam, katz, lexicon, linededup, packing, secrets, simhash
 from thalweg.llm.common import held_out
 
 
@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(_read(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_katz_scores": op1_katz_scores,
     "op2_line_dedup": op2_line_dedup,
@@ -73,6 +83,7 @@ QUERIES = {
     "op8_archive_converter": op8_archive_converter,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: Only where DuckDB SQL gives the same rows; the others are held against brute force in tests.
