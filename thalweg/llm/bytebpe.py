@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Code points scanned at once, bytes of texts encoded at once, slices looked up at once, remembered slices, bytes of a slice that is remembered, bytes from which a heap finds the next pair.
-WINDOW, CHUNK, RUN, KNOWN, SHORT, LONG = 1 << 20, 1 << 23, 1 << 20, 1 << 18, 64, 96
+WINDOW, CHUNK, RUN, KNOWN, SHORT, LONG = 1 << 19, 1 << 21, 1 << 20, 1 << 17, 64, 96
 NONE = 1 << 60
 
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, WHITE, SPACE, BREAK = range(8)  # symbols; 8 more for the first code point of a text
@@ -316,7 +316,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the bounds of its texts; null is empty."""
     whole = pc.fill_null(texts.cast(pa.large_string()), "")
     bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
@@ -324,31 +324,48 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, ends)`` of ``docs(doc_id, text)``: token ids of each whole text and the byte at which each token ends.
-
-    ``path`` names a file of ranks that every executor can read. Null and empty
-    texts have no tokens; rows that repeat are encoded each and null ids are
-    kept; a very long text is scanned in windows; strings of special tokens are
-    plain text; other columns are left out, whatever their names; an empty
-    table gives no rows.
-    """
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("ids", ArrayType(IntegerType(), False)), StructField("ends", ArrayType(IntegerType(), False))])
-
+def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            data, bounds = _buffers(batch.column("text"))
+            data, bounds = text_buffers(batch.column("text"))
             a = 0
             while a < batch.num_rows:  # texts of CHUNK bytes together, or one longer text
-                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CHUNK, "right")) - 1)
-                b = min(b, batch.num_rows)
+                b = min(max(a + 1, int(np.searchsorted(bounds, bounds[a] + CHUNK, "right")) - 1), batch.num_rows)
                 ids, ends, cuts = words.encoded(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *lists], ["doc_id", "ids", "ends"])
                 a = b
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return run
+
+
+def _decoder(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            rows = zip(*[_parts(batch.column(c)) for c in ("ids", "ends")], strict=True)
+            decoded = pa.array([words.decoded(i, e) for i, e in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+
+    return run
+
+
+def _encoded_schema(docs: DataFrame) -> StructType:
+    ints = ArrayType(IntegerType(), False)
+    return StructType([docs.schema["doc_id"], StructField("ids", ints), StructField("ends", ints)])
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, ids, ends)`` of ``docs(doc_id, text)``: token ids of each whole text and the byte at which each token ends.
+
+    ``path`` names a file of ranks that every executor can read. Null and empty
+    texts have no tokens; rows that repeat are encoded each and null ids are
+    kept; a very long text is scanned in windows; strings of special tokens are
+    plain text; other columns are left out, whatever their names; an empty
+    table gives no rows.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_encoder(path), _encoded_schema(docs))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -359,17 +376,14 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     are an error. Other columns travel along; one named ``decoded`` is replaced.
     """
     given = tokens.drop("decoded")
-    names, schema = [*given.columns, "decoded"], StructType([*given.schema.fields, StructField("decoded", BinaryType())])
+    return given.mapInArrow(_decoder(path), StructType([*given.schema.fields, StructField("decoded", BinaryType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for batch in batches:
-            lists = [batch.column(c) for c in ("ids", "ends")]
-            rows = zip(*[_parts(x) for x in lists], strict=True)
-            decoded = pa.array([words.decoded(i, e) for i, e in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names)
 
-    return given.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``(doc_id, ids, ends, decoded)``."""
+    encoded, decoded = _encoder(path), _decoder(path)
+    schema = StructType([*_encoded_schema(docs).fields, StructField("decoded", BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoded(encoded(batches)), schema)
 
 
 def _parts(lists: pa.Array) -> Iterator[np.ndarray]:
@@ -380,6 +394,6 @@ def _parts(lists: pa.Array) -> Iterator[np.ndarray]:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded and decoded again."""
     text = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
