@@ -3,11 +3,12 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from thalweg.llm import bytebpe, queries
+from thalweg.llm import alignment, bytebpe, queries
 
 tiktoken = pytest.importorskip("tiktoken")
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -84,3 +85,62 @@ def test_odd_rows(spark, monkeypatch, library):
         bytebpe.decode(wrong, PATH).collect()
     none = spark.createDataFrame([(None, None), ([], [])], "ids array<int>, ends array<int>")
     assert [bytes(r["decoded"]) for r in bytebpe.decode(none, PATH).collect()] == [b"", b""]
+
+
+def plain_alignment(texts):
+    """The eight columns of every text by one library call each and dictionaries."""
+    a_path, b_path = vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model")
+    both, found, times = alignment.Pair(a_path, b_path), [], Counter()
+    for doc_id, text in texts:
+        a = both.a.encode(f" {text}", add_special_tokens=False).ids if text else []
+        b = both.b.encode(text) if text else []
+        joined = [b"".join(bytes(names[i]) for i in ids) for ids, names in ((a, both.a_bytes), (b, both.b_bytes))]
+        if not text or joined != [f" {text}".encode()] * 2:
+            a, b = [], []
+        ends = [np.cumsum([len(names[i]) for i in ids], dtype=int).tolist() for ids, names in ((a, both.a_bytes), (b, both.b_bytes))]
+        place = [{e: k for k, e in enumerate(x)} for x in ends]
+        groups, links, x, y = [], [], 0, 0
+        for e in ends[0]:
+            if e in place[1]:
+                i, j = place[0][e] + 1, place[1][e] + 1
+                groups.append(",".join(map(str, a[x:i])) + "|" + ",".join(map(str, b[y:j])))
+                links.append((a[i - 1], b[j - 1]))
+                x, y = i, j
+        times.update(links)
+        found.append((doc_id, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""))
+    top = Counter()
+    for (_, b), n in times.items():
+        top[b] = max(top[b], n)
+    return sorted((str(i), na, nb, g, len(ls), sum(times[x] == top[x[1]] for x in ls), sum(times[x] for x in ls), sha) for i, na, nb, g, ls, sha in found)
+
+
+def digests_of(frame):
+    return sorted((str(r["doc_id"]), r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in frame.collect())
+
+
+def test_alignment_equals_plain_version(spark, monkeypatch):
+    texts = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    assert digests_of(queries.op12_alignment(spark, DATA)) == plain_alignment(texts)
+
+
+@pytest.mark.parametrize("common, words", [(10_000, True), (3, True), (10_000, False)])
+def test_odd_alignments(spark, monkeypatch, common, words):
+    monkeypatch.setattr(alignment, "COMMON", common)
+    monkeypatch.setattr(alignment, "CHUNK", 60)
+    rnd = random.Random(5)
+    bits = [*BITS, "▁", "ﬁ", "<s>", "foo", "Å", "the ", "　"]
+    texts = ODD + [(100 + k, "".join(rnd.choices(bits, k=rnd.choice([1, 2, 5, 20, 100])))) for k in range(300)]
+    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in texts], "doc_id long, text string, links string, row int").repartition(2)
+    paths = vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model")
+    if not words:  # whole texts in place of words
+        both = alignment.Pair(*paths)
+        both.words = False
+        for k in (0, 5, 8, 40):
+            data = np.frombuffer(f" {texts[k][1] or ''}".encode(), np.uint8)
+            whole = alignment._chunk(both, data, np.array([0, len(data)]), np.array([not texts[k][1]]))
+            both.words = True
+            assert [c.to_pylist() for c in whole] == [c.to_pylist() for c in alignment._chunk(both, data, np.array([0, len(data)]), np.array([not texts[k][1]]))]
+            both.words = False
+        return
+    assert digests_of(alignment.digests(docs, *paths)) == plain_alignment(texts)
+    assert alignment.digests(docs.where("false"), *paths).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import archives, bytebpe, covertree, decontam, gam, katz, lexicon, linededup, packing, secrets, simhash
+from thalweg.llm import alignment, archives, bytebpe, covertree, decontam, gam, katz, lexicon, linededup, packing, secrets, simhash
 from thalweg.llm.common import held_out
 
 
@@ -68,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(_read(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_read(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_archive_converter": op8_archive_converter,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_alignment": op12_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
