@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import alignment, archives, bytebpe, covertree, decontam, gam, katz, lexicon, linededup, packing, secrets, simhash
+from thalweg.llm import alignment, archives, bytebpe, covertree, decontam, gam, katz, lexicon, linededup, packing, pivots, secrets, simhash
 from thalweg.llm.common import held_out
 
 
@@ -68,6 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivots.hard_negatives(_read(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(_read(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_archive_converter": op8_archive_converter,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_alignment": op12_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -96,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.ORACLE,
     "op3_exact_top_k": covertree.ORACLE,
     "op8_archive_converter": archives.ORACLE,
+    "op11_hard_negatives": pivots.ORACLE,
 }
