@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def edges(line: Column) -> Column:
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: as the variable of a lambda it isn't written out again wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def length(line: Column) -> Column:
     return F.aggregate(edges(line), F.lit(0.0), lambda acc, e: acc + gap(e["a"], e["b"]))
 
@@ -95,25 +102,24 @@ def project(line: Column, point: Column) -> Column:
 
     The first edge wins ties. Null for a line without an edge.
     """
-    spots = F.transform(measured(line), lambda e: F.struct(gap(along(e, _edge_share(e, point)), point).alias("dist"), (e["at"] + e["len"] * _edge_share(e, point)).alias("at")))
-    best = F.array_min(spots)
-    return F.struct(best["dist"].alias("dist"), best["at"].alias("at"), (best["at"] / length(line)).alias("ndist"))
+    spot = lambda e, t: F.struct(gap(along(e, t), point).alias("dist"), (e["at"] + e["len"] * t).alias("at"))
+    best = F.array_min(F.transform(measured(line), lambda e: let(_edge_share(e, point), lambda t: spot(e, t))))
+    return let(best, lambda b: F.struct(b["dist"].alias("dist"), b["at"].alias("at"), (b["at"] / length(line)).alias("ndist")))
 
 
 def interpolate(line: Column, share: Column) -> Column:
     """The point at a share of the length, Z carried along; ends beyond 0 and 1."""
-    want = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * length(line)
-    spans = F.filter(measured(line), lambda e: (e["len"] > 0) & (e["at"] + e["len"] >= want))
-    hit = F.get(spans, F.lit(0))
-    return F.when(hit.isNull(), last(line)).otherwise(along(hit, (want - hit["at"]) / hit["len"]))
+    def at(want: Column) -> Column:
+        hit = F.get(F.filter(measured(line), lambda e: (e["len"] > 0) & (e["at"] + e["len"] >= want)), F.lit(0))
+        return let(hit, lambda h: F.when(h.isNull(), last(line)).otherwise(along(h, (want - h["at"]) / h["len"])))
+
+    return let(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * length(line), at)
 
 
 def substring(line: Column, start: Column, end: Column) -> Column:
     """The part of a line between two shares of its length, with the vertices between; equal shares give one point twice dropped to one."""
-    total = length(line)
-    inner = F.transform(
-        F.filter(measured(line), lambda e: (e["at"] + e["len"] > start * total) & (e["at"] + e["len"] < end * total)), lambda e: e["b"]
-    )
+    between = lambda total: F.filter(measured(line), lambda e: (e["at"] + e["len"] > start * total) & (e["at"] + e["len"] < end * total))
+    inner = F.transform(let(length(line), between), lambda e: e["b"])
     return F.when(start >= end, F.array(interpolate(line, start))).otherwise(F.concat(F.array(interpolate(line, start)), inner, F.array(interpolate(line, end))))
 
 
@@ -151,12 +157,14 @@ def area(rings: Column) -> Column:
 
 def contains(rings: Column, p: Column) -> Column:
     """Whether a point is in a polygon or on its border."""
-    every = F.flatten(F.transform(rings, edges))
-    crosses = F.aggregate(
-        every, F.lit(0),
-        lambda acc, e: acc + F.when(((e["a"]["y"] > p["y"]) != (e["b"]["y"] > p["y"])) & (p["x"] < (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]), 1).otherwise(0),
-    )
-    return (crosses % 2 == 1) | F.exists(every, lambda e: gap(along(e, _edge_share(e, p)), p) == 0)
+    def held(every: Column) -> Column:
+        crosses = F.aggregate(
+            every, F.lit(0),
+            lambda acc, e: acc + F.when(((e["a"]["y"] > p["y"]) != (e["b"]["y"] > p["y"])) & (p["x"] < (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]), 1).otherwise(0),
+        )
+        return (crosses % 2 == 1) | F.exists(every, lambda e: _on(e, p))
+
+    return let(ring_edges(rings), held)
 
 
 def touches_middle(line: Column, p: Column) -> Column:
@@ -197,7 +205,7 @@ def edges_meet(e: Column, f: Column) -> Column:
 
 
 def _any_meet(some: Column, others: Column) -> Column:
-    return F.exists(some, lambda e: F.exists(others, lambda f: edges_meet(e, f)))
+    return let(others, lambda o: F.exists(some, lambda e: F.exists(o, lambda f: edges_meet(e, f))))
 
 
 def lines_meet(a: Column, b: Column) -> Column:
@@ -217,8 +225,7 @@ def polygons_meet(a: Column, b: Column) -> Column:
 def _edge_spots(p: Column, others: Column) -> Column:
     """For a point the distance to and the nearest point of each edge, as ``array<struct<dist, x, y>>``."""
     def spot(f: Column) -> Column:
-        q = along(f, _edge_share(f, p))
-        return F.struct(gap(q, p).alias("dist"), q["x"].alias("x"), q["y"].alias("y"))
+        return let(along(f, _edge_share(f, p)), lambda q: F.struct(gap(q, p).alias("dist"), q["x"].alias("x"), q["y"].alias("y")))
 
     return F.transform(others, spot)
 
@@ -231,7 +238,7 @@ def _vertices(parts: Column) -> Column:
 def edges_distance(a: Column, b: Column) -> Column:
     """Least distance between two sets of edges, 0 where any meet."""
     near = lambda some, others: F.array_min(F.transform(_vertices(some), lambda p: F.array_min(F.transform(_edge_spots(p, others), lambda s: s["dist"]))))
-    return F.when(_any_meet(a, b), 0.0).otherwise(F.least(near(a, b), near(b, a)))
+    return let(a, lambda x: let(b, lambda y: F.when(_any_meet(x, y), 0.0).otherwise(F.least(near(x, y), near(y, x)))))
 
 
 def lines_distance(a: Column, b: Column) -> Column:
@@ -259,32 +266,33 @@ def crossing_point(e: Column, f: Column) -> Column:
 
 
 def _on(e: Column, p: Column) -> Column:
-    return gap(along(e, _edge_share(e, p)), p) == 0
+    return let(along(e, _edge_share(e, p)), lambda q: gap(q, p)) == 0
 
 
 def nearest_point(of: Column, to: Column) -> Column:
     """The point of the edges ``of`` that is nearest to the edges ``to``; the first crossing where they meet."""
-    hits = F.flatten(F.transform(of, lambda e: F.transform(F.filter(to, lambda f: edges_meet(e, f)), lambda f: crossing_point(e, f))))
-    own = F.transform(_vertices(of), lambda p: F.struct(F.array_min(F.transform(_edge_spots(p, to), lambda s: s["dist"])).alias("dist"), p["x"].alias("x"), p["y"].alias("y")))
-    cast = F.transform(_vertices(to), lambda p: F.array_min(_edge_spots(p, of)))
-    best = F.array_min(F.concat(own, cast))
-    return F.when(F.size(hits) > 0, F.get(hits, F.lit(0))).otherwise(xyz(best["x"], best["y"]))
+    def between(a: Column, b: Column) -> Column:
+        hits = F.flatten(F.transform(a, lambda e: F.transform(F.filter(b, lambda f: edges_meet(e, f)), lambda f: crossing_point(e, f))))
+        own = F.transform(_vertices(a), lambda p: F.struct(F.array_min(F.transform(_edge_spots(p, b), lambda s: s["dist"])).alias("dist"), p["x"].alias("x"), p["y"].alias("y")))
+        cast = F.transform(_vertices(b), lambda p: F.array_min(_edge_spots(p, a)))
+        apart = let(F.array_min(F.concat(own, cast)), lambda s: xyz(s["x"], s["y"]))
+        return let(F.get(hits, F.lit(0)), lambda h: F.when(h.isNotNull(), h).otherwise(apart))
+
+    return let(of, lambda a: let(to, lambda b: between(a, b)))
 
 
 def length_inside(line: Column, rings: Column) -> Column:
     """Length of the parts of a line that lie in a polygon: each edge is cut where it meets the border, and parts count whose middle is inside."""
-    border = ring_edges(rings)
-
-    def cuts(e: Column) -> Column:
-        at = F.transform(F.filter(border, lambda f: edges_meet(e, f)), lambda f: _edge_share(e, crossing_point(e, f)))
+    def cuts(border: Column, e: Column) -> Column:
+        at = F.transform(F.filter(border, lambda f: edges_meet(e, f)), lambda f: let(crossing_point(e, f), lambda p: _edge_share(e, p)))
         return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), at)))
 
-    def inside(e: Column) -> Column:
-        c = cuts(e)
-        parts = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.when(contains(rings, along(e, (a + b) / 2)), b - a).otherwise(0.0))
-        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) * gap(e["a"], e["b"])
+    def parts(e: Column, c: Column) -> Column:
+        inner = lambda a, b: let(along(e, (a + b) / 2), lambda p: F.when(contains(rings, p), b - a).otherwise(0.0))
+        return F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), inner), F.lit(0.0), lambda acc, v: acc + v) * gap(e["a"], e["b"])
 
-    return F.aggregate(edges(line), F.lit(0.0), lambda acc, e: acc + inside(e))
+    inside = lambda border: F.aggregate(edges(line), F.lit(0.0), lambda acc, e: acc + let(cuts(border, e), lambda c: parts(e, c)))
+    return let(ring_edges(rings), inside)
 
 
 def shared_area(a: list, b: list) -> float:

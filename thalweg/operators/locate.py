@@ -226,12 +226,14 @@ def locate(network: Network, points: DataFrame, *, override: dict | None = None,
         matched = matched.unionByName(p)
     full = geoms.join(matched, "loc").join(network.segments.select("segnum", "geometry"), "segnum", "left")
     on = F.col("geometry").isNotNull() & (F.col("kind") != "empty")
-    target = G.edges(F.col("geometry"))
-    middle = F.when(G.contains(F.col("rings"), G.first(F.col("geometry"))), G.first(F.col("geometry"))).otherwise(G.nearest_point(G.ring_edges(F.col("rings")), target))
-    own = F.when(F.col("kind") == "point", G.first(F.col("points"))).when(F.col("kind") == "line", G.nearest_point(G.edges(F.col("points")), target)).otherwise(middle)
-    full = full.withColumn("own", F.when(on, own)).withColumn("spot", F.when(on, G.project(F.col("geometry"), F.col("own")))).withColumn("foot", F.when(on, G.interpolate(F.col("geometry"), F.col("spot.ndist"))))
-    link = F.when(on, F.array(G.xyz(F.col("own.x"), F.col("own.y"), None), G.xyz(F.col("foot.x"), F.col("foot.y"), None))).otherwise(F.array().cast(G.LINE))
-    return full.select("loc", "method", "segnum", F.when(on, F.col("spot.ndist")).alias("seg_ndist"), F.when(on, F.col("spot.dist")).alias("dist_to_seg"), link.alias("link"))
+    g = F.col("geometry")
+    middle = G.let(G.first(g), lambda p: F.when(G.contains(F.col("rings"), p), G.xyz(p["x"], p["y"])).otherwise(G.nearest_point(G.ring_edges(F.col("rings")), G.edges(g))))
+    own = F.when(F.col("kind") == "point", G.first(F.col("points"))).when(F.col("kind") == "line", G.nearest_point(G.edges(F.col("points")), G.edges(g))).otherwise(middle)
+    placed = lambda p: G.let(G.project(g, p), lambda s: F.struct(p.alias("own"), s.alias("spot"), G.interpolate(g, s["ndist"]).alias("foot")))
+    full = checkpointed(full.select("loc", "method", "segnum", F.when(on, G.let(own, placed)).alias("at")))
+    on = F.col("at").isNotNull()
+    link = F.when(on, F.array(G.xyz(F.col("at.own.x"), F.col("at.own.y"), None), G.xyz(F.col("at.foot.x"), F.col("at.foot.y"), None))).otherwise(F.array().cast(G.LINE))
+    return full.select("loc", "method", "segnum", F.col("at.spot.ndist").alias("seg_ndist"), F.col("at.spot.dist").alias("dist_to_seg"), link.alias("link"))
 
 
 def _climb_down(network: Network, hit: DataFrame, least: int) -> DataFrame:
