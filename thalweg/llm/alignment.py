@@ -23,7 +23,9 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from thalweg.llm.bytebpe import WHITE, classes, code_points, text_buffers
 from thalweg.llm.common import table
 
-#: Bytes of texts aligned at once, remembered words, bytes of a word that is remembered, the share of all links from which a pair is common (one in so many).
-CHUNK, KNOWN, SHORT, COMMON = 1 << 22, 1 << 17, 48, 10_000
+#: Bytes of texts aligned at once, the share of all links from which a pair is common (one in so many).
+CHUNK, COMMON = 1 << 21, 10_000
 NONE, A_ENDS, B_ENDS, BOTH = b".ABX"
 SPAN = re.compile(rb"[.AB]*X")
 
@@ -48,8 +50,32 @@ def byte_characters() -> dict[str, int]:
     return {chr(c): b for c, b in [*zip(plain, plain, strict=True), *((256 + k, b) for k, b in enumerate(rest))]}
 
 
+class Side:
+    """The bytes of a tokenizer's ids, one after the other, and its ids as text with what follows them in a group."""
+
+    def __init__(self, names: list[bytes], between: str, after: str):
+        self.sizes = np.array([len(n) for n in names], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+        self.said = [f"{i}{mark}" for mark in (between, after) for i in range(len(names))]
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.sizes[ids]
+        return self.bytes[np.repeat(self.places[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+@dataclass
+class Words:
+    """Words aligned, all columns one after the other: how many entries each word has, and the entries."""
+
+    fits: np.ndarray
+    counts: dict[str, np.ndarray]
+    values: dict[str, np.ndarray]
+    text: list[str]
+
+
 class Pair:
-    """Both tokenizers, the bytes of their ids, and the words aligned lately."""
+    """Both tokenizers and the bytes of their ids."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,69 +85,83 @@ class Pair:
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         back, special = byte_characters(), {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = {i: t.encode() if t in special else bytes(back[c] for c in t) for t, i in self.a.get_vocab().items()}
+        names = {i: t.encode() if t in special else bytes(back[c] for c in t) for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [names.get(i, b"") for i in range(max(names) + 1)]
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.sides = Side(self.a_bytes, ",", "|"), Side(self.b_bytes, ",", ";")
         rules = json.loads(self.a.to_str())
         cut = rules["pre_tokenizer"] or {}
         plain = rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         self.words = plain and not any("▁" in piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
-        self.known: dict[bytes, tuple] = {}
 
     def starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where words begin: with every text, and at spaces after a character that is no white space."""
+        begins = begins[begins < len(data)]
         if not self.words:
-            return np.unique(begins[begins < len(data)])
+            return np.unique(begins)
         points, at = code_points(data)
         white = classes()[points] == WHITE
-        spaces = at[1:][(points[1:] == 0x20) & ~white[:-1]]
-        return np.union1d(spaces, begins[begins < len(data)])
-
-    def aligned(self, words: list[bytes]) -> list[tuple | None]:
-        """``(a_ids, b_ids, a_sizes, b_sizes, links, text)`` of each word, its first byte a space; None where the tokens' bytes aren't the word's."""
-        found = list(map(self.known.get, words))
-        new = [k for k, f in enumerate(found) if f is None]
-        if not new:
-            return found
-        texts = [words[k].decode() for k in new]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)  # B adds the space, but not to nothing
-        b_ids = [ids if t != " " else [self.b.piece_to_id("▁")] for ids, t in zip(b_ids, texts, strict=True)]
-        fits = [b"".join([self.a_bytes[i] for i in a]) == words[k] == b"".join([self.b_bytes[i] for i in b]) for k, a, b in zip(new, a_ids, b_ids, strict=True)]
-        good = [n for n, f in enumerate(fits) if f]
-        made: dict[int, tuple] = {}
-        if good:
-            ends = np.cumsum([len(words[new[n]]) for n in good])
-            labels = np.full(int(ends[-1]), NONE, np.uint8)
-            a_ends = np.cumsum([len(self.a_bytes[i]) for n in good for i in a_ids[n]]) - 1
-            b_ends = np.cumsum([len(self.b_bytes[i]) for n in good for i in b_ids[n]]) - 1
-            labels[a_ends] = A_ENDS
-            labels[b_ends] = np.where(labels[b_ends] == A_ENDS, BOTH, B_ENDS)
-            spans = SPAN.findall(labels.tobytes())  # a word always ends with a span
-            a_sizes, b_sizes = [s.count(b"A") + 1 for s in spans], [s.count(b"B") + 1 for s in spans]
-            last = np.searchsorted(np.cumsum([len(s) for s in spans]), ends, "left") + 1
-            at = 0
-            for n, stop in zip(good, last.tolist(), strict=True):
-                made[n] = _groups(a_ids[n], b_ids[n], a_sizes[at:stop], b_sizes[at:stop])
-                at = stop
-        if len(self.known) + len(made) > KNOWN:
-            self.known.clear()
-        for n, k in enumerate(new):
-            found[k] = made.get(n)
-            if n in made and len(words[k]) <= SHORT:
-                self.known[words[k]] = made[n]
-        return found
-
-
-def _groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple:
-    x = y = 0
-    parts, links = [], []
-    for m, n in zip(a_sizes, b_sizes, strict=True):
-        parts.append(f"{','.join(map(str, a[x : x + m]))}|{','.join(map(str, b[y : y + n]))}")
-        x, y = x + m, y + n
-        links.append(a[x - 1] << 32 | b[y - 1])
-    packed = [np.array(v, np.int32).tobytes() for v in (a, b, a_sizes, b_sizes)]
-    return *packed, np.array(links, np.int64).tobytes(), ";".join(parts)
+        first = np.zeros(len(data), bool)
+        first[at[1:][(points[1:] == 0x20) & ~white[:-1]]] = True
+        first[begins] = True
+        return np.flatnonzero(first)
+
+    def aligned(self, words: list[bytes]) -> Words:
+        """Groups and links of words, the first byte of each a space. Words that a tokenizer doesn't give back byte by byte have none."""
+        texts = [w.decode() for w in words]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)  # B adds the space, but not to nothing
+        b = [ids if t != " " else [self.b.piece_to_id("▁")] for ids, t in zip(b, texts, strict=True)]
+        sizes, flat, fits = np.array(list(map(len, words)), np.int64), [], np.ones(len(words), bool)
+        blob, own = np.frombuffer(b"".join(words), np.uint8), np.arange(len(words))
+        for side, ids in zip(self.sides, (a, b), strict=True):
+            each, count = np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append([each, np.repeat(own, count)])
+            fits &= np.bincount(flat[-1][1], side.sizes[each], len(words)).astype(np.int64) == sizes
+        for (each, word), side in zip(flat, self.sides, strict=True):
+            same = fits[word]
+            where = np.repeat(own, np.where(fits, sizes, 0))
+            odd = side.joined(each[same]) != blob[np.repeat(fits, sizes)]
+            fits[where[odd]] = False
+        for column in flat:
+            stay = fits[column[1]]
+            column[:] = [column[0][stay], column[1][stay]]
+        total = int(sizes[fits].sum())
+        ends = [np.cumsum(side.sizes[each]) for side, (each, _) in zip(self.sides, flat, strict=True)]
+        labels = np.full(total, NONE, np.uint8)
+        labels[ends[0] - 1] = A_ENDS
+        labels[ends[1] - 1] = np.where(labels[ends[1] - 1] == A_ENDS, BOTH, B_ENDS)
+        spans = np.cumsum(np.fromiter(map(len, SPAN.findall(labels.tobytes())), np.int64))  # where they end; a word always ends with one
+        upto = [np.searchsorted(e, spans, "right") for e in ends]  # tokens up to there: as many labels
+        group_of = np.searchsorted(np.cumsum(np.where(fits, sizes, 0)), spans, "left")
+        values = {"a_ids": flat[0][0], "b_ids": flat[1][0], "a_sizes": np.diff(upto[0], prepend=0).astype(np.int32), "b_sizes": np.diff(upto[1], prepend=0).astype(np.int32)}
+        values["links"] = values["a_ids"][upto[0] - 1].astype(np.int64) << 32 | values["b_ids"][upto[1] - 1]
+        each_word = lambda w: np.bincount(w, minlength=len(words))
+        counts = {"a_ids": each_word(flat[0][1]), "b_ids": each_word(flat[1][1])} | dict.fromkeys(("a_sizes", "b_sizes", "links"), each_word(group_of))
+        return Words(fits, counts, values, self._said(values, upto, [f[1] for f in flat], len(words)))
+
+    def _said(self, values: dict[str, np.ndarray], upto: list[np.ndarray], owners: list[np.ndarray], n: int) -> list[str]:
+        """The groups of each word as text: each id with the mark that follows it, in the order of the text."""
+        n_a, n_b = len(values["a_ids"]), len(values["b_ids"])
+        kind, word = np.empty(n_a + n_b, np.int64), np.empty(n_a + n_b, np.int64)
+        group_a, group_b = np.repeat(np.arange(len(upto[0])), values["a_sizes"]), np.repeat(np.arange(len(upto[1])), values["b_sizes"])
+        before = np.concatenate([[0], upto[1]])[group_a]
+        last_a, last_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
+        last_a[upto[0] - 1] = 1
+        last_b[upto[1] - 1] = 1
+        width_a, width_b = len(self.a_bytes), len(self.b_bytes)
+        at_a, at_b = np.arange(n_a) + before, np.arange(n_b) + upto[0][group_b]
+        kind[at_a], word[at_a] = values["a_ids"] + width_a * last_a, owners[0]
+        kind[at_b], word[at_b] = 2 * width_a + values["b_ids"] + width_b * last_b, owners[1]
+        parts = list(map(self._marks.__getitem__, kind.tolist()))
+        ends = np.cumsum(np.bincount(word, np.fromiter(map(len, parts), np.int64, len(parts)), n)).astype(np.int64).tolist()
+        whole = "".join(parts)
+        return [whole[x : max(x, y - 1)] for x, y in zip([0, *ends], ends, strict=False)]
+
+    @cached_property
+    def _marks(self) -> list[str]:
+        return self.sides[0].said + self.sides[1].said
 
 
 @lru_cache(2)
@@ -170,32 +210,29 @@ def _chunk(both: Pair, data: np.ndarray, bounds: np.ndarray, empty: np.ndarray)
     cut = np.append(starts, len(data)).astype(np.int64)
     slices = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     found, which = both.aligned(slices.dictionary.to_pylist()), slices.indices.to_numpy()
-    nothing = (b"", b"", b"", b"", b"", "")
-    broken = np.array([f is None for f in found], bool)
     words = np.searchsorted(starts, bounds)  # the words of each text
     text = np.repeat(np.arange(len(empty)), np.diff(words))
     out = empty.copy()
-    out[text[broken[which]]] = True
+    out[text[~found.fits[which]]] = True
     stay = ~out[text]
     which, text = which[stay], text[stay]
-    found = [f or nothing for f in found]
 
-    def gathered(k: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    def gathered(name: str) -> tuple[np.ndarray, np.ndarray]:
         """Values of all words in their places, and each text's bounds."""
-        size = np.array([len(f[k]) for f in found], np.int64) // np.dtype(dtype).itemsize
-        flat, many = np.frombuffer(b"".join([f[k] for f in found]), dtype), size[which]
+        size = found.counts[name]
+        many = size[which]
         place = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return flat[place], np.concatenate([[0], np.cumsum(np.bincount(text, many, len(empty)).astype(np.int64))])
+        return found.values[name][place], np.concatenate([[0], np.cumsum(np.bincount(text, many, len(empty)).astype(np.int64))])
 
-    lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v, pa.int32())) for v, b in (gathered(k, np.int32) for k in range(4))]
-    links, ends = gathered(4, np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v, pa.int32())) for v, b in map(gathered, ("a_ids", "b_ids", "a_sizes", "b_sizes"))]
+    links, ends = gathered("links")
     own = np.repeat(np.arange(len(empty)), np.diff(ends))
     order = np.lexsort((links, own))
     links, own = links[order], own[order]
     first = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (own[1:] != own[:-1])])) if len(links) else np.zeros(0, np.int64)
     at = pa.array(np.searchsorted(own[first], np.arange(len(empty) + 1)), pa.int32())
     lists += [pa.ListArray.from_arrays(at, pa.array(links[first], pa.int64())), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(links))), pa.int32()))]
-    said, places = [f[5] for f in found], np.searchsorted(text, np.arange(len(empty) + 1)).tolist()
+    said, places = found.text, np.searchsorted(text, np.arange(len(empty) + 1)).tolist()
     named = which.tolist()
     return [*lists, pa.array([";".join([said[w] for w in named[a:b]]) for a, b in zip(places[:-1], places[1:], strict=True)], pa.string())]
 
