@@ -1,9 +1,22 @@
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
-@pytest.fixture(scope="session")
+def forget_dead_machine():
+    """Lets a new session start where the machine of the one before has died."""
+    try:
+        if SparkContext._jvm is not None:
+            SparkContext._jvm.java.lang.System.nanoTime()
+    except Exception:
+        SparkContext._gateway = SparkContext._jvm = SparkContext._active_spark_context = None
+        SparkSession._instantiatedSession = None
+
+
+@pytest.fixture(scope="module")
 def spark():
+    """A session for each module, so that one that dies takes no other module's tests with it."""
+    forget_dead_machine()
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -18,4 +31,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-    session.stop()
+    try:
+        session.stop()
+    except Exception:  # it is dead already
+        forget_dead_machine()

@@ -6,9 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
@@ -114,49 +112,99 @@ def from_segnums(edges: DataFrame, end: int) -> DataFrame:
     return edges.select("segnum").join(into, "segnum", "left").withColumn("from_segnums", F.coalesce("from_segnums", F.array().cast("array<bigint>")))
 
 
-def _orders(part: pd.DataFrame) -> pd.DataFrame:
-    """Round and Strahler order of one tree, level by level from the farthest segments."""
-    part = part.sort_values("num_to_outlet", ascending=False, ignore_index=True)
-    place = pd.Series(np.arange(len(part)), index=part["segnum"])
-    parent = place.reindex(part["to_segnum"]).fillna(-1).to_numpy(np.int64)
-    depth = part["num_to_outlet"].to_numpy()
-    least, most = np.full(len(part), np.iinfo(np.int64).max), np.full(len(part), -1, np.int64)
-    top, ties = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-    rounds, order = np.zeros(len(part), np.int64), np.ones(len(part), np.int64)
-    edges = np.flatnonzero(np.diff(depth, prepend=-1)).tolist() + [len(part)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        rows = np.arange(a, b)
-        fed = most[rows] >= 0
-        rounds[rows] = np.where(fed, np.maximum(least[rows] + 1, most[rows]), 0) if fed.any() else 0
-        order[rows] = np.where(fed, top[rows] + (ties[rows] >= 2), 1)
-        into = parent[rows]
-        rows, into = rows[into >= 0], into[into >= 0]
-        np.minimum.at(least, into, rounds[rows])
-        np.maximum.at(most, into, rounds[rows])
-        high = np.zeros(len(part), np.int64)
-        np.maximum.at(high, into, order[rows])
-        touched = np.unique(into)
-        ties[touched] = 0
-        top[touched] = high[touched]
-        np.add.at(ties, into, order[rows] == high[into])
-    return pd.DataFrame({"segnum": part["segnum"], "round": rounds, "stream_order": order})
+def _step(least: Column, most: Column, low: Column, more: Column) -> Column:
+    """The function that is ``low`` below ``least``, ``most + more + 1`` from there to ``most``, and ``x + more`` beyond."""
+    return F.struct(least.cast("long").alias("s"), most.cast("long").alias("t"), low.cast("long").alias("lo"), more.cast("long").alias("k"))
+
+
+def _applied(f: Column, x: Column) -> Column:
+    return F.when(x < f["s"], f["lo"]).when(x <= f["t"], f["t"] + f["k"] + 1).otherwise(x + f["k"])
+
+
+def _composed(g: Column, f: Column) -> Column:
+    """``g`` after ``f``, a function of the same kind."""
+    more, moved = f["k"] + g["k"], g["t"] - f["k"]
+    return (
+        F.when(moved <= f["t"], _step(f["s"], f["t"], _applied(g, f["lo"]), more))
+        .when(g["s"] > f["t"] + 1 + f["k"], _step(g["s"] - f["k"], moved, g["lo"], more))
+        .otherwise(_step(f["s"], moved, _applied(g, f["lo"]), more))
+    )
+
+
+def contracted(edges: DataFrame, end: int) -> DataFrame:
+    """``(segnum, round, stream_order)`` of a forest ``edges(segnum, to_segnum)`` by tree contraction.
+
+    The round of a headwater is 0, of another segment the larger of its
+    tributaries' largest round and one more than their smallest; the Strahler
+    order of a headwater is 1, of another its tributaries' largest, and one
+    more where two have it.
+
+    A segment that waits for one tributary only is a function of that one's
+    value: ``low`` up to some value, one more than a second value up to that,
+    and the value itself (for rounds, plus a number) beyond. Such functions
+    compose to functions of the same kind. In every round known segments are
+    told to the next one downstream, which adds them up by combinable
+    aggregates, and each segment that waits for one tributary jumps over it if
+    that one waits for a single one as well. Leaves go and chains halve
+    together, so the rounds follow the logarithm of the number of segments,
+    whatever the shape; a round is two joins, and no group grows with a tree.
+    """
+    null = F.lit(None).cast("long")
+    one, plus = _step(F.lit(0), F.lit(-1), F.lit(0), F.lit(0)), _step(F.lit(0), F.lit(-1), F.lit(0), F.lit(1))
+    above = edges.where(F.col("to_segnum") != end).groupBy(F.col("to_segnum").alias("segnum")).agg(F.count(F.lit(1)).alias("left"), F.bit_xor("segnum").alias("ids"))
+    rows = edges.select("segnum", F.col("to_segnum").alias("next")).join(above, "segnum", "left").withColumn("left", F.coalesce("left", F.lit(0).cast("long")))
+    head, alone = F.col("left") == 0, F.col("left") == 1
+    state = checkpointed(rows.select(
+        "segnum", "next", "left", "ids", F.when(alone, F.col("ids")).alias("wait"), F.when(head, F.lit(0).cast("long")).alias("round"), F.when(head, F.lit(1).cast("long")).alias("order"),
+        F.when(head, 0).alias("born"), null.alias("top"), F.lit(False).alias("twice"), null.alias("low"), null.alias("high"), F.when(alone, one).alias("f"), F.when(alone, plus).alias("g"),
+    ))
+    names = state.columns
+    for turn in range(1, 4 * MAX_ROUNDS):
+        known, chained = F.col("order").isNotNull(), F.col("wait").isNotNull()
+        # Those known since the last round tell the next one, by order first, so that none of them is many.
+        told = state.where((F.col("born") == turn - 1) & (F.col("next") != end)).groupBy("next", "order").agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor("segnum").alias("ids"), F.min("round").alias("low"), F.max("round").alias("high")
+        )
+        told = told.groupBy(F.col("next").alias("segnum")).agg(
+            F.sum("n").alias("n"), F.bit_xor("ids").alias("u_ids"), F.max(F.struct("order", "n")).alias("u"), F.min("low").alias("u_low"), F.max("high").alias("u_high")
+        )
+        more = state.where(~known & ~chained).join(told, "segnum", "left")
+        u = F.col("u.order")
+        twice = F.when(u.isNull(), F.col("twice")).when(F.col("top").isNull() | (u > F.col("top")), F.col("u.n") > 1).otherwise(F.col("twice") | (u == F.col("top")))
+        more = more.select(
+            "segnum", "next", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.when(F.col("n").isNull(), F.col("ids")).otherwise(F.col("ids").bitwiseXOR(F.col("u_ids"))).alias("ids"), "born",
+            F.greatest("top", u).alias("top"), twice.alias("twice"), F.least("low", "u_low").alias("low"), F.greatest("high", "u_high").alias("high"),
+        )
+        order, even = F.col("top") + F.col("twice").cast("long"), F.col("low") == F.col("high")
+        f = _step(F.col("top"), F.col("top"), order, F.lit(0))
+        g = F.when(even, _step(F.col("low"), F.col("low"), F.col("low"), F.lit(0))).otherwise(_step(F.lit(0), F.col("high") - 1, F.lit(0), F.lit(0)))
+        more = more.select(
+            "segnum", "next", "left", "ids", F.when(alone, F.col("ids")).alias("wait"), F.when(head, F.greatest(F.col("low") + 1, F.col("high"))).alias("round"), F.when(head, order).alias("order"),
+            F.when(head, turn).alias("born"), "top", "twice", "low", "high", F.when(alone, f).alias("f"), F.when(alone, g).alias("g"),
+        )
+        ahead = state.select(F.col("segnum").alias("wait"), F.struct("round", "order", "wait", "f", "g").alias("a"))
+        jump, there = F.col("a.wait").isNotNull(), F.col("a.order").isNotNull()
+        chain = state.where(~known & chained).join(ahead, "wait").select(
+            "segnum", "next", "left", "ids", F.when(jump, F.col("a.wait")).otherwise(F.col("wait")).alias("wait"), F.when(there, _applied(F.col("g"), F.col("a.round"))).alias("round"),
+            F.when(there, _applied(F.col("f"), F.col("a.order"))).alias("order"), F.when(there, turn).alias("born"), "top", "twice", "low", "high",
+            F.when(jump, _composed(F.col("f"), F.col("a.f"))).otherwise(F.col("f")).alias("f"), F.when(jump, _composed(F.col("g"), F.col("a.g"))).otherwise(F.col("g")).alias("g"),
+        )
+        state = checkpointed(state.where(known).unionByName(more.select(*names)).unionByName(chain.select(*names)))
+        if not state.where("order IS NULL").limit(1).count():
+            return state.select("segnum", "round", F.col("order").alias("stream_order"))
+    raise RuntimeError("tree contraction did not end; is there a cycle?")
 
 
 def orders(tree: DataFrame, end: int) -> DataFrame:
     """``(segnum, sequence, stream_order)`` of ``tree(segnum, to_segnum, pos, cat_group, num_to_outlet, dist_to_outlet)``.
 
-    The round of a headwater is 0, of another segment the larger of its
-    tributaries' largest round and one more than their smallest. Trees don't
-    depend on each other, so each is worked through in one Python call (arrays
-    of a few numbers a segment); the sequence is the rank by round, farthest
-    first, headwaters by position and others by number where they tie. Ranks
-    are taken within (round, hops) buckets and shifted by the sizes of earlier
-    buckets, so no single task sorts the whole network.
+    Rounds and orders come from ``contracted``; the sequence is the rank by
+    round, farthest first, headwaters by position and others by number where
+    they tie. Ranks are taken within (round, hops) buckets and shifted by the
+    sizes of earlier buckets, so no single task sorts the whole network.
     """
     cycle = tree.where(F.col("num_to_outlet") == 0).select("segnum", F.lit(0).alias("sequence"), F.lit(0).alias("stream_order"))
-    found = tree.where("num_to_outlet > 0").select("segnum", "to_segnum", "num_to_outlet", "cat_group").groupBy("cat_group").applyInPandas(
-        _orders, "segnum long, round long, stream_order long"
-    )
+    found = contracted(tree.where("num_to_outlet > 0").select("segnum", "to_segnum"), end)
     ranked = checkpointed(tree.join(found, "segnum"))
     tie = F.when(F.col("round") == 0, F.col("pos")).otherwise(F.col("segnum"))
     sizes = ranked.groupBy("round", "num_to_outlet").agg(F.count(F.lit(1)).alias("n"))
