@@ -229,34 +229,6 @@ def test_coarsen_with_catchments(spark):
     assert len(ring["rings"]) == 1
 
 
-def test_segments_fall_wave_by_wave(spark):
-    rng = random.Random(5)
-    n = 60
-    to = {k: k // 2 for k in range(1, n + 1)}
-    rows = [(k, to[k], rng.uniform(10, 50), rng.uniform(10, 50), rng.uniform(20, 60), rng.uniform(20, 60), rng.uniform(5, 20)) for k in to]
-    frame = spark.createDataFrame(rows, "nseg long, outseg long, elevup double, elevdn double, top_up double, top_dn double, seglen double")
-    got = {r["nseg"]: (r["elevup"], r["elevdn"]) for r in reach_elevation.forward_segments(frame).collect()}
-    up, down = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}
-    given = {k: up.get(t) for k, t in to.items()}
-    fall = {r[0]: r[6] * max((r[4] - r[5]) / (10 * r[6]), 1e-4) for r in rows}
-    wave = set(to) - set(to.values())
-    while wave:
-        new = {}
-        for s in wave:
-            low = up[s] - fall[s]
-            held = min(up[to[s]], low) if to[s] else min(down[s], low)
-            new[s] = held
-        down.update(new)
-        given.update({s: v - 0.001 for s, v in new.items() if to[s]})
-        for s in to:
-            into = [given[u] for u in to if to[u] == s]
-            if into:
-                up[s] = min(into)
-        wave = {to[s] for s in wave if to[s]}
-    for s in to:
-        assert got[s] == pytest.approx((up[s], down[s]))
-
-
 def test_fixed_reaches_fall_and_keep_to_the_layer(spark):
     net = network_of(spark, ["5 95, 45 55", "95 95, 45 55", "45 55, 45 5"])
     found, _ = overlay.reaches(net, overlay.Grid(5, 5, 20.0, 20.0, 0.0, 100.0), reach_include_fraction=None)

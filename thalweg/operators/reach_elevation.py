@@ -1,6 +1,6 @@
 """Elevations of segments and reaches made to fall, with layers moved out of their way.
 
-Segment ends are settled wave by wave from the headwaters with joins. Reaches
+Segment ends fall in waves from the headwaters, which doubling gathers. Reaches
 are settled one after the other, since each looks at the one before and at a
 layer bottom that others in its cell may have lowered; what shares no cell,
 directly or by way of others, doesn't depend on each other and is worked out
@@ -13,11 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.operators import elevation
-from thalweg.operators.trees import checkpointed, components
+from thalweg.operators.trees import checkpointed, climb, components, upstream_minima
 
 #: What stays between the bed and the bottom of the first layer.
 BUFFER = 1.0
@@ -44,36 +44,46 @@ def with_incision(data: DataFrame) -> DataFrame:
 def forward_segments(data: DataFrame, min_slope: float = 1e-4) -> DataFrame:
     """``data(nseg, outseg, elevup, elevdn, top_up, top_dn, seglen)`` with ends that fall from segment to segment.
 
-    Waves start at the segments that none flows into and move on to the next
-    ones, as many times as the longest way has segments. A segment of the wave
-    ends where the next one starts, or where its slope (a tenth of that of the
-    model top, at least ``min_slope``) takes it if that is lower; the next one
-    then starts STEP below the lowest end that flows into it.
+    The rule is one of waves: they start at the segments that none flows into
+    and move on to the next ones, and a segment is in a wave once for every
+    different number of steps from such a start. It then ends where the next
+    one starts, or where its slope (a tenth of that of the model top, at least
+    ``min_slope``) takes it if that is lower, and the next one starts STEP below
+    the lowest end that flows into it.
+
+    So what a segment s brings to t further down is its first height, less the
+    falls between, less STEP for each segment on the way and for each wave that
+    comes to t after it: it arrives with the first wave that comes to s, since
+    every wave that it could wait for comes to t as well. Waves are told apart
+    by how far from the outlet they start. The least heights by wave are
+    gathered over all that lies upstream by pointer doubling, and a running
+    minimum by wave gives every height there ever was. Rounds follow the
+    logarithm of the longest way.
     """
     fall = F.col("seglen") * F.greatest((F.col("top_up") - F.col("top_dn")) / (10.0 * F.col("seglen")), F.lit(min_slope))
-    fed = data.select(F.col("outseg").alias("nseg")).where("nseg <> 0").distinct().withColumn("_fed", F.lit(True))
-    starts = data.select(F.col("nseg").alias("outseg"), F.col("elevup").alias("given"))
-    state = data.select("nseg", "outseg", "elevup", "elevdn", fall.alias("fall")).join(fed, "nseg", "left").join(starts, "outseg", "left")
-    state = checkpointed(state.select("nseg", "outseg", "elevup", "elevdn", "fall", F.col("_fed").isNull().alias("wave"), "given"))
-    waves = state.count()
-    for _ in range(waves + 1):
-        if not state.where("wave").limit(1).count():
-            break
-        below = state.select(F.col("nseg").alias("outseg"), F.col("elevup").alias("down"))
-        low = F.col("elevup") - F.col("fall")
-        held = F.when(F.col("outseg") > 0, F.least(F.col("down"), low)).otherwise(F.least(F.col("elevdn"), low))
-        moved = state.join(below, "outseg", "left").select(
-            "nseg", "outseg", "elevup", F.when(F.col("wave"), held).otherwise(F.col("elevdn")).alias("elevdn"), "fall", "wave",
-            F.when(F.col("wave") & (F.col("outseg") > 0), held - STEP).otherwise(F.col("given")).alias("given"),
-        )
-        moved = checkpointed(moved)
-        into = moved.where("outseg > 0").groupBy(F.col("outseg").alias("nseg")).agg(F.min("given").alias("_up"), F.bool_or("wave").alias("_next"))
-        state = checkpointed(moved.join(into, "nseg", "left").select(
-            "nseg", "outseg", F.coalesce("_up", "elevup").alias("elevup"), "elevdn", "fall", F.coalesce("_next", F.lit(False)).alias("wave"), "given"
-        ))
-    else:
+    rows = data.select(F.col("nseg").cast("long").alias("segnum"), F.greatest(F.col("outseg"), F.lit(0)).cast("long").alias("to_segnum"), "elevup", "elevdn", fall.alias("fall"))
+    fed = rows.select(F.col("to_segnum").alias("segnum")).distinct().withColumn("fed", F.lit(True))
+    rows = checkpointed(rows.join(fed, "segnum", "left").withColumn("fed", F.coalesce("fed", F.lit(False))))
+    edges = rows.select("segnum", "to_segnum", "fall")
+    far = checkpointed(climb(edges, 0, length="fall").select("segnum", F.col("num_to_outlet").alias("hops"), F.col("dist_to_outlet").alias("down")))
+    if far.where("hops = 0").limit(1).count():
         raise ValueError("segments flow in a circle")
-    return data.drop("elevup", "elevdn").join(state.select("nseg", "elevup", "elevdn"), "nseg")
+    rows = checkpointed(rows.join(far, "segnum"))
+    first = climb(rows.select("segnum", "to_segnum", F.when(~F.col("fed"), F.col("hops")).alias("start")), 0, mins=("start",)).select("segnum", F.col("least_start").cast("long").alias("wave"))
+    height = F.col("elevup") - F.col("down") - STEP * (F.col("hops") + F.col("fed").cast("int"))
+    brought = upstream_minima(rows.select("segnum", "to_segnum"), rows.join(first, "segnum").select("segnum", "wave", height.alias("least")), "wave", 0)
+    # What each wave leaves of a segment's height, and what was before it.
+    by = Window.partitionBy("segnum").orderBy("wave")
+    so_far = brought.withColumn("n", F.row_number().over(by)).withColumn("low", F.min(F.col("least") + STEP * F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    waves = so_far.join(rows.select("segnum", "elevup", "fed", "hops", "down"), "segnum").withColumn("left", F.col("low") - STEP * F.col("n") + F.col("down") + STEP * F.col("hops"))
+    waves = checkpointed(waves.select("segnum", "wave", F.coalesce(F.lag("left").over(by), "elevup").alias("before"), "left"))
+    last = waves.groupBy("segnum").agg(F.max_by("left", "wave").alias("up"), F.max("wave").alias("wave"))
+    # The last wave that comes to a segment finds the next one as the waves before have left it.
+    then = waves.select(F.col("segnum").alias("to_segnum"), "wave", "before")
+    ends = rows.join(last, "segnum").join(then, ["to_segnum", "wave"], "left").select(
+        F.col("segnum").alias("nseg"), F.col("up").alias("elevup"), F.least(F.when(F.col("to_segnum") > 0, F.col("before")).otherwise(F.col("elevdn")), F.col("up") - F.col("fall")).alias("elevdn")
+    )
+    return data.drop("elevup", "elevdn").join(ends, "nseg")
 
 
 def fix_segment_elevations(data: DataFrame, found: DataFrame, top: DataFrame, *, min_incise: float = 0.2, min_slope: float = 1e-4, max_top: float | None = None) -> DataFrame:

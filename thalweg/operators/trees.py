@@ -86,6 +86,26 @@ def climb(edges: DataFrame, end: int, *, length: str | None = None, values: tupl
     )
 
 
+def upstream_minima(edges: DataFrame, rows: DataFrame, key: str, end: int) -> DataFrame:
+    """``(segnum, key, least)``: for each segment, and each ``key`` among its own and all upstream ``rows(segnum, key, least)``, the least of that key.
+
+    Doubling: after k rounds a segment has what lies less than 2^k above it,
+    and jumps 2^k ahead; a round is two joins and a combinable minimum. The
+    state grows with the number of different keys upstream, not with that of
+    segments.
+    """
+    have = checkpointed(rows.groupBy("segnum", key).agg(F.min("least").alias("least")))
+    jumps = checkpointed(edges.where(F.col("to_segnum") != end).select("segnum", F.col("to_segnum").alias("jump")))
+    for _ in range(MAX_ROUNDS):
+        if not jumps.limit(1).count():
+            break
+        moved = have.join(jumps, "segnum").select(F.col("jump").alias("segnum"), key, "least")
+        have = checkpointed(have.unionByName(moved).groupBy("segnum", key).agg(F.min("least").alias("least")))
+        far = jumps.select(F.col("segnum").alias("jump"), F.col("jump").alias("next"))
+        jumps = checkpointed(jumps.join(far, "jump").select("segnum", F.col("next").alias("jump")))
+    return have
+
+
 def next_stop(edges: DataFrame, stops: DataFrame, end: int) -> DataFrame:
     """``(segnum, stop)``: the first of ``stops(segnum)`` strictly downstream of each segment that has one.
 

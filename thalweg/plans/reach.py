@@ -377,6 +377,13 @@ un AS (SELECT p.j, p.d, n.segnum FROM path p JOIN net n ON n.to_segnum = p.segnu
 _GAPS = f"gap AS (SELECT e.segnum, min({_edge_gap('e', 'f')}) AS dist FROM edge e JOIN edge f ON f.segnum = e.segnum + 2 GROUP BY e.segnum)"
 _AREAS = "area AS (SELECT s_suppkey + 1 AS segnum, 1.0::DOUBLE / (1 << (length(bin(s_suppkey + 1)) - 1)) AS a FROM supplier)"
 _DIV = "dv AS (SELECT loc + 1 AS divid, loc % (SELECT count(*) FROM supplier) + 1 AS from_segnum, x, y FROM point WHERE loc % 5 = 0), mine AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM reach))"
+#: Segments of the model with the ends that they start from, and all waves over them, one after the other.
+_SEGS = """segs AS MATERIALIZED (SELECT r.iseg::BIGINT AS nseg, coalesce((SELECT min(b.iseg) FROM reach b WHERE b.segnum = n.to_segnum), 0)::BIGINT AS outseg, min_by(c.value, r.ireach) AS top_up, max_by(c.value, r.ireach) AS top_dn, sum(r.rlen) AS seglen
+FROM reach r JOIN cell c USING (i, j) JOIN net n USING (segnum) GROUP BY r.iseg, n.to_segnum),
+w AS (SELECT 0 AS w, s.nseg, s.outseg, s.top_up - 0.2::DOUBLE AS up, s.top_dn - 0.2::DOUBLE AS dn, s.seglen * greatest((s.top_up - s.top_dn) / (10 * s.seglen), 1e-4::DOUBLE) AS fall, t.top_up - 0.2::DOUBLE AS given, s.nseg NOT IN (SELECT outseg FROM segs) AS live FROM segs s LEFT JOIN segs t ON t.nseg = s.outseg
+UNION ALL (WITH h AS (SELECT a.*, CASE WHEN NOT a.live THEN a.dn WHEN a.outseg > 0 THEN least(b.up, a.up - a.fall) ELSE least(a.dn, a.up - a.fall) END AS held FROM w a LEFT JOIN w b ON b.nseg = a.outseg WHERE (SELECT bool_or(live) FROM w)),
+g AS (SELECT outseg AS nseg, min(CASE WHEN live THEN held - 0.001::DOUBLE ELSE given END) AS up, bool_or(live) AS live FROM h WHERE outseg > 0 GROUP BY outseg)
+SELECT h.w + 1, h.nseg, h.outseg, coalesce(g.up, h.up), h.held, h.fall, CASE WHEN h.live AND h.outseg > 0 THEN h.held - 0.001::DOUBLE ELSE h.given END, coalesce(g.live, false) FROM h LEFT JOIN g USING (nseg)))"""
 _RESCUED = """lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1), extra AS (SELECT f.segnum, c.i, c.j, round(least(n.len, (0.125::DOUBLE + 0.5) / 2), 6) AS length FROM fed f JOIN line l USING (segnum) JOIN lens n USING (segnum), cell c WHERE c.domain <> 0
 QUALIFY row_number() OVER (PARTITION BY f.segnum ORDER BY sqrt(pow(greatest(x0 - sx, sx - x1, 0), 2) + pow(greatest(y0 - sy, sy - y1, 0), 2)), c.i, c.j) = 1)"""
 
@@ -409,6 +416,7 @@ SELECT a.nseg, a.segnum, 0::BIGINT AS divid, coalesce(b.nseg, 0) AS outseg, 0::B
 UNION ALL SELECT (SELECT max(nseg) FROM num) + row_number() OVER (ORDER BY divid), 0, divid, 0, u.nseg FROM dm JOIN num u ON u.segnum = dm.from_segnum""",
     "V4_slope_auto": f"WITH RECURSIVE {M._REACH} SELECT r.ridx, round(greatest(2 * (min_by(s.uy, s.start) - max_by(s.vy, s.stop)) / any_value(r.rlen), 0.001), 6) AS slope FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece GROUP BY r.ridx",
     "V7_default_segment_data": f"WITH RECURSIVE {M._REACH} SELECT r.iseg::BIGINT AS nseg, 1 AS icalc, 2.0::DOUBLE AS hcond1, CASE WHEN n.to_segnum = 0 THEN 20.0 ELSE 2.0 END::DOUBLE AS hcond2, 1.0::DOUBLE AS thickm1, 2.0::DOUBLE AS width1, CASE WHEN n.to_segnum = 0 THEN 4.0 ELSE 2.0 END::DOUBLE AS width2, 0.024::DOUBLE AS roughch, min_by(c.value, r.ireach) AS elevup, max_by(c.value, r.ireach) AS elevdn FROM reach r JOIN cell c USING (i, j) JOIN net n USING (segnum) GROUP BY r.iseg, n.to_segnum",
+    "V11_fix_segments": f"WITH RECURSIVE {M._REACH}, {_SEGS} SELECT nseg, round(up, 6) AS elevup, round(dn, 6) AS elevdn, round(top_up - up, 6) AS diff_up FROM w JOIN segs USING (nseg) WHERE w = (SELECT max(w) FROM w)",
     "A4_aggregate_paths": f"""WITH RECURSIVE {PART}, {_aggregated("1, 5, 6, 23", "n.value")}
 SELECT j.segnum, (SELECT count(*) FROM patch WHERE patch = j.segnum) AS patch, (SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d) FROM path p WHERE p.j = j.segnum) AS agg_path, coalesce((SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d, segnum) FROM un WHERE un.j = j.segnum), '') AS agg_unpath FROM junction j""",
     "A4_aggregate_network": f"""WITH RECURSIVE {LINES}, {M._NET}, {M._EDGES}, {_AREAS}, lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), {_aggregated("1, 5, 6", "1")}
