@@ -158,6 +158,38 @@ def reach_links(reaches: DataFrame, network: Network) -> DataFrame:
     return stepped.where("next IS NOT NULL").select("ridx", F.col("next").cast("long").alias("to_ridx")).unionByName(jumped)
 
 
+def classic_links(reaches: DataFrame, data: DataFrame) -> DataFrame:
+    """``(ridx, to_ridx)`` of the classic package: ``reaches(ridx, iseg, ireach)`` one after the other within a segment, the last to the
+    first reach of the segment that ``data(nseg, outseg)`` says it flows into, else 0. Segments outside the model are not passed over."""
+    along = Window.partitionBy("iseg").orderBy("ireach")
+    stepped = checkpointed(reaches.select("ridx", "iseg", F.lead("ridx").over(along).alias("next"), (F.row_number().over(along) == 1).alias("is_first")))
+    firsts = stepped.where("is_first").select(F.col("iseg").cast("long").alias("outseg"), F.col("ridx").alias("first"))
+    onward = data.select(F.col("nseg").cast("long").alias("iseg"), F.col("outseg").cast("long").alias("outseg")).join(firsts, "outseg").select("iseg", "first")
+    lasts = stepped.where("next IS NULL").select("ridx", F.col("iseg").cast("long").alias("iseg")).join(onward, "iseg", "left").select("ridx", F.coalesce("first", F.lit(0)).cast("long").alias("to_ridx"))
+    return stepped.where("next IS NOT NULL").select("ridx", F.col("next").cast("long").alias("to_ridx")).unionByName(lasts)
+
+
+def last_reach(links: DataFrame, start: int) -> int:
+    """The reach without a next one that the way from ``start`` ends in."""
+    up = trees.climb(links.select(F.col("ridx").alias("segnum"), F.col("to_ridx").alias("to_segnum")), 0).where(F.col("segnum") == start).select("cat_group").first()
+    if up is None:
+        raise IndexError(f"invalid reach {start}")
+    return up[0]
+
+
+def route_reaches(links: DataFrame, start: int, end_at: int, *, allow_indirect: bool = False) -> DataFrame:
+    """``(step, ridx)`` of the way between two reaches over ``links(ridx, to_ridx)``, of either package: down, else up, else (if allowed) by their confluence."""
+    known = {r[0] for r in links.where(F.col("ridx").isin([start, end_at])).select("ridx").collect()}
+    for at in (start, end_at):
+        if at not in known:
+            raise IndexError(f"invalid reach {at}")
+    edges = links.select(F.col("ridx").alias("segnum"), F.col("to_ridx").alias("to_segnum"))
+    found = checkpointed(route_frame(edges, start, end_at, 0, allow_indirect))
+    if not found.limit(1).count():
+        raise ConnectionError(f"reach {start} does not connect to {end_at}")
+    return found.select(F.col("step").cast("long").alias("step"), F.col("segnum").alias("ridx"))
+
+
 def gather_reaches(links: DataFrame, starts, *, direction: str = "upstream", barrier=(), end: int = 0) -> DataFrame:
     """``(start, ridx)`` or, downstream, ``(start, ridx, depth)``; barriers are cut on both sides, so they aren't reached from below."""
     spark = links.sparkSession

@@ -58,7 +58,9 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    found = S.stress_periods(spark, [31.0, 28.0, 31.5, 30.0], "2001-01-01 00:00:00")
+    """A period for each year of orders, of a day and a half for every day with one."""
+    days = D.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().groupBy(F.year("day").alias("year")).count().orderBy("year").collect()
+    found = S.stress_periods(spark, [r["count"] * 1.5 for r in days], "2001-01-01 00:00:00")
     return found.select(F.col("kper").cast("long").alias("kper"), F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))
 
 
@@ -122,7 +124,8 @@ ORACLES = {
     "G7_bias_substring": f"WITH {LINES} SELECT segnum, round(({_LEN}) * 0.75, 6) AS upper, round(({_LEN}) * 0.5, 6) AS lower FROM line",
     "G13_round_2d": f"WITH {LINES} SELECT segnum, round(sx, 2) AS x, round(sy, 2) AS y, 0::BIGINT AS heights FROM line",
     "A6_merge_lines": f"WITH {LINES}, l AS (SELECT segnum, {_LEN} AS len FROM line) SELECT a.segnum, 5::BIGINT AS vertices, round(a.len + b.len, 6) AS length FROM l a JOIN l b ON b.segnum = a.segnum // 2",
-    "A10_stress_periods": """SELECT * FROM (VALUES (0::BIGINT, '2001-01-01 00:00:00', '2001-02-01 00:00:00'), (1, '2001-02-01 00:00:00', '2001-03-01 00:00:00'), (2, '2001-03-01 00:00:00', '2001-04-01 12:00:00'), (3, '2001-04-01 12:00:00', '2001-05-01 12:00:00')) t(kper, start_date, end_date)""",
+    "A10_stress_periods": """WITH y AS (SELECT year(o_orderdate) AS y, count(DISTINCT o_orderdate::DATE) AS n FROM orders GROUP BY ALL), e AS (SELECT row_number() OVER (ORDER BY y) - 1 AS kper, n, sum(n) OVER (ORDER BY y) AS upto FROM y)
+SELECT kper, strftime(TIMESTAMP '2001-01-01' + to_hours(((upto - n) * 36)::BIGINT), '%Y-%m-%d %H:%M:%S') AS start_date, strftime(TIMESTAMP '2001-01-01' + to_hours((upto * 36)::BIGINT), '%Y-%m-%d %H:%M:%S') AS end_date FROM e""",
     "E2_segment_scalar": "SELECT s_suppkey + 1 AS nseg, CASE WHEN s_nationkey % 3 = 0 THEN 5.0 ELSE 7.0 END::DOUBLE AS hcond1 FROM supplier",
     "E8_package_period": f"WITH RECURSIVE {M._REACH} SELECT 1 AS per, 1 AS k, i + 1 AS i, j + 1 AS j, 100.0::DOUBLE - i AS elev, round(rlen * 2, 6) AS cond FROM reach",
     "M13_diversion_reaches": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, d AS (SELECT *, loc % (SELECT count(*) FROM supplier) + 1 AS from_segnum FROM point)

@@ -18,7 +18,7 @@ from thalweg.operators import sfr
 from thalweg.operators.trees import checkpointed, shared_folder
 from thalweg.plans import derived as D
 from thalweg.plans import model as M
-from thalweg.plans.graph import CLIMB, DOWN, LINES, PART, joined, r6
+from thalweg.plans.graph import CLIMB, DOWN, FOREST, LINES, ORDERS, PART, joined, r6
 from thalweg.sources import files
 
 
@@ -77,7 +77,7 @@ def j3_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def j4_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines moved half a unit, and the lines nearest to them."""
-    moved = D.supplier_lines(spark, d).where("segnum % 3 = 0").select(F.col("segnum").alias("loc"), F.transform("geometry", lambda p: G.xyz(p["x"] + 0.5, p["y"] + 0.3)).alias("geometry"))
+    moved = D.supplier_lines(spark, d).select(F.col("segnum").alias("loc"), F.transform("geometry", lambda p: G.xyz(p["x"] + 0.5, p["y"] + 0.3)).alias("geometry"))
     return L.nearest_shapes(L.shapes(moved), D.supplier_lines(spark, d)).groupBy("loc").agg(F.min(r6("dist")).alias("dist"))
 
 
@@ -89,7 +89,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 def j6_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes around points, put to catchments and lines of sufficient order."""
     net = N.Network(M._network(spark, d).segments, 0, D.supplier_rings(spark, d))
-    around = D.customer_points(spark, d).where("loc % 4 = 0")
+    around = D.customer_points(spark, d)
     corner = lambda a, b: G.xyz(F.col("x") + a / 32, F.col("y") + b / 4)
     boxes = around.select("loc", F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))).alias("rings"))
     found = L.locate(net, boxes, min_stream_order=2, downstream_bias=0.1)
@@ -103,9 +103,11 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m3(spark: SparkSession, d: str) -> DataFrame:
-    grid = O.Grid.spaced([100, 200, 150], [50, 50, 80])
-    box = grid.cells(spark).agg(F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1"))
-    return box.select(F.lit(grid.cell_size).alias("cell_size"), "x0", "x1", "y0", "y1")
+    """A grid with a column for each supplier and a row for each nation: widths by the part of a key, heights by another's."""
+    sides = lambda name, key, by, most: [float(most + (r[0] * by) % 50) for r in D.read(spark, d, name).select(key).orderBy(key).collect()]
+    grid = O.Grid.spaced(sides("supplier", "s_suppkey", 37, 100), sides("nation", "n_nationkey", 7, 60))
+    box = grid.cells(spark).agg(F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1"), F.count(F.lit(1)).alias("n"))
+    return box.select(F.lit(grid.cell_size).alias("cell_size"), "x0", "x1", "y0", "y1", "n")
 
 
 def m4(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +136,9 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diverted(spark: SparkSession, d: str) -> N.Network:
-    """The supplier network, with every fifth customer point a diversion from a segment given by its key."""
+    """The supplier network, with every customer point a diversion from a segment given by its key."""
     n = D.read(spark, d, "supplier").count()
-    div = D.customer_points(spark, d).where("loc % 5 = 0").select((F.col("loc") + 1).alias("divid"), (F.col("loc") % n + 1).alias("from_segnum"), "x", "y")
+    div = D.customer_points(spark, d).select((F.col("loc") + 1).alias("divid"), (F.col("loc") % n + 1).alias("from_segnum"), "x", "y")
     return L.set_diversions(M._network(spark, d), div)
 
 
@@ -161,6 +163,19 @@ def m16_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ridx", "to_ridx", "segnum", "diversion", "mask", "ustrf")
 
 
+def r4(spark: SparkSession, d: str) -> DataFrame:
+    """The next reach of every reach by segment numbers."""
+    net, found, _ = M._reaches(spark, d)
+    return R.classic_links(found, E.segment_data(found, net)).select("ridx", "to_ridx")
+
+
+def r4_route(spark: SparkSession, d: str) -> DataFrame:
+    """The way from the first reach of the first segment to the reach that it ends in."""
+    net, found, _ = M._reaches(spark, d)
+    links = checkpointed(R.classic_links(found, E.segment_data(found, net)))
+    return R.route_reaches(links, 1, R.last_reach(links, 1))
+
+
 def m17(spark: SparkSession, d: str) -> DataFrame:
     made = sfr.mf2005(_diverted(spark, d), _model(spark), reach_include_fraction=None)
     data = E.segment_data(made.reaches, made.network)
@@ -335,7 +350,7 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "N9_beside_catchment": n9, "G4_distance": g4, "G5_nearest_point": g5, "G9_length_inside": g9_length, "G9_shared_area": g9_area, "G10_intersects": g10, "G14_dissolve": g14,
     "J3_catchment_lines": j3_lines, "J4_nearest_lines": j4_lines, "J5_nearest_cell": j5, "J6_locate_shapes": j6_shapes, "J10_segment_ends": j10, "M3_cell_size": m3, "M4_uneven_grid": m4,
-    "M5_M7_cleaned_reaches": cleaned, "M8_reach_geometry": m8, "M11_confluence_rescue": m11, "M16_mf6_diversions": m16, "M16_mf6_links": m16_links, "M17_mf2005_segments": m17,
+    "M5_M7_cleaned_reaches": cleaned, "M8_reach_geometry": m8, "M11_confluence_rescue": m11, "M16_mf6_diversions": m16, "M16_mf6_links": m16_links, "M17_mf2005_segments": m17, "R4_classic_links": r4, "R4_classic_route": r4_route,
     "V4_slope_auto": v4_auto, "V7_default_segment_data": v7, "V8_reach_elevations": v8("downstream"), "V8_reach_elevations_both": v8("both"), "V9_lower_to_next": v9, "V11_fix_segments": v11,
     "V13_reaches_by_segment": v13, "A4_aggregate_paths": a4_paths, "A4_aggregate_network": a4_network, "A5_coarsen_catchments": a5_catchments, "P4_set_catchments": p4, "P19_inverted_by_period": p19,
     "P21_wide_by_period": p21, "E3_segment_values": e3, "E9_reach_data": e9, "S4_long_series": s4, "S8_flat_columns": s8, "S10_saved_model": s10, "S12_package_file": s12, "S14_diversion_file": s14, "S16_period_file": s16,
@@ -376,7 +391,10 @@ un AS (SELECT p.j, p.d, n.segnum FROM path p JOIN net n ON n.to_segnum = p.segnu
 
 _GAPS = f"gap AS (SELECT e.segnum, min({_edge_gap('e', 'f')}) AS dist FROM edge e JOIN edge f ON f.segnum = e.segnum + 2 GROUP BY e.segnum)"
 _AREAS = "area AS (SELECT s_suppkey + 1 AS segnum, 1.0::DOUBLE / (1 << (length(bin(s_suppkey + 1)) - 1)) AS a FROM supplier)"
-_DIV = "dv AS (SELECT loc + 1 AS divid, loc % (SELECT count(*) FROM supplier) + 1 AS from_segnum, x, y FROM point WHERE loc % 5 = 0), mine AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM reach))"
+_DIV = "dv AS (SELECT loc + 1 AS divid, loc % (SELECT count(*) FROM supplier) + 1 AS from_segnum, x, y FROM point), mine AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM reach))"
+#: Reaches one after the other within segments, then the first of the segment that the last flows into.
+_CLASSIC = """outs AS (SELECT DISTINCT r.iseg, (SELECT min(b.iseg) FROM reach b WHERE b.segnum = n.to_segnum) AS outseg FROM reach r JOIN net n USING (segnum)),
+classic AS MATERIALIZED (SELECT r.ridx, coalesce(lead(r.ridx) OVER (PARTITION BY r.iseg ORDER BY r.ireach), (SELECT min_by(b.ridx, b.ireach) FROM reach b JOIN outs o ON o.outseg = b.iseg WHERE o.iseg = r.iseg), 0) AS to_ridx FROM reach r)"""
 #: Segments of the model with the ends that they start from, and all waves over them, one after the other.
 _SEGS = """segs AS MATERIALIZED (SELECT r.iseg::BIGINT AS nseg, coalesce((SELECT min(b.iseg) FROM reach b WHERE b.segnum = n.to_segnum), 0)::BIGINT AS outseg, min_by(c.value, r.ireach) AS top_up, max_by(c.value, r.ireach) AS top_dn, sum(r.rlen) AS seglen
 FROM reach r JOIN cell c USING (i, j) JOIN net n USING (segnum) GROUP BY r.iseg, n.to_segnum),
@@ -384,6 +402,9 @@ w AS (SELECT 0 AS w, s.nseg, s.outseg, s.top_up - 0.2::DOUBLE AS up, s.top_dn -
 UNION ALL (WITH h AS (SELECT a.*, CASE WHEN NOT a.live THEN a.dn WHEN a.outseg > 0 THEN least(b.up, a.up - a.fall) ELSE least(a.dn, a.up - a.fall) END AS held FROM w a LEFT JOIN w b ON b.nseg = a.outseg WHERE (SELECT bool_or(live) FROM w)),
 g AS (SELECT outseg AS nseg, min(CASE WHEN live THEN held - 0.001::DOUBLE ELSE given END) AS up, bool_or(live) AS live FROM h WHERE outseg > 0 GROUP BY outseg)
 SELECT h.w + 1, h.nseg, h.outseg, coalesce(g.up, h.up), h.held, h.fall, CASE WHEN h.live AND h.outseg > 0 THEN h.held - 0.001::DOUBLE ELSE h.given END, coalesce(g.live, false) FROM h LEFT JOIN g USING (nseg)))"""
+_STRETCH = f"""stretch AS (SELECT r.segnum, r.ridx, s.ux AS ax, s.uy AS ay, s.vx AS qx, s.vy AS qy FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece UNION ALL SELECT x.segnum, 1000000 + x.segnum, e.ax, e.ay, e.qx, e.qy FROM extra x JOIN edge e ON e.segnum = x.segnum WHERE e.k = 0),
+hit AS (SELECT divid, from_segnum, ridx, min({M._DIST}) AS dist FROM (SELECT d.divid, d.from_segnum, d.x, d.y, t.*, {M._SHARE} AS t FROM dv d JOIN stretch t ON t.segnum = d.from_segnum) GROUP BY divid, from_segnum, ridx),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY divid ORDER BY round(dist, 9), ridx DESC) = 1)"""
 _RESCUED = """lens AS (SELECT segnum, sum(len) AS len FROM edge GROUP BY segnum), fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1), extra AS (SELECT f.segnum, c.i, c.j, round(least(n.len, (0.125::DOUBLE + 0.5) / 2), 6) AS length FROM fed f JOIN line l USING (segnum) JOIN lens n USING (segnum), cell c WHERE c.domain <> 0
 QUALIFY row_number() OVER (PARTITION BY f.segnum ORDER BY sqrt(pow(greatest(x0 - sx, sx - x1, 0), 2) + pow(greatest(y0 - sy, sy - y1, 0), 2)), c.i, c.j) = 1)"""
 
@@ -396,26 +417,34 @@ ORACLES = {
     "G10_intersects": f"WITH {_RINGS} SELECT a.segnum, a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AS meet FROM ring a JOIN ring b ON b.segnum = a.segnum + 2",
     "G14_dissolve": f"WITH {_AREAS} SELECT segnum // 2 AS segnum, round(sum(a), 6) AS area FROM area GROUP BY segnum // 2",
     "J3_catchment_lines": f"WITH {LINES}, {M._EDGES}, {_RINGS}, {_IN} SELECT segnum AS loc, ring AS segnum FROM t0 GROUP BY segnum, ring HAVING bool_or(a <= b)",
-    "J4_nearest_lines": f"WITH {LINES}, {M._EDGES}, moved AS (SELECT segnum, ax + 0.5::DOUBLE AS ax, ay + 0.3::DOUBLE AS ay, qx + 0.5::DOUBLE AS qx, qy + 0.3::DOUBLE AS qy FROM edge WHERE segnum % 3 = 0) SELECT e.segnum AS loc, round(min({_edge_gap('e', 'f')}), 6) AS dist FROM moved e, edge f GROUP BY e.segnum",
+    "J4_nearest_lines": f"WITH {LINES}, {M._EDGES}, moved AS (SELECT segnum, ax + 0.5::DOUBLE AS ax, ay + 0.3::DOUBLE AS ay, qx + 0.5::DOUBLE AS qx, qy + 0.3::DOUBLE AS qy FROM edge) SELECT e.segnum AS loc, round(min({_edge_gap('e', 'f')}), 6) AS dist FROM moved e, edge f GROUP BY e.segnum",
     "J5_nearest_cell": f"WITH {M._CELLS}, {M._POINTS} SELECT loc, i, j FROM point, cell WHERE domain <> 0 QUALIFY row_number() OVER (PARTITION BY loc ORDER BY sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)), i, j) = 1",
     "J10_segment_ends": f"WITH RECURSIVE {M._REACH} SELECT r.iseg::BIGINT AS nseg, min_by(r.i, r.ireach) AS i_up, min_by(r.j, r.ireach) AS j_up, max_by(r.i, r.ireach) AS i_dn, max_by(r.j, r.ireach) AS j_dn, min_by(c.value, r.ireach) AS top_up, max_by(c.value, r.ireach) AS top_dn, round(sum(r.rlen), 6) AS seglen FROM reach r JOIN cell c USING (i, j) GROUP BY r.iseg",
-    "M3_cell_size": "SELECT 100.0::DOUBLE AS cell_size, 0.0::DOUBLE AS x0, 450.0::DOUBLE AS x1, 0.0::DOUBLE AS y0, 180.0::DOUBLE AS y1",
+    "M3_cell_size": "WITH c AS (SELECT 100.0::DOUBLE + (s_suppkey * 37) % 50 AS w FROM supplier), r AS (SELECT 60.0::DOUBLE + (n_nationkey * 7) % 50 AS h FROM nation) SELECT ((SELECT median(w) FROM c) + (SELECT median(h) FROM r)) / 2 AS cell_size, 0.0::DOUBLE AS x0, (SELECT sum(w) FROM c) AS x1, 0.0::DOUBLE AS y0, (SELECT sum(h) FROM r) AS y1, (SELECT count(*) FROM c, r) AS n",
     "M4_uneven_grid": f"""WITH {LINES}, {M._EDGES}, cols AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.25::DOUBLE), (1, 0.25, 0.375), (2, 0.375, 0.75), (3, 0.75, 1.0)) c(j, x0, x1)), rows_ AS (SELECT * FROM (VALUES (0, 12.0::DOUBLE, 16.0::DOUBLE), (1, 10.0, 12.0), (2, 9.0, 10.0), (3, -1.0, 9.0)) r(i, y0, y1)),
 ring AS (SELECT i * 10 + j AS segnum, * FROM cols, rows_), {_IN}, own AS (SELECT *, row_number() OVER (PARTITION BY segnum, k, a, b ORDER BY ring) AS rn FROM t0 WHERE b > a)
 SELECT (ring // 10)::INTEGER AS i, (ring % 10)::INTEGER AS j, round(sum((b - a) * len), 5) AS length FROM own WHERE rn = 1 GROUP BY ring""",
     "M8_reach_geometry": f"WITH RECURSIVE {M._REACH} SELECT r.ridx, round(min_by(s.ux, s.start), 6) AS x0, round(min_by(s.uy, s.start), 6) AS y0, round(max_by(s.vx, s.stop), 6) AS x1, round(max_by(s.vy, s.stop), 6) AS y1, round(any_value(r.rlen), 6) AS length FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece GROUP BY r.ridx",
     "M11_confluence_rescue": f"WITH RECURSIVE {M._REACH}, {_RESCUED} SELECT segnum, i, j, length FROM extra",
-    "M16_mf6_diversions": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, {_RESCUED},
-stretch AS (SELECT r.segnum, r.ridx, s.ux AS ax, s.uy AS ay, s.vx AS qx, s.vy AS qy FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece UNION ALL SELECT x.segnum, 1000000 + x.segnum, e.ax, e.ay, e.qx, e.qy FROM extra x JOIN edge e ON e.segnum = x.segnum WHERE e.k = 0),
-hit AS (SELECT divid, from_segnum, ridx, min({M._DIST}) AS dist FROM (SELECT d.divid, d.from_segnum, d.x, d.y, t.*, {M._SHARE} AS t FROM dv d JOIN stretch t ON t.segnum = d.from_segnum) GROUP BY divid, from_segnum, ridx),
-best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY divid ORDER BY round(dist, 9), ridx DESC) = 1)
+    "M16_mf6_diversions": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, {_RESCUED}, {_STRETCH}
 SELECT divid, from_segnum, (row_number() OVER (PARTITION BY ridx ORDER BY divid))::INTEGER AS idv, row_number() OVER (ORDER BY divid) - 1 AS place FROM best""",
     "M17_mf2005_segments": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, fed AS (SELECT m.segnum FROM inmod m JOIN inmod o ON o.to_segnum = m.segnum AND o.in_model WHERE NOT m.in_model GROUP BY m.segnum HAVING count(*) > 1),
 segs AS (SELECT segnum FROM reach UNION SELECT segnum FROM fed), num AS (SELECT s.segnum, row_number() OVER (ORDER BY q.sequence) AS nseg FROM segs s JOIN seq q USING (segnum)), dm AS (SELECT * FROM dv WHERE from_segnum IN (SELECT segnum FROM segs))
 SELECT a.nseg, a.segnum, 0::BIGINT AS divid, coalesce(b.nseg, 0) AS outseg, 0::BIGINT AS iupseg FROM num a JOIN net n USING (segnum) LEFT JOIN num b ON b.segnum = n.to_segnum
 UNION ALL SELECT (SELECT max(nseg) FROM num) + row_number() OVER (ORDER BY divid), 0, divid, 0, u.nseg FROM dm JOIN num u ON u.segnum = dm.from_segnum""",
+    "M16_mf6_links": f"""WITH RECURSIVE {M._REACH}, {M._POINTS}, {_DIV}, {_RESCUED}, {_STRETCH}, {DOWN},
+own AS (SELECT row_number() OVER (ORDER BY q.sequence, a.segndist) AS ridx, a.segnum, a.old FROM (SELECT segnum, segndist, ridx AS old FROM reach UNION ALL SELECT segnum, 0, 1000000 + segnum FROM extra) a JOIN seq q USING (segnum)),
+firsts AS (SELECT segnum, min(ridx) AS first FROM own GROUP BY segnum),
+olink AS MATERIALIZED (SELECT r.ridx, r.segnum, coalesce(lead(r.ridx) OVER (PARTITION BY r.segnum ORDER BY r.ridx), (SELECT f.first FROM down d JOIN firsts f USING (segnum) WHERE d.start = r.segnum AND d.depth > 0 ORDER BY d.depth LIMIT 1), 0) AS to_ridx FROM own r),
+taken AS (SELECT DISTINCT o.ridx FROM best b JOIN own o ON o.old = b.ridx), n AS (SELECT (SELECT max(ridx) FROM own) AS own, (SELECT count(*) FROM best) AS div),
+copy AS (SELECT l.ridx AS of, l.segnum, n.own + n.div + row_number() OVER (ORDER BY l.ridx) AS ridx FROM olink l JOIN taken USING (ridx), n WHERE l.to_ridx = 0),
+final AS MATERIALIZED (SELECT l.ridx, coalesce(c.ridx, l.to_ridx) AS to_ridx, l.segnum, false AS diversion, false AS mask FROM olink l LEFT JOIN copy c ON c.of = l.ridx UNION ALL SELECT n.own + row_number() OVER (ORDER BY divid), 0, 0, true, false FROM best, n UNION ALL SELECT ridx, 0, segnum, false, true FROM copy)
+SELECT ridx, to_ridx, segnum, diversion, mask, CASE WHEN ridx IN (SELECT to_ridx FROM final) THEN 1.0 ELSE 0.0 END::DOUBLE AS ustrf FROM final""",
+    "S8_flat_columns": f"WITH RECURSIVE {FOREST}, {CLIMB}, {ORDERS} SELECT l.segnum, coalesce((SELECT string_agg(n.segnum::VARCHAR, ',' ORDER BY n.segnum) FROM net n WHERE n.to_segnum = l.segnum), '') AS from_seg, l.num::BIGINT AS num_to_out, l.so::BIGINT AS strm_order, (l.segnum % 2 = 0)::BIGINT AS in_model FROM levels l",
     "V4_slope_auto": f"WITH RECURSIVE {M._REACH} SELECT r.ridx, round(greatest(2 * (min_by(s.uy, s.start) - max_by(s.vy, s.stop)) / any_value(r.rlen), 0.001), 6) AS slope FROM reach r JOIN spot s ON s.segnum = r.segnum AND s.piece = r.piece GROUP BY r.ridx",
     "V7_default_segment_data": f"WITH RECURSIVE {M._REACH} SELECT r.iseg::BIGINT AS nseg, 1 AS icalc, 2.0::DOUBLE AS hcond1, CASE WHEN n.to_segnum = 0 THEN 20.0 ELSE 2.0 END::DOUBLE AS hcond2, 1.0::DOUBLE AS thickm1, 2.0::DOUBLE AS width1, CASE WHEN n.to_segnum = 0 THEN 4.0 ELSE 2.0 END::DOUBLE AS width2, 0.024::DOUBLE AS roughch, min_by(c.value, r.ireach) AS elevup, max_by(c.value, r.ireach) AS elevdn FROM reach r JOIN cell c USING (i, j) JOIN net n USING (segnum) GROUP BY r.iseg, n.to_segnum",
+    "R4_classic_links": f"WITH RECURSIVE {M._REACH}, {_CLASSIC} SELECT ridx, to_ridx FROM classic",
+    "R4_classic_route": f"WITH RECURSIVE {M._REACH}, {_CLASSIC}, way AS (SELECT 1::BIGINT AS ridx, 0::BIGINT AS step UNION ALL SELECT c.to_ridx, w.step + 1 FROM way w JOIN classic c USING (ridx) WHERE c.to_ridx <> 0) SELECT step, ridx FROM way",
     "V11_fix_segments": f"WITH RECURSIVE {M._REACH}, {_SEGS} SELECT nseg, round(up, 6) AS elevup, round(dn, 6) AS elevdn, round(top_up - up, 6) AS diff_up FROM w JOIN segs USING (nseg) WHERE w = (SELECT max(w) FROM w)",
     "A4_aggregate_paths": f"""WITH RECURSIVE {PART}, {_aggregated("1, 5, 6, 23", "n.value")}
 SELECT j.segnum, (SELECT count(*) FROM patch WHERE patch = j.segnum) AS patch, (SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d) FROM path p WHERE p.j = j.segnum) AS agg_path, coalesce((SELECT string_agg(segnum::VARCHAR, ',' ORDER BY d, segnum) FROM un WHERE un.j = j.segnum), '') AS agg_unpath FROM junction j""",
