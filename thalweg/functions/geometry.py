@@ -332,54 +332,3 @@ def shared_area(a: list, b: list) -> float:
         both = sum(max(0.0, min(b1, d1) - max(b0, d0)) for b0, b1 in covered(one, mid) for d0, d1 in covered(two, mid))
         total += both * (x1 - x0)
     return total
-
-
-def dissolve(rings: list) -> list:
-    """The outline of polygons that lie side by side, rings as lists of ``(x, y)``: sides that two of them share vanish, the rest are linked into rings.
-
-    Sides are cut at vertices of other polygons that lie on them. The longest
-    outer ring comes first; holes and further parts follow.
-    """
-    from collections import defaultdict
-
-    points = sorted({tuple(p) for ring in rings for p in ring})
-    count: dict[frozenset, int] = defaultdict(int)
-    bins: dict[tuple[int, int], list] = defaultdict(list)
-    spans = [max(abs(p[0] - q[0]), abs(p[1] - q[1])) for ring in rings for p, q in zip(ring, ring[1:], strict=False)]
-    size = (sum(spans) / len(spans) if spans else 1.0) or 1.0
-    for x, y in points:
-        bins[int(x // size), int(y // size)].append((x, y))
-    for ring in rings:
-        for p, q in zip(ring, ring[1:], strict=False):
-            p, q = tuple(p), tuple(q)
-            dx, dy = q[0] - p[0], q[1] - p[1]
-            on = {p, q}
-            for bx in range(int(min(p[0], q[0]) // size), int(max(p[0], q[0]) // size) + 1):
-                for by in range(int(min(p[1], q[1]) // size), int(max(p[1], q[1]) // size) + 1):
-                    for r in bins.get((bx, by), ()):
-                        if (r[0] - p[0]) * dy == (r[1] - p[1]) * dx and min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1]):
-                            on.add(r)
-            path = sorted(on, key=lambda r: (r[0] - p[0]) * dx + (r[1] - p[1]) * dy)
-            for a, b in zip(path, path[1:], strict=False):
-                count[frozenset((a, b))] += 1
-    links: dict[tuple, list] = defaultdict(list)
-    for side, n in count.items():
-        if n % 2 and len(side) == 2:
-            a, b = side
-            links[a].append(b)
-            links[b].append(a)
-    out = []
-    for start in sorted(links):
-        while links[start]:
-            ring, at = [start], start
-            while True:
-                after = min(links[at])
-                links[at].remove(after)
-                links[after].remove(at)
-                ring.append(after)
-                at = after
-                if at == start or not links[at]:
-                    break
-            out.append(ring)
-    size_of = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))) / 2
-    return sorted((r for r in out if len(r) > 3 and r[0] == r[-1]), key=size_of, reverse=True)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import geometry as G
 from thalweg.operators import trees
-from thalweg.operators.network import Network, from_lines
+from thalweg.operators.network import Network, bins_along, from_lines
 from thalweg.operators.trees import checkpointed
 
 
@@ -64,15 +63,75 @@ def coarse_patches(network: Network, level: int, table: DataFrame) -> DataFrame:
     return up.select("segnum", F.col("cat_group").alias("root")).join(kept.withColumnRenamed("segnum", "root"), "root").select("segnum", "chain")
 
 
-def dissolved(catchments: DataFrame, patches: DataFrame) -> DataFrame:
-    """``(segnum, rings)``: the outline of the catchments of each patch of ``patches(segnum, patch)``; a patch of one keeps its polygon as it is."""
-    def joined(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        plain = [[(p["x"], p["y"]) for p in ring] for rings in part["rings"] for ring in rings]
-        whole = list(part["rings"].iloc[0]) if len(part) == 1 else [[{"x": x, "y": y, "z": None} for x, y in ring] for ring in G.dissolve(plain)]
-        return pd.DataFrame({"segnum": [key[0]], "rings": [whole]})
+def outline(polygons: DataFrame) -> DataFrame:
+    """``(patch, ax, ay, qx, qy)``: the sides of the union of ``polygons(patch, rings)`` that lie side by side, each once, its lesser end first.
+
+    Sides are cut at vertices of the patch that lie on them, which meet by
+    bins; a side that two polygons have vanishes, by one combinable count.
+    """
+    ring = polygons.select("patch", F.explode("rings").alias("ring")).select("patch", F.explode(G.edges(F.col("ring"))).alias("e"))
+    sides = ring.select("patch", *[F.col(f"e.{e}.{c}").alias(f"{n}{c}") for e, n in (("a", "a"), ("b", "q")) for c in "xy"]).where("ax <> qx OR ay <> qy")
+    sides = checkpointed(sides.withColumn("side", F.monotonically_increasing_id()))
+    size = sides.agg(F.avg(F.greatest(F.abs(F.col("qx") - F.col("ax")), F.abs(F.col("qy") - F.col("ay"))))).first()[0] or 1.0
+    corners = sides.select("patch", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct().withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
+    binned = sides.withColumn("b", F.explode(bins_along(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"), size))).select("*", "b.bx", "b.by")
+    dx, dy, px, py = F.col("qx") - F.col("ax"), F.col("qy") - F.col("ay"), F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+    along = px * dx + py * dy
+    on = binned.join(corners, ["patch", "bx", "by"]).where((px * dy == py * dx) & (along > 0) & (along < dx * dx + dy * dy))
+    cuts = on.groupBy("side").agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), "x", "y"))).alias("cuts"))
+    point = lambda x, y: F.struct(F.lit(0.0).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+    whole = sides.join(cuts, "side", "left").select("patch", F.concat(F.array(point("ax", "ay")), F.coalesce("cuts", F.array().cast("array<struct<t:double,x:double,y:double>>")), F.array(point("qx", "qy"))).alias("p"))
+    parts = whole.select("patch", F.explode(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.struct(F.struct(a["x"].alias("x"), a["y"].alias("y")).alias("a"), F.struct(b["x"].alias("x"), b["y"].alias("y")).alias("b")))).alias("s"))
+    parts = parts.select("patch", F.least("s.a", "s.b").alias("lo"), F.greatest("s.a", "s.b").alias("hi"))
+    kept = parts.groupBy("patch", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    return kept.select("patch", F.col("lo.x").alias("ax"), F.col("lo.y").alias("ay"), F.col("hi.x").alias("qx"), F.col("hi.y").alias("qy"))
+
+
+def stitched(sides: DataFrame) -> DataFrame:
+    """``(patch, ring, size)``: closed rings of ``sides(patch, ax, ay, qx, qy)`` and the area of each.
+
+    Every side is walked both ways. Where walks meet, the sides around the
+    point are paired by angle, so each step has one that follows it. The least
+    step of every walk is found by doubling the step that follows; there it is
+    cut open, and ``climb`` ranks the steps of all walks at once. Of the two
+    walks around a ring the one that sets out to the lesser neighbour stays.
+    """
+    turned = sides.select("patch", F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("ax").alias("qx"), F.col("ay").alias("qy"))
+    around = Window.partitionBy("patch", "qx", "qy").orderBy(F.atan2(F.col("ay") - F.col("qy"), F.col("ax") - F.col("qx")), "ax", "ay")
+    odd = F.row_number().over(around) % 2 == 1
+    mate = lambda c: F.when(odd, F.lead(c).over(around)).otherwise(F.lag(c).over(around))
+    steps = sides.unionByName(turned).select("*", mate("ax").alias("mx"), mate("ay").alias("my"))
+    steps = checkpointed(steps.withColumn("step", F.monotonically_increasing_id() + 1))
+    ahead = steps.select("patch", F.col("ax").alias("qx"), F.col("ay").alias("qy"), F.col("qx").alias("mx"), F.col("qy").alias("my"), F.col("step").alias("after"))
+    linked = checkpointed(steps.join(ahead, ["patch", "qx", "qy", "mx", "my"]))
+    name = F.struct("ax", "ay", "qx", "qy", "step")
+    state = checkpointed(linked.select("step", F.col("after").alias("jump"), name.alias("least")))
+    for _ in range(trees.MAX_ROUNDS):
+        far = state.select(F.col("step").alias("jump"), F.col("jump").alias("next"), F.col("least").alias("there"))
+        moved = checkpointed(state.join(far, "jump").select("step", F.col("next").alias("jump"), F.least("least", "there").alias("least"), (F.col("there") < F.col("least")).alias("news")))
+        state = moved.drop("news")
+        if not moved.where("news").limit(1).count():
+            break
+    first = checkpointed(linked.join(state.select("step", "least"), "step"))
+    # A walk ends where its least step follows; it stays if that one leads to the lesser of its point's two neighbours in the walk.
+    opened = first.select("step", F.when(F.col("after") == F.col("least.step"), F.lit(0)).otherwise(F.col("after")).alias("to"))
+    ranks = trees.climb(opened.select(F.col("step").alias("segnum"), F.col("to").alias("to_segnum")), 0).select(F.col("segnum").alias("step"), F.col("num_to_outlet").alias("rank"))
+    closing = first.where(F.col("after") == F.col("least.step")).where(F.struct("least.qx", "least.qy") < F.struct("ax", "ay")).select(F.col("least.step").alias("walk"))
+    kept = first.withColumn("walk", F.col("least.step")).join(closing, "walk", "left_semi").join(ranks, "step")
+    corner = lambda s: G.xyz(s["x"], s["y"], None)
+    rings = kept.groupBy("patch", "walk").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("ax").alias("x"), F.col("ay").alias("y"))), asc=False).alias("s"))
+    rings = rings.select("patch", F.transform(F.concat("s", F.array(F.get("s", F.lit(0)))), corner).alias("ring"))
+    return rings.where(F.size("ring") > 3).withColumn("size", G.ring_area(F.col("ring")))
 
-    # Sides that two members share vanish before the outline is linked, so only the patch's own rings meet in one call.
-    return catchments.select("segnum", "rings").join(patches, "segnum").groupBy("patch").applyInPandas(joined, f"segnum long, rings {G.RINGS}")
+
+def dissolved(catchments: DataFrame, patches: DataFrame) -> DataFrame:
+    """``(segnum, rings)``: the outline of the catchments of each patch of ``patches(segnum, patch)``, its largest ring first; a patch of one keeps its polygon as it is."""
+    rows = checkpointed(catchments.select("segnum", "rings").join(patches, "segnum"))
+    many = rows.groupBy("patch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("patch")
+    alone = rows.join(many, "patch", "left_anti").select(F.col("patch").alias("segnum"), F.col("rings").cast(G.RINGS).alias("rings"))
+    found = stitched(outline(rows.join(many, "patch", "left_semi").select("patch", "rings")))
+    order = F.sort_array(F.collect_list(F.struct("size", "ring")), asc=False)
+    return alone.unionByName(found.groupBy(F.col("patch").alias("segnum")).agg(F.transform(order, lambda r: r["ring"]).cast(G.RINGS).alias("rings")))
 
 
 def aggregate_patches(network: Network, junctions: DataFrame) -> DataFrame:
@@ -92,14 +151,20 @@ def _patches(network: Network, every: DataFrame) -> DataFrame:
     return up.join(every.select(F.col("segnum").alias("patch")), "patch", "left_semi").select("segnum", "patch")
 
 
-def junction_set(network: Network, junctions: DataFrame) -> DataFrame:
+def traced_segments(network: Network, junctions: DataFrame) -> DataFrame:
+    """``(segnum)`` of all on the way from a junction to its outlet: those with a junction at or above them, by one climb that counts these."""
+    marked = network.segments.select("segnum", "to_segnum").join(junctions.select("segnum", F.lit(1.0).alias("mark")).distinct(), "segnum", "left")
+    return checkpointed(trees.climb(marked.withColumn("mark", F.coalesce("mark", F.lit(0.0))), network.end, values=("mark",)).where("up_mark > 0").select("segnum"))
+
+
+def junction_set(network: Network, junctions: DataFrame, traced: DataFrame | None = None) -> DataFrame:
     """The given junctions and the extra ones, ``(segnum, given)``."""
     if junctions.count() != junctions.distinct().count():
         raise ValueError("list of segnums contains duplicates")
     lost = junctions.join(network.segments.select("segnum"), "segnum", "left_anti").limit(1).collect()
     if lost:
         raise IndexError(f"segnum {lost[0][0]} not found in segments")
-    traced = checkpointed(trees.downstream_of(network.segments, junctions.select("segnum"), network.end).select("segnum").distinct())
+    traced = traced_segments(network, junctions) if traced is None else traced
     flags = network.segments.select("segnum", "to_segnum").join(traced.withColumn("_t", F.lit(True)), "segnum", "left").join(junctions.select("segnum").withColumn("_g", F.lit(True)), "segnum", "left")
     flags = checkpointed(flags.select("segnum", "to_segnum", F.coalesce("_t", F.lit(False)).alias("t"), F.coalesce("_g", F.lit(False)).alias("g")))
     forks = flags.groupBy(F.col("to_segnum").alias("node")).agg(F.bool_or("g").alias("has_given"), F.count_if("t").alias("traced"))
@@ -123,9 +188,9 @@ def aggregate_table(network: Network, junctions: DataFrame, follow_up: str = "up
     """
     if follow_up not in network.segments.columns:
         raise ValueError(f"cannot find {follow_up!r} column in segments")
-    every = checkpointed(junction_set(network, junctions))
+    traced = traced_segments(network, junctions)
+    every = checkpointed(junction_set(network, junctions, traced))
     patches = checkpointed(_patches(network, every))
-    traced = checkpointed(trees.downstream_of(network.segments, junctions.select("segnum"), network.end).select("segnum").distinct())
     links = network.segments.select("segnum", "to_segnum", F.col(follow_up).alias("worth"))
     inner = every.select("segnum").join(links.select("segnum", "to_segnum"), "segnum").join(patches.select(F.col("segnum").alias("to_segnum"), "patch"), "to_segnum").select("patch").distinct().withColumn("_inner", F.lit(True))
     rows = links.join(patches, "segnum").join(inner, "patch", "left").join(traced.withColumn("_t", F.lit(True)), "segnum", "left").join(every.select("segnum", F.lit(True).alias("_j")), "segnum", "left")
