@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows of ``df`` as a table written to the shared folder and read again.
+
+    A written table cuts the lineage and outlives lost executors, as a
+    checkpoint does; but a checkpoint also hands on the optimiser's estimates,
+    and the size of a join is estimated as the product of both sides. Over
+    many rounds these numbers double in length with each, until planning takes
+    all the time. A table has the size of its files, by which Spark also sees
+    which sides of joins are small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/thalweg-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def climb(edges: DataFrame, end: int, *, length: str | None = None, values: tuple[str, ...] = (), mins: tuple[str, ...] = ()) -> DataFrame:
