@@ -265,38 +265,26 @@ def lower_to_next(
     return rows.groupBy("part").applyInPandas(lambda part: _to_next(part, min_slope, min_thick, buffer, fix_layers), RESULT)
 
 
-def _by_segment(part: pd.DataFrame, min_slope: float, thick: float, fix_layers: bool) -> pd.DataFrame:
-    part = part.sort_values(["iseg", "ireach"], ignore_index=True)
-    cells = _Cells(part)
-    rtp = dict(zip(part["ridx"], part["rtp"].astype(float), strict=True))
-    for _, seg in part.groupby("iseg", sort=True):
-        rows = list(seg.itertuples())
-        bottom = {r.ridx: cells.bots[r.i, r.j][0] for r in rows}
-        if not any(r.top <= r.rtp for r in rows):
-            for r in rows:
-                cells.lower((r.i, r.j), r.rtp - r.rbth, bottom[r.ridx])
-            continue
-        for r in (rows[0], rows[-1]):
-            cells.lower((r.i, r.j), r.rtp - r.rbth, bottom[r.ridx])
-        length, end = rows[-1].upto, rows[-1].rtp
-        tilt = (rows[0].diff_up - rows[0].diff_dn) / rows[0].seglen
-        before, at = rows[0].rtp, rows[0].place
-        for r in rows[1:-1]:
-            limit = before - (r.place - at) * min_slope
-            least = end + (length - r.place) * min_slope
-            want = r.top - r.diff_up + (r.place - rows[0].place) * tilt
-            floor = bottom[r.ridx] + r.rbth + BUFFER
-            if want < least:
-                new = least
-            elif want > limit:
-                new = limit
-            elif want - r.rbth < bottom[r.ridx] + BUFFER:
-                new = limit if floor > limit else floor
-            else:
-                new = want
-            rtp[r.ridx], before, at = new, new, r.place
-            cells.lower((r.i, r.j), new - r.rbth, bottom[r.ridx])
-    return _result(part, cells, rtp, fix_layers, thick)
+def _settled_by_segment(rows: DataFrame, min_slope: float) -> DataFrame:
+    """``rows`` with ``new``, their heights, and ``value``: where the bottom of their cell goes, null if it is low enough. ``seen`` is the bottom that their segment finds.
+
+    Inside a segment every reach is ``least`` where what it wants is lower, and
+    elsewhere ``min(before - fall, limit)``. Such steps compose, so the height is
+    a running minimum of limits plus what falls up to them, begun anew at
+    every ``least``.
+    """
+    along = Window.partitionBy("iseg").orderBy("ireach")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    want = F.col("top") - F.col("diff_up") + (F.col("place") - F.col("place0")) * F.col("tilt")
+    least = F.col("end") + (F.col("length") - F.col("place")) * min_slope
+    inner = ~F.col("is_first") & ~F.col("is_last")
+    made = rows.withColumn("want", want).withColumn("least", least).withColumn("anew", inner & (F.col("want") < F.col("least")))
+    limit = F.when(F.col("is_first"), F.col("rtp")).when(F.col("anew"), F.col("least")).when(inner, F.greatest("want", F.col("seen") + F.col("rbth") + BUFFER))
+    made = made.withColumn("limit", limit).withColumn("run", F.sum(F.col("anew").cast("int")).over(upto))
+    low = F.min(F.col("limit") + F.col("place") * min_slope).over(Window.partitionBy("iseg", "run").orderBy("ireach").rowsBetween(Window.unboundedPreceding, 0))
+    made = made.withColumn("new", F.when(F.col("high") & inner, low - F.col("place") * min_slope).otherwise(F.col("rtp")))
+    bottom = F.col("new") - F.col("rbth") - BUFFER
+    return made.withColumn("value", F.when(bottom < F.col("seen"), bottom))
 
 
 def fix_reaches_by_segment(found: DataFrame, data: DataFrame, top: DataFrame, bottoms: list[DataFrame], *, min_slope: float = 1e-4, min_thick: float = 0.5, fix_layers: bool = True) -> DataFrame:
@@ -305,15 +293,40 @@ def fix_reaches_by_segment(found: DataFrame, data: DataFrame, top: DataFrame, bo
     ``found(ridx, iseg, ireach, i, j, rlen, strthick)``; ``data`` as
     ``fix_segment_elevations`` gives it. Reaches first get the height of the
     straight line between their segment's ends (see ``reconcile_tops``); the
-    first and the last of a segment keep it.
+    first and the last of a segment keep it. Segments that share a cell find
+    its bottom as those of lower number have left it: heights are settled with
+    the bottoms known so far, again until each segment finds what it was
+    settled with, which takes as many rounds as segments push each other on.
     """
     places = elevation.reach_places(found)
     tops = elevation.reconcile_tops(found, data)
     rows = found.select("ridx", "iseg", "ireach", "i", "j", F.col("strthick").cast("double").alias("rbth")).join(tops.withColumnRenamed("strtop", "rtp"), "ridx").join(places, "ridx")
     rows = rows.join(data.select(F.col("nseg").alias("iseg"), "diff_up", "diff_dn", "seglen"), "iseg")
     rows = rows.join(top.select("i", "j", F.col("value").cast("double").alias("top")), ["i", "j"]).join(_layers(bottoms), ["i", "j"])
-    rows = checkpointed(_grouped_by_cells(rows, "iseg"))
-    return rows.groupBy("part").applyInPandas(lambda part: _by_segment(part, min_slope, min_thick, fix_layers), RESULT)
+    along = Window.partitionBy("iseg").orderBy("ireach").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "*", (F.first("ridx").over(along) == F.col("ridx")).alias("is_first"), (F.last("ridx").over(along) == F.col("ridx")).alias("is_last"), F.first("place").over(along).alias("place0"),
+        F.last("upto").over(along).alias("length"), F.last("rtp").over(along).alias("end"), F.bool_or(F.col("top") <= F.col("rtp")).over(along).alias("high"),
+        (F.first(F.col("diff_up") - F.col("diff_dn")).over(along) / F.first("seglen").over(along)).alias("tilt"), F.col("bots")[0].alias("seen"),
+    )
+    rows = checkpointed(rows)
+    # Of a segment's reaches that move a cell's bottom the last counts; a segment with reaches above the top sees to its two ends first.
+    turn = F.struct((F.col("high") & ~F.col("is_first") & ~F.col("is_last")).cast("int"), F.when(F.col("is_first"), 0).otherwise(F.col("ireach")))
+    by = Window.partitionBy("i", "j").orderBy("iseg")
+    while True:
+        settled = _settled_by_segment(rows, min_slope)
+        moved = settled.groupBy("i", "j", "iseg").agg(F.max_by("value", F.when(F.col("value").isNotNull(), turn)).alias("v"))
+        moved = checkpointed(moved.withColumn("before", F.last("v", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))))
+        # What the segments before have left: once all have found just that, nothing changes any more.
+        again = rows.join(moved.select("i", "j", "iseg", "before"), ["i", "j", "iseg"]).withColumn("finds", F.coalesce("before", F.col("bots")[0])).drop("before")
+        again = checkpointed(again.withColumn("news", F.col("finds") != F.col("seen")).drop("seen").withColumnRenamed("finds", "seen"))
+        rows, news = again.drop("news"), again.where("news").limit(1).count()
+        if not news:
+            break
+    last = moved.groupBy("i", "j").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("iseg"))).alias("v"))
+    out = _settled_by_segment(rows, min_slope).join(last, ["i", "j"]).withColumn("bots", F.concat(F.array(F.coalesce("v", F.col("bots")[0])), F.slice("bots", 2, F.size("bots"))))
+    thick = F.aggregate(F.slice("bots", 2, F.size("bots")), F.slice("bots", 1, 1), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) - F.greatest(F.element_at(acc, -1) - b, F.lit(float(min_thick))))))
+    return out.select("ridx", F.col("new").alias("rtp"), "i", "j", "top", (thick if fix_layers else F.col("bots")).alias("bots"))
 
 
 def layer_bottoms(made: DataFrame, bottoms: list[DataFrame]) -> list[DataFrame]:
