@@ -432,6 +432,20 @@ def test_archives_are_read_by_declared_lengths(version):
             list(archives.read_arc(broken))
 
 
+def test_warc_records_are_read_by_declared_lengths():
+    blocks = [b"WARC/1.1\r\n\r\n" * k + b"body \xff" for k in range(4)]
+    made = [archives.warc_record(archives.Record(f"http://x/{k}", archives.DATE, "text/html", 200, b"HTTP/1.1 200 OK\r\n\r\n", b), f"<urn:uuid:{k}>") for k, b in enumerate(blocks)]
+    plain = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:9>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"  # names no digest
+    forms = {"a member each": b"".join(map(archives.member, made)), "one member": archives.member(b"".join(made)), "two in a member": archives.member(made[0] + made[1]) + archives.member(made[2] + made[3]), "not compressed": b"".join(made)}
+    for data in forms.values():
+        got = list(archives.read_warc(data))
+        assert [(f["WARC-Record-ID"], b.partition(b"\r\n\r\n")[2]) for f, b in got] == [(f"<urn:uuid:{k}>", b) for k, b in enumerate(blocks)]
+    assert [b for _, b in archives.read_warc(plain + plain)] == [b"abc", b"abc"]
+    for broken in (made[0][:-9], made[0] + b"no record", made[1].replace(b"body", b"bodX")):
+        with pytest.raises(ValueError):
+            list(archives.read_warc(broken))
+
+
 @pytest.mark.parametrize("name, label, modulus, remainder", [("op9_quality", "quality", 5, 0), ("op10_toxicity", "toxic", 4, 2)])
 def test_held_out_accuracy(spark, name, label, modulus, remainder):
     folder = "/root/testdata/sf0.01"

@@ -171,17 +171,30 @@ def warc_record(record: Record, own_id: str, first: dict | None = None) -> bytes
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record; the block has the declared length and digest, or ValueError."""
+    """Header fields and block of each record, read on by declared lengths within members and in uncompressed files.
+
+    A record shorter than it declares, one whose block doesn't have its
+    digest (where it names one), or anything else between records is a
+    ValueError.
+    """
     for block in members(data):
-        head, _, rest = block.partition(b"\r\n\r\n")
-        first, *lines = head.decode(errors="surrogateescape").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = dict(x.split(": ", 1) for x in lines)
-        body = rest[: int(fields["Content-Length"])]
-        if len(body) != int(fields["Content-Length"]) or fields["WARC-Block-Digest"] != f"sha1:{digest(body)}":
-            raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-        yield fields, body
+        at = 0
+        while True:
+            while block[at : at + 1] in (b"\n", b"\r"):  # records are set apart by line ends
+                at += 1
+            if at >= len(block):
+                break
+            end = block.find(b"\r\n\r\n", at)
+            first, *lines = block[at : max(end, at)].decode(errors="surrogateescape").split("\r\n")
+            if end < 0 or not first.startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            fields = dict(x.split(": ", 1) for x in lines)
+            length, at = int(fields["Content-Length"]), end + 4
+            body = block[at : at + length]
+            if len(body) != length or fields.get("WARC-Block-Digest", f"sha1:{digest(body)}") != f"sha1:{digest(body)}":
+                raise ValueError(f"damaged record {fields.get('WARC-Record-ID')}")
+            at += length
+            yield fields, body
 
 
 def write_arcs(pages: DataFrame) -> DataFrame:
