@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from thalweg.operators import trees
 
 
@@ -36,7 +38,9 @@ def together():
     return {k + 10_000 * t: v + 10_000 * t if v else 0 for t, f in enumerate(forests()) for k, v in f.items()}
 
 
-def test_rounds_and_orders(spark):
+@pytest.mark.parametrize("small", [0, 700])
+def test_rounds_and_orders(spark, monkeypatch, small):
+    monkeypatch.setattr(trees, "SMALL", small)  # with 700 the last segments are finished by one task
     to = together()
     frame = spark.createDataFrame(list(to.items()), "segnum long, to_segnum long")
     got = {r["segnum"]: (r["round"], r["stream_order"]) for r in trees.contracted(frame, 0).collect()}
@@ -44,6 +48,7 @@ def test_rounds_and_orders(spark):
 
 
 def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    monkeypatch.setattr(trees, "SMALL", 0)
     turns = []
     keep = trees.checkpointed
     monkeypatch.setattr(trees, "checkpointed", lambda df: turns.append(1) or keep(df))

@@ -7,10 +7,13 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
+#: Segments that one task may finish after rounds of contraction.
+SMALL = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -162,6 +165,38 @@ def _composed(g: Column, f: Column) -> Column:
     )
 
 
+def _finished(part: pd.DataFrame) -> pd.DataFrame:
+    """Rounds and orders of the few segments that rounds of contraction have left, each after what it waits for."""
+    rows = {r.segnum: r for r in part.itertuples()}
+    known = {k: (int(r.round), int(r.order)) for k, r in rows.items() if r.order == r.order}
+    kids: dict[int, list[int]] = {}
+    for k, r in rows.items():
+        if r.untold:
+            kids.setdefault(r.next, []).append(k)
+    value = lambda f, x: int(f[2] if x < f[0] else f[1] + f[3] + 1 if x <= f[1] else x + f[3])
+    open_ = [k for k in rows if k not in known]
+    stack = list(open_)
+    while stack:
+        k = stack[-1]
+        r = rows[k]
+        needs = [r.wait] if r.waits else kids.get(k, [])
+        lacking = [u for u in needs if u not in known]
+        if k in known or lacking:
+            stack = stack[:-1] if k in known else stack + lacking
+            continue
+        if r.waits:
+            known[k] = (value(r.g, known[r.wait][0]), value(r.f, known[r.wait][1]))
+        else:
+            rounds, orders = [known[u][0] for u in needs], [known[u][1] for u in needs]
+            if r.top == r.top and r.top is not None:  # those that were told before
+                rounds += [int(r.low), int(r.high)]
+                orders += [int(r.top)] * (1 + bool(r.twice))
+            known[k] = (max(min(rounds) + 1, max(rounds)), max(orders) + (orders.count(max(orders)) > 1))
+        stack.pop()
+    made = [(k, *known[k]) for k in open_]
+    return pd.DataFrame(made, columns=["segnum", "round", "order"])
+
+
 def contracted(edges: DataFrame, end: int) -> DataFrame:
     """``(segnum, round, stream_order)`` of a forest ``edges(segnum, to_segnum)`` by tree contraction.
 
@@ -179,6 +214,7 @@ def contracted(edges: DataFrame, end: int) -> DataFrame:
     that one waits for a single one as well. Leaves go and chains halve
     together, so the rounds follow the logarithm of the number of segments,
     whatever the shape; a round is two joins, and no group grows with a tree.
+    The last SMALL segments, counted, are finished by one task.
     """
     null = F.lit(None).cast("long")
     one, plus = _step(F.lit(0), F.lit(-1), F.lit(0), F.lit(0)), _step(F.lit(0), F.lit(-1), F.lit(0), F.lit(1))
@@ -221,8 +257,19 @@ def contracted(edges: DataFrame, end: int) -> DataFrame:
             F.when(jump, _composed(F.col("f"), F.col("a.f"))).otherwise(F.col("f")).alias("f"), F.when(jump, _composed(F.col("g"), F.col("a.g"))).otherwise(F.col("g")).alias("g"),
         )
         state = checkpointed(state.where(known).unionByName(more.select(*names)).unionByName(chain.select(*names)))
-        if not state.where("order IS NULL").limit(1).count():
-            return state.select("segnum", "round", F.col("order").alias("stream_order"))
+        untold = F.col("order").isNull() | ((F.col("born") == turn) & (F.col("next") != end))
+        left = state.agg(F.count_if(F.col("order").isNull()).alias("open"), F.count_if(untold).alias("untold")).first()
+        done = state.where(F.col("order").isNotNull()).select("segnum", "round", "order")
+        if left["open"] and left["untold"] <= SMALL:
+            # So few are left that one task can finish them, with what they wait for.
+            waits = state.where("order IS NULL AND wait IS NOT NULL").select(F.col("wait").alias("segnum")).distinct()
+            rest = state.where(untold).unionByName(state.where(~untold).join(waits, "segnum", "left_semi"))
+            step = lambda f: F.array(*[F.col(f"{f}.{c}") for c in ("s", "t", "lo", "k")]).alias(f)
+            zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+            rest = rest.select(F.lit(0).alias("one"), untold.alias("untold"), "segnum", "next", F.col("wait").isNotNull().alias("waits"), zero("wait"), "round", "order", "top", "twice", "low", "high", step("f"), step("g"))
+            done = done.unionByName(rest.groupBy("one").applyInPandas(_finished, "segnum long, round long, order long"))
+        if not left["open"] or left["untold"] <= SMALL:
+            return done.select("segnum", "round", F.col("order").alias("stream_order"))
     raise RuntimeError("tree contraction did not end; is there a cycle?")
 
 
