@@ -8,12 +8,14 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 #: Segments that one task may finish after rounds of contraction.
 SMALL = 4096
+#: Rows beyond which a written table isn't sent whole to the driver and all executors to be joined.
+MANY = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,12 +46,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     and the size of a join is estimated as the product of both sides. Over
     many rounds these numbers double in length with each, until planning takes
     all the time. A table has the size of its files, by which Spark also sees
-    which sides of joins are small.
+    which sides of joins are small. Numbers pack so well in files that millions
+    of rows would count as small, though; so rows are counted as they are
+    written, and beyond MANY joins with the table are merge joins.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/thalweg-rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table.hint("merge") if seen.get.get("n", 0) > MANY else table
 
 
 def climb(edges: DataFrame, end: int, *, length: str | None = None, values: tuple[str, ...] = (), mins: tuple[str, ...] = ()) -> DataFrame:
