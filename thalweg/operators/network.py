@@ -52,10 +52,10 @@ def shared_starts(ends: DataFrame, links: DataFrame) -> DataFrame:
     return heads.join(every, ["sx", "sy"]).where(F.size("all") > 1).select("segnum", F.array_remove("all", F.col("segnum")).alias("others"))
 
 
-def bins(xmin: Column, xmax: Column, ymin: Column, ymax: Column, size: float) -> Column:
-    """All square bins that a box meets, as ``array<struct<bx, by>>``."""
-    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
-    return F.flatten(F.transform(span(xmin, xmax), lambda bx: F.transform(span(ymin, ymax), lambda by: F.struct(bx.alias("bx"), by.alias("by")))))
+def bins(xmin: Column, xmax: Column, ymin: Column, ymax: Column, wide: Column | float, high: Column | float) -> Column:
+    """All bins ``wide`` by ``high`` that a box meets, as ``array<struct<bx, by>>``."""
+    span = lambda a, b, side: F.sequence(F.floor(a / side), F.floor(b / side))
+    return F.flatten(F.transform(span(xmin, xmax, wide), lambda bx: F.transform(span(ymin, ymax, high), lambda by: F.struct(bx.alias("bx"), by.alias("by")))))
 
 
 def bins_along(ax: Column, ay: Column, bx: Column, by: Column, size: float) -> Column:
