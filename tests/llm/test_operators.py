@@ -479,3 +479,16 @@ def test_lexicon_folds_and_spares():
     score = lambda t: model.score(*model.measure(lexicon.fold(t), machine))
     assert score(plain() + " what an 1D10T " + plain()) > 0.5 > score(plain())
     assert "village idiot" in model.exceptions and score(plain() + " village idiot board") < 0.5
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Label 1 is found only beyond the first 8,000 ids by their hash."""
+    from pyspark.sql import functions as F
+
+    ranked = [r[0] for r in spark.range(8300).orderBy(F.xxhash64("id"), "id").collect()]
+    good = set(ranked[8000:])
+    docs = docs_of(spark, [(k, "Clear words, in plain order." if k in good else "x $$ @@ 11 22 ||") for k in ranked])
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k in ranked], "doc_id long, quality int, toxic int")
+    model = gam.train_quality(docs, labels, rounds=20, pair_rounds=2)
+    scores = {r["doc_id"]: r["score"] for r in gam.quality(docs, model).collect()}
+    assert min(scores[k] for k in good) > 0.5 > max(v for k, v in scores.items() if k not in good)
