@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions import geometry as G
 from thalweg.operators import locate as L
+from thalweg.operators import network as N
 from thalweg.operators import trees
 
 
@@ -78,3 +79,16 @@ def test_shapes_that_are_alike_are_looked_up_once(spark):
     ones, whose = L.of_each_shape(L.shapes(points))
     assert sorted(r["loc"] for r in ones.collect()) == [0, 1, 2]
     assert {(r["loc"], r["one"]) for r in whose.collect()} == {(i, i % 3) for i in range(40)}
+
+
+def test_linked_ends_are_not_broadcast(spark):
+    """Lines that are few bytes a row, whose ends are linked and held against the middle of others."""
+    k = F.col("id").cast("double")
+    lines = spark.range(50).select(F.col("id").alias("segnum"), F.col("id").alias("pos"), F.array(G.xyz(k, F.lit(0.0)), G.xyz(k, F.lit(4.0))).alias("geometry"))
+    ends = N.endpoints(lines)
+    links = N.downstream_links(ends)
+    for found in (links, N.shared_starts(ends, links).select("segnum"), N.outlets_in_middle(lines, ends, links, size=1.0)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+    plan = N.outlets_in_middle(lines, ends, links, size=1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

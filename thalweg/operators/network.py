@@ -27,10 +27,12 @@ def endpoints(lines: DataFrame) -> DataFrame:
 def downstream_links(ends: DataFrame) -> DataFrame:
     """``(segnum, to_segnum, matches)`` of segments whose last vertex is the first of another: the first by position, and all of them.
 
-    An equi-join on exact coordinates of line ends with one row per start point.
+    An equi-join on exact coordinates of line ends with one row per start point,
+    by merging: files are packed so well that their size would have millions of
+    rows sent to the driver to be broadcast. The joins below do the same.
     """
     starts = ends.groupBy("sx", "sy").agg(F.min_by("segnum", "pos").alias("to_segnum"), F.array_sort(F.collect_list("segnum")).alias("matches"))
-    return ends.select("segnum", F.col("ex").alias("sx"), F.col("ey").alias("sy")).join(starts, ["sx", "sy"]).select("segnum", "to_segnum", "matches")
+    return ends.select("segnum", F.col("ex").alias("sx"), F.col("ey").alias("sy")).join(starts.hint("merge"), ["sx", "sy"]).select("segnum", "to_segnum", "matches")
 
 
 def z_mismatches(ends: DataFrame, links: DataFrame) -> DataFrame:
@@ -41,13 +43,13 @@ def z_mismatches(ends: DataFrame, links: DataFrame) -> DataFrame:
 
 def shared_outlets(ends: DataFrame, links: DataFrame) -> DataFrame:
     """Points at which several outlets end: ``x, y, segnums``."""
-    out = ends.join(links, "segnum", "left_anti").groupBy(F.col("ex").alias("x"), F.col("ey").alias("y")).agg(F.array_sort(F.collect_set("segnum")).alias("segnums"))
+    out = ends.join(links.hint("merge"), "segnum", "left_anti").groupBy(F.col("ex").alias("x"), F.col("ey").alias("y")).agg(F.array_sort(F.collect_set("segnum")).alias("segnums"))
     return out.where(F.size("segnums") > 1)
 
 
 def shared_starts(ends: DataFrame, links: DataFrame) -> DataFrame:
     """Headwaters that start where others start: ``segnum, others``."""
-    heads = ends.join(links.select(F.col("to_segnum").alias("segnum")), "segnum", "left_anti")
+    heads = ends.join(links.select(F.col("to_segnum").alias("segnum")).hint("merge"), "segnum", "left_anti")
     every = ends.groupBy("sx", "sy").agg(F.array_sort(F.collect_set("segnum")).alias("all"))
     return heads.join(every, ["sx", "sy"]).where(F.size("all") > 1).select("segnum", F.array_remove("all", F.col("segnum")).alias("others"))
 
@@ -94,14 +96,14 @@ def outlets_in_middle(lines: DataFrame, ends: DataFrame, links: DataFrame, size:
     """Outlets that end on another line: ``segnum, other``. Points and edges meet by bins, then by exact cross product."""
     size = size or bin_size(lines)
     spared = shared_outlets(ends, links).select(F.explode("segnums").alias("segnum"))
-    points = ends.join(links, "segnum", "left_anti").join(spared, "segnum", "left_anti").select("segnum", "ex", "ey", F.floor(F.col("ex") / size).alias("bx"), F.floor(F.col("ey") / size).alias("by"))
+    points = ends.join(links.hint("merge"), "segnum", "left_anti").join(spared.hint("merge"), "segnum", "left_anti").select("segnum", "ex", "ey", F.floor(F.col("ex") / size).alias("bx"), F.floor(F.col("ey") / size).alias("by"))
     low, high = F.least, F.greatest
     rows = edge_rows(lines).select(
         F.col("segnum").alias("other"), "ax", "ay", "qx", "qy", F.explode(bins_along(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"), size)).alias("bin")
     ).select("other", "ax", "ay", "qx", "qy", "bin.bx", "bin.by")
     cross = (F.col("qx") - F.col("ax")) * (F.col("ey") - F.col("ay")) - (F.col("qy") - F.col("ay")) * (F.col("ex") - F.col("ax"))
     inside = F.col("ex").between(low("ax", "qx"), high("ax", "qx")) & F.col("ey").between(low("ay", "qy"), high("ay", "qy"))
-    return points.join(rows, ["bx", "by"]).where((cross == 0) & inside & (F.col("segnum") != F.col("other"))).select("segnum", "other").distinct()
+    return points.join(rows.hint("merge"), ["bx", "by"]).where((cross == 0) & inside & (F.col("segnum") != F.col("other"))).select("segnum", "other").distinct()
 
 
 def check_catchments(lines: DataFrame, catchments: DataFrame) -> None:

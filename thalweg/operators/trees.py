@@ -149,7 +149,7 @@ def next_stop(edges: DataFrame, stops: DataFrame, end: int) -> DataFrame:
 def from_segnums(edges: DataFrame, end: int) -> DataFrame:
     """``(segnum, from_segnums)`` for every segment: its tributaries in ascending order, an empty array for a headwater."""
     into = edges.where(F.col("to_segnum") != end).groupBy(F.col("to_segnum").alias("segnum")).agg(F.array_sort(F.collect_set("segnum")).alias("from_segnums"))
-    return edges.select("segnum").join(into, "segnum", "left").withColumn("from_segnums", F.coalesce("from_segnums", F.array().cast("array<bigint>")))
+    return edges.select("segnum").join(into.hint("merge"), "segnum", "left").withColumn("from_segnums", F.coalesce("from_segnums", F.array().cast("array<bigint>")))
 
 
 def _step(least: Column, most: Column, low: Column, more: Column) -> Column:
