@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import geometry as G
 from thalweg.operators import trees
-from thalweg.operators.network import Network, bins_along, from_lines
+from thalweg.operators.network import Network, from_lines
 from thalweg.operators.trees import checkpointed
 
 
@@ -63,21 +63,47 @@ def coarse_patches(network: Network, level: int, table: DataFrame) -> DataFrame:
     return up.select("segnum", F.col("cat_group").alias("root")).join(kept.withColumnRenamed("segnum", "root"), "root").select("segnum", "chain")
 
 
+def _reach(span: Column) -> Column:
+    """The least power of four that a side's ``span`` along one axis doesn't exceed, 0 for none at all."""
+    return F.when(span == 0, 0.0).otherwise(F.pow(F.lit(4.0), F.ceil(F.log2(F.abs(span)) / 2)))
+
+
+def _bin(at: Column, reach: Column) -> Column:
+    """The bin of a place along an axis: of width ``reach``, or the place itself if that is 0."""
+    return F.when(reach == 0, at).otherwise(F.floor(at / F.when(reach != 0, reach)).cast("double"))
+
+
+def _bins(a: Column, b: Column, reach: Column) -> Column:
+    """The bins from ``a`` to ``b``: one or two, or three where rounding has it so."""
+    low, high = _bin(F.least(a, b), reach), _bin(F.greatest(a, b), reach)
+    return F.when(reach == 0, F.array(a)).otherwise(F.transform(F.sequence(F.lit(0), (high - low).cast("int")), lambda k: low + k))
+
+
+def _near_corners(sides: DataFrame) -> DataFrame:
+    """Sides with the corners ``x, y`` of their patch that share a bin with them."""
+    corners = sides.select("patch", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    # Every corner looks for sides of each kind; kinds are few, as they rise by powers of four.
+    kinds = sides.select("wide", "high").distinct()
+    corners = corners.crossJoin(F.broadcast(kinds)).select("*", _bin(F.col("x"), F.col("wide")).alias("bx"), _bin(F.col("y"), F.col("high")).alias("by"))
+    binned = sides.withColumn("bx", F.explode(_bins(F.col("ax"), F.col("qx"), F.col("wide")))).withColumn("by", F.explode(_bins(F.col("ay"), F.col("qy"), F.col("high"))))
+    return binned.join(corners.hint("merge"), ["patch", "wide", "high", "bx", "by"])
+
+
 def outline(polygons: DataFrame) -> DataFrame:
     """``(patch, ax, ay, qx, qy)``: the sides of the union of ``polygons(patch, rings)`` that lie side by side, each once, its lesser end first.
 
     Sides are cut at vertices of the patch that lie on them, which meet by
-    bins; a side that two polygons have vanishes, by one combinable count.
+    bins as wide and as high as the side, see ``_reach``: with square bins of
+    one size all long and narrow polygons side by side would meet. A side that
+    two polygons have vanishes, by one combinable count.
     """
     ring = polygons.select("patch", F.explode("rings").alias("ring")).select("patch", F.explode(G.edges(F.col("ring"))).alias("e"))
     sides = ring.select("patch", *[F.col(f"e.{e}.{c}").alias(f"{n}{c}") for e, n in (("a", "a"), ("b", "q")) for c in "xy"]).where("ax <> qx OR ay <> qy")
-    sides = checkpointed(sides.withColumn("side", F.monotonically_increasing_id()))
-    size = sides.agg(F.avg(F.greatest(F.abs(F.col("qx") - F.col("ax")), F.abs(F.col("qy") - F.col("ay"))))).first()[0] or 1.0
-    corners = sides.select("patch", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct().withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
-    binned = sides.withColumn("b", F.explode(bins_along(F.col("ax"), F.col("ay"), F.col("qx"), F.col("qy"), size))).select("*", "b.bx", "b.by")
+    wide, high = _reach(F.col("qx") - F.col("ax")), _reach(F.col("qy") - F.col("ay"))
+    sides = checkpointed(sides.select("*", wide.alias("wide"), high.alias("high")).withColumn("side", F.monotonically_increasing_id()))
     dx, dy, px, py = F.col("qx") - F.col("ax"), F.col("qy") - F.col("ay"), F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
     along = px * dx + py * dy
-    on = binned.join(corners, ["patch", "bx", "by"]).where((px * dy == py * dx) & (along > 0) & (along < dx * dx + dy * dy))
+    on = _near_corners(sides).where((px * dy == py * dx) & (along > 0) & (along < dx * dx + dy * dy))
     cuts = on.groupBy("side").agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), "x", "y"))).alias("cuts"))
     point = lambda x, y: F.struct(F.lit(0.0).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
     whole = sides.join(cuts, "side", "left").select("patch", F.concat(F.array(point("ax", "ay")), F.coalesce("cuts", F.array().cast("array<struct<t:double,x:double,y:double>>")), F.array(point("qx", "qy"))).alias("p"))
