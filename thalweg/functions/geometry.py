@@ -103,24 +103,44 @@ def project(line: Column, point: Column) -> Column:
     The first edge wins ties. Null for a line without an edge.
     """
     spot = lambda e, t: F.struct(gap(along(e, t), point).alias("dist"), (e["at"] + e["len"] * t).alias("at"))
-    best = F.array_min(F.transform(measured(line), lambda e: let(_edge_share(e, point), lambda t: spot(e, t))))
-    return let(best, lambda b: F.struct(b["dist"].alias("dist"), b["at"].alias("at"), (b["at"] / length(line)).alias("ndist")))
+    best = lambda parts: F.array_min(F.transform(parts, lambda e: let(_edge_share(e, point), lambda t: spot(e, t))))
+    return let(measured(line), lambda parts: let(best(parts), lambda b: F.struct(b["dist"].alias("dist"), b["at"].alias("at"), (b["at"] / _total(parts)).alias("ndist"))))
+
+
+def distance_to_edges(every: Column, point: Column) -> Column:
+    """Distance of a point to the nearest of ``edges``, as ``project`` has it; null without an edge."""
+    return F.array_min(F.transform(every, lambda e: let(_edge_share(e, point), lambda t: gap(along(e, t), point))))
+
+
+def _total(parts: Column) -> Column:
+    """The length of a measured line."""
+    return let(last(parts), lambda e: F.coalesce(e["at"] + e["len"], F.lit(0.0)))
+
+
+def _placed(line: Column, parts: Column, want: Column) -> Column:
+    """The point at a distance along a measured line, its last beyond its end."""
+    hit = F.get(F.filter(parts, lambda e: (e["len"] > 0) & (e["at"] + e["len"] >= want)), F.lit(0))
+    return let(hit, lambda h: F.when(h.isNull(), last(line)).otherwise(along(h, (want - h["at"]) / h["len"])))
+
+
+def _inside(share: Column) -> Column:
+    return F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
 
 def interpolate(line: Column, share: Column) -> Column:
     """The point at a share of the length, Z carried along; ends beyond 0 and 1."""
-    def at(want: Column) -> Column:
-        hit = F.get(F.filter(measured(line), lambda e: (e["len"] > 0) & (e["at"] + e["len"] >= want)), F.lit(0))
-        return let(hit, lambda h: F.when(h.isNull(), last(line)).otherwise(along(h, (want - h["at"]) / h["len"])))
-
-    return let(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * length(line), at)
+    return let(measured(line), lambda parts: let(_inside(share) * _total(parts), lambda want: _placed(line, parts, want)))
 
 
 def substring(line: Column, start: Column, end: Column) -> Column:
     """The part of a line between two shares of its length, with the vertices between; equal shares give one point twice dropped to one."""
-    between = lambda total: F.filter(measured(line), lambda e: (e["at"] + e["len"] > start * total) & (e["at"] + e["len"] < end * total))
-    inner = F.transform(let(length(line), between), lambda e: e["b"])
-    return F.when(start >= end, F.array(interpolate(line, start))).otherwise(F.concat(F.array(interpolate(line, start)), inner, F.array(interpolate(line, end))))
+    def cut(parts: Column, w: Column) -> Column:
+        inner = F.transform(F.filter(parts, lambda e: (e["at"] + e["len"] > w["a"] * w["total"]) & (e["at"] + e["len"] < w["b"] * w["total"])), lambda e: e["b"])
+        point = lambda share: F.array(let(_inside(share) * w["total"], lambda want: _placed(line, parts, want)))
+        return F.when(w["a"] >= w["b"], point(w["a"])).otherwise(F.concat(point(w["a"]), inner, point(w["b"])))
+
+    wanted = lambda parts: F.struct(start.alias("a"), end.alias("b"), _total(parts).alias("total"))
+    return let(measured(line), lambda parts: let(wanted(parts), lambda w: cut(parts, w)))
 
 
 def bias_substring(line: Column, bias: float, end_cut: float = 1e-10) -> Column:

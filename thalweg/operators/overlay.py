@@ -432,10 +432,12 @@ def reach_lookup(locations: DataFrame, found: DataFrame, lines: DataFrame, downs
         spans = spans.withColumn("piece", F.when(several, G.bias_substring(F.col("piece"), downstream_bias)).otherwise(F.col("piece")))
     place = F.struct(*[F.col(c).cast("double").alias(c) if c in locations.columns else F.lit(None).cast("double").alias(c) for c in ("x", "y")])
     locations = locations.select("loc", "segnum", place.alias("_place"), (F.col("seg_ndist") if "seg_ndist" in locations.columns else F.lit(None).cast("double")).alias("_share"))
-    rows = locations.join(spans, "segnum").withColumn("_on", G.interpolate(F.col("geometry"), F.col("_share")))
+    # The edges of a reach are listed once, not for every location of its segment.
+    rows = locations.join(spans.withColumn("edges", G.edges(F.col("piece"))).drop("piece"), "segnum")
     known = F.col("_place.x").isNotNull() & F.col("_place.y").isNotNull()
-    spot = F.when(known, F.col("_place")).otherwise(F.struct(F.col("_on.x").alias("x"), F.col("_on.y").alias("y")))
-    rows = rows.withColumn("spot", spot).withColumn("dist", F.round(G.project(F.col("piece"), F.col("spot"))["dist"], 9))
+    on = G.let(G.interpolate(F.col("geometry"), F.col("_share")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rows = rows.withColumn("spot", F.when(known, F.col("_place")).otherwise(on))
+    rows = rows.withColumn("dist", F.round(G.distance_to_edges(F.col("edges"), F.col("spot")), 9))
     by = Window.partitionBy("loc").orderBy("dist", F.desc("ridx"))
     return rows.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("loc", "ridx", "k", "i", "j", "iseg", "ireach", F.col("dist").alias("dist_to_reach"))
 

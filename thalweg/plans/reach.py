@@ -148,13 +148,8 @@ def _model(spark: SparkSession) -> sfr.Model:
 
 def m16(spark: SparkSession, d: str) -> DataFrame:
     made = sfr.mf6(_diverted(spark, d), _model(spark), reach_include_fraction=None)
-    return made.diversions.select("divid", "from_segnum", "idv", (F.col("iconr") - F.min("iconr").over(_all())).alias("place"))
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    first = made.diversions.agg(F.min("iconr").alias("first"))
+    return made.diversions.crossJoin(F.broadcast(first)).select("divid", "from_segnum", "idv", (F.col("iconr") - F.col("first")).alias("place"))
 
 
 def m16_links(spark: SparkSession, d: str) -> DataFrame:
