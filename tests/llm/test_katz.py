@@ -59,6 +59,24 @@ def test_scores_equal_plain_version(spark, monkeypatch, block, shared, order):
     assert got == sorted(want)
 
 
+def test_ngrams_of_a_context_that_one_block_has_are_not_sent(spark, monkeypatch):
+    """op1's disk: of the longer n-grams only those go to a bucket whose context several blocks have; the others are counted where they are."""
+    texts = [f"w{k} x{k} y{k} z{k} the cat sat v{k % 3} w{k}" for k in range(24)]
+    sent, count = [], katz.count_grams
+
+    def counted(requests, order, *rest):
+        sent.append(sum(len(katz.unpack_many(r["grams"])[3]) for r in requests.collect()))
+        return count(requests, order, *rest)
+
+    monkeypatch.setattr(katz, "count_grams", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    assert katz.katz_scores(docs, block=10).count() == len(texts)  # a text a block
+    grams = [{tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in ([0, *t.split(), 1] for t in texts)]
+    blocks_of = Counter(c for g in grams for c in {x[:2] for x in g})
+    assert sent == [sum(blocks_of[x[:2]] > 1 for g in grams for x in g)]
+    assert 0 < sent[0] < sum(map(len, grams)) / 2
+
+
 def test_every_context_adds_up_to_one():
     low, prob, _, _, uni = plain(DOCS, 3)
     assert sum(low(w) for w in [*uni, b"never"]) == pytest.approx(1)

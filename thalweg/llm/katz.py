@@ -26,7 +26,8 @@ their own sorted vocabulary. Everything after that moves packed arrays:
 5. scores: each block works its tokens' probabilities out, length by length,
    from what it got back.
 
-An n-gram that is everywhere is sent once a block, whatever its count. All
+An n-gram that is everywhere is sent once a block, whatever its count. One whose
+context no other block has isn't sent: the block knows all that follows it. All
 tables lie in the shared folder, dealt by bucket. No table is ever collected
 or broadcast, but for a few counts of counts.
 """
@@ -108,7 +109,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             place[order] = np.arange(len(words), dtype=np.uint32)
             row = [
                 made, held, pack([i or 0 for i in ids], "i8"), pack([i is not None for i in ids], "u1"), pack(train, "u1"),
-                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)], level=12), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
+                pack(sizes, "u4"), pack_planes(place[np.concatenate(parts)]), int(place[0]), pack_planes(np.argsort(hashes[order])), pack(hashes[order], "u8"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
 
@@ -249,12 +250,21 @@ def _bigrams(row, number: np.ndarray, buckets: int, spread: int) -> tuple[np.nda
     context, word = keys // many, keys % many
     times = np.bincount(place[_train_tokens(unpack(row.train, "u1"), sizes)], minlength=len(keys))
     part = (number[word] % buckets) * spread + _mixed(number[context], spread)
-    order = np.lexsort((number[context], number[word], part))
+    order = _order(number[context], number[word])
+    order = order[np.argsort(part[order], kind="stable")]
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return context[order], word[order], part[order], times[order], back[place]
 
 
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Sorts rows of whole numbers from 0 up by the last column, then the one before, as ``np.lexsort`` does, but two columns that
+    fit in one number by that, which takes a third of the time; equal rows come in any order."""
+    if len(columns) == 2 and len(columns[0]) and max(c.max() for c in columns) < 1 << 31:
+        return np.argsort(columns[1].astype(np.int64) << 32 | columns[0].astype(np.int64))
+    return np.lexsort(columns)
+
+
 def _mixed(numbers: np.ndarray, spread: int) -> np.ndarray:
     return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % spread
 
@@ -279,23 +289,23 @@ def bigram_requests(joined: DataFrame, buckets: int, spread: int = SPREAD) -> Da
 
 
 def count_bigrams(requests: DataFrame) -> DataFrame:
-    """The bigram table. Rows with a block give that block's bigrams their training counts, in the order it sent them; the row
+    """The bigram table. Rows with a block give that block's bigrams their training counts, in the order it sent them, doubled, and one more for those that no other block sent; the row
     without one holds the part's seen bigrams (context numbers, word ranks, counts) and counts of counts."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         contexts = [unpack_planes(c, 8).astype(np.int64) for c in part["contexts"]]
         ranks = np.concatenate([np.cumsum(unpack_planes(r).astype(np.int64)) for r in part["ranks"]])
         every = np.concatenate(contexts)
-        order = np.lexsort((every, ranks))
+        order = _order(every, ranks)
         fresh = np.concatenate([[True], (np.diff(ranks[order]) != 0) | (np.diff(every[order]) != 0)])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(fresh) - 1
         times = np.bincount(place, weights=np.concatenate([unpack_planes(t) for t in part["times"]])).astype(np.int64)
         first = order[fresh]
-        seen = times > 0
+        seen, told = times > 0, times * 2 + (np.bincount(place) == 1)
         stats = [int((times == r).sum()) for r in range(1, CUTOFF + 2)]
         out, at = [(key[0], None, pack_planes(times[seen]), pack_planes(every[first][seen], 8), pack_planes(np.diff(ranks[first][seen], prepend=0)), stats)], 0
         for block, c in zip(part["block"], contexts, strict=True):
-            out.append((key[0], block, pack_planes(times[place[at : at + len(c)]]), None, None, None))
+            out.append((key[0], block, pack_planes(told[place[at : at + len(c)]], 8), None, None, None))
             at += len(c)
         return pd.DataFrame(out, columns=["part", "block", "times", "contexts", "ranks", "stats"]).astype({"block": "Int64"})
 
@@ -383,14 +393,14 @@ def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
                 *_, place = _bigrams(row, number, buckets, spread)
                 got = sorted(row.weights, key=lambda w: w["bucket"])
                 alpha, scale = (_spread(row, [unpack_planes(w[k], 8).view("<f8") for w in got]) for k in ("alpha", "scale"))
-                sent = np.concatenate([unpack_planes(t["times"]) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
+                sent = np.concatenate([unpack_planes(t["times"], 8) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 tok, sizes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4").astype(np.int64)
                 history = _Grams(tok, sizes, row.start, len(number), 2)
                 token = np.cumsum(history.plain) - 1
                 times = sent[place[token[history.levels[0][1]]]]
                 yield pd.DataFrame({
                     "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
-                    "words": [pack_many([number, counts])], "levels": [[pack_many([times, counts, scale, alpha])]],
+                    "words": [pack_many([number, counts])], "levels": [[pack_many([times >> 1, counts, scale, alpha, times & 1])]],
                 })
 
     return joined.mapInPandas(held, STATE)
@@ -418,7 +428,9 @@ class _Grams:
         self.levels, place, self.many = [], self.text, [many]
         for k in range(2, order + 1):
             at = np.flatnonzero(depth >= k - 1).astype(np.int32)
-            _, first, which = np.unique(place[at - 1].astype(np.int64) * many + self.text[at], return_index=True, return_inverse=True)
+            every, which = np.unique(place[at - 1].astype(np.int64) * many + self.text[at], return_inverse=True)
+            first = np.empty(len(every), np.int64)
+            first[which] = np.arange(len(which))
             ending, longer = at[first], np.full(len(self.text), -1, np.int32)
             longer[at] = which
             self.levels.append((at, ending, place[ending - 1], place[ending], longer))
@@ -432,17 +444,34 @@ def _grams(row, order: int) -> tuple[_Grams, np.ndarray, np.ndarray]:
     return _Grams(unpack_planes(row.tokens).astype(np.int64), sizes, row.start, len(number), order), number, counts
 
 
-def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of a block's n-grams; totals, scales and back-off weights of their contexts."""
-    times, totals, scale, alpha = unpack_many(packed)
-    return times, totals, scale.view("<f8"), alpha.view("<f8")
+def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of a block's n-grams; totals, scales and back-off weights of their contexts; which n-grams no other block has."""
+    times, totals, scale, alpha, alone = unpack_many(packed)
+    return times, totals, scale.view("<f8"), alpha.view("<f8"), alone > 0
+
+
+def _own(row, grams: _Grams, order: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """How often the block's n-grams of length ``order`` are in its own training texts, which have a context that no other block has, and
+    what their suffixes' probability is made of: the suffix's count, total and scale of its context."""
+    at, _, context, suffix, longer = grams.levels[order - 2]
+    learns = np.zeros(len(grams.text), bool)
+    learns[grams.plain] = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))
+    short, totals, scale, _, alone = _level(row.levels[order - 3])
+    below = grams.levels[order - 3][2][suffix]  # contexts of the suffixes
+    return np.bincount(longer[at][learns[at]], minlength=grams.many[order - 1]), alone[context], (short[suffix], totals[below], scale[below])
+
+
+def _lower(short: np.ndarray, totals: np.ndarray, scale: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probability of suffixes that were seen, 0 for others."""
+    return scale / np.maximum(totals, 1) * below[np.minimum(short, CUTOFF + 1)] * short
 
 
-def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """The order in which a block's n-grams of a length are sent, their parts, numbers of the words of each, the newest first, and where a part begins.
 
-    A part is a bucket of contexts, split by a hash of the last word; n-grams of one context stay together in it."""
-    _, ending, _, _, _ = grams.levels[order - 2]
+    A part is a bucket of contexts, split by a hash of the last word; n-grams of one context stay together in it. Those whose context is ``alone`` stay here."""
+    shared = np.flatnonzero(~alone)
+    ending = grams.levels[order - 2][1][shared]
     words = [number[grams.text[ending - j]] for j in range(order)]
     mixed = np.zeros(len(ending), np.uint64)
     for column in words[1:]:
@@ -451,7 +480,7 @@ def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, sprea
     part = (_bucket(mixed, buckets).astype(np.int64) * spread + _mixed(words[0], spread)).astype(np.int32)
     sent = np.argsort(part, kind="stable")
     part = part[sent]
-    return sent, part, [w[sent] for w in words], np.flatnonzero(np.diff(part, prepend=-1))
+    return shared[sent], part, [w[sent] for w in words], np.flatnonzero(np.diff(part, prepend=-1))
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -465,7 +494,8 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
     """Per part and block, the block's distinct n-grams of length ``order`` with their training counts, and what the probability of
-    each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter."""
+    each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter. Those whose
+    context no other block has only send how many of them have each count."""
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -473,53 +503,56 @@ def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> Da
                 many = grams.many[order - 1]
                 if not many:
                     continue
-                at, _, context, suffix, longer = grams.levels[order - 2]
-                learns = np.zeros(len(grams.text), bool)
-                learns[grams.plain] = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))
-                times = np.bincount(longer[at][learns[at]], minlength=many)
-                short, totals, scale, _ = _level(row.levels[order - 3])
-                below = grams.levels[order - 3][2][suffix]  # contexts of the suffixes
-                sent, part, words, edges = _messages(grams, number, order, buckets, spread)
-                times, short, totals, scale, context = times[sent], short[suffix[sent]], totals[below[sent]], scale[below[sent]], context[sent]
-                del grams, at, longer, learns
+                context = grams.levels[order - 2][2]
+                times, alone, suffixes = _own(row, grams, order)
+                own = [int((times[alone] == r).sum()) for r in range(1, CUTOFF + 2)]
+                sent, part, words, edges = _messages(grams, number, order, buckets, spread, alone)
+                times, context = times[sent], context[sent]
+                short, totals, scale = (x[sent] for x in suffixes)
+                del grams, suffixes
                 out = []
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)][: len(edges)], strict=True):
                     first = np.flatnonzero(_runs(context[a:b])) + a
-                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0][a:b], times[a:b], short[a:b], *(w[first] for w in words[1:])])))
-                yield pd.DataFrame(out, columns=["part", "block", "grams"])
+                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0][a:b], times[a:b], short[a:b], *(w[first] for w in words[1:])]), None))
+                # What the block counts by itself goes with its first message, an empty one if it has none.
+                out[:1] = [(*out[0][:3], own) if out else (row.block % (buckets * spread), row.block, pack_many([np.zeros(0, np.int64)] * (order + 5)), own)]
+                yield pd.DataFrame(out, columns=["part", "block", "grams", "own"])
 
-    return state.mapInPandas(asked, "part int, block long, grams binary")
+    return state.mapInPandas(asked, "part int, block long, grams binary, own array<long>")
 
 
 def count_grams(requests: DataFrame, order: int, below: np.ndarray, spread: int) -> DataFrame:
     """The table of n-grams of length ``order``, a row a part: totals of its contexts, lower-order mass of the words seen after each and
-    how many of these have counts 1 to CUTOFF; counts of counts; for each block the counts of its n-grams, ranks of its
+    how many of these have counts 1 to CUTOFF; counts of counts; for each block the counts of its n-grams (doubled, and one more where no other block has it), ranks of its
     contexts and which of these have a word that was never seen. Where a bucket has several parts, its contexts' words come along."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         got = [unpack_many(g) for g in part["grams"]]
         fan, totals, scale, word, times, short, *context = (np.concatenate(c) for c in zip(*got, strict=True))
-        order_c = np.lexsort(context[::-1])
+        order_c = _order(*context[::-1])
         fresh = _runs(*(c[order_c] for c in context))
         rank = np.empty(len(order_c), np.int64)
         rank[order_c] = np.cumsum(fresh) - 1
         owner = np.repeat(rank, fan)
-        order_g = np.lexsort((word, owner))
+        order_g = _order(word, owner)
         new = _runs(owner[order_g], word[order_g])
         place = np.empty(len(order_g), np.int64)
         place[order_g] = np.cumsum(new) - 1
         sums = np.bincount(place, weights=times).astype(np.int64)
-        low = np.repeat(scale.view("<f8") / np.maximum(totals, 1), fan)[order_g[new]] * below[np.minimum(short[order_g[new]], CUTOFF + 1)] * short[order_g[new]]
+        first = order_g[new]
+        low = _lower(short[first], np.repeat(totals, fan)[first], np.repeat(scale.view("<f8"), fan)[first], below)
+        told = sums * 2 + (np.bincount(place) == 1)
         mine, many = owner[order_g[new]], int(fresh.sum())
         by_context = lambda weights: np.bincount(mine, weights=weights, minlength=many)
         model = [by_context(sums).astype(np.int64), by_context(low * (sums > 0)), *(by_context(sums == r).astype(np.int64) for r in range(1, CUTOFF + 1))]
         blocks, c, g = [], 0, 0
         for block, (f, *_) in zip(part["block"].tolist(), got, strict=True):
             n = int(f.sum())
-            counts = sums[place[g : g + n]]
-            open_ = np.bincount(np.repeat(np.arange(len(f)), f), weights=counts == 0, minlength=len(f)) > 0
+            counts = told[place[g : g + n]]
+            open_ = np.bincount(np.repeat(np.arange(len(f)), f), weights=counts < 2, minlength=len(f)) > 0
             blocks.append({"block": block, "data": pack_many([counts, rank[c : c + len(f)], open_.astype(np.int64)])})
             c, g = c + len(f), g + n
-        stats = [int((sums == r).sum()) for r in range(1, CUTOFF + 2)]
+        own = [o for o in part["own"] if o is not None]
+        stats = [int((sums == r).sum()) + int(sum(o[r - 1] for o in own)) for r in range(1, CUTOFF + 2)]
         return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "contexts": [pack_many([c[order_c[fresh]] for c in context]) if spread > 1 else None], "stats": [stats], "blocks": [blocks]})
 
     return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, contexts binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
@@ -562,24 +595,32 @@ def weigh_contexts(counted: DataFrame, d: np.ndarray, spread: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(answers, schema)
 
 
-def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The level of ``order`` of a block from what the parts sent back."""
+def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The level of ``order`` of a block from what the parts sent back and what it knows by itself."""
     times, totals = np.zeros(grams.many[order - 1], np.int64), np.zeros(grams.many[order - 2], np.int64)
-    scale, alpha = np.ones(len(totals)), np.ones(len(totals))
+    scale, alpha, single = np.ones(len(totals)), np.ones(len(totals)), np.ones(len(times), np.int64)
     if len(times):
-        sent, part, words, edges = _messages(grams, number, order, buckets, spread)
+        own, alone, suffixes = _own(row, grams, order)
+        every = grams.levels[order - 2][2]
+        times[alone] = own[alone]
+        seen = np.flatnonzero(alone & (own > 0))
+        summed = lambda weights: np.bincount(every[seen], weights=weights, minlength=len(totals))
+        totals[:] = summed(own[seen])
+        alpha, scale = context_weights(totals, summed(d[np.minimum(own[seen], CUTOFF + 1)] * own[seen]), summed(_lower(*(x[seen] for x in suffixes), below)))
+        sent, part, _, edges = _messages(grams, number, order, buckets, spread, alone)
         got = [unpack_many(a["data"]) for a in sorted(row.answers, key=lambda a: a["part"])]
-        times[sent] = np.concatenate([g[0] for g in got])
-        context = grams.levels[order - 2][2][sent]
+        told = np.concatenate([g[0] for g in got])
+        times[sent], single[sent] = told >> 1, told & 1
+        context = every[sent]
         fresh = _runs(part, context)
         context, open_ = context[fresh], np.concatenate([g[3] for g in got]) > 0
         totals[context] = np.concatenate([g[1] for g in got])
         scale[context] = np.concatenate([g[2] for g in got]).view("<f8")
         alpha[context[open_]] = np.concatenate([g[4] for g in got]).view("<f8")
-    return times, totals, scale, alpha
+    return times, totals, scale, alpha, single
 
 
-def next_level(joined: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
+def next_level(joined: DataFrame, order: int, buckets: int, spread: int, below: np.ndarray, d: np.ndarray) -> DataFrame:
     """Blocks with the level of ``order`` added."""
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -587,7 +628,7 @@ def next_level(joined: DataFrame, order: int, buckets: int, spread: int) -> Data
                 grams, number, _ = _grams(row, order)
                 yield pd.DataFrame({
                     "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
-                    "words": [row.words], "levels": [[*row.levels, pack_many(list(_answered(row, grams, number, order, buckets, spread)))]],
+                    "words": [row.words], "levels": [[*row.levels, pack_many(list(_answered(row, grams, number, order, buckets, spread, below, d)))]],
                 })
 
     return joined.mapInPandas(added, STATE)
@@ -596,7 +637,7 @@ def next_level(joined: DataFrame, order: int, buckets: int, spread: int) -> Data
 def _probability(grams: _Grams, levels: list, counts: np.ndarray, stats: list[int], ds: list[np.ndarray]) -> np.ndarray:
     """The probability of every token: that of the longest n-gram seen, else the shorter one's times the context's back-off weight."""
     p = words_probability(counts[grams.text], stats)
-    for (at, _, context, _, longer), (times, totals, scale, alpha), d in zip(grams.levels, levels, ds, strict=True):
+    for (at, _, context, _, longer), (times, totals, scale, alpha, _), d in zip(grams.levels, levels, ds, strict=True):
         g = longer[at]
         c, t = context[g], times[g]
         p[at] = np.where(t > 0, scale[c] * d[np.minimum(t, CUTOFF + 1)] * t / np.maximum(totals[c], 1), alpha[c] * p[at])
@@ -611,7 +652,7 @@ def scores(state: DataFrame, order: int, buckets: int, spread: int, stats: list[
                 grams, number, counts = _grams(row, order)
                 levels = [_level(x) for x in row.levels]
                 if len(levels) < order - 1:
-                    levels.append(_answered(row, grams, number, order, buckets, spread))
+                    levels.append(_answered(row, grams, number, order, buckets, spread, *ds[-2:]))
                 logs = np.log10(_probability(grams, levels, counts, stats, ds))[grams.plain]
                 tok, sizes = grams.text[grams.plain], unpack(row.sizes, "u4").astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
@@ -664,7 +705,7 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
         release(spark)
         answers = weigh_contexts(counted, ds[-1], spread).groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
         joined = state.join(answers, "block", "left")
-        state = joined if k == order else table(next_level(joined, k, buckets, spread), "katz-state")
+        state = joined if k == order else table(next_level(joined, k, buckets, spread, *ds[-2:]), "katz-state")
     found = scores(state, order, buckets, spread, stats, ds)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known",
