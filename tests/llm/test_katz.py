@@ -77,6 +77,26 @@ def test_ngrams_of_a_context_that_one_block_has_are_not_sent(spark, monkeypatch)
     assert 0 < sent[0] < sum(map(len, grams)) / 2
 
 
+@pytest.mark.parametrize("hot, order", [(1, 3), (2, 4), (3, 3)])
+def test_sliced_contexts_keep_their_scores(spark, monkeypatch, hot, order):
+    """op1's disk: messages go to a bucket each, however many blocks there are; a context that is seen often is dealt over several, and its slices' sums are added up."""
+    parts, requests = set(), katz.gram_requests
+
+    def asked(*args):
+        out = requests(*args)
+        parts.update(r["part"] for r in out.select("part").collect())
+        return out
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(1)
+    ask = lambda: {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["score"], 9)) for r in katz.katz_scores(docs, block=3, order=order).collect()}
+    want = ask()
+    monkeypatch.setattr(katz, "gram_requests", asked)
+    monkeypatch.setattr(katz, "SHARED", 1)
+    monkeypatch.setattr(katz, "HOT", hot)
+    assert ask() == want
+    assert parts <= set(range(8))
+
+
 def test_every_context_adds_up_to_one():
     low, prob, _, _, uni = plain(DOCS, 3)
     assert sum(low(w) for w in [*uni, b"never"]) == pytest.approx(1)

@@ -143,6 +143,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no frame refers to any more, before the next large step needs the disk."""
+    """Let go of shuffle files that no frame refers to any more, before the next large step needs the disk.
+
+    Spark holds on to the plan of the query that ended last, so a small one is run first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()

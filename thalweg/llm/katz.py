@@ -20,16 +20,18 @@ their own sorted vocabulary. Everything after that moves packed arrays:
 3. contexts: the bigram table sends sums per context, to the bucket of the
    context's word; a block gets back the back-off weight of each of its words;
 4. longer n-grams, length by length: each block sends its distinct ones once,
-   to the bucket of their context (split further by a hash of the last word),
-   with what the shorter probability is made of; the parts of a bucket add up
-   the sums of their contexts, and the block gets back counts and weights;
+   to the bucket of their context, with what the shorter probability is made
+   of, and gets back counts and weights. A context seen more than ``HOT`` times
+   is dealt over the next buckets by a hash of the last word, into slices of
+   about that many; only the sums of its slices are added up over buckets;
 5. scores: each block works its tokens' probabilities out, length by length,
    from what it got back.
 
 An n-gram that is everywhere is sent once a block, whatever its count. One whose
 context no other block has isn't sent: the block knows all that follows it. All
 tables lie in the shared folder, dealt by bucket. No table is ever collected
-or broadcast, but for a few counts of counts.
+or broadcast, but for a few counts of counts and the sums of sliced contexts,
+of which there are fewer than two times ``SLICED``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import drop, held_out, release, table
@@ -48,7 +50,9 @@ BLOCK = 1_000_000  # tokens
 SLICE = 1_000_000  # vocabulary entries, over all blocks, for one bucket of words
 SPREAD = 4  # parts of a bucket of bigrams, at least
 SHARED = 64  # blocks, at most, whose bigrams of one word meet in a part of its bucket
-PART = 2_000_000  # tokens, over all blocks, for one bucket of contexts of n-grams of three words and more
+PART = 1_500_000  # tokens, over all blocks, for one bucket of contexts of n-grams of three words and more
+HOT = 250_000  # training tokens in a slice of such a context
+SLICED = 32_768  # contexts, at most, that are sliced; in more than HOT times as many tokens slices are larger
 ORDER = 3
 CUTOFF = 5
 END, START = b"\n", b"\r"  # not words: neither can come out of a split at white space
@@ -224,19 +228,31 @@ def words_probability(counts: np.ndarray, stats: list[int]) -> np.ndarray:
     return np.where(counts > 0, scale * d[np.minimum(counts, CUTOFF + 1)] * counts / total, 1 - scale * kept)
 
 
-def _spread(row, parts: list[np.ndarray]) -> np.ndarray:
-    """What the buckets sent back, in order of the hashes, by the block's own numbers."""
+def _spread(order: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """What the buckets sent back, in ``order`` of the block's own numbers, by these numbers."""
     out = np.concatenate(parts)
     back = np.empty_like(out)
-    back[unpack_planes(row.order)] = out
+    back[order] = out
     return back
 
 
-def _looked_up(row, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number and training count of each of a block's words."""
-    got = sorted(row.words, key=lambda w: w["bucket"])
-    number = [unpack_planes(w["ranks"]).astype(np.int64) * buckets + w["bucket"] for w in got]
-    return _spread(row, number), _spread(row, [unpack_planes(w["counts"], 8).astype(np.int64) for w in got])
+def numbered(joined: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with number and training count of each of their words, so that hashes and the word table aren't asked again."""
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for row in part.itertuples():
+                got, order = sorted(row.words, key=lambda w: w["bucket"]), unpack_planes(row.order)
+                number = _spread(order, [unpack_planes(w["ranks"]).astype(np.int64) * buckets + w["bucket"] for w in got])
+                counts = _spread(order, [unpack_planes(w["counts"], 8).astype(np.int64) for w in got])
+                yield pd.DataFrame({
+                    "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
+                    "words": [pack_many([number, counts])],
+                })
+
+    return joined.mapInPandas(held, NUMBERED)
+
+
+NUMBERED = "block long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, words binary"
 
 
 def _bigrams(row, number: np.ndarray, buckets: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -265,15 +281,15 @@ def _order(*columns: np.ndarray) -> np.ndarray:
     return np.lexsort(columns)
 
 
-def _mixed(numbers: np.ndarray, spread: int) -> np.ndarray:
+def _mixed(numbers: np.ndarray, spread: int | np.ndarray) -> np.ndarray:
     return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % spread
 
 
-def bigram_requests(joined: DataFrame, buckets: int, spread: int = SPREAD) -> DataFrame:
+def bigram_requests(known: DataFrame, buckets: int, spread: int = SPREAD) -> DataFrame:
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
-                number, _ = _looked_up(row, buckets)
+                number, _ = unpack_many(row.words)
                 context, word, where, times, _ = _bigrams(row, number, buckets, spread)
                 edges = np.flatnonzero(np.diff(where, prepend=-1))
                 ends = [*edges[1:].tolist(), len(where)]
@@ -285,7 +301,7 @@ def bigram_requests(joined: DataFrame, buckets: int, spread: int = SPREAD) -> Da
                     "times": [pack_planes(times[a:b]) for a, b in zip(edges, ends, strict=True)],
                 })
 
-    return joined.mapInPandas(sent, "part int, block long, contexts binary, ranks binary, times binary")
+    return known.select("block", "train", "sizes", "tokens", "start", "words").mapInPandas(sent, "part int, block long, contexts binary, ranks binary, times binary")
 
 
 def count_bigrams(requests: DataFrame) -> DataFrame:
@@ -337,7 +353,7 @@ def context_sums(bigrams: DataFrame, words: DataFrame, buckets: int, stats: list
 
 
 def backoff_weights(sums: DataFrame, words: DataFrame) -> DataFrame:
-    """The context table: per block and bucket, the back-off weight and the scale of seen words for each of the block's words as a context."""
+    """The context table: per block and bucket, the back-off weight and the scale of seen words for each of the block's words as a context, by rank."""
     def weighed(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = right[right["block"].isna()]
         counts = unpack_planes(own["counts"].iloc[0], 8).astype(float)
@@ -349,7 +365,7 @@ def backoff_weights(sums: DataFrame, words: DataFrame) -> DataFrame:
         alpha, scale = context_weights(counts, used, mass)
         out = []
         for row in right[right["block"].notna()].itertuples():
-            mine = unpack_planes(row.ranks)
+            mine = np.sort(unpack_planes(row.ranks))
             out.append((int(row.block), key[0], pack_planes(alpha[mine].view("<u8"), 8), pack_planes(scale[mine].view("<u8"), 8)))
         return pd.DataFrame(out, columns=["block", "bucket", "alpha", "scale"])
 
@@ -389,10 +405,10 @@ def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
-                number, counts = _looked_up(row, buckets)
+                number, _ = unpack_many(row.words)
                 *_, place = _bigrams(row, number, buckets, spread)
-                got = sorted(row.weights, key=lambda w: w["bucket"])
-                alpha, scale = (_spread(row, [unpack_planes(w[k], 8).view("<f8") for w in got]) for k in ("alpha", "scale"))
+                got, order = sorted(row.weights, key=lambda w: w["bucket"]), np.lexsort((number, number % buckets))
+                alpha, scale = (_spread(order, [unpack_planes(w[k], 8).view("<f8") for w in got]) for k in ("alpha", "scale"))
                 sent = np.concatenate([unpack_planes(t["times"], 8) for t in sorted(row.bigrams, key=lambda t: t["part"])]).astype(np.int64)
                 tok, sizes = unpack_planes(row.tokens).astype(np.int64), unpack(row.sizes, "u4").astype(np.int64)
                 history = _Grams(tok, sizes, row.start, len(number), 2)
@@ -400,13 +416,13 @@ def _first_levels(joined: DataFrame, buckets: int, spread: int) -> DataFrame:
                 times = sent[place[token[history.levels[0][1]]]]
                 yield pd.DataFrame({
                     "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
-                    "words": [pack_many([number, counts])], "levels": [[pack_many([times >> 1, counts, scale, alpha, times & 1])]],
+                    "words": [row.words], "levels": [[pack_many([times >> 1, number[:0], scale, alpha, times & 1])]],
                 })
 
     return joined.mapInPandas(held, STATE)
 
 
-STATE = "block long, ids binary, known binary, train binary, sizes binary, tokens binary, start long, words binary, levels array<binary>"
+STATE = f"{NUMBERED}, levels array<binary>"
 
 
 class _Grams:
@@ -444,21 +460,24 @@ def _grams(row, order: int) -> tuple[_Grams, np.ndarray, np.ndarray]:
     return _Grams(unpack_planes(row.tokens).astype(np.int64), sizes, row.start, len(number), order), number, counts
 
 
-def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of a block's n-grams; totals, scales and back-off weights of their contexts; which n-grams no other block has."""
-    times, totals, scale, alpha, alone = unpack_many(packed)
+def _level(row, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of a block's n-grams of length ``k``; totals, scales and back-off weights of their contexts; which n-grams no other block has."""
+    times, totals, scale, alpha, alone = unpack_many(row.levels[k - 2])
+    if k == 2:  # a word's total is its count
+        totals = unpack_many(row.words)[1]
     return times, totals, scale.view("<f8"), alpha.view("<f8"), alone > 0
 
 
-def _own(row, grams: _Grams, order: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """How often the block's n-grams of length ``order`` are in its own training texts, which have a context that no other block has, and
-    what their suffixes' probability is made of: the suffix's count, total and scale of its context."""
+def _own(row, grams: _Grams, order: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """How often the block's n-grams of length ``order`` are in its own training texts, which have a context that no other block has, into
+    how many slices their contexts are dealt (all blocks know the same count), and what their suffixes' probability is made of: the
+    suffix's count, total and scale of its context."""
     at, _, context, suffix, longer = grams.levels[order - 2]
     learns = np.zeros(len(grams.text), bool)
     learns[grams.plain] = _train_tokens(unpack(row.train, "u1"), unpack(row.sizes, "u4"))
-    short, totals, scale, _, alone = _level(row.levels[order - 3])
+    short, totals, scale, _, alone = _level(row, order - 1)
     below = grams.levels[order - 3][2][suffix]  # contexts of the suffixes
-    return np.bincount(longer[at][learns[at]], minlength=grams.many[order - 1]), alone[context], (short[suffix], totals[below], scale[below])
+    return np.bincount(longer[at][learns[at]], minlength=grams.many[order - 1]), alone[context], 1 + short[context] // hot, (short[suffix], totals[below], scale[below])
 
 
 def _lower(short: np.ndarray, totals: np.ndarray, scale: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -466,10 +485,10 @@ def _lower(short: np.ndarray, totals: np.ndarray, scale: np.ndarray, below: np.n
     return scale / np.maximum(totals, 1) * below[np.minimum(short, CUTOFF + 1)] * short
 
 
-def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, alone: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """The order in which a block's n-grams of a length are sent, their parts, numbers of the words of each, the newest first, and where a part begins.
 
-    A part is a bucket of contexts, split by a hash of the last word; n-grams of one context stay together in it. Those whose context is ``alone`` stay here."""
+    A part is a bucket of contexts, a slice of a common one being dealt to a later bucket; n-grams of one context stay together in it. Those whose context is ``alone`` stay here."""
     shared = np.flatnonzero(~alone)
     ending = grams.levels[order - 2][1][shared]
     words = [number[grams.text[ending - j]] for j in range(order)]
@@ -477,7 +496,7 @@ def _messages(grams: _Grams, number: np.ndarray, order: int, buckets: int, sprea
     for column in words[1:]:
         mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    part = (_bucket(mixed, buckets).astype(np.int64) * spread + _mixed(words[0], spread)).astype(np.int32)
+    part = ((_bucket(mixed, buckets).astype(np.int64) + _mixed(words[0], slices[shared])) % buckets).astype(np.int32)
     sent = np.argsort(part, kind="stable")
     part = part[sent]
     return shared[sent], part, [w[sent] for w in words], np.flatnonzero(np.diff(part, prepend=-1))
@@ -492,10 +511,10 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> DataFrame:
+def gram_requests(state: DataFrame, order: int, buckets: int, hot: int) -> DataFrame:
     """Per part and block, the block's distinct n-grams of length ``order`` with their training counts, and what the probability of
-    each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter. Those whose
-    context no other block has only send how many of them have each count."""
+    each one's suffix is made of: the suffix's count, and for each context the total and scale of the context one shorter, and whether it
+    is sliced. Those whose context no other block has only send how many of them have each count."""
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -504,30 +523,30 @@ def gram_requests(state: DataFrame, order: int, buckets: int, spread: int) -> Da
                 if not many:
                     continue
                 context = grams.levels[order - 2][2]
-                times, alone, suffixes = _own(row, grams, order)
+                times, alone, slices, suffixes = _own(row, grams, order, hot)
                 own = [int((times[alone] == r).sum()) for r in range(1, CUTOFF + 2)]
-                sent, part, words, edges = _messages(grams, number, order, buckets, spread, alone)
-                times, context = times[sent], context[sent]
+                sent, part, words, edges = _messages(grams, number, order, buckets, alone, slices)
+                times, context, sliced = times[sent], context[sent], (slices[sent] > 1).astype(np.int64)
                 short, totals, scale = (x[sent] for x in suffixes)
                 del grams, suffixes
                 out = []
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)][: len(edges)], strict=True):
                     first = np.flatnonzero(_runs(context[a:b])) + a
-                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0][a:b], times[a:b], short[a:b], *(w[first] for w in words[1:])]), None))
+                    out.append((int(part[a]), row.block, pack_many([np.diff(first, append=b), totals[first], scale[first], words[0][a:b], times[a:b], short[a:b], sliced[first], *(w[first] for w in words[1:])]), None))
                 # What the block counts by itself goes with its first message, an empty one if it has none.
-                out[:1] = [(*out[0][:3], own) if out else (row.block % (buckets * spread), row.block, pack_many([np.zeros(0, np.int64)] * (order + 5)), own)]
+                out[:1] = [(*out[0][:3], own) if out else (row.block % buckets, row.block, pack_many([np.zeros(0, np.int64)] * (order + 6)), own)]
                 yield pd.DataFrame(out, columns=["part", "block", "grams", "own"])
 
     return state.mapInPandas(asked, "part int, block long, grams binary, own array<long>")
 
 
-def count_grams(requests: DataFrame, order: int, below: np.ndarray, spread: int) -> DataFrame:
+def count_grams(requests: DataFrame, order: int, below: np.ndarray) -> DataFrame:
     """The table of n-grams of length ``order``, a row a part: totals of its contexts, lower-order mass of the words seen after each and
     how many of these have counts 1 to CUTOFF; counts of counts; for each block the counts of its n-grams (doubled, and one more where no other block has it), ranks of its
-    contexts and which of these have a word that was never seen. Where a bucket has several parts, its contexts' words come along."""
+    contexts and which of these have a word that was never seen. Of sliced contexts the ranks and words come along."""
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         got = [unpack_many(g) for g in part["grams"]]
-        fan, totals, scale, word, times, short, *context = (np.concatenate(c) for c in zip(*got, strict=True))
+        fan, totals, scale, word, times, short, sliced, *context = (np.concatenate(c) for c in zip(*got, strict=True))
         order_c = _order(*context[::-1])
         fresh = _runs(*(c[order_c] for c in context))
         rank = np.empty(len(order_c), np.int64)
@@ -553,61 +572,65 @@ def count_grams(requests: DataFrame, order: int, below: np.ndarray, spread: int)
             c, g = c + len(f), g + n
         own = [o for o in part["own"] if o is not None]
         stats = [int((sums == r).sum()) + int(sum(o[r - 1] for o in own)) for r in range(1, CUTOFF + 2)]
-        return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "contexts": [pack_many([c[order_c[fresh]] for c in context]) if spread > 1 else None], "stats": [stats], "blocks": [blocks]})
-
-    return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, contexts binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
-
-
-def weigh_contexts(counted: DataFrame, d: np.ndarray, spread: int) -> DataFrame:
-    """Per part and block: counts of the n-grams it sent; total and scale of their contexts, and back-off weights of those with an unseen word.
-
-    All parts of a bucket of contexts meet: a context that many words follow is one row in each."""
-    def answers(rows: pd.DataFrame) -> pd.DataFrame:
-        models = [unpack_many(m) for m in rows["sums"]]
-        totals, mass, *counts_of = (np.concatenate(c) for c in zip(*models, strict=True))
-        rank = np.arange(len(totals))
-        if spread > 1:
-            context = [np.concatenate(c) for c in zip(*map(unpack_many, rows["contexts"]), strict=True)]
-            order_c = np.lexsort(context[::-1])
-            rank[order_c] = np.cumsum(_runs(*(c[order_c] for c in context))) - 1
-        summed = lambda weights: np.bincount(rank, weights=weights)
-        n = summed(totals)
-        used = n - sum(summed(s) * r * (1 - d[r]) for r, s in enumerate(counts_of, 1))
-        alpha, scale = (x[rank] for x in context_weights(n, used, summed(mass.view("<f8"))))
-        n, out, first = n[rank].astype(np.int64), [], 0
-        for part, model, blocks in zip(rows["part"], models, rows["blocks"], strict=True):
-            for sent in blocks:
-                counts, ranks, open_ = unpack_many(sent["data"])
-                ranks = ranks + first
-                out.append((sent["block"], part, pack_many([counts, n[ranks], scale[ranks], open_, alpha[ranks[open_ > 0]]])))
-            first += len(model[0])
+        which = np.flatnonzero(sliced[order_c[fresh]])
+        return pd.DataFrame({"part": [key[0]], "sums": [pack_many(model)], "sliced": [pack_many([which, *(c[order_c[fresh]][which] for c in context)]) if len(which) else None], "stats": [stats], "blocks": [blocks]})
+
+    return requests.groupBy("part").applyInPandas(merged, "part int, sums binary, sliced binary, stats array<long>, blocks array<struct<block: bigint, data: binary>>")
+
+
+def add_slices(counted: DataFrame) -> DataFrame:
+    """Per part, its sliced contexts by rank with their ``sums`` over all parts: total, lower-order mass and how many words have counts 1 to CUTOFF."""
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                (which, *context), (totals, mass, *counts_of) = unpack_many(row.sliced), unpack_many(row.sums)
+                sums = [totals, mass.view("<f8"), *counts_of]
+                yield pd.DataFrame({"part": row.part, "rank": which, "context": list(np.column_stack(context)), "sums": list(np.column_stack([x[which].astype(float) for x in sums]))})
+
+    slices = counted.where("sliced IS NOT NULL").select("part", "sliced", "sums").mapInPandas(listed, "part int, rank long, context array<long>, sums array<double>")
+    added = F.array(*[F.sum(F.col("sums")[i]).over(Window.partitionBy("context")) for i in range(CUTOFF + 2)])
+    return slices.select("part", F.struct("rank", added.alias("sums")).alias("slice")).groupBy("part").agg(F.collect_list("slice").alias("slices"))
+
+
+def weigh_contexts(counted: DataFrame, d: np.ndarray) -> DataFrame:
+    """Per part and block: counts of the n-grams it sent; total and scale of their contexts, and back-off weights of those with an unseen word."""
+    def answers(row) -> pd.DataFrame:
+        totals, mass, *counts_of = unpack_many(row.sums)
+        n, mass, counts_of = totals.astype(float), mass.view("<f8").copy(), [c.astype(float) for c in counts_of]
+        if row.slices is not None:
+            ranks = np.array([x["rank"] for x in row.slices])
+            for column, sums in zip([n, mass, *counts_of], np.array([x["sums"] for x in row.slices]).T, strict=True):
+                column[ranks] = sums
+        used = n - sum(c * r * (1 - d[r]) for r, c in enumerate(counts_of, 1))
+        alpha, scale = context_weights(n, used, mass)
+        n, out = n.astype(np.int64), []
+        for sent in row.blocks:
+            counts, ranks, open_ = unpack_many(sent["data"])
+            out.append((sent["block"], row.part, pack_many([counts, n[ranks], scale[ranks], open_, alpha[ranks[open_ > 0]]])))
         return pd.DataFrame(out, columns=["block", "part", "data"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(len(batch)):
-                yield answers(batch.iloc[k : k + 1])
+            for row in batch.itertuples():
+                yield answers(row)
 
-    schema = "block long, part int, data binary"
-    if spread == 1:  # a part is a whole bucket
-        return counted.select("part", "sums", "blocks").mapInPandas(each, schema)
-    rows = counted.select(F.floor(F.col("part") / spread).alias("bucket"), "part", "sums", "contexts", "blocks")
-    return rows.groupBy("bucket").applyInPandas(answers, schema)
+    rows = counted.select("part", "sums", "blocks").join(F.broadcast(add_slices(counted)), "part", "left")
+    return rows.mapInPandas(each, "block long, part int, data binary")
 
 
-def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, spread: int, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int, hot: int, below: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
     """The level of ``order`` of a block from what the parts sent back and what it knows by itself."""
     times, totals = np.zeros(grams.many[order - 1], np.int64), np.zeros(grams.many[order - 2], np.int64)
     scale, alpha, single = np.ones(len(totals)), np.ones(len(totals)), np.ones(len(times), np.int64)
     if len(times):
-        own, alone, suffixes = _own(row, grams, order)
+        own, alone, slices, suffixes = _own(row, grams, order, hot)
         every = grams.levels[order - 2][2]
         times[alone] = own[alone]
         seen = np.flatnonzero(alone & (own > 0))
         summed = lambda weights: np.bincount(every[seen], weights=weights, minlength=len(totals))
         totals[:] = summed(own[seen])
         alpha, scale = context_weights(totals, summed(d[np.minimum(own[seen], CUTOFF + 1)] * own[seen]), summed(_lower(*(x[seen] for x in suffixes), below)))
-        sent, part, _, edges = _messages(grams, number, order, buckets, spread, alone)
+        sent, part, *_ = _messages(grams, number, order, buckets, alone, slices)
         got = [unpack_many(a["data"]) for a in sorted(row.answers, key=lambda a: a["part"])]
         told = np.concatenate([g[0] for g in got])
         times[sent], single[sent] = told >> 1, told & 1
@@ -620,7 +643,7 @@ def _answered(row, grams: _Grams, number: np.ndarray, order: int, buckets: int,
     return times, totals, scale, alpha, single
 
 
-def next_level(joined: DataFrame, order: int, buckets: int, spread: int, below: np.ndarray, d: np.ndarray) -> DataFrame:
+def next_level(joined: DataFrame, order: int, buckets: int, hot: int, below: np.ndarray, d: np.ndarray) -> DataFrame:
     """Blocks with the level of ``order`` added."""
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -628,7 +651,7 @@ def next_level(joined: DataFrame, order: int, buckets: int, spread: int, below:
                 grams, number, _ = _grams(row, order)
                 yield pd.DataFrame({
                     "block": [row.block], "ids": [row.ids], "known": [row.known], "train": [row.train], "sizes": [row.sizes], "tokens": [row.tokens], "start": [row.start],
-                    "words": [row.words], "levels": [[*row.levels, pack_many(list(_answered(row, grams, number, order, buckets, spread, below, d)))]],
+                    "words": [row.words], "levels": [[*row.levels, pack_many(list(_answered(row, grams, number, order, buckets, hot, below, d)))]],
                 })
 
     return joined.mapInPandas(added, STATE)
@@ -644,15 +667,15 @@ def _probability(grams: _Grams, levels: list, counts: np.ndarray, stats: list[in
     return p
 
 
-def scores(state: DataFrame, order: int, buckets: int, spread: int, stats: list[int], ds: list[np.ndarray]) -> DataFrame:
+def scores(state: DataFrame, order: int, buckets: int, hot: int, stats: list[int], ds: list[np.ndarray]) -> DataFrame:
     """Scores of every text from blocks that know all levels, or all but the last, whose ``answers`` they carry."""
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
                 grams, number, counts = _grams(row, order)
-                levels = [_level(x) for x in row.levels]
+                levels = [_level(row, k) for k in range(2, len(row.levels) + 2)]
                 if len(levels) < order - 1:
-                    levels.append(_answered(row, grams, number, order, buckets, spread, *ds[-2:]))
+                    levels.append(_answered(row, grams, number, order, buckets, hot, *ds[-2:]))
                 logs = np.log10(_probability(grams, levels, counts, stats, ds))[grams.plain]
                 tok, sizes = grams.text[grams.plain], unpack(row.sizes, "u4").astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
@@ -685,28 +708,38 @@ def katz_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block:
     words = table(count_words(word_requests(cut, buckets), buckets), "katz-words")
     stats = _sums(words.where("block IS NULL"), CUTOFF + 3)
     mine = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "ranks", "counts")).alias("words"))
-    tokens_only = cut.drop("hashes")
-    bigrams = table(count_bigrams(bigram_requests(tokens_only.join(mine, "block"), buckets, spread)), "katz-bigrams")
+    known = table(numbered(cut.drop("hashes", "held").join(mine, "block"), buckets), "katz-numbered")
+    drop(cut)
     release(spark)
+    bigrams = table(count_bigrams(bigram_requests(known, buckets, spread)), "katz-bigrams")
     d = discounts(_sums(bigrams.where("block IS NULL"), CUTOFF + 1))
-    sums = context_sums(bigrams, words, buckets, stats, d, spread)
-    contexts = table(backoff_weights(sums, words), "katz-contexts")
+    release(spark)
+    contexts = table(backoff_weights(context_sums(bigrams, words, buckets, stats, d, spread), words), "katz-contexts")
+    drop(words)
     release(spark)
     weights = contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "alpha", "scale")).alias("weights"))
     counts = bigrams.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("bigrams"))
-    joined = tokens_only.join(mine, "block").join(weights, "block").join(counts, "block")
-    state, ds, buckets, spread = table(_first_levels(joined, buckets, spread), "katz-state"), [d], max(8, -(-state["tokens"] // PART)), max(1, -(-state["blocks"] // SHARED))
-    for done in (cut, words, bigrams, contexts):
+    tokens, ds = state["tokens"], [d]
+    state = table(_first_levels(known.join(weights, "block").join(counts, "block"), buckets, spread), "katz-state")
+    for done in (known, bigrams, contexts):
         drop(done)  # the state holds all that is still asked of them
+    buckets, hot = max(8, -(-tokens // PART)), max(HOT, -(-tokens // SLICED))
     for k in range(3, order + 1):
         release(spark)
-        counted = table(count_grams(gram_requests(state, k, buckets, spread), k, ds[-1], spread), f"katz-{k}-grams")
+        counted = table(count_grams(gram_requests(state, k, buckets, hot), k, ds[-1]), f"katz-{k}-grams")
         ds.append(discounts(_sums(counted, CUTOFF + 1)))
         release(spark)
-        answers = weigh_contexts(counted, ds[-1], spread).groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
-        joined = state.join(answers, "block", "left")
-        state = joined if k == order else table(next_level(joined, k, buckets, spread, *ds[-2:]), "katz-state")
-    found = scores(state, order, buckets, spread, stats, ds)
+        told = table(weigh_contexts(counted, ds[-1]), "katz-answers")
+        drop(counted)
+        release(spark)
+        joined = state.join(told.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers")), "block", "left")
+        if k < order:
+            asked, state = state, table(next_level(joined, k, buckets, hot, *ds[-2:]), "katz-state")
+            drop(asked)
+            drop(told)
+        else:
+            state = joined
+    found = scores(state, order, buckets, hot, stats, ds)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known",
         F.lit(stats[0]).cast("long").alias("train_tokens"), "base_score", "score",
