@@ -160,3 +160,19 @@ def test_a_cut_line_is_measured_once(spark):
         assert r["dist"] == (None if near is None else pytest.approx(near))
     empty = data.where("k = 60").select(made["at"].alias("at"), G.distance_to_edges(G.edges(line), place).alias("dist")).first()
     assert empty["at"] is None and empty["dist"] is None
+
+
+def test_lists_of_one_place_are_made_by_several_tasks(spark):
+    """Of 400 lines, half start at one place and four at another, the first of these at the end of a line: each headwater lists the others, and no task makes most of the lists."""
+    place = lambda k: (0.0, 0.0) if k < 200 else (1.0, 0.0) if k < 204 else (float(k), 0.0)
+    ends = [(k, *place(k), *((500.0, 0.0) if k else (1.0, 0.0))) for k in range(398)] + [(398, 7.0, 7.0, 8.0, 8.0), (399, None, None, 0.5, 0.5)]
+    ends = spark.createDataFrame([(k, k, a, b, 0.0, c, d, 0.0) for k, a, b, c, d in ends], "segnum long, pos long, sx double, sy double, sz double, ex double, ey double, ez double")
+    links = N.downstream_links(ends)
+    downstream = {r["to_segnum"] for r in links.collect()}
+    got = N.shared_starts(ends, links, listed=4000).withColumn("task", F.spark_partition_id()).collect()
+    starts = {k: [j for j in range(204) if place(j) == place(k)] for k in range(204)}
+    assert downstream == {200}
+    assert {(r["segnum"], *r["others"]) for r in got} == {(k, *(j for j in starts[k] if j != k)) for k in starts if k not in downstream}
+    assert len(got) == 203
+    tasks = [sum(len(r["others"]) for r in got if r["task"] == t) for t in {r["task"] for r in got}]
+    assert max(tasks) < sum(tasks) / 2

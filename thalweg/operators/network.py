@@ -47,11 +47,23 @@ def shared_outlets(ends: DataFrame, links: DataFrame) -> DataFrame:
     return out.where(F.size("segnums") > 1)
 
 
-def shared_starts(ends: DataFrame, links: DataFrame) -> DataFrame:
-    """Headwaters that start where others start: ``segnum, others``."""
+def shared_starts(ends: DataFrame, links: DataFrame, listed: int = 4_000_000) -> DataFrame:
+    """Headwaters that start where others start: ``segnum, others``.
+
+    The lists of a place grow with the square of its lines, so its headwaters are
+    dealt to as many slices as it takes for each to list about ``listed`` numbers;
+    slices are rows that the lines of the place come along with, and there are as
+    many tasks as slices.
+    """
     heads = ends.join(links.select(F.col("to_segnum").alias("segnum")).hint("merge"), "segnum", "left_anti")
-    every = ends.groupBy("sx", "sy").agg(F.array_sort(F.collect_set("segnum")).alias("all"))
-    return heads.join(every, ["sx", "sy"]).where(F.size("all") > 1).select("segnum", F.array_remove("all", F.col("segnum")).alias("others"))
+    n, keys = F.size("all").cast("long"), ["place", "slice"]  # a join by coordinates would deal its rows anew, by its own number of tasks
+    every = checkpointed(ends.groupBy("sx", "sy").agg(F.array_sort(F.collect_set("segnum")).alias("all")).where(F.size("all") > 1).withColumn("place", F.monotonically_increasing_id()))
+    places = every.withColumn("slices", F.ceil(n * n / listed))
+    tasks = max(places.agg(F.sum(n * n)).first()[0] or 0, 1) // listed + int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.join(places.select("sx", "sy", "place", "slices"), ["sx", "sy"]).select("segnum", "place", F.pmod(F.xxhash64("segnum"), F.col("slices")).alias("slice"))
+    lists = places.select("place", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    met = dealt.repartition(tasks, *keys).join(lists.repartition(tasks, *keys).hint("merge"), keys)
+    return met.select("segnum", F.array_remove("all", F.col("segnum")).alias("others"))
 
 
 def bins(xmin: Column, xmax: Column, ymin: Column, ymax: Column, wide: Column | float, high: Column | float) -> Column:
